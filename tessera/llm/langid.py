@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 DOCS_PER_LANGUAGE = 2000
-SPREADS, PER_CHARACTER = 6.0, 12.0
+SPREADS, PER_CHARACTER = 8.0, 12.0
 SLICE_CHARS = 1 << 19
 BITS = np.uint64(21)
 _fold: list[np.ndarray] = []
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     about = {r.lang: r for r in seen.collect()}  # a row for each language
     rest = max((r.centre for r in about.values()), default=3.0)
     model.centre = np.array([about[x].centre if x in about else rest for x in langs])
-    model.spread = np.array([max(0.05, about[x].spread) if x in about else 0.3 for x in langs])
+    model.spread = np.array([max(0.15, about[x].spread) if x in about else 0.3 for x in langs])
     return model
 
 
