@@ -28,7 +28,12 @@ from pyspark.sql import types as T
 from .common import keep_rows, shared_dir, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on local disk, its changes (not whole snapshots) logged with each commit.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 BATCH_BYTES = 1 << 34
 
 
@@ -46,13 +51,15 @@ def run_state(spark, source: str, schema, place: str, batch_bytes: int = BATCH_B
     def commit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = kept.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     folder = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], kept.schema)  # the stream was empty
