@@ -79,6 +79,7 @@ def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, **options) -> Da
     found = stored(secret_candidates(docs, **options), "secrets")
     each = found.select("row", "doc_id", "owner", "repo", F.explode("spans").alias("span")).select("row", "doc_id", "owner", "repo", "span.*")
     owned = each.groupBy("value_sha256").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
+    owned = stored(owned, "secret-owners")  # read back, so that the join's hot partitions can be split
     verdict = F.when(F.col("n_owners") > max_owners, "example").when(F.col("live"), "live").otherwise("weak")
     spans = each.join(owned, "value_sha256").withColumn("verdict", verdict)
     columns = ["row", "doc_id", "order", "kind", "start", "end", "base", "value_sha256", "n_owners", "n_repos", "verdict"]
