@@ -79,6 +79,7 @@ def keep_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, di
     """The rows of ``docs`` that ``groups`` (id, digest and kept of every row) marks as kept,
     with their own columns.  Rows are told by id and digest of the text; of repeated rows with
     both in common, which no table tells apart, the smallest stays if one is kept."""
+    groups = stored(groups.select("id", "digest", "kept"), "groups")  # ends the join, whose hot partitions can then be split
     about = groups.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
     about = stored(about.where("__kept"), "kept")
     tagged = docs.withColumn("__digest", digest(text_or_empty(text_col)))
