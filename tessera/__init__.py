@@ -1,0 +1 @@
+"""Spark-native analytics over object-detection and segmentation annotations."""
