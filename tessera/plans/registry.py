@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import dataset, evaluation
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in evaluation.QUERIES}
+    return {f.__name__: f for f in (*evaluation.QUERIES, *dataset.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(evaluation.SQL)
+    return evaluation.SQL | dataset.SQL
