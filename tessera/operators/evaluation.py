@@ -75,44 +75,53 @@ def match(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = (0.5,))
 
 
 def labelled(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """image, p, class_id, confidence, thr, tp for each prediction and threshold."""
-    hits = match(gt, pred, thresholds).select("image", "p", "class_id", "thr", F.lit(1).alias("tp"))
-    each = pred.select("image", F.col("ord").alias("p"), "class_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence")).withColumn("thr", F.explode(F.array(*map(F.lit, thresholds))))
-    return each.join(hits, ["image", "class_id", "p", "thr"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    """image, p, class_id, confidence, hits for each prediction: bit ``i`` of ``hits`` says
+    whether it is a true positive at the threshold of that place."""
+    bit = F.coalesce(*[F.when(F.col("thr") == t, F.lit(1 << i)) for i, t in enumerate(thresholds)])
+    hits = match(gt, pred, thresholds).groupBy("image", "class_id", "p").agg(F.sum(bit).alias("hits"))
+    each = pred.select("image", F.col("ord").alias("p"), "class_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    return each.join(hits, ["image", "class_id", "p"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
-def curves(tp: DataFrame, labels: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
+def curves(tp: DataFrame, labels: DataFrame, by: Sequence[str] = ("class_id",), thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Precision-recall points in the order of falling confidence, for each ``by`` and thr:
-    n, tp_c, fp_c, recall, precision, envelope.  ``labels``: by, n_labels (above 0)."""
-    by = [*by]
-    key = [*by, "thr"]
+    n, tp_c, fp_c, recall, precision, envelope.  ``labels``: by, n_labels (above 0).
+
+    All thresholds share the order, so one sort serves all; rows are multiplied only at the end."""
+    by, index = [*by], range(len(thresholds))
     # Read three times below; persisted, so that overlap joins and matching run once.
-    rows = tp.join(labels, by).persist().withColumn("slice", F.floor((1 - F.col("confidence")) * SLICES))
-    order = [F.desc("confidence"), "image", "p"]
-    sums = rows.groupBy(*key, "slice").agg(F.count(F.lit(1)).alias("s_n"), F.sum("tp").alias("s_tp"))
-    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, "slice", F.coalesce(F.sum("s_n").over(before), F.lit(0)).alias("b_n"), F.coalesce(F.sum("s_tp").over(before), F.lit(0)).alias("b_tp"))
-    inside = Window.partitionBy(*key, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, [*key, "slice"]).withColumn("n", F.col("b_n") + F.count(F.lit(1)).over(inside)).withColumn("tp_c", F.col("b_tp") + F.sum("tp").over(inside))
-    rows = rows.withColumn("fp_c", F.col("n") - F.col("tp_c")).withColumn("recall", F.col("tp_c") / (F.col("n_labels") + EPS)).withColumn("precision", F.col("tp_c") / F.col("n"))
-    tops = rows.groupBy(*key, "slice").agg(F.max("precision").alias("top"))
-    after = Window.partitionBy(*key).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
-    tops = tops.select(*key, "slice", F.coalesce(F.max("top").over(after), F.lit(0.0)).alias("later"))
-    rest = Window.partitionBy(*key, "slice").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.join(tops, [*key, "slice"]).withColumn("envelope", F.greatest(F.max("precision").over(rest), "later"))
-    return rows.select(*key, "image", "p", "confidence", "tp", "n", "tp_c", "fp_c", "n_labels", "recall", "precision", "envelope")
-
-
-def _steps(points: DataFrame, key: Sequence[str], cell: Column, cells: int, last: Sequence[str], forward: bool) -> DataFrame:
+    rows = tp.join(labels, by).withColumn("slice", F.floor((1 - F.col("confidence")) * SLICES)).persist()
+    bit = lambda i: F.getbit("hits", F.lit(i)).cast("long")
+    sums = rows.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("b_n"), *[F.sum(bit(i)).alias(f"b_{i}") for i in index])
+    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("b_n", *(f"b_{i}" for i in index))])
+    inside = Window.partitionBy(*by, "slice").orderBy(F.desc("confidence"), "image", "p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, [*by, "slice"]).withColumn("n", F.col("b_n") + F.count(F.lit(1)).over(inside))
+    rows = rows.withColumns({f"t_{i}": F.col(f"b_{i}") + F.sum(bit(i)).over(inside) for i in index}).withColumns({f"p_{i}": F.col(f"t_{i}") / F.col("n") for i in index}).drop("b_n", *[f"b_{i}" for i in index]).persist()
+    tops = rows.groupBy(*by, "slice").agg(*[F.max(f"p_{i}").alias(f"l_{i}") for i in index])
+    after = Window.partitionBy(*by).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    tops = tops.select(*by, "slice", *[F.coalesce(F.max(f"l_{i}").over(after), F.lit(0.0)).alias(f"l_{i}") for i in index])
+    rest = Window.partitionBy(*by, "slice").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(tops, [*by, "slice"]).withColumns({f"e_{i}": F.greatest(F.max(f"p_{i}").over(rest), F.col(f"l_{i}")) for i in index})
+    point = lambda i, t: F.struct(F.lit(t).alias("thr"), bit(i).cast("int").alias("tp"), F.col(f"t_{i}").alias("tp_c"), F.col(f"p_{i}").alias("precision"), F.col(f"e_{i}").alias("envelope"))
+    out = rows.select(*by, "image", "p", "confidence", "n", "n_labels", F.explode(F.array(*[point(i, t) for i, t in enumerate(thresholds)])).alias("q")).select(*by, "image", "p", "confidence", "n", "n_labels", "q.*")
+    return out.withColumn("fp_c", F.col("n") - F.col("tp_c")).withColumn("recall", F.col("tp_c") / (F.col("n_labels") + EPS))
+
+
+def _steps(points: DataFrame, key: Sequence[str], cell: Column, cells: int, monotone: dict[str, bool], forward: bool) -> DataFrame:
     """For each cell the last point up to it and the first beyond: ends of the segment that a
-    grid line cuts.  Points are first reduced to two for each cell, before the shuffle."""
-    point = F.struct("n", *last)
-    held = points.withColumn("cell", cell).groupBy(*key, "cell").agg(F.max(point).alias("hi"), F.min(point).alias("lo"))
-    grid = points.select(*key).distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(held.where(F.col("cell").between(0, cells - 1)), [*key, "cell"], "full")
+    grid line cuts.  ``monotone`` columns rise (True) or fall with ``n``, so that the values at a
+    cell's ends are its extremes, which hash aggregation finds before the shuffle."""
+    ends = [e for c, up in monotone.items() for e in ((F.max if up else F.min)(c).alias(f"hi_{c}"), (F.min if up else F.max)(c).alias(f"lo_{c}"))]
+    held = points.withColumn("cell", F.least(cell, F.lit(cells))).groupBy(*key, "cell").agg(*ends)
+    pack = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in monotone])
+    held = held.select(*key, "cell", pack("hi").alias("hi"), pack("lo").alias("lo"))
+    lines = F.array(*[F.lit(k) for k in range(cells + 1)]) if cells < 200 else F.sequence(F.lit(0), F.lit(cells))
+    grid = held.select(*key).distinct().withColumn("cell", F.explode(lines)).join(held, [*key, "cell"], "left")
     order = "cell" if forward else F.desc("cell")
     upto, beyond = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     grid = grid.withColumn("left", F.last("hi", True).over(upto)).withColumn("right", F.first("lo", True).over(beyond))
-    return grid
+    return grid.where(F.col("cell") < cells)
 
 
 def average_precision(points: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
@@ -122,12 +131,10 @@ def average_precision(points: DataFrame, by: Sequence[str] = ("class_id",)) -> D
     k = F.ceil(F.col("recall") * 100).cast("int")
     # The first cell at or after the recall, in the grid's own doubles.
     cell = F.when((k - 1) * F.lit(0.01) >= F.col("recall"), k - 1).when(k * F.lit(0.01) < F.col("recall"), k + 1).otherwise(k)
-    points = points.withColumn("cell0", cell)
-    extra = points.where("cell0 >= 100").groupBy(*key).agg(F.min(F.struct("n", "recall", "envelope")).alias("beyond"))
-    grid = _steps(points, key, F.col("cell0"), 100, ["recall", "envelope"], True).join(extra, key, "left")
+    grid = _steps(points, key, cell, 100, {"recall": True, "envelope": False}, True)
     x = F.col("cell") * F.lit(0.01)
     left_r, left_m = F.coalesce("left.recall", F.lit(0.0)), F.coalesce("left.envelope", F.lit(1.0))
-    right_r, right_m = F.coalesce("right.recall", "beyond.recall", F.lit(1.0)), F.coalesce("right.envelope", "beyond.envelope", F.lit(0.0))
+    right_r, right_m = F.coalesce("right.recall", F.lit(1.0)), F.coalesce("right.envelope", F.lit(0.0))
     value = left_m + (right_m - left_m) * (x - left_r) / (right_r - left_r)
     return grid.withColumn("v", value).groupBy(*key).agg((F.lit(0.01) * (F.sum("v") - F.sum(F.when(F.col("cell") == 0, F.col("v"))) / 2)).alias("ap"))
 
@@ -135,18 +142,19 @@ def average_precision(points: DataFrame, by: Sequence[str] = ("class_id",)) -> D
 def best_f1(points: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
     """by, precision, recall, f1 at the one confidence whose smoothed mean F1 is highest."""
     key = [*by]
-    first = points.where(F.abs(F.col("thr") - THRESHOLDS[0]) < 1e-9)
+    first = points.where(F.col("thr") == THRESHOLDS[0])
     cell = F.floor(F.col("confidence") * (GRID - 1)).cast("int")
-    grid = _steps(first, key, cell, GRID, ["confidence", "recall", "precision"], False)
+    grid = _steps(first, key, cell, GRID, {"confidence": False, "recall": True, "tp_c": True, "n": True}, False)
     px = F.col("cell") / F.lit(GRID - 1)
 
-    def at(name: str, none: float) -> Column:
-        left, right = F.col(f"left.{name}"), F.col(f"right.{name}")
+    def at(value, none: float) -> Column:
+        left, right = value("left"), value("right")
         share = (F.col("left.confidence") - px) / (F.col("left.confidence") - F.col("right.confidence"))
         return F.when(F.col("left").isNull(), F.lit(none)).when(F.col("right").isNull(), left).otherwise(left + (right - left) * share)
 
-    grid = grid.withColumn("recall", at("recall", 0.0)).withColumn("precision", at("precision", 1.0))
-    grid = grid.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS))
+    recall, precision = at(lambda side: F.col(f"{side}.recall"), 0.0), at(lambda side: F.col(f"{side}.tp_c") / F.col(f"{side}.n"), 1.0)
+    grid = grid.select(*key, "cell", recall.alias("recall"), precision.alias("precision"))
+    grid = grid.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS)).persist()
     mean = grid.groupBy("cell").agg(F.avg("f1").alias("mean"))  # GRID rows at any scale
     near = Window.orderBy("cell").rowsBetween(-50, 50)
     ends = mean.agg(F.min_by("mean", "cell").alias("head"), F.max_by("mean", "cell").alias("tail"))
@@ -161,7 +169,7 @@ def class_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, t
     Classes that have no label have zero everywhere but in ``predictions``."""
     gt, pred = reindex(gt), reindex(suppress(pred, nms_iou)).persist()
     labels = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_labels"), F.count_distinct("image").alias("images"))
-    points = curves(labelled(gt, pred, thresholds), labels.select("class_id", "n_labels")).persist()
+    points = curves(labelled(gt, pred, thresholds), labels.select("class_id", "n_labels"), thresholds=thresholds)
     ap = average_precision(points).groupBy("class_id").agg(F.avg("ap").alias("ap"), *[F.max(F.when(F.col("thr") == thresholds[i], F.col("ap"))).alias(n) for i, n in ((0, "ap50"), (5, "ap75")) if i < len(thresholds)])
     if "ap75" not in ap.columns:
         ap = ap.withColumn("ap75", F.lit(0.0))
@@ -187,7 +195,7 @@ def size_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, th
     sized = pred.select("image", F.col("ord").alias("p"), F.col("size").alias("own")).join(taken, ["image", "p"], "left").select("image", "p", F.coalesce("g_size", "own").alias("size")).where("size IS NOT NULL")
     labels = gt.where("size IS NOT NULL").groupBy("size", "class_id").agg(F.count(F.lit(1)).alias("n_labels"))
     tp = labelled(gt, pred, thresholds).join(sized, ["image", "p"])
-    ap = average_precision(curves(tp, labels, ("size", "class_id")), ("size", "class_id"))
+    ap = average_precision(curves(tp, labels, ("size", "class_id"), thresholds), ("size", "class_id"))
     per = labels.crossJoin(F.broadcast(gt.sparkSession.createDataFrame([(t,) for t in thresholds], "thr double"))).join(ap, ["size", "class_id", "thr"], "left").fillna(0.0, ["ap"])
     means = per.groupBy("size").agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("thr") == thresholds[0], F.col("ap"))).alias("map50"))
     counts = labels.groupBy("size").agg(F.sum("n_labels").alias("labels")).join(sized.groupBy("size").agg(F.count(F.lit(1)).alias("predictions")), "size", "full")

@@ -31,15 +31,15 @@ def match_at_thresholds(spark, sf_dir):
     return ev.match(*_sides(spark, sf_dir), ev.THRESHOLDS).groupBy("class_id", "thr").agg(F.count(F.lit(1)).alias("matches"), F.round(F.avg("iou"), 6).alias("mean_iou"))
 
 
-def _curves(spark, sf_dir):
+def _curves(spark, sf_dir, thresholds=ev.THRESHOLDS):
     gt, pred = _sides(spark, sf_dir)
     pred = ev.reindex(ev.suppress(pred))
     labels = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    return ev.curves(ev.labelled(gt, pred), labels)
+    return ev.curves(ev.labelled(gt, pred, thresholds), labels, thresholds=thresholds)
 
 
 def pr_curve(spark, sf_dir):
-    points = _curves(spark, sf_dir).where(F.col("thr") == 0.5)
+    points = _curves(spark, sf_dir, (0.5,))
     return points.select("class_id", "image", "p", "n", "tp_c", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
 
 

@@ -110,9 +110,9 @@ def test_average_precision_against_numpy(spark):
         x = np.linspace(0, 1, 101)
         y = np.interp(x, r, np.maximum.accumulate(p[::-1])[::-1])
         want[k] = float(((y[1:] + y[:-1]) / 2 * 0.01).sum())
-    df = spark.createDataFrame(rows, "class_id int, thr double, image string, p int, confidence double, tp int, n_labels int")
+    df = spark.createDataFrame(rows, "class_id int, thr double, image string, p int, confidence double, hits long, n_labels int")
     labels = df.select("class_id", "n_labels").distinct()
-    got = {r.class_id: r.ap for r in ev.average_precision(ev.curves(df.drop("n_labels"), labels)).collect()}
+    got = {r.class_id: r.ap for r in ev.average_precision(ev.curves(df.drop("n_labels", "thr"), labels, thresholds=(0.5,))).collect()}
     assert got == pytest.approx(want, abs=1e-9)
 
 
