@@ -77,7 +77,7 @@ def parse_lines(files: DataFrame, text: str = "value", task: str = "auto", attri
 def read_labels(spark: SparkSession, path: str, task: str = "auto", attributes: bool = False, strict: bool = True, stems: DataFrame | None = None) -> DataFrame:
     """Annotations of all ``*.txt`` under a folder, by ``image`` (the stem); a stem that occurs
     twice keeps its last path.  Files are chosen by ``stems`` before any line is parsed."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path).select("value", F.col("_metadata.file_path").alias("label_path"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("label_path"))
     files = files.withColumn("image", stem(F.col("label_path")))
     if stems is not None:
         files = files.join(stems.select("image").distinct(), "image", "left_semi")

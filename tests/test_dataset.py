@@ -35,7 +35,7 @@ def test_label_lines(spark):
 
 def test_labels_round_trip(spark, tmp_path):
     (tmp_path / "labels").mkdir()
-    (tmp_path / "labels/a.txt").write_text("0 0.5 0.5 0.2 0.3\n1 0.4 0.4 0.2 0.2\n")
+    (tmp_path / "labels/a.txt").write_text("1 0.5 0.5 0.2 0.3\n0 0.4 0.4 0.2 0.2\n")
     (tmp_path / "labels/b.txt").write_text("1 0.1 0.1 0.2 0.1 0.2 0.2\n")
     ann = labels.read_labels(spark, f"{tmp_path}/labels")
     listed = spark.createDataFrame([("a",), ("b",), ("c",)], "image string")
