@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import dataset as ds
+from ..operators import evaluation as ev
+from ..operators import tables
 from . import corpus
 from .corpus import CLASSES, table
 
@@ -178,10 +180,40 @@ def crop_rects(spark, sf_dir):
     return ds.crop_rects(_gt(spark, sf_dir), padding=4, min_size=20)
 
 
+def annotation_table(spark, sf_dir):
+    return tables.annotation_table(_gt(spark, sf_dir), NAMES, ATTRIBUTES)
+
+
+def attribute_table(spark, sf_dir):
+    return tables.attribute_table(_gt(spark, sf_dir), NAMES, ATTRIBUTES)
+
+
+def positive_attributes(spark, sf_dir):
+    return tables.positive_attributes(_gt(spark, sf_dir), ATTRIBUTES)
+
+
+def image_shapes(spark, sf_dir):
+    return tables.image_shapes(corpus.images(spark, sf_dir)).withColumn("aspect", F.round("aspect", 6))
+
+
+def subset_class_counts(spark, sf_dir):
+    return tables.class_counts_for(_gt(spark, sf_dir), corpus.images(spark, sf_dir).where("image % 4 = 0"))
+
+
+def draw_list(spark, sf_dir):
+    return tables.draw_list(corpus.predictions(spark, sf_dir), NAMES, 0.7, True)
+
+
+def filtered_counts(spark, sf_dir):
+    """Counts by class after the filters of an evaluation."""
+    gt, pred = tables.evaluation_filter(_gt(spark, sf_dir), corpus.predictions(spark, sf_dir), exclude=[7], min_confidence=0.6, min_pixels=30, min_area=0.005)
+    return ev.counts_by_class(ev.reindex(gt), ev.reindex(pred))
+
+
 QUERIES = (
     filter_geometry_or, filter_geometry_and, filter_class_rules, filter_min_pixels, pseudo_labels, query_class, query_attribute, query_attribute_nonzero, select_semi, delete_class, replace_class, merge_compact, edit_report, rename_class,
     apply_map, set_attribute, delete_attribute, merge_union, split_counts, exact_duplicates, orphan_labels, duplicate_lines, validate_issues, class_counts, describe_boxes, aspect_histogram, objects_per_image, empty_images, size_buckets,
-    attribute_counts, class_attribute_counts, polygon_boxes, letterbox_boxes, crop_rects,
+    attribute_counts, class_attribute_counts, polygon_boxes, letterbox_boxes, crop_rects, annotation_table, attribute_table, positive_attributes, image_shapes, subset_class_counts, draw_list, filtered_counts,
 )
 
 
@@ -234,4 +266,18 @@ SELECT 'error', 'class_out_of_range' FROM gt WHERE class_id = 0) GROUP BY ALL"""
 FROM (SELECT *, greatest(1, round_even(width * s, 0)) AS nw, greatest(1, round_even(height * s, 0)) AS nh FROM (SELECT *, least(640 / width::DOUBLE, 640 / height::DOUBLE) AS s FROM gt))"""),
     "crop_rects": _sql("""SELECT image, ord, class_id, greatest(0, floor(a - 4))::INT AS left, greatest(0, floor(b - 4))::INT AS top, least(width, ceil(c + 4))::BIGINT AS right, least(height, ceil(d + 4))::BIGINT AS bottom
 FROM (SELECT *, x1 * width AS a, y1 * height AS b, x2 * width AS c, y2 * height AS d FROM gt) WHERE c - a >= 20 AND d - b >= 20"""),
+    "annotation_table": _sql(f"SELECT image, line_no, class_id, {_NAME} AS class_name, cx, cy, w, h, w * h AS area, {_DEFECT} AS attr_defect, {_GRADE} AS attr_grade FROM gt"),
+    "attribute_table": _sql(f"SELECT image, line_no, {_NAME} AS class_name, 'defect' AS attribute, defect AS raw, {_DEFECT} AS value FROM gt UNION ALL SELECT image, line_no, {_NAME}, 'grade', grade, {_GRADE} FROM gt"),
+    "positive_attributes": _sql("SELECT (defect <> 0)::INT + 1 AS positive, count(*) AS n FROM gt GROUP BY 1"),
+    "image_shapes": "SELECT DISTINCT o_orderkey AS image, 320 + 64 * (o_orderkey % 10) AS width, 240 + 48 * (o_orderkey % 10) AS height, round((320 + 64 * (o_orderkey % 10)) / (240 + 48 * (o_orderkey % 10))::DOUBLE, 6) AS aspect FROM orders",
+    "subset_class_counts": _sql("SELECT class_id, count(*) AS objects FROM gt WHERE image IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) GROUP BY class_id"),
+    "draw_list": _sql(f"""SELECT image, ord, px1, py1, greatest(least(greatest(round_even(x2 * width, 0), 0), width), px1 + 1)::INT AS px2, greatest(least(greatest(round_even(y2 * height, 0), 0), height), py1 + 1)::INT AS py2,
+class_id % 9 AS colour, {_NAME} || printf(' %.2f', confidence) AS label FROM (SELECT *, least(least(greatest(round_even(x1 * width, 0), 0), width), width - 1)::INT AS px1,
+least(least(greatest(round_even(y1 * height, 0), 0), height), height - 1)::INT AS py1 FROM pred WHERE confidence >= 0.7::DOUBLE)"""),
+    "filtered_counts": _sql(f"""SELECT class_id, coalesce(tp, 0) AS tp, coalesce(np, 0) - coalesce(tp, 0) AS fp, coalesce(ng, 0) - coalesce(tp, 0) AS fn FROM (
+WITH fg AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY image ORDER BY ord) - 1)::INT AS ord) FROM gt WHERE class_id <> 7 AND w * h >= 0.005::DOUBLE AND w * width >= 30 AND h * height >= 30),
+fp AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY image ORDER BY ord) - 1)::INT AS ord) FROM pred WHERE class_id <> 7 AND confidence >= 0.6::DOUBLE AND w * h >= 0.005::DOUBLE AND w * width >= 30 AND h * height >= 30),
+{corpus.PAIRS_SQL.format(gt="fg", pred="fp")}, {corpus.MATCH_SQL.format(thr="0.5::DOUBLE")}
+SELECT * FROM (SELECT class_id, count(*) AS ng FROM fg GROUP BY class_id) FULL JOIN (SELECT class_id, count(*) AS np FROM fp GROUP BY class_id) USING (class_id)
+LEFT JOIN (SELECT class_id, count(*) AS tp FROM mt GROUP BY class_id) USING (class_id))"""),
 }

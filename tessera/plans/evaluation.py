@@ -51,6 +51,11 @@ def _rounded(df, keys):
     return df.select(*[c if c in keys else F.round(c, 6).alias(c) for c in df.columns])
 
 
+def mean_average_precision(spark, sf_dir):
+    rows = ev.average_precision(_curves(spark, sf_dir)).groupBy("class_id").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"))
+    return rows.agg(F.round(F.avg("ap50"), 6).alias("map50"), F.round(F.avg("ap"), 6).alias("map"), F.count(F.lit(1)).alias("classes"))
+
+
 def class_metrics(spark, sf_dir):
     rows = ev.class_metrics(corpus.ground_truth(spark, sf_dir), corpus.predictions(spark, sf_dir))
     return _rounded(rows, ("class_id", "images", "labels", "predictions"))
@@ -97,7 +102,7 @@ def compare_summary(spark, sf_dir):
     return compare_status(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = (match_counts_by_class, iou_pairs, nms_kept, match_at_thresholds, pr_curve, ap_per_class, class_metrics, macro_metrics, size_metrics, error_taxonomy, error_summary, confusion_matrix, review_groups, duplicate_gt, compare_status, compare_summary)
+QUERIES = (match_counts_by_class, iou_pairs, nms_kept, match_at_thresholds, pr_curve, ap_per_class, mean_average_precision, class_metrics, macro_metrics, size_metrics, error_taxonomy, error_summary, confusion_matrix, review_groups, duplicate_gt, compare_status, compare_summary)
 
 _PLAIN = PAIRS_SQL.format(gt="gt_i", pred="pred_i")
 _NMS = PAIRS_SQL.format(gt="gt_i", pred="nms_i")
@@ -146,6 +151,7 @@ LEFT JOIN (SELECT class_id, count(*) AS tp FROM mt GROUP BY class_id) USING (cla
     "match_at_thresholds": _sql("SELECT class_id, thr, count(*) AS matches, round(avg(iou), 6) AS mean_iou FROM mt GROUP BY class_id, thr", _PLAIN, _ALL),
     "pr_curve": _sql("SELECT class_id, image, p, n, tp_c::BIGINT AS tp_c, round(recall, 6) AS recall, round(precision, 6) AS precision, round(envelope, 6) AS envelope FROM env", NMS_SQL, _NMS, _HALF, _CURVE),
     "ap_per_class": _sql("SELECT class_id, thr, round(ap, 6) AS ap FROM ap", NMS_SQL, _NMS, _ALL, _CURVE, _AP),
+    "mean_average_precision": _sql("SELECT round(avg(ap50), 6) AS map50, round(avg(ap), 6) AS map, count(*) AS classes FROM (SELECT class_id, avg(ap) AS ap, max(CASE WHEN thr = 0.5 THEN ap END) AS ap50 FROM ap GROUP BY class_id)", NMS_SQL, _NMS, _ALL, _CURVE, _AP),
     "error_taxonomy": _sql("SELECT * REPLACE (round(iou, 6) AS iou) FROM err", NMS_SQL, _NMS, _HALF, _ERR),
     "error_summary": _sql("SELECT status, error_type, count(*) AS n FROM err GROUP BY ALL", NMS_SQL, _NMS, _HALF, _ERR),
     "confusion_matrix": _sql(
@@ -157,4 +163,15 @@ UNION ALL SELECT p_class, g_class FROM (SELECT DISTINCT image, g, p, p_class, g_
         """SELECT 'pred_' || CASE WHEN error_type = 'fn_no_pred' OR p_class IS NULL THEN 'background' ELSE p_class::VARCHAR END || '_gt_' ||
 CASE WHEN error_type = 'background_fp' OR g_class IS NULL THEN 'background' ELSE g_class::VARCHAR END AS review_group, count(*) AS n FROM err WHERE status <> 'tp' GROUP BY ALL""", NMS_SQL, _NMS, _HALF, _ERR),
     "duplicate_gt": _sql("SELECT image, g AS first, p AS second, round(iou, 6) AS iou, CASE WHEN g_class = p_class THEN 'same_class_duplicate' ELSE 'different_class_overlap' END AS kind FROM pr WHERE iou >= 0.5 AND g < p", PAIRS_SQL.format(gt="gt_i", pred="gt_i")),
+    "compare_status": _sql(
+        f"""SELECT image, class_id, status, iou, g, p, confidence FROM gres UNION ALL
+SELECT q.image, q.class_id, 'fp', 0, NULL, q.ord, q.confidence FROM cp q ANTI JOIN (SELECT image, class_id, p FROM gres WHERE status = 'tp') t ON t.image = q.image AND t.class_id = q.class_id AND t.p = q.ord""",
+        "cp AS (SELECT * FROM pred WHERE confidence >= 0.6::DOUBLE)",
+        "gk AS (SELECT *, row_number() OVER (PARTITION BY image, class_id ORDER BY ord) AS k FROM gt)",
+        f"""cs AS (SELECT image, class_id, 0::BIGINT AS k, NULL::INT AS g, NULL::INT AS p, 0::DOUBLE AS iou, []::INT[] AS used FROM gk WHERE k = 1
+UNION ALL SELECT b.image, b.class_id, b.k, b.ord, CASE WHEN m.iou >= 0.5 THEN m.p END, coalesce(m.iou, 0), CASE WHEN m.iou >= 0.5 THEN list_append(s.used, m.p) ELSE s.used END
+FROM cs s JOIN gk b ON b.image = s.image AND b.class_id = s.class_id AND b.k = s.k + 1,
+LATERAL (SELECT max(v) AS iou, arg_max(o, (v, -o)) AS p FROM (SELECT q.ord AS o, {corpus.iou_sql('b', 'q')} AS v FROM cp q WHERE q.image = b.image AND q.class_id = b.class_id AND NOT list_contains(s.used, q.ord)) WHERE v > 0) m)""",
+        "gres AS (SELECT c.image, c.class_id, CASE WHEN c.p IS NULL THEN 'fn' ELSE 'tp' END AS status, round(c.iou, 6) AS iou, c.g, c.p, q.confidence FROM cs c LEFT JOIN cp q ON q.image = c.image AND q.class_id = c.class_id AND q.ord = c.p WHERE c.k > 0)"),
 }
+SQL["compare_summary"] = SQL["compare_status"].replace("SELECT image, class_id, status, iou, g, p, confidence FROM gres UNION ALL", "SELECT status, count(*) AS n FROM (SELECT image, class_id, status, iou, g, p, confidence FROM gres UNION ALL") + ") GROUP BY status"
