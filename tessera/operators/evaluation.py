@@ -167,7 +167,7 @@ def class_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, t
     """class_id, images, labels, predictions, precision, recall, f1, ap50, ap75, ap.
 
     Classes that have no label have zero everywhere but in ``predictions``."""
-    gt, pred = reindex(gt), reindex(suppress(pred, nms_iou)).persist()
+    gt, pred = reindex(gt).persist(), reindex(suppress(pred, nms_iou)).persist()
     labels = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_labels"), F.count_distinct("image").alias("images"))
     points = curves(labelled(gt, pred, thresholds), labels.select("class_id", "n_labels"), thresholds=thresholds)
     ap = average_precision(points).groupBy("class_id").agg(F.avg("ap").alias("ap"), *[F.max(F.when(F.col("thr") == thresholds[i], F.col("ap"))).alias(n) for i, n in ((0, "ap50"), (5, "ap75")) if i < len(thresholds)])
@@ -205,9 +205,10 @@ def size_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, th
 def errors(gt: DataFrame, pred: DataFrame, match_iou: float = 0.5, low_iou: float = 0.1, nms_iou: float | None = 0.5) -> DataFrame:
     """One row for each match, unmatched prediction and unmatched box: image, status,
     error_type, g, g_class, p, p_class, iou."""
-    gt, pred = reindex(gt), reindex(suppress(pred, nms_iou))
-    near = pairs(gt, pred, same_class=False)
-    hits = match(gt, pred, (match_iou,)).select("image", "g", "p", "class_id", "iou")
+    # Each is read several times below.
+    gt, pred = reindex(gt).persist(), reindex(suppress(pred, nms_iou)).persist()
+    near = pairs(gt, pred, same_class=False).persist()
+    hits = match(gt, pred, (match_iou,)).select("image", "g", "p", "class_id", "iou").persist()
     tp = hits.select("image", F.lit("tp").alias("status"), F.lit("tp").alias("error_type"), "g", F.col("class_id").alias("g_class"), "p", F.col("class_id").alias("p_class"), "iou")
     used = hits.select("image", "g", F.lit(True).alias("taken"))
 
