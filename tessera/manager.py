@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions.geometry import corners
 from .operators import dataset as ds
+from .operators import corrections, tables
 from .operators import evaluation as ev
+from .sinks import files, reports
 from .sources import formats, images, labels, layout
 
 
@@ -89,6 +91,72 @@ class Manager:
         labels.write_texts(labels.label_texts(annotations if annotations is not None else self.data.annotations, self.data.images, **options), os.path.join(out, "labels"))
         layout.write_names(out, classes if classes is not None else self.data.classes)
 
+    def select(self, names: DataFrame | str) -> DataFrame:
+        """Images whose stem or file name is listed, in a table (name) or a text file."""
+        return ds.select_images(self.data.images, layout.read_image_list(self.spark, names) if isinstance(names, str) else names)
+
+    def merge(self, *others: Manager, **options):
+        """Images, annotations and class names of this dataset and others together."""
+        return ds.merge_datasets([(m.data.images, m.data.annotations, m.data.classes) for m in (self, *others)], **options)
+
+    def write_yaml(self, out: str | None = None, **options) -> None:
+        layout.write_names(out or self.root, self.data.classes, **options)
+
+    def write_splits(self, out: str | None = None, **shares) -> None:
+        """Split lists in ``out``; those of before move to a dated folder next to them."""
+        files.backup_splits(out or self.root, os.path.join(out or self.root, "split_backup"))
+        files.write_splits(self.split(**shares), out or self.root)
+
+    def backup_labels(self, folder: str | None = None) -> int:
+        plan = files.backup_plan(self.data.annotations.select("label_path"), self.root, folder).persist()
+        files.copy_files(plan)
+        return plan.count()
+
+    def fill_missing_labels(self) -> int:
+        return files.fill_missing_labels(self.data.images, self.data.annotations, os.path.join(self.root, "labels"))
+
+    def set_attr(self, name: str, value: float, classes=None, where_value: float | None = None):
+        ids = None if classes is None else self.data.classes.ids(classes)
+        return ds.set_attribute(self.data.annotations, list(self.data.attributes).index(name), value, ids, where_value)
+
+    def delete_attr(self, name: str, values=None, nonzero: bool = False):
+        return ds.delete_by_attribute(self.data.annotations, list(self.data.attributes).index(name), values, nonzero)
+
+    def _crops(self, folder: str) -> DataFrame:
+        return labels.list_images(self.spark, folder).select(F.col("image").alias("crop"))
+
+    def _target(self, target) -> int | None:
+        return None if target is None or str(target).lower() in ("none", "null") else self.data.classes.id(target)
+
+    def correct_from_crops(self, crops: str, target):
+        """The boxes that the crops in a folder name get the class ``target`` (none: go)."""
+        return corrections.correct_from_crops(self.data.annotations, self._crops(crops), self._target(target))
+
+    def correct_from_error_crops(self, crops: str, target, pred: str, **options):
+        return corrections.correct_from_error_crops(self.data.annotations, layout.load(self.spark, pred).annotations, self._crops(crops), self._target(target), **options)
+
+    # --- drawing: tables of what to draw or cut, in pixels
+    def _sized(self, images_only: bool = False) -> DataFrame:
+        sizes = images.read_headers(self.spark, os.path.join(self.root, "images")).select("image", "width", "height")
+        pics = self.data.images.drop("width", "height").join(sizes, "image", "left")
+        return pics if images_only else self.data.annotations.join(sizes, "image")
+
+    def draw(self, least: float | None = None, show_confidence: bool = False) -> DataFrame:
+        return tables.draw_list(self._sized().withColumns(corners()), self.data.classes, least, show_confidence)
+
+    def crop(self, padding: int | float = 0, min_size: int = 1) -> DataFrame:
+        return ds.crop_rects(self._sized().withColumns(corners()), padding, min_size)
+
+    def manual_box(self, image: str, min_pixels: int = 2) -> DataFrame:
+        """The boxes of one image that are large enough to be worked on, as lines of its label."""
+        rows = self._sized().join(tables.find_image(self.data.images, image).select("image"), "image", "left_semi")
+        return ds.filter_pixels(rows, min_pixels).select("image", "ord", labels.to_line().alias("line"))
+
+    def resize(self, width: int | None = None, height: int | None = None, scale: float | None = None) -> DataFrame:
+        """Target sizes; normalised labels stay as they are."""
+        w, h = tables.resize_target(F.col("width"), F.col("height"), width, height, scale)
+        return self._sized(True).select("image", "width", "height", w.alias("to_width"), h.alias("to_height"))
+
     # --- evaluating: predictions are another dataset or a folder of label files
     def _sides(self, pred: str) -> tuple[DataFrame, DataFrame]:
         other = layout.load(self.spark, pred).annotations
@@ -104,16 +172,60 @@ class Manager:
         return ev.errors(*self._sides(pred), **options)
 
     def eval_review_pack(self, pred: str, **options) -> DataFrame:
-        return ev.review_group(self.eval_error_analysis(pred, **options))
+        return tables.review_crop_name(ev.review_group(self.eval_error_analysis(pred, **options)))
+
+    def eval_metrics_text(self, pred: str, **options) -> str:
+        rows = self.eval_metrics(pred, **options).persist()
+        return reports.metrics_text(rows, ev.macro_metrics(rows), self.data.classes)
+
+    def eval_merged_metrics(self, pred: str, merges, compact: bool = True, **options) -> tuple[DataFrame, ds.Classes]:
+        gt, other, names = tables.merged_sides(*self._sides(pred), self.data.classes, merges, compact)
+        return ev.class_metrics(gt, other, **options), names
 
     def export_xany(self, out: str) -> None:
         heads = images.read_headers(self.spark, os.path.join(self.root, "images"))
         pics = self.data.images.join(heads.select("image", "width", "height"), "image")
         labels.write_texts(formats.xany_documents(pics, self.data.annotations, self.classes), out, ".json")
 
-    def export_coco(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        heads = images.read_headers(self.spark, os.path.join(self.root, "images"))
-        return formats.coco_tables(self.data.images.join(heads.select("image", "width", "height"), "image"), self.data.annotations, self.classes)
+    def export_coco(self, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The three tables of a COCO document, written to ``path`` where there is one."""
+        out = formats.coco_tables(self._sized(True), self.data.annotations, self.classes)
+        if path:
+            reports.write_coco(*out, path)
+        return out
+
+
+def import_tables(reader: Callable, out: str | None = None):
+    """A task that reads another format and, with ``out``, writes it as a dataset."""
+
+    def run(spark: SparkSession, *args, out: str | None = out, **options):
+        pics, ann, classes = reader(spark, *args, **options)
+        if out:
+            labels.write_texts(labels.label_texts(full(ann), pics), os.path.join(out, "labels"))
+            layout.write_names(out, [r.class_name for r in classes.orderBy("class_id").collect()])
+        return pics, ann, classes
+
+    return run
+
+
+def labelme(spark: SparkSession, path: str, class_names, **options):
+    pics, ann = formats.read_labelme(spark, path, class_names, **options)
+    return pics, ann, spark.createDataFrame(list(enumerate(class_names)), "class_id int, class_name string")
+
+
+def full(ann: DataFrame) -> DataFrame:
+    """With the columns that label lines need."""
+    lacks = {"polygon": labels.POINT, "attrs": "array<double>", "confidence": "double"}
+    return ann.withColumns({c: F.lit(None).cast(t) for c, t in lacks.items() if c not in ann.columns})
+
+
+def run_task(spark: SparkSession, task: str, root: str, *args, **options):
+    """A task by its name: on the dataset at ``root``, or on the file that an import reads."""
+    if task not in TASKS:
+        raise KeyError(f"unknown task {task!r}; there are {', '.join(sorted(TASKS))}")
+    if task.startswith("import."):
+        return TASKS[task](spark, root, *args, **options)
+    return TASKS[task](Manager(spark, root), *args, **options)
 
 
 #: Task names and the methods that do them.
@@ -122,5 +234,9 @@ TASKS: dict[str, Callable] = {
     "dataset.filter": Manager.filter, "dataset.split": Manager.split, "dataset.duplicates": Manager.duplicates, "dataset.bad_images": Manager.bad_images, "dataset.normalize": Manager.write,
     "ann.delete_class": Manager.delete_class, "ann.replace_class": Manager.replace_class, "ann.merge_class": Manager.merge_class, "ann.rename_class": Manager.rename_class, "ann.apply_map": Manager.apply_map,
     "convert.seg2det": Manager.seg2det, "convert.pseudo": Manager.pseudo, "export.coco": Manager.export_coco, "export.xany": Manager.export_xany,
+    "dataset.select": Manager.select, "dataset.merge": Manager.merge, "dataset.yaml": Manager.write_yaml, "ann.set_attr": Manager.set_attr, "ann.delete_attr": Manager.delete_attr,
+    "ann.correct_from_crops": Manager.correct_from_crops, "ann.correct_from_error_crops": Manager.correct_from_error_crops, "convert.resize": Manager.resize,
+    "vis.draw": Manager.draw, "vis.crop": Manager.crop, "vis.manual_box": Manager.manual_box,
+    "import.coco": import_tables(formats.read_coco), "import.voc": import_tables(formats.read_voc), "import.labelme": import_tables(labelme), "import.mask": import_tables(formats.read_masks),
     "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import pixel_box, size_bucket
-from .dataset import class_name, decoded, filter_geometry, has_value
+from .dataset import apply_class_map, class_name, decoded, filter_geometry, has_value
 
 COLOURS = 9  # fixed value: drawing colours repeat after so many classes
 
@@ -109,4 +109,59 @@ def find_image(images: DataFrame, name: str) -> DataFrame:
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
     tier = F.when(F.col("path") == name, 0).when(F.col("path").endswith(f"/{name}"), 1).when(F.col("file_name") == name, 2).when(stem == name, 3)
     ranked = images.withColumn("tier", tier).where("tier IS NOT NULL")
-    return ranked.withColumn("best", F.min("tier").over(Window.partitionBy())).where("tier = best").drop("tier", "best")
+    best = ranked.agg(F.min("tier").alias("tier"))  # one row
+    return ranked.join(F.broadcast(best), "tier", "left_semi").drop("tier")
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
+    """Adds 1, 2, ... in an order without ties: rows are sorted by range, and each range starts
+    where those before it end, so no task sees more than its range.
+
+    Persisted, because the ranges are read twice and must not be drawn anew between."""
+    bits = 33  # of a place within its partition, see monotonically_increasing_id
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", bits)).persist()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition.
+    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = placed.join(F.broadcast(starts), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << bits) - 1) + 1).drop("__at", "__part", "__before")
+
+
+def attribute_matrix(ann: DataFrame, classes: Sequence[str], schema: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row for each class, and one for all: how many annotations have each attribute."""
+    counts = [F.count(F.when(has_value(k, o), 1)).alias(n) for k, (n, o) in enumerate(schema.items())]
+    each = ann.groupBy("class_id").agg(*counts).select(class_name(classes).alias("class_name"), *schema)
+    return each.unionByName(ann.agg(*counts).select(F.lit("all").alias("class_name"), *schema))
+
+
+def missing_labels(images: DataFrame, ann: DataFrame) -> DataFrame:
+    return images.join(ann.select("image").distinct(), "image", "left_anti")
+
+
+def repeated_names(images: DataFrame) -> DataFrame:
+    """Images whose file name stood before (by ``image``)."""
+    again = F.row_number().over(Window.partitionBy("file_name").orderBy("image"))
+    return images.withColumn("__n", again).where("__n > 1").drop("__n")
+
+
+def resolve_listed(images: DataFrame, listed: DataFrame) -> DataFrame:
+    """name, n_matches, image for each listed ``name``: by path or file name, and only where
+    neither fits by stem.  A caller that forces names into a split refuses ``n_matches`` <> 1."""
+    names = listed.select(F.trim("name").alias("name")).where("name <> ''").distinct()
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]+$", "")
+    keys = F.array_distinct(F.array_compact(F.array("path", "file_name"))) if "path" in images.columns else F.array("file_name")
+    exact = images.select("image", F.explode(keys).alias("name")).distinct()
+    by_stem = images.select(F.col("image"), stem(F.col("file_name")).alias("stem")).distinct()
+    found = names.join(exact, "name", "left")
+    hit = found.where("image IS NOT NULL")
+    rest = found.where("image IS NULL").select("name", stem(F.col("name")).alias("stem")).join(by_stem, "stem", "left").select("name", "image")
+    return hit.select("name", "image").unionByName(rest).groupBy("name").agg(F.count("image").alias("n_matches"), F.min("image").alias("image"))
+
+
+def merged_sides(gt: DataFrame, pred: DataFrame, classes, merges: Mapping[str, Sequence], compact: bool = True):
+    """Both sides of an evaluation with classes merged by ``merges`` (target to sources)."""
+    if not merges or not all(merges.values()):
+        raise ValueError("a map of merges needs targets, and each target sources")
+    steps = {"merge": merges, "compact": compact}
+    (gt, names, _), (pred, _, _) = apply_class_map(gt, classes, **steps), apply_class_map(pred, classes, **steps)
+    return gt, pred, names

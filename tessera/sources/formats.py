@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import circle, pixel_points, polygon_area, to_centre
+from ..operators.tables import numbered
 from .labels import POINT, stem
 
 COCO = """images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>,
@@ -50,16 +53,17 @@ def coco_tables(images: DataFrame, ann: DataFrame, classes: DataFrame) -> tuple[
     """images, annotations and categories of a COCO document, as tables.
 
     Image ids count from 1 in the order of file names; annotation ids follow image and place."""
-    numbered = images.select("image", "file_name", "width", "height", F.row_number().over(Window.orderBy("file_name")).alias("id"))
-    rows = ann.join(numbered.select("image", F.col("id").alias("image_id"), "width", "height"), "image")
+    listed = numbered(images.select("image", "file_name", "width", "height"), "file_name", "image")
+    rows = ann.drop("width", "height").join(listed.select("image", F.col("id").alias("image_id"), "width", "height"), "image")
     w, h = F.col("w") * F.col("width"), F.col("h") * F.col("height")
     flat = F.flatten(F.transform(pixel_points("polygon", F.col("width"), F.col("height")), lambda q: F.array(q["x"], q["y"]))) if "polygon" in ann.columns else F.lit(None).cast("array<double>")
     area = F.when(F.col("polygon").isNotNull(), polygon_area(pixel_points("polygon", F.col("width"), F.col("height")))).otherwise(w * h) if "polygon" in ann.columns else w * h
     out = rows.select(
-        F.row_number().over(Window.orderBy("image_id", "ord")).alias("id"), "image_id", F.col("class_id").alias("category_id"),
+        "image_id", "ord", F.col("class_id").alias("category_id"),
         F.array(F.col("cx") * F.col("width") - w / 2, F.col("cy") * F.col("height") - h / 2, w, h).alias("bbox"), area.alias("area"), F.when(flat.isNotNull(), F.array(flat)).alias("segmentation"), F.lit(0).alias("iscrowd"),
     )
-    return numbered.select("id", "file_name", "width", "height"), out, classes.select(F.col("class_id").alias("id"), F.col("class_name").alias("name"))
+    out = numbered(out, "image_id", "ord").select("id", *[c for c in out.columns if c != "ord"])
+    return listed.select("id", "file_name", "width", "height"), out, classes.select(F.col("class_id").alias("id"), F.col("class_name").alias("name"))
 
 
 def read_voc(spark: SparkSession, path: str, class_names: Sequence[str] | None = None, skip_difficult: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,6 +132,69 @@ def xany_documents(images: DataFrame, ann: DataFrame, classes: DataFrame) -> Dat
     return docs.select("image", F.to_json(F.struct(F.col("file_name").alias("imagePath"), F.col("width").alias("imageWidth"), F.col("height").alias("imageHeight"), named.alias("shapes"))).alias("value"))
 
 
+def grey_png(data: bytes) -> np.ndarray:
+    """Pixels of an 8-bit PNG of grey values or palette places, as label masks are stored."""
+    at, head, packed = 8, None, []
+    while at + 8 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += size + 12
+    if head is None or head[8] != 8 or head[9] not in (0, 3) or head[12]:
+        raise ValueError("a mask is a PNG of one 8-bit channel, not interlaced")
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, width + 1)
+    out, above = np.zeros((height, width), np.uint8), np.zeros(width, np.uint8)
+    for y in range(height):
+        how, row = raw[y, 0], raw[y, 1:]
+        if how == 0:
+            above = row
+        elif how == 1:
+            above = np.cumsum(row, dtype=np.uint64).astype(np.uint8)
+        elif how == 2:
+            above = row + above
+        else:
+            now, left, corner = above.copy(), 0, 0
+            for x in range(width):
+                up = int(above[x])
+                if how == 3:
+                    guess = (left + up) // 2
+                else:
+                    near = left + up - corner
+                    guess = min((left, up, corner), key=lambda v: abs(near - v))
+                left, corner = (int(row[x]) + guess) & 255, up
+                now[x] = left
+            above = now
+        out[y] = above
+    return out
+
+
+def read_masks(spark: SparkSession, path: str, background: int = 0, min_area: int = 1, class_map: Mapping[int, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, classes) of a folder of label masks: one polygon for each connected
+    area; values become classes by ``class_map``, or by their order where there is none."""
+
+    def decode(frames):
+        for frame in frames:
+            grids = [grey_png(bytes(b)) for b in frame["content"]]
+            yield pd.DataFrame({"image": frame["image"], "width": [g.shape[1] for g in grids], "height": [g.shape[0] for g in grids], "pixels": [[r.tolist() for r in g] for g in grids]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
+    masks = files.select(stem(F.col("path")).alias("image"), "content").mapInPandas(decode, "image string, width int, height int, pixels array<array<int>>")
+    found = mask_components(masks, background, min_area).persist()
+    if class_map is None:
+        values = found.select("value").distinct()  # 255 at most
+        classes = values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("class_id"), F.col("value").cast("string").alias("class_name"))
+    else:
+        classes = spark.createDataFrame([(int(v), k, n) for k, (v, n) in enumerate(class_map.items())], "value int, class_id int, class_name string")
+    ann = found.join(F.broadcast(classes), "value").withColumn("pos", F.struct("value", F.col("polygon")[0]["y"], F.col("polygon")[0]["x"]))
+    ann = _numbered(ann, ["pos"]).withColumns({c: F.lit(None).cast("double") for c in ("cx", "cy", "w", "h")})
+    pics = masks.select("image", F.concat("image", F.lit(".png")).alias("file_name"), "width", "height")
+    return pics, ann.select("image", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "polygon", "area"), classes.select("class_id", "class_name")
+
+
 def mask_components(masks: DataFrame, background: int = 0, min_area: int = 1) -> DataFrame:
     """image, value, area, polygon of the 4-connected areas of label masks (image, pixels: rows
     of integers); each area's outline is its rectangle.  Masks are handled one by one in tasks."""
