@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, langid, license_scan, mixing, near_dedup, pii, quality, secret_scan, token_counts
+from . import decontamination, exact_dedup, langid, license_scan, mixing, near_dedup, pii, quality, secret_scan, sql, token_counts
 from .common import shared_dir, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -92,53 +92,7 @@ def queries() -> dict:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
-_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
-
-SQL = {
-    "op2_exact_dedup": """
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(text) AS text_sha256
-FROM t WINDOW g AS (PARTITION BY text)""",
-    "op6_decontamination": f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS gram
-       FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
-dw AS (SELECT doc_id, n, i, w[i : i + n - 1] AS gram
-       FROM d, (SELECT DISTINCT n FROM bw) AS s, unnest(range(1, len(w) - n + 2)) AS r(i)),
-hit AS (SELECT doc_id, item_id, n, i FROM dw JOIN bw USING (n, gram)),
-places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS r(p) GROUP BY doc_id),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
-       string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)""",
-    "op10_source_mix": r"""
-WITH q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight FROM labels GROUP BY doc_id),
-d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-      1 - pow((('0x' || substr(md5('mix-1/' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496, 1 / coalesce(weight, 1.0::DOUBLE)) AS place
-      FROM documents LEFT JOIN q USING (doc_id)),
-s AS (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source),
-w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
-l AS (SELECT *, (sum(size) OVER () - 3 * coalesce(sum(size) OVER (ORDER BY size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-      / sum(weight) OVER (ORDER BY size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
-v AS (SELECT min_by(level, size::DOUBLE / weight) AS level FROM l WHERE weight * level <= 3 * size),
-t AS (SELECT source, size AS source_size, least(3.0::DOUBLE * size, weight * v.level) AS target FROM l, v),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-r AS (SELECT *, round(target - epochs * source_size)::BIGINT AS rest FROM e),
-p AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest,
-      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, (epochs * size + greatest(least(size, rest - before), 0))::BIGINT AS taken FROM p""",
-    "token_rollup": f"""
-WITH d AS (SELECT source, lang, CASE WHEN lang = 'en' THEN len({_WORDS}) ELSE len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) END AS n FROM documents)
-SELECT source, lang, 'mixed' AS tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
-FROM d WHERE NOT coalesce(source = 'src1' AND lang <> 'en', false) GROUP BY source, lang""",
-}
-
-
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return sql.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
