@@ -107,19 +107,45 @@ QUERIES = (match_counts_by_class, iou_pairs, nms_kept, match_at_thresholds, pr_c
 _PLAIN = PAIRS_SQL.format(gt="gt_i", pred="pred_i")
 _NMS = PAIRS_SQL.format(gt="gt_i", pred="nms_i")
 _HALF, _ALL = MATCH_SQL.format(thr="0.5::DOUBLE"), MATCH_SQL.format(thr=THRS)
-_CURVE = """
+_TPS = """
 lab AS (SELECT class_id, count(*) AS n_labels FROM gt GROUP BY class_id),
 tps AS (SELECT n.class_id, t.thr, n.image, n.ord AS p, n.confidence, n_labels, CASE WHEN m.p IS NULL THEN 0 ELSE 1 END AS tp
-  FROM nms_i n JOIN lab USING (class_id) CROSS JOIN ths t LEFT JOIN mt m ON m.image = n.image AND m.class_id = n.class_id AND m.p = n.ord AND m.thr = t.thr),
+  FROM nms_i n JOIN lab USING (class_id) CROSS JOIN ths t LEFT JOIN mt m ON m.image = n.image AND m.class_id = n.class_id AND m.p = n.ord AND m.thr = t.thr)"""
+_POINTS = """
 cum AS (SELECT *, row_number() OVER o AS n, sum(tp) OVER o AS tp_c FROM tps WINDOW o AS (PARTITION BY class_id, thr ORDER BY confidence DESC, image, p ROWS UNBOUNDED PRECEDING)),
 pts AS (SELECT *, tp_c / (n_labels + 1e-16::DOUBLE) AS recall, tp_c / n::DOUBLE AS precision FROM cum),
 env AS (SELECT *, max(precision) OVER (PARTITION BY class_id, thr ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM pts)"""
+_CURVE = f"{_TPS},{_POINTS}"
 _AP = """
 z AS (SELECT class_id, thr, n, recall AS r, envelope AS m FROM env UNION ALL
   SELECT DISTINCT class_id, thr, 0, 0::DOUBLE, 1::DOUBLE FROM env UNION ALL SELECT class_id, thr, max(n) + 1, 1::DOUBLE, 0::DOUBLE FROM env GROUP BY class_id, thr),
 sg AS (SELECT *, lead(r) OVER o AS r2, lead(m) OVER o AS m2 FROM z WINDOW o AS (PARTITION BY class_id, thr ORDER BY n)),
 gr AS (SELECT class_id, thr, k, m + (m2 - m) * (k * 0.01::DOUBLE - r) / (r2 - r) AS v FROM sg, range(100) AS s(k) WHERE r <= k * 0.01::DOUBLE AND k * 0.01::DOUBLE < r2),
 ap AS (SELECT class_id, thr, 0.01::DOUBLE * (sum(v) - sum(CASE WHEN k = 0 THEN v ELSE 0 END) / 2) AS ap FROM gr GROUP BY class_id, thr)"""
+_F1 = """
+fc AS (SELECT class_id, floor(confidence * 999)::INT AS cell, arg_max({c: confidence, r: recall, p: precision}, n) AS hi, arg_min({c: confidence, r: recall, p: precision}, n) AS lo FROM pts WHERE thr = 0.5 GROUP BY ALL),
+gd AS (SELECT class_id, k AS cell, k / 999::DOUBLE AS px FROM (SELECT DISTINCT class_id FROM fc), range(1000) AS s(k)),
+near AS (SELECT g.*, h.hi AS a, l.lo AS b FROM gd g ASOF LEFT JOIN fc h ON g.class_id = h.class_id AND g.cell <= h.cell ASOF LEFT JOIN fc l ON g.class_id = l.class_id AND g.cell > l.cell),
+pt AS (SELECT class_id, cell, CASE WHEN a IS NULL THEN 0 WHEN b IS NULL THEN a.r ELSE a.r + (b.r - a.r) * (a.c - px) / (a.c - b.c) END AS recall,
+  CASE WHEN a IS NULL THEN 1 WHEN b IS NULL THEN a.p ELSE a.p + (b.p - a.p) * (a.c - px) / (a.c - b.c) END AS precision FROM near),
+f1 AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-16::DOUBLE) AS f1 FROM pt),
+mf AS (SELECT cell, avg(f1) AS m FROM f1 GROUP BY cell),
+sm AS (SELECT cell, (sum(m) OVER (ORDER BY cell ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) + greatest(0, 50 - cell) * (SELECT arg_min(m, cell) FROM mf)
+  + greatest(0, cell - 949) * (SELECT arg_max(m, cell) FROM mf)) / 101 AS s FROM mf),
+bf AS (SELECT f1.* FROM f1 JOIN (SELECT arg_max(cell, (s, -cell)) AS cell FROM sm) USING (cell))"""
+_CLASS = f"""
+cm AS (SELECT class_id, coalesce(images, 0) AS images, coalesce(labels, 0) AS labels, coalesce(predictions, 0) AS predictions, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall,
+    coalesce(f1, 0) AS f1, coalesce(ap50, 0) AS ap50, coalesce(ap75, 0) AS ap75, coalesce(ap, 0) AS ap
+  FROM (SELECT class_id, count(*) AS labels, count(DISTINCT image) AS images FROM gt_i GROUP BY class_id) FULL JOIN (SELECT class_id, count(*) AS predictions FROM nms_i GROUP BY class_id) USING (class_id)
+  LEFT JOIN (SELECT class_id, avg(ap) AS ap, max(CASE WHEN thr = 0.5 THEN ap END) AS ap50, max(CASE WHEN thr = {ev.THRESHOLDS[5]!r}::DOUBLE THEN ap END) AS ap75 FROM ap GROUP BY class_id) USING (class_id)
+  LEFT JOIN bf USING (class_id))"""
+_SIZE_TPS = """
+lab AS (SELECT size, class_id, count(*) AS n_labels FROM gt_i GROUP BY ALL),
+took AS (SELECT m.image, m.p, arg_min(g.size, m.thr) AS size FROM mt m JOIN gt_i g ON g.image = m.image AND g.ord = m.g GROUP BY ALL),
+ns AS (SELECT n.* REPLACE (coalesce(took.size, n.size) AS size) FROM nms_i n LEFT JOIN took ON took.image = n.image AND took.p = n.ord),
+tps AS (SELECT n.size, n.class_id, t.thr, n.image, n.ord AS p, n.confidence, n_labels, CASE WHEN m.p IS NULL THEN 0 ELSE 1 END AS tp
+  FROM ns n JOIN lab ON lab.size = n.size AND lab.class_id = n.class_id CROSS JOIN ths t LEFT JOIN mt m ON m.image = n.image AND m.class_id = n.class_id AND m.p = n.ord AND m.thr = t.thr)"""
+_BY_SIZE = f"{_SIZE_TPS},{_POINTS},{_AP}".replace(_POINTS, _POINTS.replace("class_id", "size, class_id")).replace(_AP, _AP.replace("class_id", "size, class_id"))
 _ERR = """
 best_p AS (SELECT image, p, arg_max(g, (iou, -g)) AS g, max(iou) AS iou FROM pr GROUP BY image, p),
 best_g AS (SELECT image, g, arg_max(p, (iou, -p)) AS p, max(iou) AS iou FROM pr GROUP BY image, g),
@@ -152,6 +178,16 @@ LEFT JOIN (SELECT class_id, count(*) AS tp FROM mt GROUP BY class_id) USING (cla
     "pr_curve": _sql("SELECT class_id, image, p, n, tp_c::BIGINT AS tp_c, round(recall, 6) AS recall, round(precision, 6) AS precision, round(envelope, 6) AS envelope FROM env", NMS_SQL, _NMS, _HALF, _CURVE),
     "ap_per_class": _sql("SELECT class_id, thr, round(ap, 6) AS ap FROM ap", NMS_SQL, _NMS, _ALL, _CURVE, _AP),
     "mean_average_precision": _sql("SELECT round(avg(ap50), 6) AS map50, round(avg(ap), 6) AS map, count(*) AS classes FROM (SELECT class_id, avg(ap) AS ap, max(CASE WHEN thr = 0.5 THEN ap END) AS ap50 FROM ap GROUP BY class_id)", NMS_SQL, _NMS, _ALL, _CURVE, _AP),
+    "class_metrics": _sql("SELECT class_id, images, labels, predictions, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(ap50, 6) AS ap50, round(ap75, 6) AS ap75, round(ap, 6) AS ap FROM cm", NMS_SQL, _NMS, _ALL, _CURVE, _AP, _F1, _CLASS),
+    "macro_metrics": _sql(
+        """SELECT sum(labels)::BIGINT AS labels, sum(predictions)::BIGINT AS predictions, round(avg(precision) FILTER (labels > 0), 6) AS precision, round(avg(recall) FILTER (labels > 0), 6) AS recall, round(avg(f1) FILTER (labels > 0), 6) AS f1,
+round(avg(ap50) FILTER (labels > 0), 6) AS map50, round(avg(ap75) FILTER (labels > 0), 6) AS map75, round(avg(ap) FILTER (labels > 0), 6) AS map,
+round(0.1::DOUBLE * avg(ap50) FILTER (labels > 0) + 0.9::DOUBLE * avg(ap) FILTER (labels > 0), 6) AS fitness FROM cm""", NMS_SQL, _NMS, _ALL, _CURVE, _AP, _F1, _CLASS),
+    "size_metrics": _sql(
+        """SELECT size, coalesce(labels, 0)::BIGINT AS labels, coalesce(predictions, 0) AS predictions, round(coalesce(map50, 0), 6) AS map50, round(coalesce(map, 0), 6) AS map
+FROM (SELECT size, sum(n_labels) AS labels FROM lab GROUP BY size) FULL JOIN (SELECT size, count(*) AS predictions FROM ns GROUP BY size) USING (size)
+LEFT JOIN (SELECT size, avg(coalesce(ap, 0)) AS map, avg(CASE WHEN thr = 0.5 THEN coalesce(ap, 0) END) AS map50 FROM (SELECT size, class_id, thr FROM lab, ths) LEFT JOIN ap USING (size, class_id, thr) GROUP BY size) USING (size)""",
+        NMS_SQL, _NMS, _ALL, _BY_SIZE),
     "error_taxonomy": _sql("SELECT * REPLACE (round(iou, 6) AS iou) FROM err", NMS_SQL, _NMS, _HALF, _ERR),
     "error_summary": _sql("SELECT status, error_type, count(*) AS n FROM err GROUP BY ALL", NMS_SQL, _NMS, _HALF, _ERR),
     "confusion_matrix": _sql(
