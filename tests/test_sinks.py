@@ -25,7 +25,7 @@ def test_numbers_follow_the_order_over_many_ranges(spark):
 
 def test_lines_and_csv(spark, tmp_path):
     path = f"{tmp_path}/d/a.txt"
-    files.write_lines(spark.range(0, 1000, 1, 5).select(F.col("id").cast("string")).orderBy(F.col("id")), path)
+    files.write_lines(spark.range(0, 1000, 1, 5).orderBy("id").select(F.col("id").cast("string")), path)
     assert open(path).read().split("\n") == [str(k) for k in sorted(range(1000))]
     files.write_lines(spark.range(0).select(F.col("id").cast("string")), path, "[", ",", "]")
     assert open(path).read() == "[]"
