@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.geometry import corners
@@ -35,8 +35,15 @@ class Manager:
         issues = ds.validate(self.data.annotations, len(self.data.classes) or None)
         if self.data.orphans is not None:
             issues = issues.unionByName(self.data.orphans.select("image", F.lit(None).cast("int").alias("line_no"), F.lit("warning").alias("level"), F.lit("orphan_label").alias("code")))
-        missing = self.data.images.join(self.data.annotations.select("image").distinct(), "image", "left_anti")
-        return issues.unionByName(missing.select("image", F.lit(None).cast("int").alias("line_no"), F.lit("warning").alias("level"), F.lit("missing_label").alias("code")))
+        warned = lambda rows, code: rows.select("image", F.lit(None).cast("int").alias("line_no"), F.lit("warning").alias("level"), F.lit(code).alias("code"))
+        if "path" in self.data.images.columns:
+            issues = issues.unionByName(warned(tables.repeated_names(self.data.images), "duplicate_image_name"))
+        return issues.unionByName(warned(self.data.images.join(self._labelled(), "image", "left_anti"), "missing_label"))
+
+    def _labelled(self) -> DataFrame:
+        """Images that have a label file, be it empty."""
+        folder = os.path.join(self.root, "labels")
+        return labels.list_labels(self.spark, folder).select("image") if os.path.isdir(folder) else self.data.annotations.select("image").distinct()
 
     def stats(self) -> dict[str, DataFrame]:
         ann = self.data.annotations
@@ -59,8 +66,15 @@ class Manager:
         return images.bad_images(images.read_headers(self.spark, os.path.join(self.root, "images")), self.data.images)
 
     # --- changing: each returns the edited table with its report
-    def filter(self, **rule) -> DataFrame:
-        return ds.filter_geometry(self.data.annotations, **rule)
+    def filter(self, predicate: Column | None = None, class_rules=None, **rule) -> DataFrame:
+        """Annotations that pass a condition of one's own and the rules for geometry; rules of
+        single classes (a mapping by name or id, or a file with one) replace the general one."""
+        rows = self.data.annotations if predicate is None else self.data.annotations.where(predicate)
+        if isinstance(class_rules, str):
+            class_rules = layout.read_mapping(class_rules)
+        if class_rules:
+            class_rules = {self.data.classes.id(k): v for k, v in class_rules.items()}
+        return ds.filter_geometry(rows, class_rules=class_rules, **rule)
 
     def delete_class(self, classes, **options):
         return ds.delete_class(self.data.annotations, self.data.classes, classes, **options)
@@ -113,7 +127,7 @@ class Manager:
         return plan.count()
 
     def fill_missing_labels(self) -> int:
-        return files.fill_missing_labels(self.data.images, self.data.annotations, os.path.join(self.root, "labels"))
+        return files.fill_missing_labels(self.data.images, self._labelled(), os.path.join(self.root, "labels"))
 
     def set_attr(self, name: str, value: float, classes=None, where_value: float | None = None):
         ids = None if classes is None else self.data.classes.ids(classes)
@@ -179,6 +193,7 @@ class Manager:
         return reports.metrics_text(rows, ev.macro_metrics(rows), self.data.classes)
 
     def eval_merged_metrics(self, pred: str, merges, compact: bool = True, **options) -> tuple[DataFrame, ds.Classes]:
+        merges = layout.read_mapping(merges) if isinstance(merges, str) else merges
         gt, other, names = tables.merged_sides(*self._sides(pred), self.data.classes, merges, compact)
         return ev.class_metrics(gt, other, **options), names
 

@@ -74,11 +74,12 @@ def backup_splits(root: str, folder: str, splits: Sequence[str] = ("train", "val
     return found
 
 
-def write_lines(lines: DataFrame, path: str, head: str = "", between: str = "\n", tail: str = "") -> None:
+def write_lines(lines: DataFrame, path: str, head: str = "", between: str = "\n", tail: str = "", last: str = "") -> None:
     """One text file of the rows of ``lines`` (one text column) in their order: Spark writes
     the parts, which are then put together as streams of bytes, so no row is held by the driver.
 
-    ``between`` stands between rows; the file ends in ``tail``."""
+    ``between`` stands between rows, ``last`` after the last one if there is any; the file ends
+    in ``tail``."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     parts = f"{path}.{uuid.uuid4().hex}.parts"
     try:
@@ -97,7 +98,7 @@ def write_lines(lines: DataFrame, path: str, head: str = "", between: str = "\n"
                 with open(os.path.join(parts, name), "rb") as source:
                     while left > 0:
                         left -= out.write(source.read(min(left, 1 << 20)))
-            out.write(tail.encode())
+            out.write((tail if first else last + tail).encode())
         os.replace(f"{parts}.one", path)
     finally:
         shutil.rmtree(parts, ignore_errors=True)

@@ -28,7 +28,7 @@ def _cell(c: str) -> Column:
 def write_csv(rows: DataFrame, path: str, bom: bool = False) -> None:
     """One CSV file with a header; nulls are blank."""
     head = ("﻿" if bom else "") + ",".join(rows.columns) + "\r\n"
-    write_lines(rows.select(F.concat_ws(",", *[_cell(f"`{c}`") for c in rows.columns])), path, head, "\r\n", "\r\n")
+    write_lines(rows.select(F.concat_ws(",", *[_cell(f"`{c}`") for c in rows.columns])), path, head, "\r\n", last="\r\n")
 
 
 def with_columns(rows: DataFrame, columns: Sequence[str], **values: Column) -> DataFrame:

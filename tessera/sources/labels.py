@@ -85,10 +85,26 @@ def read_labels(spark: SparkSession, path: str, task: str = "auto", attributes:
     return parse_lines(files.join(last, ["image", "label_path"], "left_semi"), "value", task, attributes, strict)
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path of every file under a folder, empty ones too, which Spark's readers leave out.
+    The names go from the file index to a table inside the JVM."""
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    jvm = spark._jvm
+    found = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(index._jdf.inputFiles())
+    names = spark._jsparkSession.createDataset(found, jvm.org.apache.spark.sql.Encoders.STRING()).toDF()
+    plain = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))
+    return DataFrame(names, spark).select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+
+
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """image, path, file_name, bytes of the images under a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
-    return files.where(is_image(F.col("path"))).select(stem(F.col("path")).alias("image"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "bytes")
+    """image, path, file_name of the images under a folder; contents are not read."""
+    files = list_files(spark, path).where(is_image(F.col("path")))
+    return files.select(stem(F.col("path")).alias("image"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
+def list_labels(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
+    """image, label_path of the label files under a folder; of equal stems the last path counts."""
+    return list_files(spark, path, f"*{suffix}").groupBy(stem(F.col("path")).alias("image")).agg(F.max("path").alias("label_path"))
 
 
 def number(value: Column, precision: int = 6) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import Classes
-from .labels import ANNOTATION, label_path_of, list_images, read_labels, stem
+from .labels import ANNOTATION, label_path_of, list_images, list_labels, read_labels, stem
 
 SPLITS = ("train", "val", "test")  # fixed values
 
@@ -61,6 +61,17 @@ def attribute_schema(path: str) -> dict:
     return doc.get("attributes", doc)
 
 
+def read_mapping(path_or_text: str) -> dict:
+    """A mapping (class rules, a merge map) in a JSON or YAML file, or given as such text."""
+    if os.path.exists(path_or_text):
+        with open(path_or_text, encoding="utf-8") as f:
+            path_or_text = f.read()
+    doc = yaml.safe_load(path_or_text)  # JSON is YAML
+    if not isinstance(doc, dict):
+        raise ValueError("a mapping is needed")
+    return doc
+
+
 def write_names(root: str, names: Sequence[str], train="images", val="images", test: str | None = None) -> None:
     os.makedirs(root, exist_ok=True)
     with open(os.path.join(root, "class.txt"), "w", encoding="utf-8") as f:
@@ -87,8 +98,10 @@ class Dataset:
     orphans: DataFrame | None = None
 
 
-def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir: str = "labels", task: str = "auto", layout: str = "auto", split_file: str | None = None, attribute_file: str | None = None) -> Dataset:
-    """Images joined to labels by stem; a bare folder of label files has images without a file."""
+def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir: str = "labels", task: str = "auto", layout: str = "auto", split_file: str | None = None, attribute_file: str | None = None, only_val: bool = False) -> Dataset:
+    """Images joined to labels by stem; a bare folder of label files has images without a file.
+
+    ``only_val`` keeps the validation part: what val.txt lists, or what lies in a folder val."""
     layout = detect(root) if layout == "auto" else layout
     attributes = attribute_schema(attribute_file) if attribute_file else {}
     pics, texts = os.path.join(root, images_dir), os.path.join(root, labels_dir)
@@ -98,6 +111,11 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
     images = list_images(spark, pics)
     images = images.withColumn("label_path", label_path_of(F.col("path"))).withColumn("split", F.coalesce(*[F.when(F.col("path").contains(f"/{s}/"), s) for s in SPLITS]))
     wanted = [split_file] if split_file else [p for s in SPLITS if layout == "image_list" and os.path.exists(p := os.path.join(root, f"{s}.txt"))]
+    if only_val and not split_file:
+        wanted = [p] if os.path.exists(p := os.path.join(root, "val.txt")) else []
+        if not wanted and not os.path.isdir(os.path.join(pics, "val")):
+            raise FileNotFoundError(f"no val.txt and no {images_dir}/val under {root}")
+        images = images if wanted else images.where("split = 'val'")
     if wanted:
         names = read_image_list(spark, *wanted).select(F.explode(F.array("name", stem(F.col("name")), F.element_at(F.split("name", "/"), -1))).alias("key")).distinct()
         keyed = images.select("image", F.explode(F.array("image", "file_name")).alias("key")).join(names, "key", "left_semi").select("image").distinct()
@@ -106,7 +124,7 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
         return Dataset(root, images, spark.createDataFrame([], ANNOTATION).withColumn("image", F.lit(None).cast("string")), find_class_names(root), attributes)
     ann = read_labels(spark, texts, task, bool(attributes))
     known = images.select("image").distinct()
-    return Dataset(root, images, ann.join(known, "image", "left_semi"), find_class_names(root), attributes, ann.select("image").distinct().join(known, "image", "left_anti"))
+    return Dataset(root, images, ann.join(known, "image", "left_semi"), find_class_names(root), attributes, list_labels(spark, texts).join(known, "image", "left_anti"))
 
 
 def write_json(rows: DataFrame, path: str, limit: int = 10_000) -> None:

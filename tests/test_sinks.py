@@ -87,7 +87,8 @@ def test_tasks_on_a_folder(spark, root, tmp_path):  # noqa: F811
     assert [r.outcome for r in report.collect()] == ["updated"] and out.where("class_id = 1").count() == 3
     assert run_task(spark, "ann.correct_from_crops", str(root), str(tmp_path / "crops"), "none")[0].count() == 2
     assert run_task(spark, "convert.resize", str(root), scale=0.5).first().to_width == 50
-    assert run_task(spark, "vis.draw", str(root)).count() == 3 and run_task(spark, "vis.crop", str(root), min_size=15).count() == 3
+    assert run_task(spark, "vis.draw", str(root)).count() == 3
+    assert run_task(spark, "vis.crop", str(root), min_size=15).count() == 2  # the box of b is 8 pixels high
     assert [r.line for r in run_task(spark, "vis.manual_box", str(root), "b").collect()] == ["1 0.1 0.1 0.2 0.1"]
     m.write_splits(train=1.0, val=0.0)
     assert (root / "train.txt").read_text() == "a.png\nb.png" and (root / "val.txt").read_text() == ""
