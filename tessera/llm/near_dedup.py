@@ -18,13 +18,18 @@ centre, and the texts of a bucket of at most ``SMALL`` to one another.  Texts of
 get a second, sharper signature (``SHARP_BANDS`` bands of ``SHARP_ROWS`` coordinates), under
 which only close texts still meet: there, again, each is compared to a centre, drawn by hash
 for each bucket, and buckets of at most ``SHARP_SMALL`` compare the texts of different classes.
-A pair at the limit of 0.8 shares a first band with a probability of 0.9998 and, in large
-buckets, about nine sharp ones.
+What larger buckets leave in different classes goes through an exact join: with the units of
+these texts ordered from rare to common, two texts of the similarity asked for share a unit at
+the beginning of both, early enough that the rest can still reach it (``close_pairs``).  So a
+pair at the limit of 0.8 is missed only where no first band is shared, which has a probability
+of 0.0002.
 
 Scale: hot groups are pre-aggregated (exact copies) or meet a single centre (near copies);
 all joins are shuffle joins whose hot partitions adaptive execution splits; shingles travel for
-texts in shared buckets only.  Every step is written to the shared folder.  Tables grow with the
-number of texts times bands, never with the square of a group.
+texts in shared buckets only.  Every step is written to the shared folder.  Tables of buckets grow
+with the number of texts times bands, never with the square of a group.  The exact join holds the
+units of the texts that it is given; its pairs are those that the bounds cannot rule out, which
+grow with the square of a group only where its texts have rare units in common.
 
 Defined results: null or wordless text is a class of its own; fewer than five words are one
 shingle; the class id is the smallest id of the class (nulls last), and of repeated rows with
@@ -39,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -51,6 +56,7 @@ SMALL = 32
 SHARP_BANDS, SHARP_ROWS, SHARP_SMALL = 128, 12, 8
 U = np.uint64
 ONE = U(1)
+SLACK = 1e-6  # keeps rounding from tightening a bound
 
 
 def units_of(shingles: np.ndarray) -> np.ndarray:
@@ -183,6 +189,35 @@ def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame
     return stored(both.select("a", "b", "ua", "ub").mapInArrow(lambda x: similar(x, similarity), "a long, b long"), "links")
 
 
+def single_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, classes, units = (batch.column(batch.schema.names.index(c)) for c in ("row", "class", "units"))
+        for i in range(len(batch)):
+            own = np.frombuffer(units[i].as_buffer(), np.int32)
+            n = len(own)
+            columns = [np.full(n, rows[i].as_py()), np.full(n, classes[i].as_py()), np.full(n, n), own]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "class", "n", "unit"])
+
+
+def close_pairs(units: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of ``rows`` (row, class) of different classes that can reach ``similarity``.
+
+    Of texts with x <= y units both must have t/(1+t) (x + y) in common, hence 2t/(1+t) x and
+    t y.  The first common unit, in one order for all, then stands early enough in both."""
+    each = units.join(rows, "row").select("row", "class", "units").mapInArrow(single_units, "row long, class long, n long, unit int")
+    each = stored(each, "single")
+    often = stored(each.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    ordered = each.join(often, "unit", "left").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("often", F.lit(1)), "unit")))
+    least = lambda share: F.ceil(F.col("n") * share - SLACK)
+    early = stored(ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - least(similarity) + 1)).select("unit", "row", "class", "n", "place"), "early")
+    share = similarity / (1 + similarity)
+    a = early.where(F.col("place") <= F.col("n") - least(2 * share) + 1).toDF("unit", "a", "class", "x", "place")
+    b = early.toDF("unit", "b", "other", "y", "at")
+    met = a.join(b, "unit").where("class <> other AND (x < y OR (x = y AND a < b))").where(F.col("x") >= similarity * F.col("y") - SLACK)
+    met = met.where(1 + F.least(F.col("x") - F.col("place"), F.col("y") - F.col("at")) >= share * (F.col("x") + F.col("y")) - SLACK)
+    return stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+
+
 def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between texts of different words, and their components."""
     bands = sketch.select("row", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
@@ -193,7 +228,8 @@ def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: i
     units = stored(sketch.select("row", "units").join(entries.select("row").distinct().hint("merge"), "row", "left_semi"), "units")
     links = verified(bucket_pairs(entries.drop("n"), F.col("row"), small, False), units, similarity)
     labels = components(links)
-    crowded = stored(entries.where(F.col("n") > small).select("row").distinct(), "crowded")
+    large = entries.where(F.col("n") > small).select("key", "row")
+    crowded = stored(large.select("row").distinct(), "crowded")
     if not crowded.limit(1).count():
         return links, labels
     # A number of partitions of its own: a few bytes a row, but milliseconds of work.
@@ -201,9 +237,18 @@ def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: i
     sharp = units.join(crowded, "row", "left_semi").repartition(parts, "row").mapInArrow(lambda x: sharpened(x, SHARP_BANDS, SHARP_ROWS), "row long, keys array<long>")
     sharp = sharp.join(labels, "row", "left").select(F.explode("keys").alias("key"), "row", F.coalesce("label", "row").alias("class"))
     more = verified(bucket_pairs(stored(sharp, "sharp"), F.xxhash64("row", "key"), SHARP_SMALL, True), units, similarity)
-    if not more.limit(1).count():
+    if more.limit(1).count():
+        links = stored(links.union(more).distinct(), "links")
+        labels = components(links)
+    classed = stored(large.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("class")), "classed")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rest = stored(classed.join(mixed, "key", "left_semi").select("row", "class").distinct(), "rest")
+    if not rest.limit(1).count():
+        return links, labels
+    last = verified(close_pairs(units, rest, similarity), units, similarity)
+    if not last.limit(1).count():
         return links, labels
-    links = stored(links.union(more).distinct(), "links")
+    links = stored(links.union(last).distinct(), "links")
     return links, components(links)
 
 

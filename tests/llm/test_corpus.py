@@ -114,6 +114,34 @@ def test_near_dedup_against_brute_force(spark, small):
     assert Counter(r.doc_id for r in twice.collect()) == Counter(set(want.values()))
 
 
+def test_near_dedup_in_a_family_just_below_the_limit(spark, monkeypatch):
+    """289 texts of one form with ten words of each text's own: any two are at 0.789 or 0.799, and
+    those that have one of these words in common at 0.809."""
+    monkeypatch.setattr(near_dedup, "SHARP_SMALL", 2)
+    p, filled = 17, 10
+    form = [f"w{k}" for k in range(854)]
+    places = {(u, v): [i * p + (u * i + v) % p for i in range(filled)] for u in range(p) for v in range(p)}
+    texts, pairs, free = {}, [], set(places)
+    for at in sorted(places):
+        own = texts[at] = list(form)
+        for s in places[at]:
+            own[5 * s + 4] = f"x{len(texts)}y{s}"
+    for at in sorted(places):
+        mate = next((o for o in sorted(free - {at}) if set(places[o]) & set(places[at])), None)
+        if len(pairs) < 40 and at in free and mate:
+            s = (set(places[at]) & set(places[mate])).pop()
+            texts[mate][5 * s + 4] = texts[at][5 * s + 4]
+            pairs.append((at, mate))
+            free -= {at, mate}
+    number = {at: n for n, at in enumerate(sorted(places))}
+    rows = [(number[at], " ".join(t), "en", "s") for at, t in texts.items()]
+    want = {n: n for n in number.values()} | {max(number[a], number[b]): min(number[a], number[b]) for a, b in pairs}
+    bags = [{tuple(t[j : j + 5]) for j in range(850)} for t in (texts[at] for at in sorted(places))]
+    near = {(b, a) for a in range(len(bags)) for b in range(a) if len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])}
+    assert len(pairs) == 40 and near == {tuple(sorted((number[a], number[b]))) for a, b in pairs}
+    assert {r.id: r.class_id for r in near_dedup.near_classes(docs_of(spark, rows)).collect()} == want
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_classes(docs_of(spark, [])).count() == 0
 
