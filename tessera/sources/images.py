@@ -1,8 +1,12 @@
-"""Image headers: format, size, bits and channels from the first bytes, pixels untouched."""
+"""Image headers: format, size, bits and channels, and whether the file is whole; pixels untouched.
+
+``intact`` follows each format as far as it can be checked without decoding: every chunk of a
+PNG to its end, and for WebP the length that the file states."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +14,7 @@ from pyspark.sql import functions as F
 
 from .labels import is_image, stem
 
-HEAD_BYTES = 1 << 16
-KIND = "format string, width int, height int, bit_depth int, channels int"
+KIND = "format string, width int, height int, bit_depth int, channels int, intact boolean"
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}  # fixed values: samples of each PNG colour type
 
 
@@ -29,31 +32,95 @@ def header(data: bytes) -> tuple:
         at = 2
         while at + 9 < len(data) and data[at] == 0xFF:
             mark = data[at + 1]
+            if mark == 0xFF or mark == 0x01 or 0xD0 <= mark <= 0xD8:  # fill bytes and marks without a length
+                at += 1 if mark == 0xFF else 2
+                continue
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
                 height, width = struct.unpack(">HH", data[at + 5 : at + 9])
                 return "JPEG", width, height, data[at + 4], data[at + 9]
             at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return tiff(data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        return webp(data)
+    return None, None, None, None, None
+
+
+def tiff(data: bytes) -> tuple:
+    """From the tags of the first picture."""
+    order, tags = "<" if data[:2] == b"II" else ">", {}
+    try:
+        at = struct.unpack_from(order + "I", data, 4)[0]
+        for k in range(struct.unpack_from(order + "H", data, at)[0]):
+            tag, kind, count, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
+            if kind in (3, 4):  # short and long
+                code, place = (order + "H", 2) if kind == 3 else (order + "I", 4)
+                here = at + 10 + 12 * k
+                tags[tag] = struct.unpack_from(code, data, here if count * place <= 4 else struct.unpack_from(order + "I", data, here)[0])[0]
+    except struct.error:
+        return None, None, None, None, None
+    if not tags.get(256) or not tags.get(257):
+        return None, None, None, None, None
+    return "TIFF", tags[256], tags[257], tags.get(258, 1), tags.get(277, 1)
+
+
+def webp(data: bytes) -> tuple:
+    """From the lossy, lossless or extended first chunk."""
+    kind = data[12:16]
+    if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+        width, height = struct.unpack("<HH", data[26:30])
+        return "WEBP", width & 0x3FFF, height & 0x3FFF, 8, 3
+    if kind == b"VP8L" and data[20] == 0x2F:
+        bits = struct.unpack("<I", data[21:25])[0]
+        return "WEBP", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 8, 4 if bits >> 28 & 1 else 3
+    if kind == b"VP8X":
+        width, height = (int.from_bytes(data[a : a + 3], "little") + 1 for a in (24, 27))
+        return "WEBP", width, height, 8, 4 if data[20] & 0x10 else 3
     return None, None, None, None, None
 
 
+def whole_png(data: bytes) -> bool:
+    """Whether all chunks are there up to the last one, with their right checksums."""
+    at, view = 8, memoryview(data)
+    while at + 12 <= len(data):
+        size = struct.unpack_from(">I", data, at)[0]
+        if at + 12 + size > len(data) or zlib.crc32(view[at + 4 : at + 8 + size]) != struct.unpack_from(">I", data, at + 8 + size)[0]:
+            return False
+        if data[at + 4 : at + 8] == b"IEND":
+            return True
+        at += 12 + size
+    return False
+
+
+def examined(data: bytes) -> tuple:
+    """The header and whether the file is intact."""
+    head = header(data)
+    if head[0] == "PNG":
+        return *head, whole_png(data)
+    if head[0] == "WEBP":
+        return *head, struct.unpack("<I", data[4:8])[0] + 8 <= len(data)
+    return *head, head[1] is not None
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """image, path, bytes and the header of each image under a folder."""
 
     @F.pandas_udf(KIND)
-    def parsed(head: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([header(bytes(h)) for h in head], columns=["format", "width", "height", "bit_depth", "channels"])
+    def parsed(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([examined(bytes(c)) for c in content], columns=["format", "width", "height", "bit_depth", "channels", "intact"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(is_image(F.col("path")))
-    rows = files.select("path", F.col("length").alias("bytes"), parsed(F.substring("content", 1, HEAD_BYTES)).alias("h"))
+    rows = files.select("path", F.col("length").alias("bytes"), parsed("content").alias("h"))
     return rows.select(stem(F.col("path")).alias("image"), "path", "bytes", "h.*")
 
 
 def bad_images(headers: DataFrame, expected: DataFrame) -> DataFrame:
-    """image, issue: expected images that are missing, and those whose header can't be read."""
+    """image, issue: expected images that are missing, and those whose header can't be read
+    or that are damaged after it."""
     # A listed file without a header is empty: Spark's readers leave such files out.
     issue = F.when(F.col("path").isNotNull(), "bad_image").otherwise("missing_image") if "path" in expected.columns else F.lit("missing_image")
     missing = expected.join(headers.select("image"), "image", "left_anti").select("image", issue.alias("issue"))
-    return missing.union(headers.where("width IS NULL OR width <= 0").select("image", F.lit("bad_image").alias("issue")))
+    return missing.union(headers.where("width IS NULL OR width <= 0 OR NOT intact").select("image", F.lit("bad_image").alias("issue")))
 
 
 def to_uint8(pixels: DataFrame, low: float | None = None, high: float | None = None, preserve_zero: bool = True) -> DataFrame:

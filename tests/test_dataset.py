@@ -173,6 +173,30 @@ def test_headers_and_bad_images(spark, tmp_path):
     assert labels.list_images(spark, str(tmp_path)).count() == 2
 
 
+def test_headers_of_whole_files(spark, tmp_path):
+    segment = b"\xff\xe1\xff\xff" + b"\0" * 65533
+    (tmp_path / "late.jpg").write_bytes(b"\xff\xd8" + segment * 3 + b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 7, 9) + b"\x03" + b"\0" * 9)
+    tags = ((256, 4, 1, 30), (257, 3, 1, 40), (258, 3, 3, 0), (277, 3, 1, 3))
+    for name, order, magic in (("little.tif", "<", b"II*\0"), ("big.tiff", ">", b"MM\0*")):
+        entries = b"".join(struct.pack(order + ("HHII" if kind == 4 or n > 1 else "HHIHxx"), tag, kind, n, 8 if n > 1 else value) for tag, kind, n, value in tags)
+        (tmp_path / name).write_bytes(magic + struct.pack(order + "I", 14) + struct.pack(order + "HHH", 8, 8, 8) + struct.pack(order + "H", 4) + entries + b"\0" * 4)
+    riff = lambda chunk: b"RIFF" + struct.pack("<I", len(chunk) + 4) + b"WEBP" + chunk
+    (tmp_path / "lossy.webp").write_bytes(riff(b"VP8 " + struct.pack("<I", 10) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 50, 60)))
+    (tmp_path / "lossless.webp").write_bytes(riff(b"VP8L" + struct.pack("<I", 10) + b"\x2f" + struct.pack("<I", 69 | 79 << 14) + b"\0" * 5))
+    extended = riff(b"VP8X" + struct.pack("<I", 10) + b"\0" * 4 + (89).to_bytes(3, "little") + (99).to_bytes(3, "little"))
+    (tmp_path / "extended.webp").write_bytes(extended)
+    (tmp_path / "short.webp").write_bytes(extended.replace(struct.pack("<I", len(extended) - 8), struct.pack("<I", 999), 1))
+    for name in ("good", "torn", "bent"):
+        png(tmp_path / f"{name}.png", 10, 20)
+    whole = (tmp_path / "good.png").read_bytes()
+    (tmp_path / "torn.png").write_bytes(whole[:-12])
+    (tmp_path / "bent.png").write_bytes(whole[:45] + bytes([whole[45] ^ 1]) + whole[46:])
+    heads = images.read_headers(spark, str(tmp_path))
+    want = {"late": (9, 7), "little": (30, 40), "big": (30, 40), "lossy": (50, 60), "lossless": (70, 80), "extended": (90, 100), "short": (90, 100), "good": (10, 20), "torn": (10, 20), "bent": (10, 20)}
+    assert {r.image: (r.width, r.height) for r in heads.collect()} == want
+    assert {r.image for r in images.bad_images(heads, heads.select("image")).collect()} == {"torn", "bent", "short"}
+
+
 def test_uint8(spark):
     pixels = spark.createDataFrame([("a", [0.0, 5000.0, 10000.0, 20000.0])], "image string, values array<double>")
     values = images.to_uint8(pixels, 0, 20000).first()["values"]
