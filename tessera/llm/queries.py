@@ -38,9 +38,9 @@ def token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = token_counts.Rollup(spark, shared_dir(spark, "token-rollup"))
     first, strict = token_counts.white_space_inserts(docs, "mixed"), token_counts.word_inserts(docs.where("lang = 'en'"), "mixed")
     rollup.apply("load", first)
-    sums = lambda df: df.groupBy("source", "lang", "tokenizer").agg(F.sum("tokens").alias("tokens"))
-    new = sums(strict).join(sums(first.where("lang = 'en'")).withColumnRenamed("tokens", "old_tokens"), ["source", "lang", "tokenizer"])
-    rollup.apply("revise", new.withColumn("op", F.lit("revise")))
+    both = strict.unionByName(first.where("lang = 'en'").withColumns({"old_tokens": F.col("tokens"), "tokens": F.lit(None).cast("long")}))
+    changed = both.groupBy(*token_counts.KEYS).agg(F.sum("tokens").alias("tokens"), F.sum("old_tokens").alias("old_tokens"))  # nulls are groups
+    rollup.apply("revise", changed.withColumn("op", F.lit("revise")))
     gone = token_counts.white_space_inserts(docs.where("source = 'src1' AND lang <> 'en'"), "mixed").withColumn("op", F.lit("delete"))
     rollup.apply("delete", gone)
     rollup.apply("load", first)

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from tessera.llm import license_scan, pii, secret_scan, sql
+from tessera.llm import license_scan, pii, queries, secret_scan, sql
 
 PIECES = [
     "under the MIT license", "Apache License, Version 2.0", "cc-by-nc", "this work is licensed under the GNU general public license version 3", "free of charge to any person",
@@ -29,3 +29,14 @@ def test_scan_equals_its_sql(spark, name, tmp_path):
     got = REPORTS[name](docs).select(want.columns)
     tidy = lambda rows: sorted(tuple("" if v is None else f"{v:.9f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert tidy(map(tuple, got.collect())) == tidy(want.fetchall())
+
+
+def test_token_rollup_equals_its_sql_with_nulls(spark, tmp_path):
+    langs, sources = ["en", "de", None], ["src0", "src1", None]
+    rows = [(n, ["don't stop-here", "a b", None][n % 3] if n % 4 else "one-two three", langs[n // 3 % 3], sources[n // 9 % 3]) for n in range(54)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(sql.SQL["token_rollup"])
+    got = queries.token_rollup(spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
