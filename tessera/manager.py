@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.geometry import corners
+from .functions.geometry import corners, letterbox
 from .operators import dataset as ds
 from .operators import corrections, tables
 from .operators import evaluation as ev
@@ -166,11 +166,23 @@ class Manager:
         rows = self._sized().join(tables.find_image(self.data.images, image).select("image"), "image", "left_semi")
         return ds.filter_pixels(rows, min_pixels).select("image", "ord", labels.to_line().alias("line"))
 
-    def resize(self, width: int | None = None, height: int | None = None, scale: float | None = None) -> DataFrame:
-        """Target sizes; normalised labels stay as they are."""
+    def resize(self, width: int | None = None, height: int | None = None, scale: float | None = None, keep_ratio: bool = True, out: str | None = None) -> DataFrame:
+        """Target sizes and, with ``out``, the labels of the resized images; their pixels are
+        left to others.  Both sides and ``keep_ratio`` mean a letterbox, whose labels move with
+        the picture; otherwise normalised labels stay as they are."""
         w, h = tables.resize_target(F.col("width"), F.col("height"), width, height, scale)
+        if out:
+            self.write(out, self._letterboxed(width, height) if keep_ratio and width and height and scale is None else None)
         return self._sized(True).select("image", "width", "height", w.alias("to_width"), h.alias("to_height"))
 
+    def _letterboxed(self, width: int, height: int) -> DataFrame:
+        known = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width")).otherwise(F.raise_error(F.concat(F.lit("no size is known of image "), "image")).cast("int"))
+        rows = self._sized().withColumn("width", known)
+        rows = rows.withColumns(letterbox(F.col("width"), F.col("height"), width, height))
+        moved = {"cx": F.col("cx") * F.col("sx") + F.col("ox"), "cy": F.col("cy") * F.col("sy") + F.col("oy"), "w": F.col("w") * F.col("sx"), "h": F.col("h") * F.col("sy")}
+        points = F.transform("polygon", lambda q: F.struct((q["x"] * F.col("sx") + F.col("ox")).alias("x"), (q["y"] * F.col("sy") + F.col("oy")).alias("y")))
+        return rows.withColumns(moved | {"polygon": points}).select(*self.data.annotations.columns)
+
     # --- evaluating: predictions are another dataset or a folder of label files
     def _sides(self, pred: str) -> tuple[DataFrame, DataFrame]:
         other = layout.load(self.spark, pred).annotations

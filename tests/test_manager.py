@@ -71,3 +71,17 @@ def test_error_crop_corrections(spark):
     rows = {r.ord: r for r in out.collect()}
     assert rows[0].class_id == 3 and rows[0].cx == 0.52 and rows[1].class_id == 1 and len(rows) == 3 and rows[2].class_id == 3
     assert {r.outcome for r in report.collect()} == {"update", "append"}
+
+
+def test_resize_moves_labels_into_the_letterbox(spark, tmp_path):
+    for d in ("images", "labels"):
+        (tmp_path / d).mkdir()
+    png(tmp_path / "images/a.png", 100, 50)
+    (tmp_path / "labels/a.txt").write_text("0 .5 .5 .2 .4\n1 .1 0 .9 0 .9 1\n")
+    (tmp_path / "class.txt").write_text("person\ncar\n")
+    m = Manager(spark, str(tmp_path))
+    assert tuple(m.resize(200, 200, out=f"{tmp_path}/fit").first())[1:] == (100, 50, 200, 200)
+    m.resize(200, 200, keep_ratio=False, out=f"{tmp_path}/stretch")
+    lines = {d: [[float(x) for x in line.split()] for line in (tmp_path / d / "labels/a.txt").read_text().splitlines()] for d in ("fit", "stretch")}
+    assert lines["fit"] == [[0, 0.5, 0.5, 0.2, 0.2], [1, 0.1, 0.25, 0.9, 0.25, 0.9, 0.75]]
+    assert lines["stretch"] == [[0, 0.5, 0.5, 0.2, 0.4], [1, 0.1, 0, 0.9, 0, 0.9, 1]]
