@@ -13,23 +13,26 @@ Rows of four coordinates make a band; documents that share a band meet in a buck
 the same words are one class from the start and meet once.  Links are verified exactly on the
 shingles (similarity of 0.8 or more), and classes are the connected components of the links.
 
-Within a bucket no unbounded all-pairs table arises.  Every text is compared to its bucket's
-centre, and the texts of a bucket of at most ``SMALL`` to one another.  Texts of larger buckets
-get a second, sharper signature (``SHARP_BANDS`` bands of ``SHARP_ROWS`` coordinates), under
-which only close texts still meet: there, again, each is compared to a centre, drawn by hash
-for each bucket, and buckets of at most ``SHARP_SMALL`` compare the texts of different classes.
-What larger buckets leave in different classes goes through an exact join: with the units of
-these texts ordered from rare to common, two texts of the similarity asked for share a unit at
-the beginning of both, early enough that the rest can still reach it (``close_pairs``).  So a
-pair at the limit of 0.8 is missed only where no first band is shared, which has a probability
-of 0.0002.
+Within a bucket no all-pairs table arises.  A text's weight is the number of texts it meets in all
+its buckets: the nearer a text is to the middle of its group, the more of its bands are common ones.
+In the first round each text is compared to the heaviest text of each of its buckets, which is the
+same one for most of them.  Verified links merge classes; from then on a bucket that holds one
+class is done, and in the others one text of each class is compared to one of another class (the
+heaviest, then texts drawn by hash).  What is left is compared whole: texts of different classes in
+buckets of at most ``SMALL`` texts with one another, those of larger buckets by an exact join.  With
+the units of these texts ordered from rare to common, two texts of the similarity asked for share a
+unit at the beginning of both, early enough that the rest can still reach it (``close_pairs``); at
+least one of the two is a guest, a text outside the largest class of a bucket, so that the texts of
+a large class never meet one another.  A pair at the limit of 0.8 is therefore missed only where no
+band is shared, which has a probability of 0.0002.
 
 Scale: hot groups are pre-aggregated (exact copies) or meet a single centre (near copies);
 all joins are shuffle joins whose hot partitions adaptive execution splits; shingles travel for
-texts in shared buckets only.  Every step is written to the shared folder.  Tables of buckets grow
-with the number of texts times bands, never with the square of a group.  The exact join holds the
-units of the texts that it is given; its pairs are those that the bounds cannot rule out, which
-grow with the square of a group only where its texts have rare units in common.
+texts in shared buckets only.  Every step is written to the shared folder and removed at the end.
+Tables of buckets grow with the number of texts times bands, tables of pairs with the number of
+classes that are left in them.  The exact join's pairs are those that the bounds cannot rule out,
+which grow with the square of a group only where its texts have rare units in common.  Verification
+is on 32 bits of each unit's hash: false matches raise a similarity by n / 2**32 for n units.
 
 Defined results: null or wordless text is a class of its own; fewer than five words are one
 shingle; the class id is the smallest id of the class (nulls last), and of repeated rows with
@@ -41,6 +44,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +52,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import keep_rows, stored, text_or_empty
+from .common import keep_rows, release, stored, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, BAND_ROWS = 64, 4
-SMALL = 32
-SHARP_BANDS, SHARP_ROWS, SHARP_SMALL = 128, 12, 8
+SMALL = 8
 U = np.uint64
 ONE = U(1)
 SLACK = 1e-6  # keeps rounding from tightening a bound
@@ -157,31 +160,31 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         spread = stored(labels.join(seen, "row").select("row", "label", F.least("label", "seen").alias("next")), "labels")
         jump = spread.select(F.col("row").alias("next"), F.col("next").alias("far"))
         after = stored(spread.join(jump, "next").select("row", F.least("next", "far").alias("label"), "label").toDF("row", "label", "old"), "labels")
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("row", "label")
-        if not changed:
-            return labels
+        settled = after.where("label <> old").isEmpty()
+        release(labels, spread)
+        labels = after
+        if settled:
+            release(near)
+            return labels.select("row", "label")
     raise RuntimeError("components did not settle")
 
 
-def sharpened(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        units = [np.frombuffer(x.as_buffer(), np.uint32).astype(U) for x in batch.column("units")]
-        keys = [band_keys(signature(tk.mix(u), bands * rows), rows) for u in units]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], ["row", "keys"])
+def star_pairs(entries: DataFrame, rep, centre) -> DataFrame:
+    """Pairs (a, b) of ``entries`` (key, row, class, weight): in each bucket one text of each
+    class, the largest by ``rep``, and the bucket's largest by ``centre``, if of another class."""
+    reps = entries.groupBy("key", "class").agg(F.max(F.struct(rep.alias("order"), "row"))["row"].alias("row"), F.max(F.struct(centre.alias("order"), "row")).alias("drawn"))
+    reps = stored(reps, "representatives")  # read back, so that the join's hot partitions can be split
+    about = reps.groupBy("key").agg(F.max(F.struct("drawn.order", "drawn.row", "class")).alias("centre")).select("key", F.col("centre.row").alias("other"), F.col("centre.class").alias("own"))
+    pairs = reps.select("key", "row", "class").join(stored(about, "centres"), "key").where("class <> own")
+    pairs = stored(pairs.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b")), "pairs")
+    release(reps)
+    return pairs
 
 
-def bucket_pairs(entries: DataFrame, centre, small: int, classes: bool) -> DataFrame:
-    """Pairs to compare of ``entries`` (key, row, class): each row and its bucket's centre,
-    and all pairs of a bucket of at most ``small``; with ``classes`` only of different ones."""
-    about = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(centre.alias("order"), "row", "class")).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high"))
-    about = about.where("low < high" if classes else "n > 1").select("key", "n", F.col("centre.row").alias("centre"), F.col("centre.class").alias("own"))
-    shared = stored(entries.join(stored(about, "buckets"), "key"), "shared")
-    pairs = shared.where("class <> own" if classes else "row <> centre").select(F.greatest("row", "centre").alias("a"), F.least("row", "centre").alias("b"))
-    few = shared.where((F.col("n") <= small) & (F.col("n") > 2))
-    other = few.select("key", F.col("row").alias("b"), F.col("class").alias("other"))
-    inner = few.join(other, "key").where("row > b" + " AND class <> other" * classes).select(F.col("row").alias("a"), "b")
-    return stored(pairs.union(inner).distinct(), "pairs")
+def all_pairs(entries: DataFrame) -> DataFrame:
+    """All pairs of different classes in a bucket; for buckets of bounded size."""
+    other = entries.select("key", F.col("row").alias("b"), F.col("class").alias("other"))
+    return entries.join(other, "key").where("row > b AND class <> other").select(F.col("row").alias("a"), "b")
 
 
 def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
@@ -191,65 +194,115 @@ def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame
 
 def single_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, classes, units = (batch.column(batch.schema.names.index(c)) for c in ("row", "class", "units"))
+        rows, units = batch.column("row"), batch.column("units")
         for i in range(len(batch)):
             own = np.frombuffer(units[i].as_buffer(), np.int32)
             n = len(own)
-            columns = [np.full(n, rows[i].as_py()), np.full(n, classes[i].as_py()), np.full(n, n), own]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "class", "n", "unit"])
+            columns = [np.full(n, rows[i].as_py()), np.full(n, n), own]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "n", "unit"])
 
 
 def close_pairs(units: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of ``rows`` (row, class) of different classes that can reach ``similarity``.
+    """All pairs of ``rows`` (row, class, guest) of different classes, one a guest at least, that
+    can reach ``similarity``.
 
     Of texts with x <= y units both must have t/(1+t) (x + y) in common, hence 2t/(1+t) x and
     t y.  The first common unit, in one order for all, then stands early enough in both."""
-    each = units.join(rows, "row").select("row", "class", "units").mapInArrow(single_units, "row long, class long, n long, unit int")
+    each = units.join(rows.select("row"), "row").select("row", "units").mapInArrow(single_units, "row long, n long, unit int")
     each = stored(each, "single")
     often = stored(each.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     ordered = each.join(often, "unit", "left").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("often", F.lit(1)), "unit")))
     least = lambda share: F.ceil(F.col("n") * share - SLACK)
-    early = stored(ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - least(similarity) + 1)).select("unit", "row", "class", "n", "place"), "early")
+    early = ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - least(similarity) + 1)).select("unit", "row", "n", "place")
+    early = stored(early.join(rows, "row"), "early")
     share = similarity / (1 + similarity)
-    a = early.where(F.col("place") <= F.col("n") - least(2 * share) + 1).toDF("unit", "a", "class", "x", "place")
-    b = early.toDF("unit", "b", "other", "y", "at")
-    met = a.join(b, "unit").where("class <> other AND (x < y OR (x = y AND a < b))").where(F.col("x") >= similarity * F.col("y") - SLACK)
-    met = met.where(1 + F.least(F.col("x") - F.col("place"), F.col("y") - F.col("at")) >= share * (F.col("x") + F.col("y")) - SLACK)
-    return stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    a = early.where(F.col("place") <= F.col("n") - least(2 * share) + 1).select("unit", F.col("row").alias("a"), "class", F.col("n").alias("x"), "place", "guest")
+    b = early.select("unit", F.col("row").alias("b"), F.col("class").alias("other"), F.col("n").alias("y"), F.col("place").alias("at"), F.col("guest").alias("visits"))
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.join(b, "unit").where("class <> other AND (x < y OR (x = y AND a < b))").where(F.col("x") >= similarity * F.col("y") - SLACK)
+        pairs = pairs.where(1 + F.least(F.col("x") - F.col("place"), F.col("y") - F.col("at")) >= share * (F.col("x") + F.col("y")) - SLACK)
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    pairs = stored(met(a.where("guest"), b).union(met(a.where("NOT guest"), b.where("visits"))).distinct(), "pairs")
+    release(each, often, early)
+    return pairs
+
+
+class Grouping:
+    """Classes of texts that share buckets, merged link by link.
+
+    ``entries`` are the buckets that still hold several classes: key, row, n (texts of the
+    bucket), weight and class; ``classes`` has row and class of every text in a shared bucket."""
+
+    def __init__(self, sketch: DataFrame, firsts: DataFrame, similarity: float):
+        self.similarity = similarity
+        bands = sketch.select("row", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
+        every = stored(bands.select(F.explode("bands").alias("key"), "row"), "entries")
+        often = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+        shared = stored(every.join(often, "key"), "entries")
+        weights = stored(shared.groupBy("row").agg(F.sum("n").alias("weight")), "weights")
+        self.entries = stored(shared.join(weights, "row").select("key", "row", "n", "weight", F.col("row").alias("class")), "entries")
+        self.classes = stored(weights.select("row", F.col("row").alias("class")), "classes")
+        # The needed rows grow with the corpus: shuffled at every size, never broadcast.
+        self.units = stored(sketch.select("row", "units").join(weights.select("row").hint("merge"), "row", "left_semi"), "units")
+        self.links: list[DataFrame] = []
+        self.tested: list[DataFrame] = []
+        self.past = [self.units]
+        release(every, often, shared, weights)
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify the pairs that were not looked at before, and merge the classes of links."""
+        fresh = pairs.distinct()
+        for before in self.tested:
+            fresh = fresh.join(before, ["a", "b"], "left_anti")
+        fresh = stored(fresh, "pairs")
+        release(pairs)
+        self.tested.append(fresh)
+        links = verified(fresh, self.units, self.similarity)
+        self.links.append(links)
+        if links.isEmpty():
+            return
+        # The graph of classes; a class is named by its smallest text.
+        of = lambda side: self.classes.select(F.col("row").alias(side), F.col("class").alias(f"c{side}"))
+        between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+        labels = components(between).withColumnRenamed("row", "class")
+        name = F.coalesce("label", "class").alias("class")
+        self.past += [self.classes, labels]
+        self.classes = stored(self.classes.join(labels, "class", "left").select("row", name), "classes")
+        entries = stored(self.entries.join(labels, "class", "left").select("key", "row", "n", "weight", name), "entries")
+        mixed = stored(entries.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "mixed")
+        self.entries = stored(entries.join(mixed, "key", "left_semi"), "entries")
+        self.past.append(self.entries)
+        release(entries, mixed)
+
+    def guests(self) -> DataFrame:
+        """row, class, guest: the texts of the buckets that are left, and whether a text is
+        outside the largest class of one of them."""
+        sizes = stored(self.entries.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        hosts = sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("host"))
+        rows = self.entries.select("key", "row", "class").join(stored(hosts, "hosts"), "key").groupBy("row", "class").agg(F.max(F.col("class") != F.col("host")).alias("guest"))
+        return stored(rows, "guests")
+
+    def run(self, small: int) -> None:
+        drawn = lambda n: F.xxhash64("row", "key", F.lit(n))
+        self.compare(star_pairs(self.entries, F.col("weight"), F.col("weight")))
+        self.entries = self.entries.where("n > 2")  # a bucket of two is done
+        self.compare(star_pairs(self.entries, F.col("weight"), drawn(1)))
+        self.compare(star_pairs(self.entries, drawn(2), drawn(3)))
+        self.compare(all_pairs(self.entries.where(F.col("n") <= small)))
+        self.entries = self.entries.where(F.col("n") > small)
+        if not self.entries.isEmpty():
+            self.compare(close_pairs(self.units, self.guests(), self.similarity))
 
 
 def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between texts of different words, and their components."""
-    bands = sketch.select("row", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-    entries = stored(bands.select(F.explode("bands").alias("key"), "row"), "entries")
-    often = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    entries = stored(entries.join(often, "key").select("key", "row", "n", F.col("row").alias("class")), "entries")
-    # The needed rows grow with the corpus: shuffled at every size, never broadcast.
-    units = stored(sketch.select("row", "units").join(entries.select("row").distinct().hint("merge"), "row", "left_semi"), "units")
-    links = verified(bucket_pairs(entries.drop("n"), F.col("row"), small, False), units, similarity)
-    labels = components(links)
-    large = entries.where(F.col("n") > small).select("key", "row")
-    crowded = stored(large.select("row").distinct(), "crowded")
-    if not crowded.limit(1).count():
-        return links, labels
-    # A number of partitions of its own: a few bytes a row, but milliseconds of work.
-    parts = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharp = units.join(crowded, "row", "left_semi").repartition(parts, "row").mapInArrow(lambda x: sharpened(x, SHARP_BANDS, SHARP_ROWS), "row long, keys array<long>")
-    sharp = sharp.join(labels, "row", "left").select(F.explode("keys").alias("key"), "row", F.coalesce("label", "row").alias("class"))
-    more = verified(bucket_pairs(stored(sharp, "sharp"), F.xxhash64("row", "key"), SHARP_SMALL, True), units, similarity)
-    if more.limit(1).count():
-        links = stored(links.union(more).distinct(), "links")
-        labels = components(links)
-    classed = stored(large.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("class")), "classed")
-    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    rest = stored(classed.join(mixed, "key", "left_semi").select("row", "class").distinct(), "rest")
-    if not rest.limit(1).count():
-        return links, labels
-    last = verified(close_pairs(units, rest, similarity), units, similarity)
-    if not last.limit(1).count():
-        return links, labels
-    links = stored(links.union(last).distinct(), "links")
-    return links, components(links)
+    groups = Grouping(sketch, firsts, similarity)
+    groups.run(small)
+    links = stored(reduce(DataFrame.union, groups.links), "links")
+    release(*groups.links, *groups.tested, *groups.past)
+    return links, groups.classes.withColumnRenamed("class", "label")
 
 
 def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, similarity: float = SIMILARITY, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, small: int = SMALL) -> DataFrame:
