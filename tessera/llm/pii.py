@@ -77,7 +77,8 @@ def spans_of(text: str) -> list[tuple[int, str, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+        parts = [x.lstrip("0") or "0" for x in m[0].split(".")]  # zeros before a number may be many
+        if all(len(x) < 4 and int(x) <= 255 for x in parts):
             out.append((m.start(), "ip", m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
