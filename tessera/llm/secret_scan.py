@@ -1,8 +1,13 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame operations alone.
 
 Patterns propose candidates; the hash of each candidate's value is counted over the whole
-corpus by distinct repository and distinct owner.  A value that many owners carry is a copied
-example, one that stays with its owner and looks random is a live-looking credential.
+corpus by distinct repository and distinct owner.  A value that several owners carry, or very many
+repositories of one owner, is a copied example; one that stays in few places and looks random is a
+live-looking credential.  Copies of one text count once, for the first of their owners: a document
+that was copied with its secret in it does not make that secret an example.
+
+Tables without repositories may leave ``repo_col`` out: each distinct text then stands for a
+repository, and ``source`` for the owner.
 
 Spans of the base kinds always stay; the kinds that the method adds (``provider``: tokens with
 a known prefix, ``url``: a password inside an address) are reported where they look live.
@@ -31,30 +36,36 @@ KINDS = (
     ("provider", r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|npm_|eyJ)[A-Za-z0-9_.-]+", 0, 20, False),
     ("url", r"://[^\s:/@\x22'<>]+:([^\s:/@\x22'<>]+)@", 1, 6, False),
 )
-#: Owners above which a value is a copied example; distinct characters that a live value has.
-MAX_OWNERS, MIN_CHARS = 2, 8
+#: Owners and repositories above which a value is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 20
+#: Distinct characters that a live value has.
+MIN_CHARS = 8
+MARK, OTHER = "\x01", "\x02"
 _SPAN = "array<struct<start:int,order:int,kind:string,base:boolean,end:int,value:string>>"
 
 
 def matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int, base: bool) -> Column:
     """Leftmost non-overlapping matches with their places in code points.
 
-    The pieces between matches give the places: a match starts where all pieces and matches
-    before it end.  Only texts with a match take this path.
+    Matches are put between marks and the text is split once at the marks, so that gaps and
+    matches take turns and a piece starts where the piece before it ends.  A mark that the text
+    itself holds is read as another control character, which no pattern tells from it.  Only
+    texts with a match take this path.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.slice(F.split(text, pattern), 1, F.size(found)).alias("gap"), found.alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    pieces = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}"), MARK)
 
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.char_length(part["match"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), end.alias("end"), part["value"].alias("value"))
-        fits = F.char_length(part["value"]) >= least
-        return F.struct(end.alias("at"), F.when(fits, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+    def add(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.char_length(piece)
+        value = F.regexp_extract(piece, pattern, group)
+        span = F.struct(state["at"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), end.alias("end"), value.alias("value"))
+        fits = state["inside"] & (F.char_length(value) >= least)
+        out = F.when(fits, F.array_append(state["out"], span)).otherwise(state["out"])
+        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), out.alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), _SPAN).alias("out"))
-    spans = F.aggregate(parts, empty, add, lambda state: state["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.from_json(F.lit("[]"), _SPAN))
+    none = F.from_json(F.lit("[]"), _SPAN)
+    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+    spans = F.aggregate(pieces, empty, add, lambda state: state["out"])
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def looks_live(value: Column, min_chars: int = MIN_CHARS) -> Column:
@@ -63,24 +74,29 @@ def looks_live(value: Column, min_chars: int = MIN_CHARS) -> Column:
     return (variety >= min_chars) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|sample|changeme|placeholder|dummy|xxxx|1234567")
 
 
-def secret_candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col="doc_id", kinds=KINDS) -> DataFrame:
-    """row, doc_id, owner, repo and all candidate spans, their values hashed."""
+def secret_candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col: str | None = None, kinds=KINDS) -> DataFrame:
+    """row, doc_id, owner, repo, digest (of the text, where it has a span) and all candidate
+    spans, their values hashed."""
     text = text_or_empty(text_col)
     own = [matches(F.col("text"), n, *kind) for n, kind in enumerate(kinds)]
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), name(owner_col).alias("owner"), name(repo_col).alias("repo"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), name(owner_col).alias("owner"), text.alias("text"), (name(repo_col) if repo_col else F.lit(None).cast("string")).alias("repo"))
     keep = lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["base"].alias("base"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_sha256"), looks_live(s["value"]).alias("live"))
-    return rows.select("row", "doc_id", "owner", "repo", F.transform(F.concat(*own), keep).alias("spans"))
+    rows = rows.withColumn("spans", F.transform(F.concat(*own), keep))
+    digest = F.when(F.size("spans") > 0, F.sha2(F.col("text").cast("binary"), 256))
+    return rows.select("row", "doc_id", "owner", "repo", digest.alias("digest"), "spans")
 
 
-def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, **options) -> DataFrame:
+def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, **options) -> DataFrame:
     """A row for each span (null span where a document has none): row, doc_id, kind, start,
     end, base, value_sha256, n_owners, n_repos, verdict (example, live or weak)."""
     found = stored(secret_candidates(docs, **options), "secrets")
-    each = found.select("row", "doc_id", "owner", "repo", F.explode("spans").alias("span")).select("row", "doc_id", "owner", "repo", "span.*")
-    owned = each.groupBy("value_sha256").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
+    each = found.select("row", "doc_id", "owner", "repo", "digest", F.explode("spans").alias("span")).select("row", "doc_id", "owner", "repo", "digest", "span.*")
+    once = each.groupBy("value_sha256", "digest").agg(F.min("owner").alias("owner"), F.min(F.coalesce("repo", "digest")).alias("repo"))
+    owned = once.groupBy("value_sha256").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
     owned = stored(owned, "secret-owners")  # read back, so that the join's hot partitions can be split
-    verdict = F.when(F.col("n_owners") > max_owners, "example").when(F.col("live"), "live").otherwise("weak")
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
+    verdict = F.when(copied, "example").when(F.col("live"), "live").otherwise("weak")
     spans = each.join(owned, "value_sha256").withColumn("verdict", verdict)
     columns = ["row", "doc_id", "order", "kind", "start", "end", "base", "value_sha256", "n_owners", "n_repos", "verdict"]
     none = found.where(F.size("spans") == 0).select("row", "doc_id", *[F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in columns[2:]])
@@ -88,11 +104,15 @@ def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, **options) -> Da
 
 
 def secret_report(docs: DataFrame, **options) -> DataFrame:
-    """One row for each document, made from its spans."""
+    """One row for each document, made from its spans; max_owners and max_repos are the largest
+    counts of its values (0 without any)."""
     spans = secret_spans(docs, **options)
     base, live, example = F.coalesce(F.col("base"), F.lit(False)), F.col("verdict") == "live", F.col("verdict") == "example"
     place = F.struct("start", "order", F.format_string("%s:%d:%d", "kind", "start", "end").alias("name"))
     listed = lambda condition: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(condition, place))), lambda s: s["name"]), ",")
     of = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"n_{kind}")
-    rows = spans.groupBy("row", "doc_id").agg(of("assign"), of("access"), of("hex"), listed(base).alias("base_spans"), listed(base | live).alias("spans"), F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(example, 1)).alias("n_example"))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example")
+    rows = spans.groupBy("row", "doc_id").agg(
+        of("assign"), of("access"), of("hex"), listed(base).alias("base_spans"), listed(base | live).alias("spans"), F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(example, 1)).alias("n_example"),
+        *[F.coalesce(F.max(f"n_{c}"), F.lit(0)).cast("long").alias(f"max_{c}") for c in ("owners", "repos")],
+    )
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_example", "max_owners", "max_repos")

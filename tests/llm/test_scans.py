@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, license_scan, pii, secret_scan
 
@@ -72,10 +73,22 @@ def test_secrets(spark):
 
 def test_secret_ownership(spark):
     live, copied = "ghp_Zx81kQ0vLm37TnYb24Wd", "ghp_Hq62nR5cPs90XeVa13Kf"
-    texts = [f"a {live}", *[f"b {copied}"] * 9]
+    texts = [f"a {live}", *[f"b{i} {copied}" for i in range(9)]]
     got = by_id(secret_scan.secret_report(docs_of(spark, texts, {i: f"o{i}" for i in range(10)})))
-    assert got[0].n_live == 1 and "provider" in got[0].spans
-    assert all(got[i].n_example == 1 and got[i].spans == "" for i in range(1, 10))
+    assert got[0].n_live == 1 and "provider" in got[0].spans and (got[0].max_owners, got[0].max_repos) == (1, 1)
+    assert all(got[i].n_example == 1 and got[i].spans == "" and (got[i].max_owners, got[i].max_repos) == (9, 9) for i in range(1, 10))
+
+
+def test_secret_copies_and_repositories(spark):
+    """Copies of one text count once; a value in very many texts of one owner is an example."""
+    live, copied = "ghp_Zx81kQ0vLm37TnYb24Wd", "ghp_Hq62nR5cPs90XeVa13Kf"
+    texts = [*[f"a {live}"] * 30, *[f"b{i} {copied}" for i in range(21)]]
+    docs = docs_of(spark, texts, {i: f"o{i}" for i in range(30)} | {30 + i: "o" for i in range(21)})
+    got = by_id(secret_scan.secret_report(docs))
+    assert all(got[i].n_live == 1 and (got[i].max_owners, got[i].max_repos) == (1, 1) for i in range(30))
+    assert all(got[i].n_example == 1 and (got[i].max_owners, got[i].max_repos) == (1, 21) for i in range(30, 51))
+    named = by_id(secret_scan.secret_report(docs.withColumn("repo", F.lit("one")), repo_col="repo"))
+    assert all(named[i].n_live == 1 for i in range(51))
 
 
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
