@@ -4,16 +4,19 @@ score = sigmoid(b + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x
 
 All pairwise interactions of features are in the model, at a cost linear in the features by
 the sum-of-squares identity.  Features are log word counts in ``BUCKETS`` hash buckets, of unit
-length for each document, and standardised statistics of the text's structure.
+length for each document, standardised statistics of the text's structure, and standardised
+logarithms of numeric metadata columns that the caller names (never a label, language, source or id),
+with a sign for those that are missing.
 
-Fit: a sample of at most ``MAX_ROWS`` labelled rows outside the held-out fifth, the first by a
+Fit: a sample of at most ``MAX_ROWS`` labelled documents outside the held-out fifth, the first by a
 hash of their id; the sample's features (not its texts) come to the driver.  The model is a few
 hundred kilobytes at any corpus size.  Scoring reads whole texts in Arrow batches and shuffles
 nothing.
 
 Defined results: null counts as empty and is scored by its statistics; several labels of an
 id count by the largest; with no labels, or labels of one kind only, the score is their share
-(0.5 without any); rows with the same id are scored apart; other columns are ignored.
+(0.5 without any); rows with the same id are scored apart; a metadata value that is null, no
+number or below 0 is missing; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,8 +82,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, centre: np.ndarray, scale: np.ndarray):
-        self.bias, self.w, self.v, self.centre, self.scale = bias, w, v, centre, scale
+    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, centre: np.ndarray, scale: np.ndarray, metadata: tuple[str, ...] = ()):
+        self.bias, self.w, self.v, self.centre, self.scale, self.metadata = bias, w, v, centre, scale, metadata
 
     def standard(self, stats: np.ndarray) -> np.ndarray:
         return np.clip((stats - self.centre) / self.scale, -4, 4) / 4
@@ -126,41 +129,69 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels:
     return model
 
 
+def about(batch: pa.RecordBatch) -> np.ndarray:
+    """Statistics of the metadata of a batch: a logarithm and a sign of absence for each column."""
+    given = [c for c in batch.schema.names if c.startswith("meta")]
+    out = np.zeros((len(batch), 2 * len(given)))
+    for n, c in enumerate(given):
+        x = batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+        known = np.isfinite(x) & (x >= 0)
+        out[:, 2 * n], out[:, 2 * n + 1] = np.log1p(np.where(known, x, 0)), ~known
+    return out
+
+
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        label = batch.column("label").to_numpy(zero_copy_only=False)
+        label, more, order = batch.column("label").to_numpy(zero_copy_only=False), about(batch), batch.column("order")
         for first, last, data, offsets in tk.slices(batch.column("text")):
             own, bucket, value, stats = features(data, offsets)
+            stats = np.hstack((stats, more[first:last]))
             cut = np.searchsorted(own, np.arange(last - first + 1))
             lists = [pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
             lists = [x.cast(pa.list_(x.type.value_type)) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(label[first:last], pa.int32()), *lists, pa.array(list(stats), pa.list_(pa.float64()))], ["label", "bucket", "value", "stats"])
+            yield pa.RecordBatch.from_arrays([order[first:last], pa.array(label[first:last], pa.int32()), *lists, pa.array(list(stats), pa.list_(pa.float64()))], ["order", "label", "bucket", "value", "stats"])
+
 
+def with_metadata(docs: DataFrame, metadata: tuple[str, ...]) -> list:
+    """Columns meta0, meta1 ... as doubles."""
+    return [F.col(c).cast("double").alias(f"meta{n}") for n, c in enumerate(metadata)]
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_id="doc_id", label_col="quality", max_rows: int = MAX_ROWS) -> Model | float:
-    """The model, or the share of label 1 where there is nothing to tell apart."""
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_id="doc_id", label_col="quality", max_rows: int = MAX_ROWS, metadata: tuple[str, ...] = ()) -> Model | float:
+    """The model, or the share of label 1 where there is nothing to tell apart.
+
+    The sample is drawn among labelled ids that documents have; features of its rows are bounded
+    in size, and at most ``max_rows`` of them are kept where an id has several rows."""
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(label_id))).groupBy(F.col(label_id).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("__id", F.lit("quality")), "__id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id"))
-    sample = rows.select("label", "text").mapInArrow(extracted, "label int, bucket array<int>, value array<float>, stats array<double>").toPandas()
+    there = docs.select(F.col(id_col).alias("id"))
+    known = known.join(there, F.col("id") == F.col("__id"), "left_semi").withColumn("order", F.xxhash64("__id", F.lit("quality")))
+    known = known.orderBy("order", "__id").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *with_metadata(docs, metadata)).join(F.broadcast(known), F.col("id") == F.col("__id"))
+    sample = rows.drop("id", "__id").mapInArrow(extracted, "order long, label int, bucket array<int>, value array<float>, stats array<double>")
+    sample = sample.orderBy("order", "label", F.xxhash64("bucket", "value", "stats")).limit(max_rows).toPandas()
     if len(set(sample["label"])) < 2:
         return float(sample["label"].mean()) if len(sample) else 0.5
     pairs = [(np.asarray(a, np.int64), np.asarray(b, np.float64)) for a, b in zip(sample["bucket"], sample["value"], strict=True)]
     stats = np.stack(sample["stats"].to_numpy())
     order = np.lexsort((*stats.T[::-1], sample["label"].to_numpy()))  # the same at any partitioning
-    return train([pairs[i] for i in order], stats[order], sample["label"].to_numpy()[order])
+    model = train([pairs[i] for i in order], stats[order], sample["label"].to_numpy()[order])
+    model.metadata = metadata
+    return model
 
 
 def score(docs: DataFrame, model: Model | float, id_col="doc_id", text_col="text", cut: float = CUT) -> DataFrame:
     """One row for each row: doc_id, held_out, score, predicted."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    metadata = () if isinstance(model, float) else model.metadata
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), *with_metadata(docs, metadata))
 
     def judge(batches):
         for batch in batches:
             out = np.full(len(batch), model if isinstance(model, float) else 0.0)
             if not isinstance(model, float):
+                more = about(batch)
                 for first, last, data, offsets in tk.slices(batch.column("text")):
-                    out[first:last] = model.score(*features(data, offsets))
+                    own, bucket, value, stats = features(data, offsets)
+                    out[first:last] = model.score(own, bucket, value, np.hstack((stats, more[first:last])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

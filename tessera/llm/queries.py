@@ -63,7 +63,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",)))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
