@@ -9,8 +9,9 @@ the language of the lowest cross-entropy per character.
 Rejection is calibrated on the learning rows: a text is rejected if its cross-entropy lies far
 above what its language shows there, with an allowance for short texts, or if it has no letter.
 
-Fit: at most ``DOCS_PER_LANGUAGE`` labelled rows of each language, chosen by a hash of the id,
-are counted in Spark; the n-gram table of that bounded sample is the model.  Scoring reads whole
+Fit: ``DOCS_PER_LANGUAGE`` labelled rows of each language on average, chosen by a hash of the id,
+are counted in Spark; the n-gram table of that bounded sample is the model.  More languages than
+``MAX_LANGUAGES`` are an error, as the model has a column for each.  Scoring reads whole
 texts in Arrow batches and shuffles nothing.
 
 Defined results: null, empty or letterless text is ``und`` with score 0 and is rejected; with
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-DOCS_PER_LANGUAGE = 2000
+DOCS_PER_LANGUAGE, MAX_LANGUAGES = 2000, 500
 SPREADS, PER_CHARACTER = 8.0, 12.0
 SLICE_CHARS = 1 << 19
 BITS = np.uint64(21)
@@ -192,9 +193,11 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     """Learn from a bounded sample of labelled rows outside the held-out fifth."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}  # a row for each language
     if not sizes:
         return None
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(sizes.items())])
     picked = F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000
     sample = rows.where(picked).select("lang", "text")
