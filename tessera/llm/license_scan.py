@@ -4,13 +4,14 @@ Every rolling k-gram of a document's words is hashed and joined to the positions
 known texts.  A hit at document word ``p`` and template word ``q`` votes for the diagonal
 ``p - q``: an uninterrupted copy puts all its votes on one diagonal, an inserted or missing
 word moves the rest to a neighbouring one.  Votes are summed by diagonal, neighbouring
-diagonals are merged, and spans are verified.  Each vote is checked word by word, so that a
-hash collision can't make a span.
+diagonals are merged, and spans are verified by the words of the template that their votes cover.
+Each vote is checked word by word, so that a hash collision can't make a span.
 
 Exact phrases are templates too: a phrase stands wherever a diagonal holds all its grams.
 
-Scale: the templates are constants of a few kilobytes, so the join is a broadcast join inside
-the scan's stage.  Only hits and one row for each document are shuffled, once, by row.
+Scale: the templates come as a list; up to ``BROADCAST_ROWS`` positions (some 200 bytes each) the
+join is a broadcast join inside the scan's stage, beyond that Spark chooses.  Only hits and one row
+for each document are shuffled, once, by row.
 
 Defined results: null or empty text has no words, no labels and score 0; rows with the same
 id are scanned apart; other columns of the input are ignored; ties between templates keep all.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, words
 
 K = 3
-#: Share of a notice's k-grams that must be found, and how far apart merged diagonals may be.
-MIN_COVER, MAX_SHIFT = 0.8, 3
+#: Share of a notice's words that must stand in found k-grams, and how far apart merged diagonals may be.
+MIN_COVER, MAX_SHIFT = 0.8, 10
+BROADCAST_ROWS = 100_000
 
 #: Phrases that must stand word for word, with the label of each.
 PHRASES = (
@@ -56,7 +58,7 @@ NOTICES = (
 )
 
 
-def template_positions(spark, phrases=PHRASES, notices=NOTICES, k: int = K) -> DataFrame:
+def template_positions(spark, phrases=PHRASES, notices=NOTICES, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     rows = []
     for n, (text, label, exact) in enumerate([(*x, True) for x in phrases] + [(*x, False) for x in notices]):
         own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
@@ -66,7 +68,8 @@ def template_positions(spark, phrases=PHRASES, notices=NOTICES, k: int = K) -> D
     kind = "template int, label string, exact boolean, template_words int, q int, template_gram array<string>"
     grams = spark.createDataFrame(rows, kind)
     first = F.transform("template_gram", lambda w: F.xxhash64(w))
-    return grams.withColumn("gram", F.aggregate(F.slice(first, 2, k - 1), first[0], lambda a, b: F.xxhash64(a, b)))
+    grams = grams.withColumn("gram", F.aggregate(F.slice(first, 2, k - 1), first[0], lambda a, b: F.xxhash64(a, b)))
+    return F.broadcast(grams) if len(rows) <= broadcast_rows else grams
 
 
 def license_votes(docs: DataFrame, positions: DataFrame, id_col="doc_id", text_col="text", k: int = K) -> DataFrame:
@@ -79,7 +82,7 @@ def license_votes(docs: DataFrame, positions: DataFrame, id_col="doc_id", text_c
     rows = rows.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), grams.alias("grams"))
     rows = rows.select("row", "doc_id", "words", "n_words", F.posexplode_outer("grams").alias("p", "gram"))
     same = (rows.gram == positions.gram) & (F.slice("words", rows.p + 1, k) == F.col("template_gram"))
-    voted = rows.join(F.broadcast(positions), same, "left").where("template IS NOT NULL OR p IS NULL OR p = 0")
+    voted = rows.join(positions, same, "left").where("template IS NOT NULL OR p IS NULL OR p = 0")
     return voted.select("row", "doc_id", "n_words", "template", "label", "exact", "template_words", "p", "q")
 
 
@@ -98,7 +101,9 @@ def license_spans(docs: DataFrame, id_col="doc_id", text_col="text", phrases=PHR
     apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > max_shift)
     merged = diagonals.withColumn("group", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
     spans = merged.groupBy(*by, "group").agg(F.min("low").alias("start"), (F.max("high") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    cover = F.coalesce(F.size("found") / (F.col("template_words") - (k - 1)), F.lit(0.0))
+    # A changed word costs k grams but one word: what found grams cover is counted in words.
+    covered = F.size(F.array_distinct(F.flatten(F.transform("found", lambda q: F.sequence(q, q + (k - 1))))))
+    cover = covered / F.col("template_words")
     whole = (F.col("exact") & (F.col("cover") == 1)) | (~F.col("exact") & (F.col("cover") >= min_cover) & (F.col("end") - F.col("start") <= 1.5 * F.col("template_words")))
     spans = spans.withColumn("cover", F.when(F.col("template").isNull(), 0.0).otherwise(cover))
     return spans.select("row", "doc_id", "n_words", "label", "exact", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "cover", F.coalesce(whole, F.lit(False)).alias("accepted"))

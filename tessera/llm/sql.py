@@ -66,7 +66,7 @@ v AS (SELECT r, p, w[p + 1 : p + {k}] AS gram FROM d, unnest(range(len(w) - {k -
 diag AS (SELECT r, template, label, exact, n, p - q AS diagonal, min(p) AS low, max(p) AS high, list(DISTINCT q) AS found FROM v JOIN g USING (gram) GROUP BY ALL),
 steps AS (SELECT *, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER o <= {max_shift} THEN 0 ELSE 1 END AS fresh FROM diag WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM steps),
-spans AS (SELECT r, label, exact, n, min(low) AS start, max(high) + {k} - min(low) AS width, len(list_distinct(flatten(list(found)))) / (n - {k - 1})::DOUBLE AS cover
+spans AS (SELECT r, label, exact, n, min(low) AS start, max(high) + {k} - min(low) AS width, len(list_distinct(flatten(list_transform(flatten(list(found)), lambda q: range(q, q + {k}))))) / n::DOUBLE AS cover
   FROM runs GROUP BY r, template, label, exact, n, run),
 judged AS (SELECT *, CASE WHEN exact THEN cover = 1 ELSE cover >= {min_cover}::DOUBLE AND width <= 1.5 * n END AS accepted FROM spans)
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(*) FILTER (exact AND accepted) AS n_base,
@@ -76,10 +76,10 @@ SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(
 FROM d LEFT JOIN judged USING (r) GROUP BY r"""
 
 
-def secret_sql(max_owners: int = secret_scan.MAX_OWNERS, min_chars: int = secret_scan.MIN_CHARS) -> str:
+def secret_sql(max_owners: int = secret_scan.MAX_OWNERS, max_repos: int = secret_scan.MAX_REPOS, min_chars: int = secret_scan.MIN_CHARS) -> str:
     """Matches and the gaps between them, from which places follow; owners of each value."""
     found = "\nUNION ALL ".join(
-        f"SELECT r, owner, {n} AS kind_order, {_text(kind)} AS kind, {base} AS base, {least} AS least, string_split_regex(text, {_text(pattern)}) AS gaps,"
+        f"SELECT r, owner, sha256(text) AS digest, {n} AS kind_order, {_text(kind)} AS kind, {base} AS base, {least} AS least, string_split_regex(text, {_text(pattern)}) AS gaps,"
         f" regexp_extract_all(text, {_text(pattern)}, 0) AS matches, regexp_extract_all(text, {_text(pattern)}, {group}) AS vals FROM d WHERE regexp_matches(text, {_text(pattern)})"
         for n, (kind, pattern, group, least, base) in enumerate(secret_scan.KINDS)
     )
@@ -87,16 +87,18 @@ def secret_sql(max_owners: int = secret_scan.MAX_OWNERS, min_chars: int = secret
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS text FROM documents),
 found AS ({found}),
-spans AS (SELECT r, owner, kind_order, kind, base, {total('gaps[1:i]')} + {total('matches[1:i - 1]')} AS start, length(matches[i]) AS width, vals[i] AS val
+spans AS (SELECT r, owner, digest, kind_order, kind, base, {total('gaps[1:i]')} + {total('matches[1:i - 1]')} AS start, length(matches[i]) AS width, vals[i] AS val
   FROM found, unnest(range(1, len(matches) + 1)) AS s(i) WHERE length(vals[i]) >= least),
-owned AS (SELECT val, count(DISTINCT owner) AS n_owners FROM spans GROUP BY val),
-judged AS (SELECT r, kind_order, kind, base, start, kind || ':' || start || ':' || (start + width) AS name, n_owners > {max_owners} AS example,
-  n_owners <= {max_owners} AND len(list_distinct(string_split(val, ''))) >= {min_chars} AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
+once AS (SELECT val, digest, min(owner) AS owner FROM spans GROUP BY val, digest),
+owned AS (SELECT val, count(DISTINCT owner) AS n_owners, count(*) AS n_repos FROM once GROUP BY val),
+judged AS (SELECT r, kind_order, kind, base, start, kind || ':' || start || ':' || (start + width) AS name, n_owners, n_repos,
+  n_owners > {max_owners} OR n_repos > {max_repos} AS example, NOT example AND len(list_distinct(string_split(val, ''))) >= {min_chars} AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
   AND NOT regexp_matches(val, '(?i)example|sample|changeme|placeholder|dummy|xxxx|1234567') AS live FROM spans JOIN owned USING (val))
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(name, ',' ORDER BY start, kind_order) FILTER (base), '')) AS base_sha256,
   coalesce(string_agg(name, ',' ORDER BY start, kind_order) FILTER (base OR live), '') AS spans,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example
+  count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example,
+  coalesce(max(n_owners), 0) AS max_owners, coalesce(max(n_repos), 0) AS max_repos
 FROM d LEFT JOIN judged USING (r) GROUP BY r"""
 
 
@@ -109,7 +111,7 @@ def pii_sql() -> str:
     mod97 = f"list_reduce(list_transform(string_split({turned}[5:] || {turned}[:4], ''), lambda x: {value}), lambda a, x: CASE WHEN x < 10 THEN a * 10 + x ELSE a * 100 + x END % 97, 0) = 1"
     kinds = (  # kind, pattern, check of a match
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(x AS HUGEINT) > 255)) = 0"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
         ("card", r"[0-9]([\x20-]?[0-9])+", f"len({digits}) BETWEEN 14 AND 19 AND {luhn}"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({digits}) BETWEEN 10 AND 15"),
         ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", f"length({turned}) BETWEEN 15 AND 34 AND {mod97}"),
