@@ -91,22 +91,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """The rows of ``docs`` that ``groups`` (id, digest and kept of every row) marks as kept,
-    with their own columns.  Rows are told by id and digest of the text; of repeated rows with
-    both in common, which no table tells apart, the smallest stays if one is kept."""
-    groups = stored(groups.select("id", "digest", "kept"), "groups")  # ends the join, whose hot partitions can then be split
-    about = groups.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
-    about = stored(about.where("__kept"), "kept")
-    tagged = docs.withColumn("__digest", digest(text_or_empty(text_col)))
-
-    def among(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        side = side.select("__id", F.col("__digest").alias("__other"))
-        return rows.join(side, rows[id_col].eqNullSafe(side["__id"]) & (rows["__digest"] == side["__other"]), how)
-
-    kept = among(tagged, about, "left_semi")
-    often = about.where("__rows > 1")
-    if not often.limit(1).count():
-        return kept.select(*docs.columns)
-    one = among(tagged, often, "left_semi").groupBy(id_col, "__digest").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return among(kept, often, "left_anti").select(*docs.columns).unionByName(one)
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` written once with a number for each row, by which an operator's decisions find
+    the row again, also where ids or whole rows repeat.  Columns have names of their own
+    (c0, c1 ...) that clash with none of an operator's; the mapping leads to them."""
+    names = {c: f"c{n}" for n, c in enumerate(docs.columns)}
+    return stored(docs.toDF(*names.values()).withColumn("row", F.monotonically_increasing_id()), "rows"), names
+
+
+def original(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])

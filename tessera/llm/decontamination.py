@@ -6,11 +6,13 @@ window of that length (10 words here) is missed.  Training fingerprints are join
 fingerprints, and each hit is extended word by word to the windows that contain it.
 
 Items shorter than a window are a window as a whole; they are joined by the hash of all
-their words, one pass for each short length that the benchmark has (nine at most).
+their words, for each short length that the benchmark has (nine at most).
 
-Scale: the test side is broadcast only if its fingerprints are counted and few; otherwise
-the same join is shuffled, and adaptive execution splits its hot fingerprints.  Training rows
-carry a fingerprint's surroundings only (15 words), never the text.  Hits are shuffled by row.
+Scale: fingerprints and short windows of a document are picked inside its arrays, so that only
+these become rows, in one pass with one number for each document.  The test side is broadcast only
+if its fingerprints are counted and few; otherwise the picked rows are written and the same join
+is shuffled, and adaptive execution splits its hot fingerprints.  Picked rows carry their
+surroundings only (15 words), never the text.  Hits are shuffled by row.
 
 Defined results: null text has no words and no hit; a benchmark item without words has no
 window; items with null id make words hit but are not listed; repeated items are listed once;
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shifted, stored, text_or_empty, words
+from .common import numbered, original, shifted, stored, text_or_empty, words
 
 WINDOW, K = 10, 5
 #: Test fingerprints (some 200 bytes each) up to which they are broadcast.
@@ -61,58 +63,69 @@ def fingerprints(rows: DataFrame, window: int, k: int) -> DataFrame:
     return rows.select(*held, marks.alias("marks"))
 
 
-def benchmark_fingerprints(items: DataFrame, window: int, k: int) -> DataFrame:
-    """item, mark, lead and around: the words up to window-k on either side of the k-gram."""
+def picked(rows: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """Adds ``picks``: structs of n (words of the gram: k of a fingerprint, or a short length
+    below 0), i (its first word) and mark (its hash)."""
+    rows = fingerprints(rows, window, k)
+    pick = lambda n, i, mark: F.struct(F.lit(n).alias("n"), i.alias("i"), mark.alias("mark"))
+    lists = [F.filter(F.transform("marks", lambda m, i: pick(k, i, m)), lambda p: p["mark"].isNotNull())]
+    for n in short:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+        lists.append(F.transform(starts, lambda i: pick(-n, i, F.xxhash64(F.slice("words", i + 1, n)))))  # noqa: B023
+    return rows.withColumn("picks", F.concat(*lists)).drop("marks")
+
+
+def benchmark_marks(items: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """item, n, mark, lead and test: for a fingerprint the words up to window-k on either side
+    of it, of which ``lead`` stand before; for a short item all its words."""
     reach = window - k
-    marked = fingerprints(items.where(F.size("words") >= window), window, k)
     # The outer form: for the other, a filter on the array's size would be inferred, pushed down
     # and thereby written out once for every use of every array.
-    each = marked.select("item", "words", F.posexplode_outer("marks").alias("j", "mark")).where("mark IS NOT NULL")
-    low, high = F.greatest(F.col("j") - reach, F.lit(0)), F.least(F.col("j") + window, F.size("words"))
-    return each.select("item", "mark", (F.col("j") - low).alias("lead"), F.slice("words", low + 1, high - low).alias("around"))
+    each = picked(items, window, k, []).where(F.size("words") >= window).select("item", "words", F.explode_outer("picks").alias("p")).where("p IS NOT NULL")
+    low, high = F.greatest(F.col("p.i") - reach, F.lit(0)), F.least(F.col("p.i") + window, F.size("words"))
+    long_ = each.select("item", "p.n", "p.mark", (F.col("p.i") - low).alias("lead"), F.slice("words", low + 1, high - low).alias("test"))
+    if not short:
+        return long_
+    few = items.where(F.size("words").between(1, window - 1)).select("item", (-F.size("words")).alias("n"), F.xxhash64("words").alias("mark"), F.lit(0).alias("lead"), F.col("words").alias("test"))
+    return long_.unionByName(few)
 
 
-def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS, row_col: str | None = None) -> DataFrame:
     """row, doc_id, n_words, item, start, end: each window of an item where it stands in a
-    document, in words, end exclusive; and one row with null start for each document."""
+    document, in words, end exclusive; and one row with null start for each document.
+
+    ``row_col`` is a number of each row, if there is one already."""
     if not 0 < k <= window:
         raise ValueError("a k-gram must fit the window")
     reach = window - k
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(text_or_empty(item_text_col)).alias("words")).distinct()
-    marks = benchmark_fingerprints(items, window, k)
+    short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect())  # under ``window`` numbers
+    marks = benchmark_marks(items, window, k, short)
     few = marks.limit(broadcast_rows + 1).count() <= broadcast_rows
 
-    each = fingerprints(rows, window, k).select("row", "doc_id", "n_words", "words", F.posexplode_outer("marks").alias("i", "mark"))
-    first = F.col("i").isNull() | (F.col("i") == 0)
-    # Surroundings of the k-gram; ``before`` says how many of the words stand before it.
-    before = F.least(F.col("i"), F.lit(reach))
-    around = F.slice("words", F.col("i") - before + 1, before + window)
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
+    rows = picked(rows.withColumn("n_words", F.size("words").cast("long")), window, k, short)
+    first = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).cast("long").alias("mark")))  # a row that each document has
+    each = rows.select("row", "doc_id", "n_words", "words", F.explode_outer(F.concat(first, "picks")).alias("p")).select("row", "doc_id", "n_words", "words", "p.*")
+    # Surroundings of the gram; ``before`` says how many of the words stand before it.
+    before = F.when(F.col("n") < 0, 0).otherwise(F.least("i", F.lit(reach)))
+    around = F.slice("words", F.col("i") - before + 1, F.when(F.col("n") < 0, -F.col("n")).otherwise(before + window))
+    around = F.when(F.col("n") != 0, around)
+    shown = ["row", "doc_id", "n_words", "n", "i", before.alias("before"), around.alias("around")]
     if few:
-        hits = each.join(F.broadcast(marks.withColumnRenamed("around", "test")), "mark", "left").where(F.col("test").isNotNull() | first)
-        hits = hits.select("row", "doc_id", "n_words", "i", before.alias("before"), around.alias("around"), "item", "lead", "test")
+        hits = each.join(F.broadcast(marks), ["n", "mark"], "left").where("test IS NOT NULL OR n = 0").select(*shown, "item", "lead", "test")
     else:
-        hits = each.where("mark IS NOT NULL").select("row", "doc_id", "n_words", "i", "mark", before.alias("before"), around.alias("around")).join(marks.withColumnRenamed("around", "test"), "mark").drop("mark")
-        alone = rows.select("row", "doc_id", "n_words")
-        hits = hits.unionByName(alone, allowMissingColumns=True)
+        each = stored(each.select(*shown, "mark"), "picked")
+        hits = each.where("n <> 0").join(marks, ["n", "mark"]).drop("mark").unionByName(each.where("n = 0").drop("mark"), allowMissingColumns=True)
     # Extend: each test window that holds the k-gram, laid over the document's words.
     at = lambda o: F.col("before") - F.col("lead") + o
     fits = lambda o: (at(o) >= 0) & (F.slice("around", F.greatest(at(o), F.lit(0)) + 1, window) == F.slice("test", o + 1, window))
-    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size("test") - window), fits), lambda o: F.col("i") - F.col("lead") + o)
-    found = hits.select("row", "doc_id", "n_words", "item", F.explode_outer(F.when(F.col("test").isNotNull(), starts)).alias("start"))
-    found = found.withColumn("end", F.col("start") + window)
-
-    lengths = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect()]  # under ``window`` numbers
-    for n in sorted(lengths):
-        short = items.where(F.size("words") == n).select("item", F.col("words").alias("test"), F.xxhash64("words").alias("mark"))
-        grams = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.xxhash64(F.slice("words", i + 1, n)))  # noqa: B023
-        own = rows.where(F.col("n_words") >= n).select("row", "doc_id", "n_words", "words", F.posexplode_outer(grams).alias("start", "mark"))
-        own = own.select("row", "doc_id", "n_words", "start", "mark", F.slice("words", F.col("start") + 1, n).alias("own"))
-        side = F.broadcast(short) if few and short.limit(broadcast_rows + 1).count() <= broadcast_rows else short
-        own = own.join(side, "mark").where(F.col("own") == F.col("test"))
-        found = found.unionByName(own.select("row", "doc_id", "n_words", "item", "start", (F.col("start") + n).alias("end")))
-    return found
+    starts = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("test") - window, F.lit(0))), fits), lambda o: F.col("i") - F.col("lead") + o)
+    starts = F.when(F.col("n") > 0, starts).when((F.col("n") < 0) & (F.col("around") == F.col("test")), F.array("i"))
+    found = hits.select("row", "doc_id", "n_words", "item", "n", F.explode_outer(starts).alias("start"))
+    width = F.when(F.col("n") < 0, -F.col("n")).otherwise(window)
+    return found.where("start IS NOT NULL OR n = 0").select("row", "doc_id", "n_words", "item", "start", (F.col("start") + width).alias("end"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -132,12 +145,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, with their columns.
-
-    Contaminated rows are told by id and digest of the text, which equal rows share."""
-    marked = docs.withColumns({"__id": F.col(id_col), "__digest": F.xxhash64(text_or_empty(text_col))})
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("digest")).alias("key"), F.col(text_col).alias("text"))
-    found = contaminated_windows(keyed, benchmark, "key", "text", **options).where("start IS NOT NULL")
-    bad = stored(found.select(F.col("doc_id.id").alias("__bad"), F.col("doc_id.digest").alias("__other")).distinct(), "contaminated")
-    same = marked["__id"].eqNullSafe(bad["__bad"]) & (marked["__digest"] == bad["__other"])
-    return marked.join(bad, same, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without any window of the benchmark, with their columns."""
+    rows, names = numbered(docs)
+    found = contaminated_windows(rows, benchmark, names[id_col], names[text_col], row_col="row", **options).where("start IS NOT NULL")
+    return original(rows.join(stored(found.select("row").distinct(), "contaminated"), "row", "left_anti"), names)

@@ -1,18 +1,21 @@
 """Exact deduplication as a stateful stream.
 
-A narrow table of (digest, identifier, row locator) is read as a stream and aggregated by
-digest without a watermark: the state, kept on disk by RocksDB, never expires and holds, for
-each digest, the stable identifier that stays, the locator of its content and the number of
-copies.  Micro-batches are bounded in bytes, a batch is committed under its number, so that a
-replay overwrites itself, and a later run can go on from the same checkpoint.
-
-Equal digests are only hits: the full bytes of every group are compared (smallest and
-largest text of a digest, exact and combined before the shuffle), and a group whose texts
+The content of each run is written once, with a digest and a row number; its locator is (run,
+row).  A narrow table of (digest, identifier, locator) is read as a stream and aggregated by digest
+without a watermark: the state, kept on disk by RocksDB, never expires and holds, for each digest,
+the stable identifier that stays, the locator of its content and the number of copies.
+Micro-batches are bounded in bytes, a batch is committed under its number, so that a replay
+overwrites itself.  A later run under the same ``place`` goes on from the same state; a run that
+failed goes on where it stopped, and one that is repeated under its number counts once.
+
+Equal digests are only hits: the full bytes of every hit, also of those between runs, are compared
+(smallest and largest text of a digest, combined before the shuffle), and a digest whose texts
 differ is regrouped by the texts themselves.
 
 Scale: a digest that a third of all rows share is one row per task before any shuffle; the
 join of rows to the state is a plain shuffle join whose hot partitions adaptive execution
-splits.  Comparing full bytes shuffles each distinct text once; nothing else moves texts.
+splits.  Texts move for hits alone where these are few enough to be broadcast (their number is
+checked); beyond that texts are joined to the hits by a shuffle.
 
 Defined results: null counts as an empty text; of equal texts the row with the largest id
 stays (a null id is below all others); of repeated rows with that id exactly one stays; an
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_rows, shared_dir, stored, text_or_empty
+from .common import exists, shared_dir, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on local disk, its changes (not whole snapshots) logged with each commit.
@@ -35,6 +38,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 BATCH_BYTES = 1 << 34
+#: Digests of hits (some 100 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+OUT = ["id", "row", "digest", "keep_id", "group_size", "kept"]
 
 
 def sha256(text: Column) -> Column:
@@ -43,10 +49,10 @@ def sha256(text: Column) -> Column:
 
 def run_state(spark, source: str, schema, place: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Feed the digests under ``source`` that are new since the last run into the state under
-    ``place``; return the state: digest, keep (id, row), n."""
+    ``place``; return the state: digest, keep (id, run, row), n."""
     out = f"{place}/state"
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
-    kept = stream.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    kept = stream.groupBy("digest").agg(F.max(F.struct("id", "run", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
 
     def commit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -60,38 +66,67 @@ def run_state(spark, source: str, schema, place: str, batch_bytes: int = BATCH_B
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(spark, out):
         return spark.createDataFrame([], kept.schema)  # the stream was empty
     updates = spark.read.schema(T.StructType([*kept.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
-    if not updates.where("batch > 0").limit(1).count():
+    if updates.where("batch > 0").isEmpty():
         return updates.drop("batch")
     last = updates.groupBy("digest").agg(F.max(F.struct("batch", "keep", "n")).alias("last"))
     return stored(last.select("digest", "last.keep", "last.n"), "dedup-state")
 
 
-def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """One row for each input row: id, digest, keep_id, group_size, kept."""
-    spark = docs.sparkSession
-    place = shared_dir(spark, "dedup")
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", digest(F.col("text")))
-    texts.select("digest", "id", F.monotonically_increasing_id().alias("row")).write.parquet(f"{place}/digests")
-    rows = spark.read.parquet(f"{place}/digests")
-    state = run_state(spark, f"{place}/digests", rows.schema, place, batch_bytes)
-    out = rows.join(state, "digest").select("id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("keep.row") == F.col("row")).alias("kept"))
-
-    unlike = texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
+def _written(docs: DataFrame, id_col: str, text_col: str, digest, place: str, run: int) -> tuple[DataFrame, list[str]]:
+    """The content of a run, written unless it is there: ``docs`` with columns of plain names
+    (the list says which), among them id and text, and digest, row and run."""
+    names = ["id" if c == id_col else "text" if c == text_col else f"c{n}" for n, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names).withColumns({"digest": digest(text_or_empty("text")), "row": F.monotonically_increasing_id(), "run": F.lit(run)})
+    path, spark = f"{place}/content/run-{run}", docs.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), names
+
+
+def _grouped(content: DataFrame, place: str, run: int, batch_bytes: int, broadcast_rows: int) -> DataFrame:
+    spark, narrow = content.sparkSession, content.select("digest", "id", "run", "row")
+    path = f"{place}/digests/run-{run}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        narrow.write.mode("overwrite").parquet(path)
+    state = run_state(spark, f"{place}/digests/*", narrow.schema, place, batch_bytes)
+    rows = spark.read.schema(narrow.schema).parquet(path)
+    keep = F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("keep.run") == F.col("run")) & (F.col("keep.row") == F.col("row"))).alias("kept")
+    out = rows.join(state, "digest").select("id", "row", "digest", *keep)
+
+    every = spark.read.schema(content.select("digest", "id", "run", "row", "text").schema).parquet(f"{place}/content/*")
+    every = every.withColumn("text", text_or_empty("text"))
+    hits = state.where("n > 1").select("digest")
+    if run:
+        hits = hits.join(rows.select("digest").distinct(), "digest", "left_semi")
+    hits = stored(hits, "dedup-hits")
+    few = hits.limit(broadcast_rows + 1).count() <= broadcast_rows
+    met = every.select("digest", "text").join(F.broadcast(hits) if few else hits, "digest", "left_semi")
+    unlike = met.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
     unlike = stored(unlike, "dedup-collisions")
-    if unlike.limit(1).count():
-        own = texts.join(unlike, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id())
-        own = stored(own, "dedup-regrouped")
-        best = stored(own.groupBy("digest", "text").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n")), "dedup-regrouped")
-        again = own.join(best, ["digest", "text"]).select("id", "digest", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("keep.row") == F.col("row")).alias("kept"))
-        out = out.join(unlike, "digest", "left_anti").select("id", "digest", "keep_id", "group_size", "kept").unionByName(again)
-    return out
+    if unlike.isEmpty():
+        return out
+    own = stored(every.join(unlike, "digest", "left_semi"), "dedup-regrouped")
+    best = stored(own.groupBy("digest", "text").agg(F.max(F.struct("id", "run", "row")).alias("keep"), F.count(F.lit(1)).alias("n")), "dedup-regrouped")
+    again = own.where(F.col("run") == run).join(best, ["digest", "text"]).select("id", "row", "digest", *keep)
+    return out.join(unlike, "digest", "left_anti").select(OUT).unionByName(again)
+
+
+def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha256, place: str | None = None, run: int = 0, batch_bytes: int = BATCH_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row for each input row: id, row, digest, keep_id, group_size, kept.
+
+    With ``place``, a folder that all executors share, runs 0, 1, 2 ... go on from one another:
+    the result is that of this run's rows among all rows so far."""
+    place = place or shared_dir(docs.sparkSession, "dedup")
+    content, _ = _written(docs.select(id_col, text_col), id_col, text_col, digest, place, run)
+    return _grouped(content, place, run, batch_bytes, broadcast_rows).select(OUT)
 
 
-def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha256, place: str | None = None, run: int = 0, batch_bytes: int = BATCH_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    groups = exact_groups(docs, id_col, text_col, **options)
-    return keep_rows(docs, groups, id_col, text_col, options.get("digest", sha256))
+    place = place or shared_dir(docs.sparkSession, "dedup")
+    content, names = _written(docs, id_col, text_col, digest, place, run)
+    groups = stored(_grouped(content, place, run, batch_bytes, broadcast_rows).where("kept").select("row"), "kept")
+    return content.join(groups, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

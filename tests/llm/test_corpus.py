@@ -58,14 +58,23 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.drop_exact_copies(docs_of(spark, [])).count() == 0
 
 
-def test_dedup_state_goes_on(spark, tmp_path):
-    place, kind = f"file://{tmp_path}/place", "digest string, id long, row long"
-    rows = spark.createDataFrame([("x", 1, 0), ("y", 2, 1)], kind)
-    rows.write.parquet(f"{place}/in")
-    exact_dedup.run_state(spark, f"{place}/in", rows.schema, place)
-    spark.createDataFrame([("x", 5, 2), ("z", 3, 3)], kind).write.mode("append").parquet(f"{place}/in")
-    state = exact_dedup.run_state(spark, f"{place}/in", rows.schema, place).collect()
-    assert {(r.digest, r.keep.id, r.n) for r in state} == {("x", 5, 2), ("y", 2, 1), ("z", 3, 1)}
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: (F.crc32(t.cast("binary")) % 5).cast("string")])
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_dedup_goes_on_from_its_state(spark, tmp_path, digest, broadcast_rows):
+    """Three runs under one place; hits between runs are compared by their bytes too, and a run
+    that is repeated counts once."""
+    rng = random.Random(3)
+    place, sofar = f"file://{tmp_path}/place", []
+    for run in range(3):
+        rows = [(100 * run + i, rng.choice(["a", "b", None, "", "long " * 9_000] + [f"t{k}" for k in range(9)]), "en", "s") for i in range(40)]
+        sofar += rows
+        groups: dict = {}
+        for i, t, *_ in sofar:
+            groups.setdefault(t or "", []).append(i)
+        want = {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""])) for i, t, *_ in rows}
+        for _ in range(1 + (run == 1)):
+            got = exact_dedup.exact_groups(docs_of(spark, rows), digest=digest, place=place, run=run, broadcast_rows=broadcast_rows).collect()
+            assert {r.id: (r.keep_id, r.group_size, r.kept) for r in got} == want and len(got) == len(rows)
 
 
 def brute_classes(rows):
