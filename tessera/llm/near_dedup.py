@@ -15,16 +15,15 @@ shingles (similarity of 0.8 or more), and classes are the connected components o
 
 Within a bucket no all-pairs table arises.  A text's weight is the number of texts it meets in all
 its buckets: the nearer a text is to the middle of its group, the more of its bands are common ones.
-In the first round each text is compared to the heaviest text of each of its buckets, which is the
-same one for most of them.  Verified links merge classes; from then on a bucket that holds one
-class is done, and in the others one text of each class is compared to one of another class (the
-heaviest, then texts drawn by hash).  What is left is compared whole: texts of different classes in
-buckets of at most ``SMALL`` texts with one another, those of larger buckets by an exact join.  With
-the units of these texts ordered from rare to common, two texts of the similarity asked for share a
-unit at the beginning of both, early enough that the rest can still reach it (``close_pairs``); at
-least one of the two is a guest, a text outside the largest class of a bucket, so that the texts of
-a large class never meet one another.  A pair at the limit of 0.8 is therefore missed only where no
-band is shared, which has a probability of 0.0002.
+First each text is compared to the heaviest text of each of its buckets, which is the same one for
+most of them.  Verified links merge classes; from then on a bucket that holds one class is done.
+What is left is compared whole: texts of different classes in buckets of at most ``SMALL`` texts
+with one another, those of larger buckets by an exact join.  With the units of these texts ordered
+from rare to common, two texts of the similarity asked for share a unit at the beginning of both,
+early enough that the rest can still reach it (``close_pairs``); at least one of the two is a guest,
+a text outside the largest class of a bucket, so that the texts of a large class never meet one
+another.  A pair at the limit of 0.8 is therefore missed only where no band is shared, which has a
+probability of 0.0002.
 
 Scale: hot groups are pre-aggregated (exact copies) or meet a single centre (near copies);
 all joins are shuffle joins whose hot partitions adaptive execution splits; shingles travel for
@@ -165,20 +164,17 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = after
         if settled:
             release(near)
-            return labels.select("row", "label")
+            out = labels.select("row", "label")
+            out.stored_at = labels.stored_at
+            return out
     raise RuntimeError("components did not settle")
 
 
-def star_pairs(entries: DataFrame, rep, centre) -> DataFrame:
-    """Pairs (a, b) of ``entries`` (key, row, class, weight): in each bucket one text of each
-    class, the largest by ``rep``, and the bucket's largest by ``centre``, if of another class."""
-    reps = entries.groupBy("key", "class").agg(F.max(F.struct(rep.alias("order"), "row"))["row"].alias("row"), F.max(F.struct(centre.alias("order"), "row")).alias("drawn"))
-    reps = stored(reps, "representatives")  # read back, so that the join's hot partitions can be split
-    about = reps.groupBy("key").agg(F.max(F.struct("drawn.order", "drawn.row", "class")).alias("centre")).select("key", F.col("centre.row").alias("other"), F.col("centre.class").alias("own"))
-    pairs = reps.select("key", "row", "class").join(stored(about, "centres"), "key").where("class <> own")
-    pairs = stored(pairs.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b")), "pairs")
-    release(reps)
-    return pairs
+def star_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``entries`` (key, row, weight): each text and the heaviest of its bucket."""
+    about = stored(entries.groupBy("key").agg(F.max(F.struct("weight", "row"))["row"].alias("other")), "centres")
+    pairs = entries.join(about, "key").where("row <> other")
+    return pairs.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b"))
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
@@ -229,80 +225,59 @@ def close_pairs(units: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     return pairs
 
 
-class Grouping:
-    """Classes of texts that share buckets, merged link by link.
-
-    ``entries`` are the buckets that still hold several classes: key, row, n (texts of the
-    bucket), weight and class; ``classes`` has row and class of every text in a shared bucket."""
-
-    def __init__(self, sketch: DataFrame, firsts: DataFrame, similarity: float):
-        self.similarity = similarity
-        bands = sketch.select("row", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-        every = stored(bands.select(F.explode("bands").alias("key"), "row"), "entries")
-        often = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-        shared = stored(every.join(often, "key"), "entries")
-        weights = stored(shared.groupBy("row").agg(F.sum("n").alias("weight")), "weights")
-        self.entries = stored(shared.join(weights, "row").select("key", "row", "n", "weight", F.col("row").alias("class")), "entries")
-        self.classes = stored(weights.select("row", F.col("row").alias("class")), "classes")
-        # The needed rows grow with the corpus: shuffled at every size, never broadcast.
-        self.units = stored(sketch.select("row", "units").join(weights.select("row").hint("merge"), "row", "left_semi"), "units")
-        self.links: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
-        self.past = [self.units]
-        release(every, often, shared, weights)
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Verify the pairs that were not looked at before, and merge the classes of links."""
-        fresh = pairs.distinct()
-        for before in self.tested:
-            fresh = fresh.join(before, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
-        release(pairs)
-        self.tested.append(fresh)
-        links = verified(fresh, self.units, self.similarity)
-        self.links.append(links)
-        if links.isEmpty():
-            return
-        # The graph of classes; a class is named by its smallest text.
-        of = lambda side: self.classes.select(F.col("row").alias(side), F.col("class").alias(f"c{side}"))
-        between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
-        labels = components(between).withColumnRenamed("row", "class")
-        name = F.coalesce("label", "class").alias("class")
-        self.past += [self.classes, labels]
-        self.classes = stored(self.classes.join(labels, "class", "left").select("row", name), "classes")
-        entries = stored(self.entries.join(labels, "class", "left").select("key", "row", "n", "weight", name), "entries")
-        mixed = stored(entries.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "mixed")
-        self.entries = stored(entries.join(mixed, "key", "left_semi"), "entries")
-        self.past.append(self.entries)
-        release(entries, mixed)
-
-    def guests(self) -> DataFrame:
-        """row, class, guest: the texts of the buckets that are left, and whether a text is
-        outside the largest class of one of them."""
-        sizes = stored(self.entries.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        hosts = sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("host"))
-        rows = self.entries.select("key", "row", "class").join(stored(hosts, "hosts"), "key").groupBy("row", "class").agg(F.max(F.col("class") != F.col("host")).alias("guest"))
-        return stored(rows, "guests")
-
-    def run(self, small: int) -> None:
-        drawn = lambda n: F.xxhash64("row", "key", F.lit(n))
-        self.compare(star_pairs(self.entries, F.col("weight"), F.col("weight")))
-        self.entries = self.entries.where("n > 2")  # a bucket of two is done
-        self.compare(star_pairs(self.entries, F.col("weight"), drawn(1)))
-        self.compare(star_pairs(self.entries, drawn(2), drawn(3)))
-        self.compare(all_pairs(self.entries.where(F.col("n") <= small)))
-        self.entries = self.entries.where(F.col("n") > small)
-        if not self.entries.isEmpty():
-            self.compare(close_pairs(self.units, self.guests(), self.similarity))
+def shared_buckets(sketch: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, row, n, weight of the texts that share buckets, and these texts with their units."""
+    bands = sketch.select("row", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
+    every = stored(bands.select(F.explode("bands").alias("key"), "row"), "entries")
+    often = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    shared = stored(every.join(often, "key"), "entries")
+    weights = stored(shared.groupBy("row").agg(F.sum("n").alias("weight")), "weights")
+    entries = stored(shared.join(weights, "row").select("key", "row", "n", "weight"), "entries")
+    # The needed rows grow with the corpus: shuffled at every size, never broadcast.
+    units = stored(sketch.select("row", "units").join(weights.select("row").hint("merge"), "row", "left_semi"), "units")
+    release(every, often, shared, weights)
+    return entries, units
+
+
+def left_over(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, row, n, class of the buckets of more than two texts that hold several classes."""
+    classed = entries.where("n > 2").select("key", "row", "n").join(labels, "row", "left").withColumn("class", F.coalesce("label", "row")).drop("label")
+    classed = stored(classed, "classed")
+    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "mixed")
+    rest = stored(classed.join(mixed, "key", "left_semi"), "left-over")
+    release(classed, mixed)
+    return rest
+
+
+def guests(entries: DataFrame) -> DataFrame:
+    """row, class, guest: the texts of buckets with several classes, and whether a text is outside
+    the largest class of one of them."""
+    sizes = stored(entries.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    hosts = stored(sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("host")), "hosts")
+    rows = stored(entries.join(hosts, "key").groupBy("row", "class").agg(F.max(F.col("class") != F.col("host")).alias("guest")), "guests")
+    release(sizes, hosts)
+    return rows
 
 
 def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between texts of different words, and their components."""
-    groups = Grouping(sketch, firsts, similarity)
-    groups.run(small)
-    links = stored(reduce(DataFrame.union, groups.links), "links")
-    release(*groups.links, *groups.tested, *groups.past)
-    return links, groups.classes
+    """Verified links (a, b) between texts of different words, and their components (row, label)."""
+    entries, units = shared_buckets(sketch, firsts)
+    tested = stored(star_pairs(entries).distinct(), "pairs")
+    links = verified(tested, units, similarity)
+    labels = components(links)
+    rest = left_over(entries, labels)
+    candidates = [all_pairs(rest.where(F.col("n") <= small))]
+    many = rest.where(F.col("n") > small)
+    if not many.isEmpty():
+        candidates.append(close_pairs(units, guests(many), similarity))
+    more = stored(reduce(DataFrame.union, candidates).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = verified(more, units, similarity)
+    release(entries, tested, rest, more, *candidates, units)
+    if found.isEmpty():
+        return links, labels
+    both = stored(links.union(found), "links")
+    release(links, found, labels)
+    return both, components(both)
 
 
 def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", row_col: str | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, small: int = SMALL) -> DataFrame:
@@ -315,7 +290,7 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", row_col: str
     sketch = stored(given.mapInArrow(lambda x: sketches(x, shingle, coordinates, band_rows), kind), "sketch")
     firsts = stored(sketch.where("content IS NOT NULL").groupBy("content").agg(F.min("row").alias("first")), "firsts")
     links, labels = near_links(sketch, firsts, similarity, small)
-    label = labels.select(F.col("row").alias("first"), F.col("class").alias("label"))
+    label = labels.withColumnRenamed("row", "first")
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n"))
     classes = firsts.join(label, "first", "left").join(degree, "first", "left")
     classes = classes.select("content", F.coalesce("label", "first").alias("class"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
