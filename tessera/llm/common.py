@@ -8,6 +8,7 @@ import string
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +73,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks while a step is at work: for what is computed from
+    stored tables in a few steps, and can be computed again where an executor is lost."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(*tables: DataFrame) -> None:
-    """Remove the folders of stored tables that nothing reads any more."""
+    """Remove the folders of stored tables, and held ones, that nothing reads any more."""
     for table in tables:
         path = getattr(table, "stored_at", None)
-        if path:
+        if not path:
+            table.unpersist()
+        else:
             jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)

@@ -27,7 +27,8 @@ probability of 0.0002.
 
 Scale: hot groups are pre-aggregated (exact copies) or meet a single centre (near copies);
 all joins are shuffle joins whose hot partitions adaptive execution splits; shingles travel for
-texts in shared buckets only.  Every step is written to the shared folder and removed at the end.
+texts in shared buckets only.  Steps are written to the shared folder, or held on the executors'
+disks where they are a few operations away from written ones, and removed at the end.
 Tables of buckets grow with the number of texts times bands, tables of pairs with the number of
 classes that are left in them.  The exact join's pairs are those that the bounds cannot rule out,
 which grow with the square of a group only where its texts have rare units in common.  Verification
@@ -51,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import numbered, original, release, stored, text_or_empty
+from .common import held, numbered, original, release, stored, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, BAND_ROWS = 64, 4
@@ -152,11 +153,11 @@ def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """row, label: the smallest row of each row's component.  Labels spread over links and
     then jump along themselves, so that rounds grow with the logarithm of a chain."""
-    near = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stored(near.groupBy(F.col("a").alias("row")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    near = held(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = held(near.groupBy(F.col("a").alias("row")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     for _ in range(max_rounds):
         seen = near.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row")).agg(F.min("label").alias("seen"))
-        spread = stored(labels.join(seen, "row").select("row", "label", F.least("label", "seen").alias("next")), "labels")
+        spread = held(labels.join(seen, "row").select("row", "label", F.least("label", "seen").alias("next")))
         jump = spread.select(F.col("row").alias("next"), F.col("next").alias("far"))
         after = stored(spread.join(jump, "next").select("row", F.least("next", "far").alias("label"), "label").toDF("row", "label", "old"), "labels")
         settled = after.where("label <> old").isEmpty()
@@ -172,9 +173,11 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def star_pairs(entries: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``entries`` (key, row, weight): each text and the heaviest of its bucket."""
-    about = stored(entries.groupBy("key").agg(F.max(F.struct("weight", "row"))["row"].alias("other")), "centres")
+    about = held(entries.groupBy("key").agg(F.max(F.struct("weight", "row"))["row"].alias("other")))
     pairs = entries.join(about, "key").where("row <> other")
-    return pairs.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b"))
+    pairs = stored(pairs.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b")).distinct(), "pairs")
+    release(about)
+    return pairs
 
 
 def all_pairs(entries: DataFrame) -> DataFrame:
@@ -205,8 +208,8 @@ def close_pairs(units: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     Of texts with x <= y units both must have t/(1+t) (x + y) in common, hence 2t/(1+t) x and
     t y.  The first common unit, in one order for all, then stands early enough in both."""
     each = units.join(rows.select("row"), "row").select("row", "units").mapInArrow(single_units, "row long, n long, unit int")
-    each = stored(each, "single")
-    often = stored(each.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    each = held(each)
+    often = held(each.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     ordered = each.join(often, "unit", "left").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("often", F.lit(1)), "unit")))
     least = lambda share: F.ceil(F.col("n") * share - SLACK)
     early = ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - least(similarity) + 1)).select("unit", "row", "n", "place")
@@ -228,10 +231,10 @@ def close_pairs(units: DataFrame, rows: DataFrame, similarity: float) -> DataFra
 def shared_buckets(sketch: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """key, row, n, weight of the texts that share buckets, and these texts with their units."""
     bands = sketch.select("row", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-    every = stored(bands.select(F.explode("bands").alias("key"), "row"), "entries")
-    often = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    shared = stored(every.join(often, "key"), "entries")
-    weights = stored(shared.groupBy("row").agg(F.sum("n").alias("weight")), "weights")
+    every = held(bands.select(F.explode("bands").alias("key"), "row"))
+    often = held(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = held(every.join(often, "key"))
+    weights = held(shared.groupBy("row").agg(F.sum("n").alias("weight")))
     entries = stored(shared.join(weights, "row").select("key", "row", "n", "weight"), "entries")
     # The needed rows grow with the corpus: shuffled at every size, never broadcast.
     units = stored(sketch.select("row", "units").join(weights.select("row").hint("merge"), "row", "left_semi"), "units")
@@ -242,8 +245,8 @@ def shared_buckets(sketch: DataFrame, firsts: DataFrame) -> tuple[DataFrame, Dat
 def left_over(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """key, row, n, class of the buckets of more than two texts that hold several classes."""
     classed = entries.where("n > 2").select("key", "row", "n").join(labels, "row", "left").withColumn("class", F.coalesce("label", "row")).drop("label")
-    classed = stored(classed, "classed")
-    mixed = stored(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "mixed")
+    classed = held(classed)
+    mixed = held(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"))
     rest = stored(classed.join(mixed, "key", "left_semi"), "left-over")
     release(classed, mixed)
     return rest
@@ -252,17 +255,17 @@ def left_over(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def guests(entries: DataFrame) -> DataFrame:
     """row, class, guest: the texts of buckets with several classes, and whether a text is outside
     the largest class of one of them."""
-    sizes = stored(entries.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    hosts = stored(sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("host")), "hosts")
+    sizes = entries.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    hosts = held(sizes.groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("host")))
     rows = stored(entries.join(hosts, "key").groupBy("row", "class").agg(F.max(F.col("class") != F.col("host")).alias("guest")), "guests")
-    release(sizes, hosts)
+    release(hosts)
     return rows
 
 
 def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between texts of different words, and their components (row, label)."""
     entries, units = shared_buckets(sketch, firsts)
-    tested = stored(star_pairs(entries).distinct(), "pairs")
+    tested = star_pairs(entries)
     links = verified(tested, units, similarity)
     labels = components(links)
     rest = left_over(entries, labels)
