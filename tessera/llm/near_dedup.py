@@ -34,7 +34,8 @@ classes that are left in them.  The exact join's pairs are those that the bounds
 which grow with the square of a group only where its texts have rare units in common.  Verification
 is on 32 bits of each unit's hash: false matches raise a similarity by n / 2**32 for n units.
 
-Defined results: null or wordless text is a class of its own; fewer than five words are one
+Defined results: null or wordless text is a class of its own for each id, and for each row without
+one; fewer than five words are one
 shingle; the class id is the smallest id of the class (nulls last), and of repeated rows with
 that id the first read is the one that stays; an empty table gives an empty result.
 """
@@ -115,14 +116,16 @@ def band_keys(kept: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 
 def sketches(batches: Iterator[pa.RecordBatch], shingle: int, k: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, at = batch.column(batch.schema.names.index("text")), 0
+        texts, ids = batch.column("text"), batch.column("id")
         for first, last, data, offsets in tk.slices(texts):
             hashes, _, begins = tk.word_hashes(data, offsets)
             runs = tk.shingle_hashes(hashes, shingle)
             content, bands, units = [], [], []
-            for a, b in zip(begins[:-1], begins[1:], strict=True):
-                if a == b:
-                    content.append(None), bands.append(None), units.append(None)
+            for n, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
+                if a == b:  # repeated rows of one id are one text, all others texts of their own
+                    own = ids[first + n].as_py()
+                    content.append(None if own is None else hashlib.blake2b(f"no words: {own}".encode(), digest_size=16).digest())
+                    bands.append(None), units.append(None)
                     continue
                 own = hashes[a:b]
                 whole = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
@@ -134,7 +137,6 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, k: int, rows: int)
             columns = [part.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(units, pa.binary())], [*names, "content", "bands", "units"])
-            at = last
 
 
 def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
