@@ -105,13 +105,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` written once with a number for each row, by which an operator's decisions find
-    the row again, also where ids or whole rows repeat.  Columns have names of their own
-    (c0, c1 ...) that clash with none of an operator's; the mapping leads to them."""
-    names = {c: f"c{n}" for n, c in enumerate(docs.columns)}
-    return stored(docs.toDF(*names.values()).withColumn("row", F.monotonically_increasing_id()), "rows"), names
-
-
-def original(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+class Marked:
+    """Rows of ``docs`` that an operator's decisions find again by id and digest of the text,
+    without a copy of the table.  Columns have names of their own meanwhile (c0, c1 ...), which
+    clash with none of an operator's."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, digest=F.xxhash64):
+        self.names = docs.columns
+        own = [f"c{n}" for n in range(len(self.names))]
+        at = dict(zip(self.names, own, strict=True))
+        self.rows = docs.toDF(*own).withColumns({"id": F.col(at[id_col]), "digest": digest(text_or_empty(at[text_col])), "text": F.col(at[text_col])})
+
+    def among(self, side: DataFrame, how: str, rows: DataFrame | None = None) -> DataFrame:
+        rows = self.rows if rows is None else rows
+        side = side.select(F.col("id").alias("other_id"), F.col("digest").alias("other_digest"))
+        return rows.join(side, rows["id"].eqNullSafe(side["other_id"]) & (rows["digest"] == side["other_digest"]), how)
+
+    def given(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(self.names)])
+
+    def kept(self, groups: DataFrame) -> DataFrame:
+        """The rows that ``groups`` (id, digest and kept of every row) marks as kept.  Of repeated
+        rows with id and digest in common, the first by the text of the whole row stays."""
+        groups = stored(groups.select("id", "digest", "kept"), "groups")  # ends the join, whose hot partitions can then be split
+        about = groups.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        about = stored(about.where("kept"), "kept")
+        release(groups)
+        kept, often = self.among(about, "left_semi"), about.where("n > 1")
+        if often.isEmpty():
+            return self.given(kept)
+        whole = F.struct(*[f"c{n}" for n in range(len(self.names))])
+        one = self.among(often, "left_semi").groupBy("id", "digest").agg(F.min_by(whole, F.to_json(whole)).alias("one")).select("one.*")
+        return self.given(self.among(often, "left_anti", kept)).unionByName(self.given(one))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, original, shifted, stored, text_or_empty, words
+from .common import Marked, shifted, stored, text_or_empty, words
 
 WINDOW, K = 10, 5
 #: Test fingerprints (some 200 bytes each) up to which they are broadcast.
@@ -90,11 +90,9 @@ def benchmark_marks(items: DataFrame, window: int, k: int, short: list[int]) ->
     return long_.unionByName(few)
 
 
-def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS, row_col: str | None = None) -> DataFrame:
+def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """row, doc_id, n_words, item, start, end: each window of an item where it stands in a
-    document, in words, end exclusive; and one row with null start for each document.
-
-    ``row_col`` is a number of each row, if there is one already."""
+    document, in words, end exclusive; and one row with null start for each document."""
     if not 0 < k <= window:
         raise ValueError("a k-gram must fit the window")
     reach = window - k
@@ -103,8 +101,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id",
     marks = benchmark_marks(items, window, k, short)
     few = marks.limit(broadcast_rows + 1).count() <= broadcast_rows
 
-    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(number.alias("row"), F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
     rows = picked(rows.withColumn("n_words", F.size("words").cast("long")), window, k, short)
     first = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).cast("long").alias("mark")))  # a row that each document has
     each = rows.select("row", "doc_id", "n_words", "words", F.explode_outer(F.concat(first, "picks")).alias("p")).select("row", "doc_id", "n_words", "words", "p.*")
@@ -146,6 +143,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark, with their columns."""
-    rows, names = numbered(docs)
-    found = contaminated_windows(rows, benchmark, names[id_col], names[text_col], row_col="row", **options).where("start IS NOT NULL")
-    return original(rows.join(stored(found.select("row").distinct(), "contaminated"), "row", "left_anti"), names)
+    marked = Marked(docs, id_col, text_col)
+    keyed = marked.rows.withColumn("key", F.struct("id", "digest"))
+    found = contaminated_windows(keyed, benchmark, "key", "text", **options).where("start IS NOT NULL")
+    return marked.given(marked.among(stored(found.select("doc_id.id", "doc_id.digest").distinct(), "contaminated"), "left_anti"))

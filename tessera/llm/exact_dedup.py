@@ -1,7 +1,7 @@
 """Exact deduplication as a stateful stream.
 
-The content of each run is written once, with a digest and a row number; its locator is (run,
-row).  A narrow table of (digest, identifier, locator) is read as a stream and aggregated by digest
+The content of each run has a digest and a row number; its locator is (run, row), and where runs go
+on from one another the content is written under it.  A narrow table of (digest, identifier, locator) is read as a stream and aggregated by digest
 without a watermark: the state, kept on disk by RocksDB, never expires and holds, for each digest,
 the stable identifier that stays, the locator of its content and the number of copies.
 Micro-batches are bounded in bytes, a batch is committed under its number, so that a replay
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exists, shared_dir, stored, text_or_empty
+from .common import Marked, exists, release, shared_dir, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on local disk, its changes (not whole snapshots) logged with each commit.
@@ -75,42 +75,42 @@ def run_state(spark, source: str, schema, place: str, batch_bytes: int = BATCH_B
     return stored(last.select("digest", "last.keep", "last.n"), "dedup-state")
 
 
-def _written(docs: DataFrame, id_col: str, text_col: str, digest, place: str, run: int) -> tuple[DataFrame, list[str]]:
-    """The content of a run, written unless it is there: ``docs`` with columns of plain names
-    (the list says which), among them id and text, and digest, row and run."""
-    names = ["id" if c == id_col else "text" if c == text_col else f"c{n}" for n, c in enumerate(docs.columns)]
-    rows = docs.toDF(*names).withColumns({"digest": digest(text_or_empty("text")), "row": F.monotonically_increasing_id(), "run": F.lit(run)})
-    path, spark = f"{place}/content/run-{run}", docs.sparkSession
-    if not exists(spark, f"{path}/_SUCCESS"):
-        rows.write.mode("overwrite").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path), names
-
-
-def _grouped(content: DataFrame, place: str, run: int, batch_bytes: int, broadcast_rows: int) -> DataFrame:
-    spark, narrow = content.sparkSession, content.select("digest", "id", "run", "row")
-    path = f"{place}/digests/run-{run}"
+def _grouped(rows: DataFrame, place: str, run: int, batch_bytes: int, broadcast_rows: int, keep_content: bool) -> DataFrame:
+    """``rows``: id, text, digest.  With ``keep_content`` the texts are written next to their
+    digests, for the runs that come after."""
+    spark, named = rows.sparkSession, rows.withColumns({"row": F.monotonically_increasing_id(), "run": F.lit(run)})
+    if keep_content:
+        path = f"{place}/content/run-{run}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            named.write.mode("overwrite").parquet(path)
+        texts = spark.read.schema(named.schema).parquet(f"{place}/content/*")
+        named = spark.read.schema(named.schema).parquet(path)
+    else:
+        texts = rows.withColumn("run", F.lit(run))
+    narrow, path = named.select("digest", "id", "run", "row"), f"{place}/digests/run-{run}"
     if not exists(spark, f"{path}/_SUCCESS"):
         narrow.write.mode("overwrite").parquet(path)
     state = run_state(spark, f"{place}/digests/*", narrow.schema, place, batch_bytes)
-    rows = spark.read.schema(narrow.schema).parquet(path)
+    own = spark.read.schema(narrow.schema).parquet(path)
     keep = F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("keep.run") == F.col("run")) & (F.col("keep.row") == F.col("row"))).alias("kept")
-    out = rows.join(state, "digest").select("id", "row", "digest", *keep)
+    out = own.join(state, "digest").select("id", "row", "digest", *keep)
 
-    every = spark.read.schema(content.select("digest", "id", "run", "row", "text").schema).parquet(f"{place}/content/*")
-    every = every.withColumn("text", text_or_empty("text"))
     hits = state.where("n > 1").select("digest")
     if run:
-        hits = hits.join(rows.select("digest").distinct(), "digest", "left_semi")
+        hits = hits.join(own.select("digest").distinct(), "digest", "left_semi")
     hits = stored(hits, "dedup-hits")
     few = hits.limit(broadcast_rows + 1).count() <= broadcast_rows
-    met = every.select("digest", "text").join(F.broadcast(hits) if few else hits, "digest", "left_semi")
+    met = texts.select("digest", "text").join(F.broadcast(hits) if few else hits, "digest", "left_semi")
     unlike = met.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
     unlike = stored(unlike, "dedup-collisions")
+    release(hits)
     if unlike.isEmpty():
         return out
-    own = stored(every.join(unlike, "digest", "left_semi"), "dedup-regrouped")
-    best = stored(own.groupBy("digest", "text").agg(F.max(F.struct("id", "run", "row")).alias("keep"), F.count(F.lit(1)).alias("n")), "dedup-regrouped")
-    again = own.where(F.col("run") == run).join(best, ["digest", "text"]).select("id", "row", "digest", *keep)
+    # A row number of its own here, as texts that were not written have none.
+    every = texts.join(unlike, "digest", "left_semi").select("digest", "id", "text", "run").withColumn("row", F.monotonically_increasing_id())
+    every = stored(every, "dedup-regrouped")
+    best = stored(every.groupBy("digest", "text").agg(F.max(F.struct("id", "run", "row")).alias("keep"), F.count(F.lit(1)).alias("n")), "dedup-regrouped")
+    again = every.where(F.col("run") == run).join(best, ["digest", "text"]).select("id", "row", "digest", *keep)
     return out.join(unlike, "digest", "left_anti").select(OUT).unionByName(again)
 
 
@@ -119,14 +119,11 @@ def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha25
 
     With ``place``, a folder that all executors share, runs 0, 1, 2 ... go on from one another:
     the result is that of this run's rows among all rows so far."""
-    place = place or shared_dir(docs.sparkSession, "dedup")
-    content, _ = _written(docs.select(id_col, text_col), id_col, text_col, digest, place, run)
-    return _grouped(content, place, run, batch_bytes, broadcast_rows).select(OUT)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", digest(F.col("text")))
+    return _grouped(rows, place or shared_dir(docs.sparkSession, "dedup"), run, batch_bytes, broadcast_rows, bool(place)).select(OUT)
 
 
-def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha256, place: str | None = None, run: int = 0, batch_bytes: int = BATCH_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha256, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    place = place or shared_dir(docs.sparkSession, "dedup")
-    content, names = _written(docs, id_col, text_col, digest, place, run)
-    groups = stored(_grouped(content, place, run, batch_bytes, broadcast_rows).where("kept").select("row"), "kept")
-    return content.join(groups, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    marked = Marked(docs, id_col, text_col, digest)
+    return marked.kept(exact_groups(marked.rows, "id", "text", digest, **options))

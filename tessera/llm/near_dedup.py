@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import held, numbered, original, release, stored, text_or_empty
+from .common import Marked, held, release, stored, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, BAND_ROWS = 64, 4
@@ -285,13 +285,14 @@ def near_links(sketch: DataFrame, firsts: DataFrame, similarity: float, small: i
     return both, components(both)
 
 
-def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", row_col: str | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, small: int = SMALL) -> DataFrame:
-    """One row for each input row: id, row, class_id, class_size, n_links, kept.
+def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, similarity: float = SIMILARITY, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, small: int = SMALL) -> DataFrame:
+    """One row for each input row: id, row, digest (of the text), class_id, class_size, n_links,
+    kept.
 
-    ``row_col`` is a number of each row, if there is one already.  ``n_links`` counts the verified
-    links that were needed, to texts of other words."""
-    given = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kind = f"row long, id {given.schema['id'].dataType.simpleString()}, content binary, bands array<long>, units binary"
+    ``n_links`` counts the verified links that were needed, to texts of other words."""
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    given = given.withColumn("digest", F.xxhash64("text"))
+    kind = f"row long, id {given.schema['id'].dataType.simpleString()}, digest long, content binary, bands array<long>, units binary"
     sketch = stored(given.mapInArrow(lambda x: sketches(x, shingle, coordinates, band_rows), kind), "sketch")
     firsts = stored(sketch.where("content IS NOT NULL").groupBy("content").agg(F.min("row").alias("first")), "firsts")
     links, labels = near_links(sketch, firsts, similarity, small)
@@ -300,18 +301,17 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", row_col: str
     classes = firsts.join(label, "first", "left").join(degree, "first", "left")
     classes = classes.select("content", F.coalesce("label", "first").alias("class"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
     classes = stored(classes.select("content", "class", "n_links"), "classes")
-    rows = sketch.select("row", "id", "content")
-    known = rows.join(classes, "content").select("row", "id", "class", "n_links")
-    alone = rows.where("content IS NULL").select("row", "id", F.col("row").alias("class"), F.lit(0).cast("long").alias("n_links"))
+    rows = sketch.select("row", "id", "digest", "content")
+    known = rows.join(classes, "content").select("row", "id", "digest", "class", "n_links")
+    alone = rows.where("content IS NULL").select("row", "id", "digest", F.col("row").alias("class"), F.lit(0).cast("long").alias("n_links"))
     rows = stored(known.unionByName(alone), "classed")
     release(sketch, firsts, links, labels, classes)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     about = stored(rows.groupBy("class").agg(best, F.count(F.lit(1)).alias("class_size")), "about")
-    return rows.join(about, "class").select("id", "row", F.col("best.id").alias("class_id"), "class_size", "n_links", (F.col("best.row") == F.col("row")).alias("kept"))
+    return rows.join(about, "class").select("id", "row", "digest", F.col("best.id").alias("class_id"), "class_size", "n_links", (F.col("best.row") == F.col("row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class."""
-    rows, names = numbered(docs)
-    classes = near_classes(rows, names[id_col], names[text_col], "row", **options)
-    return original(rows.join(stored(classes.where("kept").select("row"), "kept"), "row", "left_semi"), names)
+    marked = Marked(docs, id_col, text_col)
+    return marked.kept(near_classes(marked.rows, "id", "text", **options))
