@@ -14,6 +14,7 @@ from .operators import corrections, tables
 from .operators import evaluation as ev
 from .sinks import files, reports
 from .sources import formats, images, labels, layout
+from .store import stored
 
 
 class Manager:
@@ -31,6 +32,9 @@ class Manager:
     def layout_detect(self) -> str:
         return layout.detect(self.root)
 
+    def layout_report(self) -> dict:
+        return layout.report(self.spark, self.root)
+
     def check(self) -> DataFrame:
         issues = ds.validate(self.data.annotations, len(self.data.classes) or None)
         if self.data.orphans is not None:
@@ -46,9 +50,56 @@ class Manager:
         return labels.list_labels(self.spark, folder).select("image") if os.path.isdir(folder) else self.data.annotations.select("image").distinct()
 
     def stats(self) -> dict[str, DataFrame]:
-        ann = self.data.annotations
-        series = {"width": F.col("w"), "height": F.col("h"), "area": F.col("w") * F.col("h"), "aspect": F.col("w") / F.col("h"), "confidence": F.col("confidence")}
-        return {"classes": ds.class_counts(ann, self.classes), "boxes": ds.describe(ann, series), "aspect": ds.histogram(ann, F.col("w") / F.col("h")), "per_image": ds.objects_per_image(ann, self.data.images)}
+        """Counts, descriptions of all series, shape bins and attributes; polygons count by the
+        boxes around them, sizes in pixels where an image's size is known."""
+        sizes = self._sizes()
+        ann = ds.seg_to_det(self.data.annotations.withColumn("points", F.size("polygon"))).join(sizes, "image", "left")
+        ann = stored(ann, "boxes")  # read for each table
+        schema = self._schema()
+        out = {
+            "totals": ds.totals(ann, self.data.images, self.data.orphans, self._labelled(), schema), "classes": ds.class_counts(ann, self.classes), "boxes": ds.describe(ann, ds.box_series()),
+            "images": ds.describe(sizes, {"image_width": F.col("width"), "image_height": F.col("height")}), "aspect": ds.histogram(ann, F.col("w") / F.col("h"), ds.SHAPE_EDGES),
+            "per_image": ds.objects_per_image(ann, self.data.images),
+        }
+        if schema:
+            out |= {"attributes": ds.attribute_counts(ann, schema), "class_attributes": ds.attribute_counts(ann, schema, by_class=True)}
+        return out
+
+    def _schema(self) -> dict:
+        """Attributes that all classes share, with their options if they are a list."""
+        return {n: o if isinstance(o, list) else None for n, o in self.data.attributes.items() if not isinstance(o, dict)}
+
+    def stat_tables(self, selected=None) -> dict[str, DataFrame]:
+        """The table behind each selected statistic (a list of names or such a text; all: every one)."""
+        ann, names, schema = stored(ds.seg_to_det(self.data.annotations), "boxes"), self.data.classes, self._schema()
+        sized = ann.join(self._sizes(), "image", "left").withColumns(corners())
+        chosen = tables.selected_statistics(selected)
+        row = lambda *c: sized.select(ds.class_name(names).alias("category"), *c)
+        known = {
+            "class_counts": lambda: ds.class_counts(ann, self.classes), "box_number": lambda: ds.objects_per_image(ann, self.data.images), "box_width": lambda: row("w"), "box_height": lambda: row("h"),
+            "box_area": lambda: row((F.col("w") * F.col("h")).alias("area")), "attribute": lambda: ds.attribute_counts(ann, schema) if schema else None,
+            "image_shape": lambda: tables.image_shapes(self._sizes()), "box_shape": lambda: row("w", "h"), "box_shape_pix": lambda: row((F.col("w") * F.col("width")).alias("width"), (F.col("h") * F.col("height")).alias("height")),
+            "box_shape_rate": lambda: ds.histogram(ann, F.col("w") / F.col("h"), ds.SHAPE_EDGES), "box_pos_start": lambda: row("x1", "y1"), "box_pos_center": lambda: row("cx", "cy"), "box_pos_end": lambda: row("x2", "y2"),
+            "legacy_csv": lambda: reports.box_rows(ann, names),
+        }
+        found = {n: make() for n, make in known.items() if n in chosen}
+        if schema and {"legacy_csv", "attribute"} & chosen:
+            found["legacy_attribute_csv"] = reports.attribute_rows(ann, names, schema)
+        return {n: t for n, t in found.items() if t is not None}
+
+    def write_stats(self, out: str | None = None, selected=None) -> list[str]:
+        """A CSV file for each selected statistic."""
+        folder = out or files.operation_dir(self.root, "stats", "tables")
+        for name, rows in self.stat_tables(selected).items():
+            reports.write_csv(rows, os.path.join(folder, f"{name}.csv"))
+        return sorted(os.listdir(folder))
+
+    def _sizes(self) -> DataFrame:
+        """image, width, height; images without a file have none."""
+        folder = os.path.join(self.root, "images")
+        if not os.path.isdir(folder):
+            return self.data.images.select("image", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+        return images.read_headers(self.spark, folder).select("image", "width", "height")
 
     def query_class(self, classes) -> DataFrame:
         return ds.query_class(self.data.annotations, self.data.classes.ids(classes))
@@ -97,32 +148,50 @@ class Manager:
     def pseudo(self, least: float = 0.0, **options) -> DataFrame:
         return ds.pseudo_labels(self.data.annotations, least, **options)
 
-    def split(self, **shares) -> DataFrame:
-        return ds.split_images(self.data.images, **shares)
-
-    def write(self, out: str, annotations: DataFrame | None = None, classes=None, **options) -> None:
-        """Label texts and class files; images stay where they are."""
-        labels.write_texts(labels.label_texts(annotations if annotations is not None else self.data.annotations, self.data.images, **options), os.path.join(out, "labels"))
+    def split(self, train_include=None, val_include=None, **shares) -> DataFrame:
+        """Images with their split; names in the lists (tables, or text files) are forced."""
+        listed = [layout.read_image_list(self.spark, x) if isinstance(x, str) else x for x in (train_include, val_include)]
+        return ds.split_with_lists(self.data.images, *listed, **shares)
+
+    def write(self, out: str, annotations: DataFrame | None = None, classes=None, images: DataFrame | None = None, attributes: dict | None = None, copy_images: bool = False, overwrite_images: bool = True, backup_dir: str | None = None, **options) -> None:
+        """Label texts, class and attribute files and, with ``copy_images``, the images under
+        their file names.  ``backup_dir`` gets the label files of before in a dated folder."""
+        pics = images if images is not None else self.data.images
+        ann = annotations if annotations is not None else self.data.annotations
+        if backup_dir:
+            self.backup_labels(backup_dir)
+        # A label is named like its image's file.
+        named = pics.select("image", labels.stem(F.col("file_name")).alias("stem"))
+        texts = labels.label_texts(ann, pics, **options).join(named, "image").select(F.col("stem").alias("image"), "value")
+        labels.write_texts(texts, os.path.join(out, "labels"))
+        if copy_images and "path" in pics.columns:
+            plan = pics.select(files.local_path(F.col("path")).alias("source"), F.concat(F.lit(os.path.join(out, "images") + "/"), "file_name").alias("target"))
+            files.copy_files(plan, overwrite_images)
         layout.write_names(out, classes if classes is not None else self.data.classes)
+        layout.write_attributes(out, attributes if attributes is not None else self.data.attributes)
 
     def select(self, names: DataFrame | str) -> DataFrame:
         """Images whose stem or file name is listed, in a table (name) or a text file."""
         return ds.select_images(self.data.images, layout.read_image_list(self.spark, names) if isinstance(names, str) else names)
 
-    def merge(self, *others: Manager, **options):
-        """Images, annotations and class names of this dataset and others together."""
+    def merge(self, *others: Manager | str, **options):
+        """Images, annotations and class names of this dataset and others (or their folders)
+        together."""
+        others = [Manager(self.spark, m) if isinstance(m, str) else m for m in others]
         return ds.merge_datasets([(m.data.images, m.data.annotations, m.data.classes) for m in (self, *others)], **options)
 
     def write_yaml(self, out: str | None = None, **options) -> None:
         layout.write_names(out or self.root, self.data.classes, **options)
 
-    def write_splits(self, out: str | None = None, **shares) -> None:
+    def write_splits(self, out: str | None = None, **shares) -> DataFrame:
         """Split lists in ``out``; those of before move to a dated folder next to them."""
         files.backup_splits(out or self.root, os.path.join(out or self.root, "split_backup"))
-        files.write_splits(self.split(**shares), out or self.root)
+        parts = stored(self.split(**shares), "splits")
+        files.write_splits(parts, out or self.root)
+        return parts
 
     def backup_labels(self, folder: str | None = None) -> int:
-        plan = files.backup_plan(self.data.annotations.select("label_path"), self.root, folder).persist()
+        plan = stored(files.backup_plan(self.data.annotations.select("label_path"), self.root, folder), "backup")
         files.copy_files(plan)
         return plan.count()
 
@@ -131,10 +200,12 @@ class Manager:
 
     def set_attr(self, name: str, value: float, classes=None, where_value: float | None = None):
         ids = None if classes is None else self.data.classes.ids(classes)
-        return ds.set_attribute(self.data.annotations, list(self.data.attributes).index(name), value, ids, where_value)
+        out, report = ds.set_attribute(self.data.annotations, list(self.data.attributes).index(name), value, ids, where_value)
+        return out, report.withColumn("attr_name", F.lit(name))
 
     def delete_attr(self, name: str, values=None, nonzero: bool = False):
-        return ds.delete_by_attribute(self.data.annotations, list(self.data.attributes).index(name), values, nonzero)
+        out, report = ds.delete_by_attribute(self.data.annotations, list(self.data.attributes).index(name), values, nonzero)
+        return out, report.withColumn("attr_name", F.lit(name))
 
     def _crops(self, folder: str) -> DataFrame:
         return labels.list_images(self.spark, folder).select(F.col("image").alias("crop"))
@@ -158,8 +229,18 @@ class Manager:
     def draw(self, least: float | None = None, show_confidence: bool = False) -> DataFrame:
         return tables.draw_list(self._sized().withColumns(corners()), self.data.classes, least, show_confidence)
 
-    def crop(self, padding: int | float = 0, min_size: int = 1) -> DataFrame:
-        return ds.crop_rects(self._sized().withColumns(corners()), padding, min_size)
+    def crop(self, padding: int | float = 0, min_size: int = 1, by_attribute: bool = False) -> DataFrame:
+        """Crop rectangles, each with its class name; ``by_attribute`` gives a row for each
+        attribute of a box that does not mean none as well (null for the box itself)."""
+        rows = self._sized().withColumns(corners())
+        rects = ds.crop_rects(rows, padding, min_size).withColumn("class_name", ds.class_name(self.data.classes))
+        schema = self._schema()
+        if not by_attribute or not schema:
+            return rects
+        cells = [F.when(ds.has_value(k, o), F.struct(F.lit(n).alias("attribute"), ds.decoded(k, o).alias("value"))) for k, (n, o) in enumerate(schema.items())]
+        none = F.struct(F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value"))
+        each = rows.select("image", "ord", F.explode(F.concat(F.array(none), F.array_compact(F.array(*cells)))).alias("a")).select("image", "ord", "a.*")
+        return rects.join(each, ["image", "ord"])
 
     def manual_box(self, image: str, min_pixels: int = 2) -> DataFrame:
         """The boxes of one image that are large enough to be worked on, as lines of its label."""
@@ -184,30 +265,105 @@ class Manager:
         return rows.withColumns(moved | {"polygon": points}).select(*self.data.annotations.columns)
 
     # --- evaluating: predictions are another dataset or a folder of label files
-    def _sides(self, pred: str) -> tuple[DataFrame, DataFrame]:
-        other = layout.load(self.spark, pred).annotations
-        return self.data.annotations.withColumns(corners()), other.withColumns(corners())
-
-    def eval_compare(self, pred: str, **options) -> DataFrame:
-        return ev.compare(*self._sides(pred), **options)
-
-    def eval_metrics(self, pred: str, **options) -> DataFrame:
-        return ev.class_metrics(*self._sides(pred), **options)
-
-    def eval_error_analysis(self, pred: str, **options) -> DataFrame:
-        return ev.errors(*self._sides(pred), **options)
-
-    def eval_review_pack(self, pred: str, **options) -> DataFrame:
-        return tables.review_crop_name(ev.review_group(self.eval_error_analysis(pred, **options)))
+    def _sides(self, pred: str, classes=None, exclude=None, min_confidence: float = 0.0, min_pixels: float | None = None, merge=None, compact: bool = True, class_rules=None, stems=None, with_sizes: bool = False, **rule):
+        """Both sides as boxes (polygons by the boxes around them) after merges and filters, and
+        the class names then; class ids and names are those after merging."""
+        stems = layout.read_stems(self.spark, stems) if isinstance(stems, str) else stems
+        gt, other, names = self.data.annotations, layout.load(self.spark, pred, stems=stems).annotations, self.data.classes
+        if stems is not None:
+            gt = gt.join(stems.select("image").distinct(), "image", "left_semi")
+        if merge:
+            gt, other, names = tables.merged_sides(gt, other, names, layout.read_mapping(merge) if isinstance(merge, str) else merge, compact)
+        sized = with_sizes or min_pixels is not None or bool(class_rules)
+        gt, other = (ds.seg_to_det(x) for x in (gt, other))
+        if sized:
+            sizes = stored(self._sizes(), "sizes")
+            gt, other = (x.join(sizes, "image", "left") for x in (gt, other))
+        ids = None if classes is None else [k for k in names.ids(classes) if k not in (names.ids(exclude) if exclude is not None else [])]
+        rules = layout.read_mapping(class_rules) if isinstance(class_rules, str) else class_rules
+        rules = {names.id(k): v for k, v in (rules or {}).items()}
+        gt, other = tables.evaluation_filter(gt, other, ids, names.ids(exclude) if exclude is not None else None, min_confidence, min_pixels, rules, **rule)
+        gt, other = (x.withColumns(corners()) for x in (gt, other))
+        return (*map(tables.with_size, (gt, other)), names, ids) if with_sizes else (gt, other, names, ids)
+
+    def eval_compare(self, pred: str, out: str | None = None, iou_threshold: float = 0.5, confidence_threshold: float | None = None, **options) -> DataFrame:
+        """The comparison; with ``out`` also as compare.csv."""
+        gt, other, names, _ = self._sides(pred, **options)
+        rows = ev.compare(gt, other, iou_threshold, confidence_threshold)
+        if out:
+            reports.write_csv(reports.compare_rows(rows, names), os.path.join(out, "compare.csv"))
+        return rows
 
-    def eval_metrics_text(self, pred: str, **options) -> str:
-        rows = self.eval_metrics(pred, **options).persist()
-        return reports.metrics_text(rows, ev.macro_metrics(rows), self.data.classes)
+    def eval_metrics(self, pred: str, nms_iou: float | None = 0.5, thresholds=ev.THRESHOLDS, include_empty: bool = False, sizes: bool = False, out: str | None = None, **options) -> DataFrame:
+        """A row for each class, and for each selected one without any box.  With ``out`` the
+        reports are written: class rows, totals, the table as text and, with ``sizes``, sizes."""
+        rows, macro, by_size, names, ids = self._metrics(pred, nms_iou, thresholds, include_empty, sizes, **options)
+        if out:
+            about = {"selected_class_ids": ids, "iou_thresholds": [*thresholds], "nms_iou": nms_iou, "ignore_empty_classes": not include_empty}
+            reports.write_metrics(rows if include_empty else rows.where("labels > 0"), macro, names, out, by_size, about)
+        return rows
+
+    def _metrics(self, pred: str, nms_iou=0.5, thresholds=ev.THRESHOLDS, include_empty: bool = False, sizes: bool = False, **options):
+        gt, other, names, ids = self._sides(pred, with_sizes=sizes, **options)
+        gt, other = stored(gt, "gt"), stored(other, "pred")
+        rows = ev.class_metrics(gt, other, nms_iou, thresholds)
+        if ids is not None:
+            chosen = self.spark.createDataFrame([(k,) for k in sorted(set(ids))], "class_id int")
+            rows = chosen.join(rows, "class_id", "left").fillna(0)
+        rows = stored(rows, "metrics")
+        macro = ev.macro_metrics(rows, not include_empty).withColumn("images", F.lit(self.data.images.count()))
+        return rows, macro, ev.size_metrics(gt, other, nms_iou, thresholds, not include_empty) if sizes else None, names, ids
+
+    def eval_size_metrics(self, pred: str, nms_iou: float | None = 0.5, thresholds=ev.THRESHOLDS, include_empty: bool = False, **options) -> DataFrame:
+        gt, other, *_ = self._sides(pred, with_sizes=True, **options)
+        return ev.size_metrics(gt, other, nms_iou, thresholds, not include_empty)
+
+    def eval_error_analysis(self, pred: str, match_iou: float = 0.5, low_iou: float = 0.1, nms_iou: float | None = 0.5, duplicate_iou: float = 0.9, out: str | None = None, **options) -> DataFrame:
+        """A row for each match and error; with ``out`` also the report files, the confusion
+        matrix and the labels that all but coincide."""
+        gt, other, names, _ = self._sides(pred, **options)
+        found = ev.errors(gt, other, match_iou, low_iou, nms_iou)
+        if out:
+            found, gt, kept = stored(found, "errors"), ev.reindex(gt), ev.reindex(ev.suppress(other, nms_iou))
+            reports.write_errors(reports.error_rows(found, gt, kept, names), out)
+            reports.write_csv(ev.confusion(found), os.path.join(out, "confusion_matrix.csv"))
+            reports.write_csv(reports.duplicate_rows(ev.duplicate_labels(gt, duplicate_iou), gt, names), os.path.join(out, "duplicate_gt.csv"))
+        return found
+
+    def eval_review_pack(self, pred: str, out: str | None = None, copy_images: bool = True, **options) -> DataFrame:
+        """The errors by review group and crop name.  With ``out`` each group is a folder with
+        its rows and, if they exist, its images."""
+        rows = tables.review_crop_name(ev.review_group(self.eval_error_analysis(pred, **options)))
+        if out:
+            rows = stored(rows, "review")
+            groups = [r.review_group for r in rows.select("review_group").distinct().orderBy("review_group").limit(10_000).collect()]  # pairs of classes
+            for group in groups:
+                reports.write_csv(rows.where(F.col("review_group") == group), os.path.join(out, group, "review.csv"))
+            if copy_images and "path" in self.data.images.columns:
+                pics = self.data.images.select("image", files.local_path(F.col("path")).alias("source"), "file_name")
+                plan = rows.select("image", "review_group").distinct().join(pics, "image")
+                files.copy_files(plan.select("source", F.concat(F.lit(out + "/"), "review_group", F.lit("/images/"), "file_name").alias("target")))
+        return rows
+
+    def copy_query(self, rows: DataFrame, out: str) -> int:
+        """Copies images and label files of a query's rows into a folder; how many images."""
+        pics = stored(self.data.images.join(rows.select("image").distinct(), "image", "left_semi"), "query")
+        ann = self.data.annotations.join(pics.select("image"), "image", "left_semi")
+        self.write(out, ann, images=pics, copy_images=True)
+        return pics.count()
+
+    def labels_with_class(self, classes) -> DataFrame:
+        """image, label_path of label files that hold one of the classes."""
+        rows = self.query_class(classes)
+        return rows.select("image", *[c for c in ("label_path",) if c in rows.columns]).distinct()
+
+    def eval_metrics_text(self, pred: str, sizes: bool = False, **options) -> str:
+        rows, macro, by_size, names, _ = self._metrics(pred, sizes=sizes, **options)
+        return reports.metrics_text(rows, macro, names, by_size)
 
     def eval_merged_metrics(self, pred: str, merges, compact: bool = True, **options) -> tuple[DataFrame, ds.Classes]:
-        merges = layout.read_mapping(merges) if isinstance(merges, str) else merges
-        gt, other, names = tables.merged_sides(*self._sides(pred), self.data.classes, merges, compact)
-        return ev.class_metrics(gt, other, **options), names
+        rows, _, _, names, _ = self._metrics(pred, merge=merges, compact=compact, **options)
+        return rows, names
 
     def export_xany(self, out: str) -> None:
         heads = images.read_headers(self.spark, os.path.join(self.root, "images"))
@@ -246,6 +402,38 @@ def full(ann: DataFrame) -> DataFrame:
     return ann.withColumns({c: F.lit(None).cast(t) for c, t in lacks.items() if c not in ann.columns})
 
 
+def written(group: str, operation: str, method: Callable) -> Callable:
+    """A task whose result is written as a dataset: labels, class and attribute files and images,
+    with the report of an edit and a copy of the label files of before.
+
+    ``out`` is the folder (by default one below the dataset's), ``dry_run`` writes nothing."""
+
+    def run(m: Manager, *args, out: str | None = None, dry_run: bool = False, copy_images: bool = True, backup_dir: str | None = None, include_confidence: bool = False, keep_empty: bool = True, report: str | None = None, **options):
+        result = method(m, *args, **options)
+        if dry_run:
+            return result
+        parts = result if isinstance(result, tuple) else (result,)
+        ann, pics, names, changes = None, None, m.data.classes, None
+        if operation == "merge":
+            pics, ann, names = parts
+        elif operation == "select":
+            pics, ann = parts[0], m.data.annotations.join(parts[0].select("image").distinct(), "image", "left_semi")
+        else:
+            ann = parts[0]
+            names = next((x for x in parts[1:] if isinstance(x, ds.Classes)), names)
+            changes = next((x for x in parts[1:] if isinstance(x, DataFrame)), None)
+        folder = out or files.operation_dir(m.root, group, operation)
+        m.write(folder, ann, names, pics, copy_images=copy_images, backup_dir=backup_dir or os.path.join(folder, "labels_backup"), include_confidence=include_confidence, keep_empty=keep_empty)
+        if changes is not None:
+            # A report has the ids from before unused classes are taken out.
+            known = names if operation in ("rename_class", "apply_map") else [*m.data.classes, *(n for n in names if n not in m.data.classes)]
+            rows = reports.edit_rows(changes, m.data.classes, known) if "old_class" in changes.columns and "operation" in changes.columns else changes
+            reports.write_csv(rows, report or os.path.join(folder, "report.csv"))
+        return result
+
+    return run
+
+
 def run_task(spark: SparkSession, task: str, root: str, *args, **options):
     """A task by its name: on the dataset at ``root``, or on the file that an import reads."""
     if task not in TASKS:
@@ -255,14 +443,19 @@ def run_task(spark: SparkSession, task: str, root: str, *args, **options):
     return TASKS[task](Manager(spark, root), *args, **options)
 
 
+def normalised(m: Manager, out: str | None = None, copy_images: bool = True, **options) -> None:
+    """The dataset in the flat layout: images, labels, class and attribute files."""
+    m.write(out or files.operation_dir(m.root, "dataset", "normalize"), copy_images=copy_images, **options)
+
+
 #: Task names and the methods that do them.
 TASKS: dict[str, Callable] = {
     "check": Manager.check, "stats": Manager.stats, "layout.detect": Manager.layout_detect, "query.class": Manager.query_class, "query.attr": Manager.query_attr,
-    "dataset.filter": Manager.filter, "dataset.split": Manager.split, "dataset.duplicates": Manager.duplicates, "dataset.bad_images": Manager.bad_images, "dataset.normalize": Manager.write,
-    "ann.delete_class": Manager.delete_class, "ann.replace_class": Manager.replace_class, "ann.merge_class": Manager.merge_class, "ann.rename_class": Manager.rename_class, "ann.apply_map": Manager.apply_map,
-    "convert.seg2det": Manager.seg2det, "convert.pseudo": Manager.pseudo, "export.coco": Manager.export_coco, "export.xany": Manager.export_xany,
-    "dataset.select": Manager.select, "dataset.merge": Manager.merge, "dataset.yaml": Manager.write_yaml, "ann.set_attr": Manager.set_attr, "ann.delete_attr": Manager.delete_attr,
-    "ann.correct_from_crops": Manager.correct_from_crops, "ann.correct_from_error_crops": Manager.correct_from_error_crops, "convert.resize": Manager.resize,
+    "dataset.filter": written("dataset", "filter", Manager.filter), "dataset.split": Manager.write_splits, "dataset.duplicates": Manager.duplicates, "dataset.bad_images": Manager.bad_images, "dataset.normalize": normalised,
+    "ann.delete_class": written("annotation", "delete_class", Manager.delete_class), "ann.replace_class": written("annotation", "replace_class", Manager.replace_class), "ann.merge_class": written("annotation", "merge_class", Manager.merge_class), "ann.rename_class": written("annotation", "rename_class", Manager.rename_class), "ann.apply_map": written("annotation", "apply_map", Manager.apply_map),
+    "convert.seg2det": written("conversion", "seg2det", Manager.seg2det), "convert.pseudo": written("conversion", "pseudo", Manager.pseudo), "export.coco": Manager.export_coco, "export.xany": Manager.export_xany,
+    "dataset.select": written("dataset", "select", Manager.select), "dataset.merge": written("dataset", "merge", Manager.merge), "dataset.yaml": Manager.write_yaml, "ann.set_attr": written("annotation", "set_attr", Manager.set_attr), "ann.delete_attr": written("annotation", "delete_attr", Manager.delete_attr),
+    "ann.correct_from_crops": written("annotation", "correct_from_crops", Manager.correct_from_crops), "ann.correct_from_error_crops": written("annotation", "correct_from_error_crops", Manager.correct_from_error_crops), "convert.resize": Manager.resize,
     "vis.draw": Manager.draw, "vis.crop": Manager.crop, "vis.manual_box": Manager.manual_box,
     "import.coco": import_tables(formats.read_coco), "import.voc": import_tables(formats.read_voc), "import.labelme": import_tables(labelme), "import.mask": import_tables(formats.read_masks),
     "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack,

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_box, polygon_crosses_itself
+from ..sources.labels import POINT, to_line
+from .ranking import numbered
 
 
 class UnknownClass(KeyError):
@@ -151,9 +153,10 @@ def seg_to_det(ann: DataFrame) -> DataFrame:
 # --- edits -----------------------------------------------------------------------------------
 
 
-def _report(ann: DataFrame, hit: Column, operation: str, new: Column) -> DataFrame:
+def _report(ann: DataFrame, hit: Column, operation: str, new: Column, more: Mapping[str, Column] | None = None) -> DataFrame:
     line = "line_no" if "line_no" in ann.columns else "ord"
-    return ann.where(hit).select(F.lit(operation).alias("operation"), "image", F.col(line).alias("line_no"), F.col("class_id").alias("old_class"), new.cast("int").alias("new_class"))
+    path = ["label_path"] if "label_path" in ann.columns else []
+    return ann.where(hit).select(F.lit(operation).alias("operation"), "image", F.col(line).alias("line_no"), F.col("class_id").alias("old_class"), new.cast("int").alias("new_class"), *path, *[v.alias(k) for k, v in (more or {}).items()])
 
 
 def compacted(classes: Classes, removed: Sequence[int]) -> tuple[Classes, dict[int, int]]:
@@ -239,7 +242,7 @@ def set_attribute(ann: DataFrame, position: int, value: float, class_ids=None, w
     old = F.coalesce(F.get("attrs", F.lit(position)), F.lit(0.0))
     hit = chosen & ((old == float(where_value)) if where_value is not None else F.lit(True))
     put = F.transform(padded, lambda x, i: F.when(hit & (i == position), F.lit(float(value))).otherwise(x))
-    return ann.withColumn("attrs", F.when(chosen, put).otherwise(F.col("attrs"))), _report(ann, hit, "set_attr", F.col("class_id"))
+    return ann.withColumn("attrs", F.when(chosen, put).otherwise(F.col("attrs"))), _report(ann, hit, "set_attr", F.col("class_id"), {"old_attr_value": old, "new_attr_value": F.lit(float(value))})
 
 
 def delete_by_attribute(ann: DataFrame, position: int, values: Sequence[float] | None = None, nonzero: bool = False, class_ids=None):
@@ -252,7 +255,7 @@ def delete_by_attribute(ann: DataFrame, position: int, values: Sequence[float] |
         hit = hit | (raw != 0)
     if class_ids is not None:
         hit = hit & F.col("class_id").isin(*class_ids)
-    return ann.where(~hit), _report(ann, hit, "delete_attr", F.lit(None))
+    return ann.where(~hit), _report(ann, hit, "delete_attr", F.lit(None), {"old_attr_value": raw, "new_attr_value": F.lit(None).cast("double")})
 
 
 # --- unions and splits ------------------------------------------------------------------------
@@ -260,7 +263,7 @@ def delete_by_attribute(ann: DataFrame, position: int, values: Sequence[float] |
 
 def merge_datasets(parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source_prefix: bool = True) -> tuple[DataFrame, DataFrame, Classes]:
     """Union of (images, annotations, classes): classes are aligned by name in the order they are
-    first seen, names get the part's prefix, and names that still collide a running number."""
+    first seen, names get the part's prefix, and names that still collide a number of their own."""
     names = Classes()
     for _, _, own in parts:
         names = Classes([*names, *(c for c in own if c not in names)])
@@ -270,27 +273,83 @@ def merge_datasets(parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source
         file = F.concat(F.lit(f"d{n}_"), "file_name") if source_prefix else F.col("file_name")
         all_images.append(images.withColumn("part", F.lit(n)).withColumn("file_name", file).withColumn("image", key))
         all_ann.append(ann.withColumn("image", key).withColumn("class_id", _mapped("class_id", {k: names.index(c) for k, c in enumerate(own)})))
-    images = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_images)
-    again = F.row_number().over(Window.partitionBy("file_name").orderBy("part", "image")) - 1
-    images = images.withColumn("__n", again)
-    stem, suffix = F.regexp_replace("file_name", r"\.[^.]+$", ""), F.regexp_extract("file_name", r"(\.[^.]+)$", 1)
-    images = images.withColumn("file_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(F.concat(stem, F.lit("_"), F.col("__n").cast("string"), suffix))).drop("__n")
+    images = unique_names(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_images), "part", "image")
     return images, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_ann), names
 
 
-def split_images(images: DataFrame, train: float = 0.8, val: float = 0.2, test: float = 0.0, seed: int = 233) -> DataFrame:
-    """Adds ``split`` by a hash of image and seed: no row leaves its partition, and an image keeps
-    its split when others come or go.  Shares hold on average."""
+def unique_names(images: DataFrame, *order: str) -> DataFrame:
+    """The first image (by ``order``) of a file name keeps it; the others get ``_1``, ``_2`` ...
+    before the suffix, in turn, without the numbers that file names have already."""
+    stem, suffix = F.regexp_replace("file_name", r"\.[^.]+$", ""), F.regexp_extract("file_name", r"(\.[^.]+)$", 1)
+    rows = images.withColumn("__n", F.row_number().over(Window.partitionBy("file_name").orderBy(*order)) - 1)
+    often = rows.where("__n > 0").groupBy(F.col("file_name").alias("__name"), stem.alias("__stem"), suffix.alias("__suffix")).agg(F.max("__n").alias("__most"))
+    # Names in use that a number could make.
+    part = lambda k: F.regexp_extract("file_name", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]+)?$", k)
+    used = images.select(part(1).alias("__stem"), part(3).alias("__suffix"), part(2).try_cast("int").alias("__k")).where("__k IS NOT NULL").distinct()
+    taken = used.join(often, ["__stem", "__suffix"]).groupBy("__name").agg(F.collect_set("__k").alias("__taken"))
+    free = often.join(taken, "__name", "left").withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
+    numbers = F.sequence(F.lit(1), (F.col("__most") + F.size("__taken")).cast("int"))
+    free = free.select("__name", F.array_except(numbers, "__taken").alias("__free"))
+    rows = rows.join(free, rows["file_name"] == free["__name"], "left")
+    name = F.concat(stem, F.lit("_"), F.get("__free", F.col("__n") - 1).cast("string"), suffix)
+    return rows.withColumn("file_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(name)).select(*images.columns)
+
+
+def merge_attributes(schemas: Sequence[Mapping | None]) -> dict:
+    """Attributes of several schemas; the first that names an attribute says its options."""
+    merged: dict = {}
+    for schema in schemas:
+        merged |= {name: options for name, options in (schema or {}).items() if name not in merged}
+    return merged
+
+
+def split_images(images: DataFrame, train: float = 0.8, val: float = 0.2, test: float = 0.0, seed: int = 233, exact: bool = True) -> DataFrame:
+    """Adds ``split``.  Images stand in the order of a hash of image and seed; train and val take
+    the whole part of their share of them, in turn, and test has the rest.
+
+    Without ``exact`` the hash alone decides: shares hold on average, no row moves, and an image
+    keeps its split when others come or go."""
     total = train + val + test
     if min(train, val, test) < 0 or total <= 0:
         raise ValueError("shares must not be negative, nor all zero")
-    u = F.pmod(F.xxhash64("image", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return images.withColumn("split", F.when(u < train / total, "train").when(u < (train + val) / total, "val").otherwise("test"))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("image").cast("string")).cast("binary")), 1, 13)
+    u = F.conv(digits, 16, 10).cast("long") / float(1 << 52)
+    if not exact:
+        return images.withColumn("split", F.when(u < train / total, "train").when(u < (train + val) / total, "val").otherwise("test"))
+    images = images.drop("split")
+    n = images.count()
+    ranked = numbered(images.withColumn("__u", u), "__u", "image", name="__rank")
+    a, b = int(n * train / total), int(n * val / total)
+    return ranked.withColumn("split", F.when(F.col("__rank") <= a, "train").when(F.col("__rank") <= a + b, "val").otherwise("test")).select(*images.columns, "split")
+
+
+def split_with_lists(images: DataFrame, train_include: DataFrame | None = None, val_include: DataFrame | None = None, **shares) -> DataFrame:
+    """A split in which images that lists name (table of name) are forced into train or val; the
+    shares are those of the others.  A name that no image or several images have is an error."""
+    from .tables import resolve_listed
+
+    images = images.drop("split")
+    forced = []
+    for split, listed in (("train", train_include), ("val", val_include)):
+        if listed is not None:
+            found = resolve_listed(images, listed)
+            odd = found.where("n_matches <> 1").limit(5).collect()
+            if odd:
+                raise ValueError(f"{split} list: " + ", ".join(f"{r.name} fits {r.n_matches} images" for r in odd))
+            forced.append(found.select("image").distinct().withColumn("forced", F.lit(split)))
+    if not forced:
+        return split_images(images, **shares)
+    forced = reduce(DataFrame.union, forced)
+    both = forced.groupBy("image").count().where("count > 1").limit(5).collect()
+    if both:
+        raise ValueError("forced into both splits: " + ", ".join(str(r.image) for r in both))
+    rest = split_images(images.join(forced, "image", "left_anti"), **shares)
+    return images.join(forced.withColumnRenamed("forced", "split"), "image").select(*images.columns, "split").unionByName(rest.select(*images.columns, "split"))
 
 
 def split_exact(names: Sequence[str], train: float = 0.8, val: float = 0.2, test: float = 0.0, seed: int = 233, train_include: Sequence[str] = (), val_include: Sequence[str] = ()) -> dict[str, list[str]]:
-    """The seeded shuffle of a list of names: floor counts, the remainder goes to ``test``
-    (or the last share that is above 0).  For lists that fit one machine."""
+    """The seeded shuffle of a list of names: floor counts, the remainder goes to ``test``.
+    For lists that fit one machine."""
     if set(train_include) & set(val_include):
         raise ValueError("a name is forced into both splits")
     total = train + val + test
@@ -299,7 +358,7 @@ def split_exact(names: Sequence[str], train: float = 0.8, val: float = 0.2, test
     rest = [n for n in names if n not in {*train_include, *val_include}]
     random.Random(seed).shuffle(rest)
     a = int(len(rest) * train / total)
-    b = len(rest) - a if test == 0 else int(len(rest) * val / total)
+    b = int(len(rest) * val / total)
     return {"train": [*train_include, *rest[:a]], "val": [*val_include, *rest[a : a + b]], "test": rest[a + b :]}
 
 
@@ -314,14 +373,23 @@ def exact_duplicates(files: DataFrame, key: str = "image", content: str = "conte
     return hashed.join(often, "digest").select("digest", "image", "n")
 
 
+def missing_label_files(images: DataFrame, files: DataFrame) -> DataFrame:
+    """Images whose ``label_path`` is not among the paths of ``files`` (label_path)."""
+    return images.where("label_path IS NOT NULL").join(files.select("label_path").distinct(), "label_path", "left_anti")
+
+
 def orphan_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
     return labels.join(images.select("image").distinct(), "image", "left_anti")
 
 
 def duplicate_lines(ann: DataFrame) -> DataFrame:
-    """Second and later equal lines of an image."""
-    w = Window.partitionBy("image", "source_line").orderBy("line_no")
-    return ann.withColumn("r", F.row_number().over(w)).where("r > 1").drop("r")
+    """Second and later annotations of an image that are written as the same line, with their
+    confidence, whatever their text was when they were read."""
+    lacks = {"polygon": POINT, "attrs": "array<double>", "confidence": "double"}
+    rows = ann.withColumns({"__" + c: F.col(c) if c in ann.columns else F.lit(None).cast(t) for c, t in lacks.items()})
+    line = rows.withColumns({c: F.col("__" + c) for c in lacks}).withColumn("__line", to_line(include_confidence=True))
+    w = Window.partitionBy("image", "__line").orderBy("line_no")
+    return line.withColumn("__r", F.row_number().over(w)).where("__r > 1").select(*ann.columns)
 
 
 def validate(ann: DataFrame, n_classes: int | None = None) -> DataFrame:
@@ -335,10 +403,15 @@ def validate(ann: DataFrame, n_classes: int | None = None) -> DataFrame:
     if "confidence" in ann.columns:
         found.append(issue("warning", "confidence_out_of_range", outside("confidence")))
     if "polygon" in ann.columns:
-        bad = F.exists("polygon", lambda q: ~q["x"].between(0, 1) | ~q["y"].between(0, 1))
-        found += [issue("error", "invalid_polygon", F.size("polygon") < 3), issue("warning", "coord_out_of_range", bad), issue("warning", "polygon_self_intersection", polygon_crosses_itself("polygon"))]
-    rows = ann.select("image", "line_no", F.explode(F.array_compact(F.array(*found))).alias("i")).select("image", "line_no", "i.*")
-    if "source_line" in ann.columns:
+        found += [issue("error", "invalid_polygon", F.size("polygon") < 3), issue("warning", "polygon_self_intersection", polygon_crosses_itself("polygon"))]
+        values = F.flatten(F.transform(F.coalesce("polygon", F.array().cast(POINT)), lambda q: F.array(q["x"], q["y"])))
+        # One for each value.
+        outer = F.transform(F.filter(values, lambda v: ~v.between(0, 1)), lambda v: F.struct(F.lit("warning").alias("level"), F.lit("coord_out_of_range").alias("code")))
+    else:
+        outer = None
+    each = F.array_compact(F.array(*found))
+    rows = ann.select("image", "line_no", F.explode(each if outer is None else F.concat(each, outer)).alias("i")).select("image", "line_no", "i.*")
+    if {"cx", "cy", "w", "h"} <= set(ann.columns):
         rows = rows.unionByName(duplicate_lines(ann).select("image", "line_no", F.lit("warning").alias("level"), F.lit("duplicate_annotation").alias("code")))
     return rows
 
@@ -349,6 +422,39 @@ def validate(ann: DataFrame, n_classes: int | None = None) -> DataFrame:
 ASPECT_EDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0, 2.5, 3.0, 4.0, 5.0)
 
 
+#: Edges of the shape-rate bins.
+SHAPE_EDGES = (
+    0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9, 2.0, 2.1, 2.2, 2.4, 2.6, 3.0, 3.5, 4.0, 5.0,
+)
+
+
+def box_series() -> dict[str, Column]:
+    """The described series of boxes; ``width`` and ``height`` are those of the image, ``points``
+    the number of a polygon's points."""
+    x, y, w, h = (F.col(c) for c in ("cx", "cy", "w", "h"))
+    return {
+        "box_width": w, "box_height": h, "box_area": w * h, "box_width_pix": w * F.col("width"), "box_height_pix": h * F.col("height"), "box_shape_rate": F.when(h != 0, w / h),
+        "box_pos_start_x": x - w / 2, "box_pos_start_y": y - h / 2, "box_pos_center_x": x, "box_pos_center_y": y, "box_pos_end_x": x + w / 2, "box_pos_end_y": y + h / 2,
+        "polygon_points": F.when(F.col("points") > 0, F.col("points")), "confidence": F.col("confidence"),
+    }
+
+
+def totals(ann: DataFrame, images: DataFrame, orphans: DataFrame | None, labelled: DataFrame, schema: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """One row: images, labels, orphan_labels, annotations, empty_images, and boxes and images
+    with and without an attribute that does not mean none."""
+    has = reduce(Column.__or__, [F.coalesce(has_value(k, o), F.lit(False)) for k, o in enumerate((schema or {}).values())], F.lit(False))
+    per = ann.groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(has, 1)).alias("with"))
+    every = images.select("image").join(per, "image", "left")
+    one = every.agg(
+        F.count(F.lit(1)).alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("annotations"), F.count(F.when(F.col("n").isNull(), 1)).alias("empty_images"),
+        F.coalesce(F.sum("with"), F.lit(0)).alias("boxes_with_attribute"), F.count(F.when(F.col("with") > 0, 1)).alias("images_with_attribute"),
+    )
+    n_labels = labelled.join(images.select("image"), "image", "left_semi").agg(F.count(F.lit(1)).alias("labels"))
+    n_orphans = orphans.agg(F.count(F.lit(1)).alias("orphan_labels")) if orphans is not None else images.sparkSession.createDataFrame([(0,)], "orphan_labels long")
+    one = one.join(F.broadcast(n_labels)).join(F.broadcast(n_orphans))  # one row each
+    return one.withColumns({"boxes_without_attribute": F.col("annotations") - F.col("boxes_with_attribute"), "images_without_attribute": F.col("images") - F.col("images_with_attribute")})
+
+
 def class_counts(ann: DataFrame, classes: DataFrame) -> DataFrame:
     """Objects and images of each class, with zeros for classes without any."""
     counts = ann.groupBy("class_id").agg(F.count(F.lit(1)).alias("objects"), F.count_distinct("image").alias("images"))
@@ -365,7 +471,9 @@ def describe(ann: DataFrame, series: Mapping[str, Column]) -> DataFrame:
 
 def histogram(ann: DataFrame, value: Column, edges: Sequence[float] = ASPECT_EDGES) -> DataFrame:
     """bin, low, high, n: bins (low, high], the first with its left edge; the rest is dropped."""
-    at = F.coalesce(*[F.when((value > lo if n else value >= lo) & (value <= hi), F.lit(n)) for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    # The value stands in few places, so that a long expression for it stays short here.
+    below = F.size(F.filter(F.array(*map(F.lit, map(float, edges))), lambda e: e < value))
+    at = F.when(value == float(edges[0]), 0).when(below.between(1, len(edges) - 1), below - 1)
     counts = ann.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin IS NOT NULL")
     bins = ann.sparkSession.createDataFrame([(n, float(lo), float(hi)) for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, low double, high double")
     return bins.join(counts, "bin", "left").fillna(0, ["n"])

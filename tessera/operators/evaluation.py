@@ -6,8 +6,9 @@ ground-truth box, equal confidences go by image and place.
 
 Scale: overlap joins are equi-joins on the image (and class), so work per image stays with the
 image.  Matching reuses the join's partitioning for both of its windows.  Running counts over a
-class are taken in two levels (slices of confidence, then inside a slice), so that a class with
-a third of all predictions is no single task's window.
+class are taken in two levels (ranges of class, confidence, image and place, then inside a range),
+so that a class with a third of all predictions is no single task's window, also where all of its
+confidences are equal.  What is read several times is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_of, iou
+from ..store import release, stored
 
 #: Ten thresholds, as evenly spaced doubles (the ninth is just under 0.9).
 THRESHOLDS = tuple(0.5 + k * ((0.95 - 0.5) / 9) for k in range(9)) + (0.95,)
 BOX = ["x1", "y1", "x2", "y2"]
 EPS = 1e-16
-GRID, SLICES = 1000, 1024
+GRID = 1000
+SIZES = ("small", "medium", "large")  # fixed values
 
 
 def check_iou(t: float | None) -> None:
@@ -74,11 +77,13 @@ def match(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = (0.5,))
     return best.withColumn("r", F.row_number().over(hold)).where("r = 1").select("image", F.col("g_class").alias("class_id"), "thr", "g", "p", "iou")
 
 
-def labelled(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+def labelled(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = THRESHOLDS, found: DataFrame | None = None) -> DataFrame:
     """image, p, class_id, confidence, hits for each prediction: bit ``i`` of ``hits`` says
-    whether it is a true positive at the threshold of that place."""
+    whether it is a true positive at the threshold of that place.  ``found``: the matches, if
+    they are known."""
     bit = F.coalesce(*[F.when(F.col("thr") == t, F.lit(1 << i)) for i, t in enumerate(thresholds)])
-    hits = match(gt, pred, thresholds).groupBy("image", "class_id", "p").agg(F.sum(bit).alias("hits"))
+    found = match(gt, pred, thresholds) if found is None else found
+    hits = found.groupBy("image", "class_id", "p").agg(F.sum(bit).alias("hits"))
     each = pred.select("image", F.col("ord").alias("p"), "class_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
     return each.join(hits, ["image", "class_id", "p"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
@@ -89,15 +94,20 @@ def curves(tp: DataFrame, labels: DataFrame, by: Sequence[str] = ("class_id",),
 
     All thresholds share the order, so one sort serves all; rows are multiplied only at the end."""
     by, index = [*by], range(len(thresholds))
-    # Read three times below; persisted, so that overlap joins and matching run once.
-    rows = tp.join(labels, by).withColumn("slice", F.floor((1 - F.col("confidence")) * SLICES)).persist()
+    # Written, so that overlap joins and matching run once, and with the numbers of the ranges,
+    # whose bounds would be drawn anew otherwise.
+    given = stored(tp.join(labels, by), "curve-rows")
+    parts = int(tp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(given.repartitionByRange(parts, *by, F.desc("confidence"), "image", "p").withColumn("slice", F.spark_partition_id()), "curve-ranges")
+    release(given)
     bit = lambda i: F.getbit("hits", F.lit(i)).cast("long")
     sums = rows.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("b_n"), *[F.sum(bit(i)).alias(f"b_{i}") for i in index])
     before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("b_n", *(f"b_{i}" for i in index))])
     inside = Window.partitionBy(*by, "slice").orderBy(F.desc("confidence"), "image", "p").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(sums, [*by, "slice"]).withColumn("n", F.col("b_n") + F.count(F.lit(1)).over(inside))
-    rows = rows.withColumns({f"t_{i}": F.col(f"b_{i}") + F.sum(bit(i)).over(inside) for i in index}).withColumns({f"p_{i}": F.col(f"t_{i}") / F.col("n") for i in index}).drop("b_n", *[f"b_{i}" for i in index]).persist()
+    rows = rows.withColumns({f"t_{i}": F.col(f"b_{i}") + F.sum(bit(i)).over(inside) for i in index}).withColumns({f"p_{i}": F.col(f"t_{i}") / F.col("n") for i in index}).drop("b_n", *[f"b_{i}" for i in index])
+    rows = stored(rows, "curve-counts")
     tops = rows.groupBy(*by, "slice").agg(*[F.max(f"p_{i}").alias(f"l_{i}") for i in index])
     after = Window.partitionBy(*by).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
     tops = tops.select(*by, "slice", *[F.coalesce(F.max(f"l_{i}").over(after), F.lit(0.0)).alias(f"l_{i}") for i in index])
@@ -139,9 +149,10 @@ def average_precision(points: DataFrame, by: Sequence[str] = ("class_id",)) -> D
     return grid.withColumn("v", value).groupBy(*key).agg((F.lit(0.01) * (F.sum("v") - F.sum(F.when(F.col("cell") == 0, F.col("v"))) / 2)).alias("ap"))
 
 
-def best_f1(points: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
-    """by, precision, recall, f1 at the one confidence whose smoothed mean F1 is highest."""
-    key = [*by]
+def best_f1(points: DataFrame, by: Sequence[str] = ("class_id",), within: Sequence[str] = ()) -> DataFrame:
+    """by, precision, recall, f1 at the one confidence whose smoothed mean F1 is highest; the
+    mean is that of all curves, or of those that share ``within`` (some of ``by``)."""
+    key, within = [*by], [*within]
     first = points.where(F.col("thr") == THRESHOLDS[0])
     cell = F.floor(F.col("confidence") * (GRID - 1)).cast("int")
     grid = _steps(first, key, cell, GRID, {"confidence": False, "recall": True, "tp_c": True, "n": True}, False)
@@ -154,20 +165,22 @@ def best_f1(points: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
 
     recall, precision = at(lambda side: F.col(f"{side}.recall"), 0.0), at(lambda side: F.col(f"{side}.tp_c") / F.col(f"{side}.n"), 1.0)
     grid = grid.select(*key, "cell", recall.alias("recall"), precision.alias("precision"))
-    grid = grid.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS)).persist()
-    mean = grid.groupBy("cell").agg(F.avg("f1").alias("mean"))  # GRID rows at any scale
-    near = Window.orderBy("cell").rowsBetween(-50, 50)
-    ends = mean.agg(F.min_by("mean", "cell").alias("head"), F.max_by("mean", "cell").alias("tail"))
-    smooth = mean.join(F.broadcast(ends)).withColumn("smooth", (F.sum("mean").over(near) + F.greatest(F.lit(0), 50 - F.col("cell")) * F.col("head") + F.greatest(F.lit(0), F.col("cell") - (GRID - 51)) * F.col("tail")) / 101)
-    best = smooth.agg(F.max_by("cell", F.struct("smooth", -F.col("cell"))).alias("cell"))
-    return grid.join(F.broadcast(best), "cell").select(*key, "precision", "recall", "f1")
+    grid = grid.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS))
+    grid = stored(grid, "f1-grid")
+    mean = grid.groupBy(*within, "cell").agg(F.avg("f1").alias("mean"))  # GRID rows at any scale
+    line = Window.partitionBy(*within).orderBy("cell")
+    near, whole = line.rowsBetween(-50, 50), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = mean.withColumns({"head": F.first("mean").over(whole), "tail": F.last("mean").over(whole)})
+    smooth = mean.withColumn("smooth", (F.sum("mean").over(near) + F.greatest(F.lit(0), 50 - F.col("cell")) * F.col("head") + F.greatest(F.lit(0), F.col("cell") - (GRID - 51)) * F.col("tail")) / 101)
+    best = smooth.groupBy(*within).agg(F.max_by("cell", F.struct("smooth", -F.col("cell"))).alias("cell"))
+    return grid.join(best, [*within, "cell"]).select(*key, "precision", "recall", "f1")
 
 
 def class_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """class_id, images, labels, predictions, precision, recall, f1, ap50, ap75, ap.
 
     Classes that have no label have zero everywhere but in ``predictions``."""
-    gt, pred = reindex(gt).persist(), reindex(suppress(pred, nms_iou)).persist()
+    gt, pred = stored(reindex(gt), "gt"), stored(reindex(suppress(pred, nms_iou)), "pred")
     labels = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_labels"), F.count_distinct("image").alias("images"))
     points = curves(labelled(gt, pred, thresholds), labels.select("class_id", "n_labels"), thresholds=thresholds)
     ap = average_precision(points).groupBy("class_id").agg(F.avg("ap").alias("ap"), *[F.max(F.when(F.col("thr") == thresholds[i], F.col("ap"))).alias(n) for i, n in ((0, "ap50"), (5, "ap75")) if i < len(thresholds)])
@@ -186,29 +199,43 @@ def macro_metrics(classes: DataFrame, ignore_empty: bool = True) -> DataFrame:
     return totals.join(F.broadcast(means)).withColumn("fitness", 0.1 * F.col("map50") + 0.9 * F.col("map"))
 
 
-def size_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """size, labels, predictions, map50, map: boxes carry ``size`` (null is left out); a
-    prediction takes the size of the box it matched at the lowest threshold, else its own."""
-    gt, pred = reindex(gt), reindex(suppress(pred, nms_iou))
-    found = match(gt, pred, thresholds).join(gt.select("image", F.col("ord").alias("g"), F.col("size").alias("g_size")), ["image", "g"])
+def size_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, thresholds: Sequence[float] = THRESHOLDS, ignore_empty: bool = True) -> DataFrame:
+    """size, images, labels, predictions, precision, recall, f1, map50, map75, map, fitness for
+    each size: boxes carry ``size`` (null is left out); a prediction takes the size of the box it
+    matched at the lowest threshold, else its own.  Means are over the classes with labels of that
+    size, or also those with predictions alone."""
+    gt, pred = stored(reindex(gt), "gt"), stored(reindex(suppress(pred, nms_iou)), "pred")
+    matches = stored(match(gt, pred, thresholds), "matches")  # read twice
+    found = matches.join(gt.select("image", F.col("ord").alias("g"), F.col("size").alias("g_size")), ["image", "g"])
     taken = found.groupBy("image", "p").agg(F.min_by("g_size", "thr").alias("g_size"))
     sized = pred.select("image", F.col("ord").alias("p"), F.col("size").alias("own")).join(taken, ["image", "p"], "left").select("image", "p", F.coalesce("g_size", "own").alias("size")).where("size IS NOT NULL")
     labels = gt.where("size IS NOT NULL").groupBy("size", "class_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    tp = labelled(gt, pred, thresholds).join(sized, ["image", "p"])
-    ap = average_precision(curves(tp, labels, ("size", "class_id"), thresholds), ("size", "class_id"))
-    per = labels.crossJoin(F.broadcast(gt.sparkSession.createDataFrame([(t,) for t in thresholds], "thr double"))).join(ap, ["size", "class_id", "thr"], "left").fillna(0.0, ["ap"])
-    means = per.groupBy("size").agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("thr") == thresholds[0], F.col("ap"))).alias("map50"))
-    counts = labels.groupBy("size").agg(F.sum("n_labels").alias("labels")).join(sized.groupBy("size").agg(F.count(F.lit(1)).alias("predictions")), "size", "full")
-    return counts.join(means, "size", "left").select("size", F.coalesce("labels", F.lit(0)).alias("labels"), F.coalesce("predictions", F.lit(0)).alias("predictions"), F.coalesce("map50", F.lit(0.0)).alias("map50"), F.coalesce("map", F.lit(0.0)).alias("map"))
+    sized = stored(labelled(gt, pred, thresholds, matches).join(sized, ["image", "p"]), "sized")
+    by = ["size", "class_id"]
+    points = curves(sized, labels, by, thresholds)
+    at = lambda i: F.max(F.when(F.col("thr") == thresholds[i], F.col("ap"))) if i < len(thresholds) else F.lit(0.0)
+    ap = average_precision(points, by).groupBy(*by).agg(F.avg("ap").alias("map"), at(0).alias("map50"), at(5).alias("map75"))
+    seen = sized.groupBy(*by).agg(F.count(F.lit(1)).alias("predictions"))
+    per = labels.join(seen, by, "full").join(ap, by, "left").join(best_f1(points, by, ["size"]), by, "left")
+    values = ("precision", "recall", "map50", "map75", "map")
+    # A class that is missing from the curves has no prediction: its values are 0.
+    used = F.col("n_labels").isNotNull() if ignore_empty else F.lit(True)
+    rows = per.groupBy("size").agg(F.sum("n_labels").alias("labels"), F.sum("predictions").alias("predictions"), *[F.avg(F.when(used, F.coalesce(c, F.lit(0.0)))).alias(c) for c in values])
+    images = gt.where("size IS NOT NULL").groupBy("size").agg(F.count_distinct("image").alias("images"))
+    rows = gt.sparkSession.createDataFrame([(s,) for s in SIZES], "size string").join(rows, "size", "left").join(images, "size", "left")
+    rows = rows.fillna(0, ["images", "labels", "predictions"]).fillna(0.0, [*values])
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0))
+    return rows.select("size", "images", "labels", "predictions", "precision", "recall", f1.alias("f1"), "map50", "map75", "map", (0.1 * F.col("map50") + 0.9 * F.col("map")).alias("fitness"))
 
 
 def errors(gt: DataFrame, pred: DataFrame, match_iou: float = 0.5, low_iou: float = 0.1, nms_iou: float | None = 0.5) -> DataFrame:
     """One row for each match, unmatched prediction and unmatched box: image, status,
     error_type, g, g_class, p, p_class, iou."""
     # Each is read several times below.
-    gt, pred = reindex(gt).persist(), reindex(suppress(pred, nms_iou)).persist()
-    near = pairs(gt, pred, same_class=False).persist()
-    hits = match(gt, pred, (match_iou,)).select("image", "g", "p", "class_id", "iou").persist()
+    gt, pred = stored(reindex(gt), "gt"), stored(reindex(suppress(pred, nms_iou)), "pred")
+    near = stored(pairs(gt, pred, same_class=False), "pairs")
+    hits = stored(match(gt, pred, (match_iou,)).select("image", "g", "p", "class_id", "iou"), "matches")
     tp = hits.select("image", F.lit("tp").alias("status"), F.lit("tp").alias("error_type"), "g", F.col("class_id").alias("g_class"), "p", F.col("class_id").alias("p_class"), "iou")
     used = hits.select("image", "g", F.lit(True).alias("taken"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import pixel_box, size_bucket
 from .dataset import apply_class_map, class_name, decoded, filter_geometry, has_value
+from .ranking import numbered  # noqa: F401  (a table operator like those below)
 
 COLOURS = 9  # fixed value: drawing colours repeat after so many classes
 
@@ -56,6 +57,23 @@ def draw_list(ann: DataFrame, classes: Sequence[str], least: float | None = None
     return rows.select("image", "ord", *box.values(), F.pmod("class_id", F.lit(COLOURS)).alias("colour"), text.alias("label"))
 
 
+#: Statistics that a user can select, the first ones by default.
+DEFAULT_STATISTICS = ("class_counts", "box_number", "box_width", "box_height", "box_area", "attribute")
+MORE_STATISTICS = ("image_shape", "box_shape", "box_shape_pix", "box_shape_rate", "box_pos_start", "box_pos_center", "box_pos_end", "legacy_csv")
+
+
+def selected_statistics(selected: str | Sequence[str] | None) -> set[str]:
+    if selected is None:
+        return {*DEFAULT_STATISTICS}
+    names = {s.strip() for s in (selected.split(",") if isinstance(selected, str) else selected) if s.strip()}
+    every = {*DEFAULT_STATISTICS, *MORE_STATISTICS}
+    if "all" in names:
+        return every
+    if names - every:
+        raise ValueError(f"unknown statistics {', '.join(sorted(names - every))}")
+    return names
+
+
 def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_")
 
@@ -66,19 +84,25 @@ def review_crop_name(found: DataFrame) -> DataFrame:
     return found.where("status <> 'tp'").withColumn("crop", F.concat(F.col("image").cast("string"), F.lit("_pred"), place("p", "fn_no_pred"), F.lit("_gt"), place("g", "background_fp")))
 
 
-def evaluation_filter(gt: DataFrame, pred: DataFrame, class_ids=None, exclude=None, min_confidence: float = 0.0, min_pixels: float | None = None, **rule) -> tuple[DataFrame, DataFrame]:
+def evaluation_filter(gt: DataFrame, pred: DataFrame, class_ids=None, exclude=None, min_confidence: float = 0.0, min_pixels: float | None = None, class_rules: Mapping[int, Mapping] | None = None, **rule) -> tuple[DataFrame, DataFrame]:
     """Both sides by the same classes and sizes; confidence applies to predictions alone, and
-    image sizes come from the ground truth where it knows them."""
+    image sizes come from the ground truth where it knows them.  ``class_rules`` (by id) replace
+    the general rule and may hold ``min_pixels`` too."""
+    class_rules = {k: dict(v) for k, v in (class_rules or {}).items()}
+    pixels = {k: v.pop("min_pixels") for k, v in class_rules.items() if "min_pixels" in v}
 
     def keep(rows: DataFrame) -> DataFrame:
-        rows = filter_geometry(rows, class_ids, **rule)
+        rows = filter_geometry(rows, class_ids, class_rules, **rule)
         if exclude:
             rows = rows.where(~F.col("class_id").isin(*exclude))
+        for k, least in pixels.items():
+            large = (F.col("w") * F.col("width") >= least) & (F.col("h") * F.col("height") >= least)
+            rows = rows.where((F.col("class_id") != k) | F.coalesce(large, F.lit(True)))
         if min_pixels is not None:
             rows = rows.where(F.coalesce((F.col("w") * F.col("width") >= min_pixels) & (F.col("h") * F.col("height") >= min_pixels), F.lit(True)))
         return rows
 
-    if min_pixels is not None:
+    if min_pixels is not None or pixels:
         sizes = gt.groupBy("image").agg(F.max("width").alias("gw"), F.max("height").alias("gh"))
         pred = pred.join(sizes, "image", "left").withColumn("width", F.coalesce("gw", "width")).withColumn("height", F.coalesce("gh", "height")).drop("gw", "gh")
     if min_confidence > 0:
@@ -113,20 +137,6 @@ def find_image(images: DataFrame, name: str) -> DataFrame:
     return ranked.join(F.broadcast(best), "tier", "left_semi").drop("tier")
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """Adds 1, 2, ... in an order without ties: rows are sorted by range, and each range starts
-    where those before it end, so no task sees more than its range.
-
-    Persisted, because the ranges are read twice and must not be drawn anew between."""
-    bits = 33  # of a place within its partition, see monotonically_increasing_id
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", bits)).persist()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each partition.
-    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    out = placed.join(F.broadcast(starts), "__part")
-    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << bits) - 1) + 1).drop("__at", "__part", "__before")
-
-
 def attribute_matrix(ann: DataFrame, classes: Sequence[str], schema: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row for each class, and one for all: how many annotations have each attribute."""
     counts = [F.count(F.when(has_value(k, o), 1)).alias(n) for k, (n, o) in enumerate(schema.items())]

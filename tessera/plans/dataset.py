@@ -105,7 +105,7 @@ def merge_union(spark, sf_dir):
 
 def split_counts(spark, sf_dir):
     parts = ds.split_images(corpus.images(spark, sf_dir), 0.7, 0.2, 0.1)
-    return parts.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("image").alias("images"))
 
 
 def exact_duplicates(spark, sf_dir):
@@ -118,8 +118,10 @@ def orphan_labels(spark, sf_dir):
 
 
 def duplicate_lines(spark, sf_dir):
-    lines = _gt(spark, sf_dir).withColumn("source_line", F.concat_ws(" ", "class_id", F.floor(F.col("w") * 50)))
-    return ds.duplicate_lines(lines).select("image", "line_no")
+    """Boxes on a coarse lattice; what differs behind the sixth digit is not written."""
+    coarse = F.floor(F.col("w") * 50) / 50 + F.col("line_no") * 1e-8
+    rows = _gt(spark, sf_dir).withColumns({"cx": F.lit(0.5), "cy": F.lit(0.5), "w": coarse, "h": coarse, "attrs": F.array().cast("array<double>")})
+    return ds.duplicate_lines(rows).select("image", "line_no")
 
 
 def validate_issues(spark, sf_dir):
@@ -128,7 +130,8 @@ def validate_issues(spark, sf_dir):
 
 
 def class_counts(spark, sf_dir):
-    return ds.class_counts(_gt(spark, sf_dir).where("class_id <> 3"), corpus.classes(spark))
+    """The last class has no annotation."""
+    return ds.class_counts(_gt(spark, sf_dir), spark.createDataFrame(list(enumerate([*CLASSES, "boat"])), "class_id int, class_name string"))
 
 
 def describe_boxes(spark, sf_dir):
@@ -245,6 +248,10 @@ SQL = {
     "set_attribute": _sql("SELECT image, line_no, class_id, concat_ws(',', CASE WHEN defect = 1 THEN 2 ELSE defect::INT END, grade::INT, CASE WHEN class_id IN (1, 2) THEN 5 END) AS attrs FROM gt"),
     "delete_attribute": _sql("SELECT image, line_no, class_id FROM gt WHERE NOT (grade IN (2, 3) AND class_id <= 3)"),
     "merge_union": _sql("SELECT part, list_element(['person', 'car', 'truck', 'bus', 'bike', 'sign', 'dog', 'cat'], CASE part WHEN 'd0' THEN class_id ELSE 7 - class_id END + 1) AS class_name, count(*) AS n, count(DISTINCT image) AS images FROM (SELECT 'd0' AS part, * FROM gt WHERE image % 2 = 0 UNION ALL SELECT 'd1', * FROM gt WHERE image % 3 = 0) GROUP BY 1, 2"),
+    "split_counts": """WITH i AS (SELECT DISTINCT o_orderkey AS image FROM orders),
+r AS (SELECT image, row_number() OVER (ORDER BY ('0x' || substr(md5('233/' || image), 1, 13))::BIGINT, image) AS k, count(*) OVER () AS n FROM i),
+s AS (SELECT *, floor(n * 0.7::DOUBLE / (0.7::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE)) AS a, floor(n * 0.2::DOUBLE / (0.7::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE)) AS b FROM r)
+SELECT CASE WHEN k <= a THEN 'train' WHEN k <= a + b THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(image)::BIGINT AS images FROM s GROUP BY 1""",
     "exact_duplicates": "SELECT sha256(text) AS digest, doc_id AS image, n FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1 AND text IS NOT NULL",
     "orphan_labels": _sql("SELECT class_id, count(*) AS n FROM gt WHERE image NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY class_id"),
     "duplicate_lines": _sql("SELECT image, line_no FROM (SELECT *, row_number() OVER (PARTITION BY image, class_id, floor(w * 50) ORDER BY line_no) AS r FROM gt) WHERE r > 1"),
@@ -252,8 +259,9 @@ SQL = {
 SELECT 'warning' AS level, 'coord_out_of_range' AS code FROM gt WHERE NOT cx * 1.2::DOUBLE BETWEEN 0 AND 1 UNION ALL
 SELECT 'warning', 'coord_out_of_range' FROM gt WHERE NOT w - 0.045::DOUBLE BETWEEN 0 AND 1 UNION ALL
 SELECT 'error', 'invalid_box_size' FROM gt WHERE w - 0.045::DOUBLE <= 0 UNION ALL
+SELECT 'warning', 'duplicate_annotation' FROM (SELECT row_number() OVER (PARTITION BY image, class_id, round(cx * 1.2::DOUBLE, 6), round(cy, 6), round(w - 0.045::DOUBLE, 6), round(h, 6) ORDER BY line_no) AS r FROM gt) WHERE r > 1 UNION ALL
 SELECT 'error', 'class_out_of_range' FROM gt WHERE class_id = 0) GROUP BY ALL"""),
-    "class_counts": _sql("SELECT k::INT AS class_id, list_element(['person', 'car', 'truck', 'bus', 'bike', 'sign', 'dog', 'cat'], k + 1) AS class_name, coalesce(n, 0) AS objects, coalesce(i, 0) AS images FROM (SELECT unnest(range(8)) AS k) LEFT JOIN (SELECT class_id, count(*) AS n, count(DISTINCT image) AS i FROM gt WHERE class_id <> 3 GROUP BY class_id) ON k = class_id"),
+    "class_counts": _sql("SELECT k::INT AS class_id, list_element(['person', 'car', 'truck', 'bus', 'bike', 'sign', 'dog', 'cat', 'boat'], k + 1) AS class_name, coalesce(n, 0) AS objects, coalesce(i, 0) AS images FROM (SELECT unnest(range(9)) AS k) LEFT JOIN (SELECT class_id, count(*) AS n, count(DISTINCT image) AS i FROM gt GROUP BY class_id) ON k = class_id"),
     "describe_boxes": _sql("SELECT series, count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM (SELECT 'width' AS series, w AS v FROM gt UNION ALL SELECT 'height', h FROM gt UNION ALL SELECT 'area', w * h FROM gt UNION ALL SELECT 'aspect', w / h FROM gt) GROUP BY series"),
     "aspect_histogram": _sql(f"SELECT bin, low, high, count(w) AS n FROM (VALUES {_EDGES}) AS e(bin, low, high) LEFT JOIN gt ON (w / h > low OR (bin = 0 AND w / h = low)) AND w / h <= high GROUP BY ALL"),
     "objects_per_image": _sql("SELECT objects, count(*) AS images FROM (SELECT o.image, count(g.image) AS objects FROM (SELECT DISTINCT o_orderkey AS image FROM orders) o LEFT JOIN gt g USING (image) GROUP BY o.image) GROUP BY objects"),

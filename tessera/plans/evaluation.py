@@ -67,7 +67,7 @@ def macro_metrics(spark, sf_dir):
 
 
 def size_metrics(spark, sf_dir):
-    return _rounded(ev.size_metrics(corpus.ground_truth(spark, sf_dir), corpus.predictions(spark, sf_dir)), ("size", "labels", "predictions"))
+    return _rounded(ev.size_metrics(corpus.ground_truth(spark, sf_dir), corpus.predictions(spark, sf_dir)), ("size", "images", "labels", "predictions"))
 
 
 def _errors(spark, sf_dir):
@@ -146,6 +146,19 @@ ns AS (SELECT n.* REPLACE (coalesce(took.size, n.size) AS size) FROM nms_i n LEF
 tps AS (SELECT n.size, n.class_id, t.thr, n.image, n.ord AS p, n.confidence, n_labels, CASE WHEN m.p IS NULL THEN 0 ELSE 1 END AS tp
   FROM ns n JOIN lab ON lab.size = n.size AND lab.class_id = n.class_id CROSS JOIN ths t LEFT JOIN mt m ON m.image = n.image AND m.class_id = n.class_id AND m.p = n.ord AND m.thr = t.thr)"""
 _BY_SIZE = f"{_SIZE_TPS},{_POINTS},{_AP}".replace(_POINTS, _POINTS.replace("class_id", "size, class_id")).replace(_AP, _AP.replace("class_id", "size, class_id"))
+_SIZE_F1 = """
+fc AS (SELECT size, class_id, floor(confidence * 999)::INT AS cell, arg_max({c: confidence, r: recall, p: precision}, n) AS hi, arg_min({c: confidence, r: recall, p: precision}, n) AS lo FROM pts WHERE thr = 0.5 GROUP BY ALL),
+gd AS (SELECT size, class_id, k AS cell, k / 999::DOUBLE AS px FROM (SELECT DISTINCT size, class_id FROM fc), range(1000) AS s(k)),
+near AS (SELECT g.*, h.hi AS a, l.lo AS b FROM gd g ASOF LEFT JOIN fc h ON g.size = h.size AND g.class_id = h.class_id AND g.cell <= h.cell
+  ASOF LEFT JOIN fc l ON g.size = l.size AND g.class_id = l.class_id AND g.cell > l.cell),
+pt AS (SELECT size, class_id, cell, CASE WHEN a IS NULL THEN 0 WHEN b IS NULL THEN a.r ELSE a.r + (b.r - a.r) * (a.c - px) / (a.c - b.c) END AS recall,
+  CASE WHEN a IS NULL THEN 1 WHEN b IS NULL THEN a.p ELSE a.p + (b.p - a.p) * (a.c - px) / (a.c - b.c) END AS precision FROM near),
+f1 AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-16::DOUBLE) AS f1 FROM pt),
+mf AS (SELECT size, cell, avg(f1) AS m FROM f1 GROUP BY size, cell),
+me AS (SELECT size, arg_min(m, cell) AS head, arg_max(m, cell) AS tail FROM mf GROUP BY size),
+sm AS (SELECT size, cell, (sum(m) OVER (PARTITION BY size ORDER BY cell ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) + greatest(0, 50 - cell) * head + greatest(0, cell - 949) * tail) / 101 AS s
+  FROM mf JOIN me USING (size)),
+bf AS (SELECT f1.* FROM f1 JOIN (SELECT size, arg_max(cell, (s, -cell)) AS cell FROM sm GROUP BY size) USING (size, cell))"""
 _ERR = """
 best_p AS (SELECT image, p, arg_max(g, (iou, -g)) AS g, max(iou) AS iou FROM pr GROUP BY image, p),
 best_g AS (SELECT image, g, arg_max(p, (iou, -p)) AS p, max(iou) AS iou FROM pr GROUP BY image, g),
@@ -184,10 +197,15 @@ LEFT JOIN (SELECT class_id, count(*) AS tp FROM mt GROUP BY class_id) USING (cla
 round(avg(ap50) FILTER (labels > 0), 6) AS map50, round(avg(ap75) FILTER (labels > 0), 6) AS map75, round(avg(ap) FILTER (labels > 0), 6) AS map,
 round(0.1::DOUBLE * avg(ap50) FILTER (labels > 0) + 0.9::DOUBLE * avg(ap) FILTER (labels > 0), 6) AS fitness FROM cm""", NMS_SQL, _NMS, _ALL, _CURVE, _AP, _F1, _CLASS),
     "size_metrics": _sql(
-        """SELECT size, coalesce(labels, 0)::BIGINT AS labels, coalesce(predictions, 0) AS predictions, round(coalesce(map50, 0), 6) AS map50, round(coalesce(map, 0), 6) AS map
-FROM (SELECT size, sum(n_labels) AS labels FROM lab GROUP BY size) FULL JOIN (SELECT size, count(*) AS predictions FROM ns GROUP BY size) USING (size)
-LEFT JOIN (SELECT size, avg(coalesce(ap, 0)) AS map, avg(CASE WHEN thr = 0.5 THEN coalesce(ap, 0) END) AS map50 FROM (SELECT size, class_id, thr FROM lab, ths) LEFT JOIN ap USING (size, class_id, thr) GROUP BY size) USING (size)""",
-        NMS_SQL, _NMS, _ALL, _BY_SIZE),
+        f"""SELECT size, images, labels, predictions, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1,
+round(map50, 6) AS map50, round(map75, 6) AS map75, round(map, 6) AS map, round(0.1::DOUBLE * map50 + 0.9::DOUBLE * map, 6) AS fitness
+FROM (SELECT size, coalesce(images, 0) AS images, coalesce(labels, 0)::BIGINT AS labels, coalesce(predictions, 0) AS predictions, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('precision', 'recall', 'map50', 'map75', 'map'))}
+FROM (VALUES ('small'), ('medium'), ('large')) AS s(size) LEFT JOIN (SELECT size, count(DISTINCT image) AS images FROM gt_i GROUP BY size) USING (size)
+LEFT JOIN (SELECT size, sum(n_labels) AS labels FROM lab GROUP BY size) USING (size) LEFT JOIN (SELECT size, count(*) AS predictions FROM ns GROUP BY size) USING (size)
+LEFT JOIN (SELECT size, avg(coalesce(precision, 0)) AS precision, avg(coalesce(recall, 0)) AS recall, avg(coalesce(ap50, 0)) AS map50, avg(coalesce(ap75, 0)) AS map75, avg(coalesce(ap, 0)) AS map
+  FROM lab LEFT JOIN bf USING (size, class_id) LEFT JOIN (SELECT size, class_id, avg(ap) AS ap, max(CASE WHEN thr = 0.5 THEN ap END) AS ap50, max(CASE WHEN thr = {ev.THRESHOLDS[5]!r}::DOUBLE THEN ap END) AS ap75
+  FROM ap GROUP BY ALL) USING (size, class_id) GROUP BY size) USING (size))""",
+        NMS_SQL, _NMS, _ALL, _BY_SIZE, _SIZE_F1),
     "error_taxonomy": _sql("SELECT * REPLACE (round(iou, 6) AS iou) FROM err", NMS_SQL, _NMS, _HALF, _ERR),
     "error_summary": _sql("SELECT status, error_type, count(*) AS n FROM err GROUP BY ALL", NMS_SQL, _NMS, _HALF, _ERR),
     "confusion_matrix": _sql(

@@ -30,15 +30,15 @@ def operation_dir(root: str, group: str, operation: str) -> str:
     """Where the results of a task go unless the caller says otherwise."""
     if group not in GROUPS:
         raise ValueError(f"unknown group {group!r}")
-    return os.path.join(root, f"ydm_{group}", operation)
+    return os.path.join(root, f"tessera_{group}", operation)
 
 
-def copy_files(plan: DataFrame) -> None:
+def copy_files(plan: DataFrame, overwrite: bool = True) -> None:
     """Copies ``source`` to ``target`` for each row; sources that do not exist are skipped."""
 
     def copy(rows):
         for r in rows:
-            if not os.path.isfile(r.source):
+            if not os.path.isfile(r.source) or (not overwrite and os.path.exists(r.target)):
                 continue
             os.makedirs(os.path.dirname(r.target), exist_ok=True)
             part = f"{r.target}.{uuid.uuid4().hex}.part"

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import Classes
-from .labels import ANNOTATION, label_path_of, list_images, list_labels, read_labels, stem
+from .labels import ANNOTATION, is_image, label_path_of, list_files, list_images, list_labels, read_labels, stem
 
 SPLITS = ("train", "val", "test")  # fixed values
+LAYOUTS = ("image_list", "split_dirs", "flat", "mixed")  # fixed values
+CLASS_SOURCES = ("class.txt", "classes.txt", "dataset.yaml", "data.yaml")  # fixed values
 
 
 def detect(root: str) -> str:
@@ -48,10 +50,63 @@ def eval_class_names(path: str) -> Classes:
 
 
 def find_class_names(root: str) -> Classes:
-    for name in ("class.txt", "classes.txt", "dataset.yaml", "data.yaml"):
-        if os.path.exists(path := os.path.join(root, name)):
-            return class_names(path)
-    return Classes()
+    source = class_source(root)
+    return class_names(source) if source else Classes()
+
+
+def class_source(root: str) -> str | None:
+    """The file that names the classes of a dataset, or of a YAML file that stands for one."""
+    if os.path.isfile(root):
+        return root
+    return next((p for name in CLASS_SOURCES if os.path.exists(p := os.path.join(root, name))), None)
+
+
+def dataset_root(path: str) -> str:
+    """The folder of a dataset; a YAML file may name it (``path``, relative to the file)."""
+    if not os.path.isfile(path):
+        return path
+    with open(path, encoding="utf-8") as f:
+        named = str((yaml.safe_load(f) or {}).get("path") or ".")
+    return os.path.normpath(named if os.path.isabs(named) else os.path.join(os.path.dirname(os.path.abspath(path)), named))
+
+
+def report(spark: SparkSession, root: str) -> dict:
+    """What a folder holds: its layout, folders, split lists, splits, numbers of files, classes."""
+    root = dataset_root(root)
+    kind, names = detect(root), find_class_names(root)
+    at = lambda d: p if os.path.isdir(p := os.path.join(root, d)) else None
+    pics, texts = (root, root) if kind == "mixed" else (at("images"), at("labels"))
+    lists = [p for s in SPLITS if os.path.exists(p := os.path.join(root, f"{s}.txt"))]
+    splits = [s for s in SPLITS if any(d and os.path.isdir(os.path.join(d, s)) for d in (pics, texts))]
+    images = list_images(spark, pics).count() if pics else 0
+    if kind == "image_list":
+        splits = [s for s in SPLITS if os.path.join(root, f"{s}.txt") in lists]
+        images = read_image_list(spark, *lists).count()
+    n_labels = list_files(spark, texts, "*.txt").count() if texts else 0
+    return {
+        "layout": kind, "root": root, "images_dir": pics, "labels_dir": texts, "split_files": lists, "splits": splits, "image_count": images, "label_count": n_labels,
+        "class_source": class_source(root), "class_count": len(names), "classes": list(names),
+    }
+
+
+def write_attributes(root: str, attributes: dict | None) -> None:
+    """attribute.yaml, if there are attributes."""
+    if attributes:
+        os.makedirs(root, exist_ok=True)
+        with open(os.path.join(root, "attribute.yaml"), "w", encoding="utf-8") as f:
+            yaml.safe_dump({"attributes": attributes}, f, sort_keys=False, allow_unicode=True)
+
+
+def read_stems(spark: SparkSession, source: str) -> DataFrame:
+    """image: the stems that a text file lists, or those of the images or labels in a folder."""
+    if not os.path.exists(source):
+        raise FileNotFoundError(source)
+    if os.path.isdir(source):
+        files = list_files(spark, source)
+        named = files.where(is_image(F.col("path")) | F.lower("path").endswith(".txt")).select(stem(F.col("path")).alias("image"))
+    else:
+        named = read_image_list(spark, source).select(stem(F.col("name")).alias("image"))
+    return named.distinct()
 
 
 def attribute_schema(path: str) -> dict:
@@ -98,17 +153,25 @@ class Dataset:
     orphans: DataFrame | None = None
 
 
-def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir: str = "labels", task: str = "auto", layout: str = "auto", split_file: str | None = None, attribute_file: str | None = None, only_val: bool = False) -> Dataset:
-    """Images joined to labels by stem; a bare folder of label files has images without a file.
+def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir: str = "labels", task: str = "auto", layout: str = "auto", split_file: str | None = None, attribute_file: str | None = None, only_val: bool = False, stems: DataFrame | str | None = None) -> Dataset:
+    """Images joined to labels by stem; a bare folder of label files has images without a file,
+    and only the files of the folder itself.  ``root`` may be a YAML file that names its folder.
 
-    ``only_val`` keeps the validation part: what val.txt lists, or what lies in a folder val."""
+    ``only_val`` keeps the validation part: what val.txt lists, or what lies in a folder val;
+    ``stems`` (image, or a list or folder to read them from) keeps the images of these stems."""
+    root = dataset_root(root)
     layout = detect(root) if layout == "auto" else layout
+    if layout not in (*LAYOUTS, "unknown"):
+        raise ValueError(f"unknown layout {layout!r}; there are {', '.join(LAYOUTS)}")
     attributes = attribute_schema(attribute_file) if attribute_file else {}
+    stems = read_stems(spark, stems) if isinstance(stems, str) else stems
     pics, texts = os.path.join(root, images_dir), os.path.join(root, labels_dir)
     if not os.path.isdir(pics) and not os.path.isdir(texts):
-        ann = read_labels(spark, root, task, bool(attributes))
+        ann = read_labels(spark, root, task, bool(attributes), stems=stems, recursive=False)
         return Dataset(root, ann.select("image").distinct().withColumn("file_name", F.concat("image", F.lit(".jpg"))), ann, find_class_names(root), attributes)
     images = list_images(spark, pics)
+    if stems is not None:
+        images = images.join(stems.select("image").distinct(), "image", "left_semi")
     images = images.withColumn("label_path", label_path_of(F.col("path"))).withColumn("split", F.coalesce(*[F.when(F.col("path").contains(f"/{s}/"), s) for s in SPLITS]))
     wanted = [split_file] if split_file else [p for s in SPLITS if layout == "image_list" and os.path.exists(p := os.path.join(root, f"{s}.txt"))]
     if only_val and not split_file:

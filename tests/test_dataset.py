@@ -94,13 +94,40 @@ def test_union_and_splits(spark):
     with pytest.raises(ValueError):
         ds.split_exact(["a"], train_include=["a"], val_include=["a"])
     many = spark.range(2000).withColumnRenamed("id", "image")
-    assert ds.split_images(many).where("split = 'train'").count() == pytest.approx(1600, abs=80)
+    assert ds.split_images(many, exact=False).where("split = 'train'").count() == pytest.approx(1600, abs=80)
+    count = lambda df: {r.split: r["count"] for r in df.groupBy("split").count().collect()}
+    assert count(ds.split_images(many.where("image < 13"), 0.7, 0.3)) == {"train": 9, "val": 3, "test": 1}
+    assert ds.split_exact([str(k) for k in range(13)], 0.7, 0.3)["test"] != []
+    again = [ds.split_images(many.repartition(n)).where("split = 'val'").agg(F.sum("image")).first()[0] for n in (1, 7)]
+    assert again[0] == again[1]
+
+
+def test_names_stay_unique(spark):
+    """A number is not given to a name that is there already, in either dataset."""
+    pics = lambda *names: spark.createDataFrame([(n.rsplit(".", 1)[0], n) for n in names], "image string, file_name string")
+    ann = boxed(spark, [("a", 0, 0.5, 0.5, 0.2, 0.3, [])])
+    got, _, _ = ds.merge_datasets([(pics("a.jpg", "b"), ann, NAMES), (pics("a.jpg", "a_1.jpg", "a_03.jpg", "b"), ann, NAMES), (pics("a.jpg", "a_3.jpg"), ann, NAMES)], source_prefix=False)
+    names = {r.image: r.file_name for r in got.collect()}
+    assert names == {"d0_a": "a.jpg", "d0_b": "b", "d1_a": "a_2.jpg", "d1_a_1": "a_1.jpg", "d1_a_03": "a_03.jpg", "d1_b": "b_1", "d2_a": "a_4.jpg", "d2_a_3": "a_3.jpg"}
+    assert ds.merge_attributes([{"x": [1]}, None, {"x": [2], "y": [3]}]) == {"x": [1], "y": [3]}
+
+
+def test_splits_with_forced_names(spark):
+    pics = spark.createDataFrame([(f"i{k}", f"i{k}.jpg") for k in range(10)], "image string, file_name string")
+    listed = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    got = {r.image: r.split for r in ds.split_with_lists(pics, listed("i3.jpg"), listed("x/i4"), train=0.5, val=0.25, test=0.25).collect()}
+    assert got["i3"] == "train" and got["i4"] == "val" and len(got) == 10 and sorted(got.values()).count("train") == 5
+    for a, b in ((["i3"], ["i3.jpg"]), (["nothing"], [])):
+        with pytest.raises(ValueError):
+            ds.split_with_lists(pics, listed(*a), listed(*b) if b else None)
 
 
 def test_polygons(spark):
     rows = parsed(spark, "0 .1 .1 .9 .9 .1 .9 .9 .1\n0 .1 .1 .3 .1 .3 .4 .1 .4").withColumn("image", F.lit("a"))
     issues = {r.code for r in ds.validate(rows.drop("source_line").where("ord = 0")).collect()}
     assert issues == {"polygon_self_intersection"}
+    outside = parsed(spark, "0 -.1 .1 1.5 .1 .3 2 .1 .4").withColumn("image", F.lit("a"))
+    assert [r.code for r in ds.validate(outside).collect()].count("coord_out_of_range") == 3
     r = ds.seg_to_det(rows.where("ord = 1")).select(*[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")]).first()
     assert (r.cx, r.cy, r.w, r.h) == (0.2, 0.25, 0.2, 0.3)
     assert rows.where("ord = 1").select(F.round(geo.polygon_area("polygon"), 6).alias("a")).first().a == 0.06
@@ -109,6 +136,8 @@ def test_polygons(spark):
 def test_duplicate_lines_and_attributes(spark):
     rows = parsed(spark, "0 1 1 .5 .5 .2 .2\n0 1 1 .5 .5 .2 .2", attributes=True)
     assert [r.code for r in ds.validate(rows).collect()] == ["duplicate_annotation"]
+    other = parsed(spark, "0 .5 .5 .2 .2\n0 0.5 0.50 0.2000000001 .2\n0 .5 .5 .2 .2 .9\n1 .5 .5 .2 .2")
+    assert [r.line_no for r in ds.duplicate_lines(other).collect()] == [2]
     assert ds.query_attribute(rows, 0, ["no", "yes"], values=["yes"]).count() == 2 and ds.query_attribute(rows, 0, ["no", "yes"], nonzero=True).count() == 2
     assert {(r.value, r.n) for r in ds.attribute_counts(rows, {"defect": ["no", "yes"]}).collect()} == {("yes", 2)}
 

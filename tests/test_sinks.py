@@ -48,7 +48,7 @@ def test_backups(spark, root, tmp_path_factory):  # noqa: F811
     (root / "val.txt").write_text("a\n")
     assert files.backup_splits(str(root), str(root / "old")) == [str(root / "val.txt")] and not (root / "val.txt").exists()
     assert files.backup_splits(str(root), str(root / "old")) == []
-    assert files.operation_dir("r", "stats", "plots") == "r/ydm_stats/plots"
+    assert files.operation_dir("r", "stats", "plots") == "r/tessera_stats/plots"
     with pytest.raises(ValueError, match="group"):
         files.operation_dir("r", "other", "x")
 
