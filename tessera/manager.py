@@ -368,7 +368,7 @@ class Manager:
     def export_xany(self, out: str) -> None:
         heads = images.read_headers(self.spark, os.path.join(self.root, "images"))
         pics = self.data.images.join(heads.select("image", "width", "height"), "image")
-        labels.write_texts(formats.xany_documents(pics, self.data.annotations, self.classes), out, ".json")
+        labels.write_texts(formats.xany_documents(pics, self.data.annotations, self.classes, self._schema()), out, ".json")
 
     def export_coco(self, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The three tables of a COCO document, written to ``path`` where there is one."""
@@ -391,7 +391,8 @@ def import_tables(reader: Callable, out: str | None = None):
     return run
 
 
-def labelme(spark: SparkSession, path: str, class_names, **options):
+def labelme(spark: SparkSession, path: str, class_names=None, **options):
+    class_names = formats.labelme_names(spark, path) if class_names is None else class_names
     pics, ann = formats.read_labelme(spark, path, class_names, **options)
     return pics, ann, spark.createDataFrame(list(enumerate(class_names)), "class_id int, class_name string")
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import circle, pixel_points, polygon_area, to_centre
-from ..operators.tables import numbered
+from ..operators.dataset import decoded
+from ..operators.ranking import numbered
+from ..store import stored
 from .labels import POINT, stem
 
 COCO = """images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>,
@@ -82,9 +84,11 @@ def read_voc(spark: SparkSession, path: str, class_names: Sequence[str] | None =
     return docs.drop("object"), _numbered(ann, ["pos"]).select("image", "ord", "line_no", "class_id", "cx", "cy", "w", "h"), classes
 
 
-def read_labelme(spark: SparkSession, path: str, class_names: Sequence[str], task: str = "auto", attributes: Sequence[tuple[str, Sequence[str]]] = ()) -> tuple[DataFrame, DataFrame]:
+def read_labelme(spark: SparkSession, path: str, class_names: Sequence[str] | None = None, task: str = "auto", attributes: Sequence[tuple[str, Sequence[str]]] = ()) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of known classes: rectangles keep their two points as given,
-    circles become 24-gons, attributes become the places of their options (0 if missing)."""
+    circles become 24-gons, attributes become the places of their options (0 if missing).
+    Without ``class_names`` classes are the labels there are, in order, see ``labelme_names``; with
+    them, another label is an error."""
     docs = spark.read.schema(LABELME).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     docs = docs.select(stem(F.col("imagePath")).alias("image"), F.col("imagePath").alias("file_name"), F.col("imageWidth").alias("width"), F.col("imageHeight").alias("height"), "shapes")
     rows = docs.select("image", "width", "height", F.posexplode("shapes").alias("pos", "s")).select("image", "width", "height", "pos", "s.*")
@@ -99,8 +103,11 @@ def read_labelme(spark: SparkSession, path: str, class_names: Sequence[str], tas
     box = {k: F.when(~many, F.when(F.col("shape_type") == "rectangle", given[k]).otherwise(around[k])) for k in given}
     raw = [F.coalesce(F.array_position(F.array(*map(F.lit, options)), F.try_element_at("attributes", F.lit(name))) - 1, F.lit(0)) if options else F.try_element_at("attributes", F.lit(name)).try_cast("double") for name, options in attributes]
     attrs = F.array(*[F.coalesce(F.greatest(r, F.lit(0)).cast("double"), F.lit(0.0)) for r in raw]).cast("array<double>")
+    class_names = labelme_names(spark, path) if class_names is None else class_names
     names = spark.createDataFrame(list(enumerate(class_names)), "class_id int, label string")
-    ann = rows.withColumns({**box, "polygon": F.when(many, F.col("p")), "attrs": attrs}).join(F.broadcast(names), "label")
+    ann = rows.withColumns({**box, "polygon": F.when(many, F.col("p")), "attrs": attrs}).join(F.broadcast(names), "label", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("label", F.lit("(none)")))).cast("int")
+    ann = ann.withColumn("class_id", F.coalesce("class_id", unknown))
     return docs.drop("shapes"), _numbered(ann, ["pos"]).select("image", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "polygon", "attrs")
 
 
@@ -117,17 +124,29 @@ def read_tt100k(spark: SparkSession, path: str, sizes: DataFrame) -> tuple[DataF
     return _numbered(rows, ["pos"]).select("image", "split", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "clipped"), classes
 
 
-def xany_documents(images: DataFrame, ann: DataFrame, classes: DataFrame) -> DataFrame:
-    """image, value: a JSON document of shapes in pixels for each image."""
+def labelme_names(spark: SparkSession, path: str, limit: int = 10_000) -> list[str]:
+    """The labels of LabelMe documents, in order: a table of class names, which has a bound."""
+    docs = spark.read.schema(LABELME).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    rows = docs.select(F.explode("shapes.label").alias("label")).where("label IS NOT NULL").distinct().orderBy("label").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} labels")
+    return [r.label for r in rows]
+
+
+def xany_documents(images: DataFrame, ann: DataFrame, classes: DataFrame, schema: Mapping[str, Sequence[str] | None] | None = None) -> DataFrame:
+    """image, value: a JSON document of shapes in pixels for each image, with the decoded
+    attributes of ``schema``."""
     x1, x2 = (F.col("cx") - F.col("w") / 2) * F.col("width"), (F.col("cx") + F.col("w") / 2) * F.col("width")
     y1, y2 = (F.col("cy") - F.col("h") / 2) * F.col("height"), (F.col("cy") + F.col("h") / 2) * F.col("height")
     corner = F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2))
     has = F.col("polygon").isNotNull() if "polygon" in ann.columns else F.lit(False)
     points = F.when(has, F.transform("polygon", lambda q: F.array(q["x"] * F.col("width"), q["y"] * F.col("height")))).otherwise(corner) if "polygon" in ann.columns else corner
     rows = ann.join(images.select("image", "width", "height"), "image").join(classes, "class_id", "left")
-    shape = F.struct("ord", F.coalesce("class_name", F.col("class_id").cast("string")).alias("label"), F.when(has, "polygon").otherwise("rectangle").alias("shape_type"), points.alias("points"))
+    cells = [x for k, (n, o) in enumerate((schema or {}).items()) for x in (F.lit(n), decoded(k, o))]
+    attributes = F.map_filter(F.create_map(*cells), lambda k, v: v.isNotNull()) if cells else F.lit(None).cast("map<string,string>")
+    shape = F.struct(attributes.alias("attributes"), "ord", F.coalesce("class_name", F.col("class_id").cast("string")).alias("label"), F.when(has, "polygon").otherwise("rectangle").alias("shape_type"), points.alias("points"))
     shapes = rows.groupBy("image").agg(F.array_sort(F.collect_list(shape), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("s"))
-    named = F.transform(F.coalesce("s", F.array().cast(shapes.schema["s"].dataType)), lambda q: F.struct(q["label"].alias("label"), q["shape_type"].alias("shape_type"), q["points"].alias("points")))
+    named = F.transform(F.coalesce("s", F.array().cast(shapes.schema["s"].dataType)), lambda q: F.struct(q["label"].alias("label"), q["shape_type"].alias("shape_type"), q["points"].alias("points"), q["attributes"].alias("attributes")))
     docs = images.join(shapes, "image", "left")
     return docs.select("image", F.to_json(F.struct(F.col("file_name").alias("imagePath"), F.col("width").alias("imageWidth"), F.col("height").alias("imageHeight"), named.alias("shapes"))).alias("value"))
 
@@ -174,16 +193,20 @@ def grey_png(data: bytes) -> np.ndarray:
 
 def read_masks(spark: SparkSession, path: str, background: int = 0, min_area: int = 1, class_map: Mapping[int, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, classes) of a folder of label masks: one polygon for each connected
-    area; values become classes by ``class_map``, or by their order where there is none."""
+    area; values become classes by ``class_map``, or by their order where there is none.
+
+    Pixels stay inside the task that reads a file; only areas come out of it."""
 
     def decode(frames):
         for frame in frames:
             grids = [grey_png(bytes(b)) for b in frame["content"]]
-            yield pd.DataFrame({"image": frame["image"], "width": [g.shape[1] for g in grids], "height": [g.shape[0] for g in grids], "pixels": [[r.tolist() for r in g] for g in grids]})
+            found = [[a.tolist() for a in areas(g, background, min_area)] for g in grids]
+            yield pd.DataFrame({"image": frame["image"], "width": [g.shape[1] for g in grids], "height": [g.shape[0] for g in grids], "areas": found})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
-    masks = files.select(stem(F.col("path")).alias("image"), "content").mapInPandas(decode, "image string, width int, height int, pixels array<array<int>>")
-    found = mask_components(masks, background, min_area).persist()
+    masks = files.select(stem(F.col("path")).alias("image"), "content").mapInPandas(decode, "image string, width int, height int, areas array<array<int>>")
+    masks = stored(masks, "masks")
+    found = outlines(masks)
     if class_map is None:
         values = found.select("value").distinct()  # 255 at most
         classes = values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("class_id"), F.col("value").cast("string").alias("class_name"))
@@ -195,35 +218,59 @@ def read_masks(spark: SparkSession, path: str, background: int = 0, min_area: in
     return pics, ann.select("image", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "polygon", "area"), classes.select("class_id", "class_name")
 
 
+def areas(grid: np.ndarray, background: int = 0, min_area: int = 1) -> np.ndarray:
+    """value, area, left, top, right, bottom (ends exclusive) of the 4-connected areas of equal
+    pixels, in the order of their first pixels.
+
+    Rows are cut into runs of equal pixels, and runs that touch runs of their value above are
+    given the smallest number among them until no number changes."""
+    if not grid.size:
+        return np.zeros((0, 6), np.int64)
+    height, width = grid.shape
+    fresh = np.ones(grid.shape, bool)
+    fresh[:, 1:] = grid[:, 1:] != grid[:, :-1]
+    run = np.cumsum(fresh.ravel()).reshape(grid.shape) - 1
+    first = np.flatnonzero(fresh.ravel())
+    top, left = np.divmod(first, width)
+    length = np.diff(np.append(first, grid.size))
+    touch = grid[1:] == grid[:-1]
+    low, high = np.unique(np.stack((run[:-1][touch], run[1:][touch])), axis=1)
+    number = np.arange(len(first))
+    while True:
+        least, before = np.minimum(number[low], number[high]), number.copy()
+        np.minimum.at(number, low, least)
+        np.minimum.at(number, high, least)
+        number = number[number]
+        if (number == before).all():
+            break
+    names, own = np.unique(number, return_inverse=True)
+    out = np.empty((len(names), 6), np.int64)
+    out[:, 0], out[:, 1] = grid.ravel()[first[names]], np.bincount(own, length)
+    out[:, 2:4], out[:, 4:6] = (width, height), 0
+    np.minimum.at(out[:, 2], own, left), np.minimum.at(out[:, 3], own, top)
+    np.maximum.at(out[:, 4], own, left + length), np.maximum.at(out[:, 5], own, top + 1)
+    return out[(out[:, 0] != background) & (out[:, 1] >= min_area)]
+
+
+def outlines(masks: DataFrame) -> DataFrame:
+    """image, value, area, polygon of masks (image, width, height, areas); an area's outline is
+    its rectangle."""
+    part = lambda k: F.get("a", F.lit(k))
+    x1, y1, x2, y2 = part(2) / F.col("width"), part(3) / F.col("height"), part(4) / F.col("width"), part(5) / F.col("height")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rows = masks.select("image", "width", "height", F.explode("areas").alias("a"))
+    return rows.select("image", part(0).alias("value"), part(1).alias("area"), F.array(corner(x1, y1), corner(x2, y1), corner(x2, y2), corner(x1, y2)).alias("polygon"))
+
+
 def mask_components(masks: DataFrame, background: int = 0, min_area: int = 1) -> DataFrame:
-    """image, value, area, polygon of the 4-connected areas of label masks (image, pixels: rows
-    of integers); each area's outline is its rectangle.  Masks are handled one by one in tasks."""
+    """image, value, area, polygon of the connected areas of label masks that are tables already
+    (image, pixels: rows of integers)."""
 
-    def grow(frames):
+    def label(frames):
         for frame in frames:
-            out = []
-            for image, pixels in zip(frame["image"], frame["pixels"], strict=True):
-                grid = [list(r) for r in pixels]
-                height, width = len(grid), len(grid[0]) if len(grid) else 0
-                seen = [[v == background for v in r] for r in grid]
-                for y in range(height):
-                    for x in range(width):
-                        if seen[y][x]:
-                            continue
-                        value, todo, area, box = grid[y][x], [(y, x)], 0, [x, y, x, y]
-                        seen[y][x] = True
-                        while todo:
-                            b, a = todo.pop()
-                            area += 1
-                            box = [min(box[0], a), min(box[1], b), max(box[2], a), max(box[3], b)]
-                            for d, c in ((b - 1, a), (b + 1, a), (b, a - 1), (b, a + 1)):
-                                if 0 <= d < height and 0 <= c < width and not seen[d][c] and grid[d][c] == value:
-                                    seen[d][c] = True
-                                    todo.append((d, c))
-                        if area >= min_area:
-                            x1, y1, x2, y2 = box[0] / width, box[1] / height, (box[2] + 1) / width, (box[3] + 1) / height
-                            out.append((image, int(value), area, [{"x": p, "y": q} for p, q in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]))
-            yield pd.DataFrame(out, columns=["image", "value", "area", "polygon"])
+            grids = [np.array([list(r) for r in p]) for p in frame["pixels"]]
+            grids = [g if g.ndim == 2 else np.zeros((0, 0), int) for g in grids]
+            yield pd.DataFrame({"image": frame["image"], "width": [g.shape[1] for g in grids], "height": [g.shape[0] for g in grids], "areas": [[a.tolist() for a in areas(g, background, min_area)] for g in grids]})
 
     kind = masks.schema["image"].dataType.simpleString()
-    return masks.select("image", "pixels").mapInPandas(grow, f"image {kind}, value int, area int, polygon {POINT}")
+    return outlines(masks.select("image", "pixels").mapInPandas(label, f"image {kind}, width int, height int, areas array<array<int>>"))

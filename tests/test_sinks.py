@@ -131,10 +131,33 @@ def test_png_filters(how):
     assert (formats.grey_png(grey(pixels, how)) == pixels).all()
 
 
+def flooded(grid):
+    """Areas by spreading sets of pixels."""
+    left, out = {(y, x) for y, x in np.ndindex(*grid.shape) if grid[y, x]}, []
+    for at in sorted(left):
+        if at in left:
+            own, edge = {at}, {at}
+            while edge:
+                edge = {q for y, x in edge for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if q in left - own and grid[q] == grid[at]}
+                own |= edge
+            left -= own
+            ys, xs = zip(*own, strict=True)
+            out.append((grid[at], len(own), min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+    return out
+
+
 def test_masks(spark, tmp_path):
     (tmp_path / "m.png").write_bytes(grey([[0, 3, 3, 0], [0, 3, 0, 7]], 4))
     _, ann, classes = run_task(spark, "import.mask", str(tmp_path), out=f"{tmp_path}/out")
     assert [(r.class_id, r.area) for r in ann.orderBy("ord").collect()] == [(0, 3), (1, 1)] and {r.class_name for r in classes.collect()} == {"3", "7"}
     assert (tmp_path / "out/labels/m.txt").read_text().splitlines()[1] == "1 0.75 0.5 1 0.5 1 1 0.75 1"
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (1, 9), (7, 1), (12, 15), (30, 30)):
+        grid = rng.integers(0, 3, shape)
+        assert [tuple(a) for a in formats.areas(grid)] == flooded(grid)
+    ring = np.ones((40, 40), int)
+    ring[1::2, 1:] = 0
+    ring[3::4, 0], ring[3::4, -1] = 0, 1
+    assert [tuple(a) for a in formats.areas(ring)] == flooded(ring) and len(formats.areas(np.zeros((0, 0), int))) == 0
     with pytest.raises(ValueError, match="8-bit"):
         formats.grey_png(b"\x89PNG\r\n\x1a\n")
