@@ -8,10 +8,9 @@ fingerprints, and each hit is extended word by word to the windows that contain
 Items shorter than a window are a window as a whole; they are joined by the hash of all
 their words, for each short length that the benchmark has (nine at most).
 
-Scale: fingerprints and short windows of a document are picked inside its arrays, so that only
-these become rows, in one pass with one number for each document.  The test side is broadcast only
-if its fingerprints are counted and few; otherwise the picked rows are written and the same join
-is shuffled, and adaptive execution splits its hot fingerprints.  Picked rows carry their
+Scale: documents are read in one pass, with one number for each.  The test side is broadcast only
+if its fingerprints are counted and few; otherwise fingerprints and short windows are written and the
+same join is shuffled, and adaptive execution splits its hot fingerprints.  They carry their
 surroundings only (15 words), never the text.  Hits are shuffled by row.
 
 Defined results: null text has no words and no hit; a benchmark item without words has no
@@ -63,27 +62,31 @@ def fingerprints(rows: DataFrame, window: int, k: int) -> DataFrame:
     return rows.select(*held, marks.alias("marks"))
 
 
-def picked(rows: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
-    """Adds ``picks``: structs of n (words of the gram: k of a fingerprint, or a short length
-    below 0), i (its first word) and mark (its hash)."""
-    rows = fingerprints(rows, window, k)
-    pick = lambda n, i, mark: F.struct(F.lit(n).alias("n"), i.alias("i"), mark.alias("mark"))
-    lists = [F.filter(F.transform("marks", lambda m, i: pick(k, i, m)), lambda p: p["mark"].isNotNull())]
-    for n in short:
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
-        lists.append(F.transform(starts, lambda i: pick(-n, i, F.xxhash64(F.slice("words", i + 1, n)))))  # noqa: B023
-    return rows.withColumn("picks", F.concat(*lists)).drop("marks")
+def grams(rows: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
+    """A row for each place i in ``words``: n, mark.  n is k, with the mark of a fingerprint or
+    null, or a short length below 0, with the hash of so many words; ``rows`` without any word have
+    one row with null i."""
+    rows, held = fingerprints(rows, window, k), rows.columns
+    marks = F.col("marks")
+    if short:  # they begin at every word, fingerprints end k words before the last one
+        marks = F.concat(marks, F.array_repeat(F.lit(None).cast("long"), F.size("words") - F.size("marks")))
+    # The outer form: for the other, a filter on the array's size would be inferred, pushed down
+    # and thereby written out once for every use of every array.
+    each = rows.select(*held, F.posexplode_outer(marks).alias("i", "mark"))
+    if not short:
+        return each.withColumn("n", F.lit(k))
+    fits = lambda n: F.when(F.col("i") + n <= F.size("words"), F.struct(F.lit(-n).alias("n"), F.xxhash64(F.slice("words", F.col("i") + 1, n)).alias("mark")))
+    several = F.array_compact(F.array(F.struct(F.lit(k).alias("n"), "mark"), *map(fits, short)))
+    return each.select(*held, "i", F.explode_outer(several).alias("g")).select(*held, "i", "g.n", "g.mark")
 
 
 def benchmark_marks(items: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
     """item, n, mark, lead and test: for a fingerprint the words up to window-k on either side
     of it, of which ``lead`` stand before; for a short item all its words."""
     reach = window - k
-    # The outer form: for the other, a filter on the array's size would be inferred, pushed down
-    # and thereby written out once for every use of every array.
-    each = picked(items, window, k, []).where(F.size("words") >= window).select("item", "words", F.explode_outer("picks").alias("p")).where("p IS NOT NULL")
-    low, high = F.greatest(F.col("p.i") - reach, F.lit(0)), F.least(F.col("p.i") + window, F.size("words"))
-    long_ = each.select("item", "p.n", "p.mark", (F.col("p.i") - low).alias("lead"), F.slice("words", low + 1, high - low).alias("test"))
+    each = grams(items.where(F.size("words") >= window), window, k, []).where("mark IS NOT NULL")
+    low, high = F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + window, F.size("words"))
+    long_ = each.select("item", "n", "mark", (F.col("i") - low).alias("lead"), F.slice("words", low + 1, high - low).alias("test"))
     if not short:
         return long_
     few = items.where(F.size("words").between(1, window - 1)).select("item", (-F.size("words")).alias("n"), F.xxhash64("words").alias("mark"), F.lit(0).alias("lead"), F.col("words").alias("test"))
@@ -102,27 +105,25 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id",
     few = marks.limit(broadcast_rows + 1).count() <= broadcast_rows
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
-    rows = picked(rows.withColumn("n_words", F.size("words").cast("long")), window, k, short)
-    first = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).cast("long").alias("mark")))  # a row that each document has
-    each = rows.select("row", "doc_id", "n_words", "words", F.explode_outer(F.concat(first, "picks")).alias("p")).select("row", "doc_id", "n_words", "words", "p.*")
+    each = grams(rows.withColumn("n_words", F.size("words").cast("long")), window, k, short)
+    first = (F.col("n") == k) & (F.col("i").isNull() | (F.col("i") == 0))  # a row that each document has
     # Surroundings of the gram; ``before`` says how many of the words stand before it.
     before = F.when(F.col("n") < 0, 0).otherwise(F.least("i", F.lit(reach)))
     around = F.slice("words", F.col("i") - before + 1, F.when(F.col("n") < 0, -F.col("n")).otherwise(before + window))
-    around = F.when(F.col("n") != 0, around)
     shown = ["row", "doc_id", "n_words", "n", "i", before.alias("before"), around.alias("around")]
     if few:
-        hits = each.join(F.broadcast(marks), ["n", "mark"], "left").where("test IS NOT NULL OR n = 0").select(*shown, "item", "lead", "test")
+        hits = each.join(F.broadcast(marks), ["n", "mark"], "left").where(F.col("test").isNotNull() | first).select(*shown, "item", "lead", "test")
     else:
-        each = stored(each.select(*shown, "mark"), "picked")
-        hits = each.where("n <> 0").join(marks, ["n", "mark"]).drop("mark").unionByName(each.where("n = 0").drop("mark"), allowMissingColumns=True)
+        each = stored(each.where(F.col("mark").isNotNull() | first).select(*shown, "mark"), "picked")
+        hits = each.join(marks, ["n", "mark"]).drop("mark").unionByName(each.where(first).drop("mark"), allowMissingColumns=True)
     # Extend: each test window that holds the k-gram, laid over the document's words.
     at = lambda o: F.col("before") - F.col("lead") + o
     fits = lambda o: (at(o) >= 0) & (F.slice("around", F.greatest(at(o), F.lit(0)) + 1, window) == F.slice("test", o + 1, window))
     starts = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("test") - window, F.lit(0))), fits), lambda o: F.col("i") - F.col("lead") + o)
     starts = F.when(F.col("n") > 0, starts).when((F.col("n") < 0) & (F.col("around") == F.col("test")), F.array("i"))
-    found = hits.select("row", "doc_id", "n_words", "item", "n", F.explode_outer(starts).alias("start"))
+    found = hits.select("row", "doc_id", "n_words", "item", "n", "i", F.explode_outer(starts).alias("start"))
     width = F.when(F.col("n") < 0, -F.col("n")).otherwise(window)
-    return found.where("start IS NOT NULL OR n = 0").select("row", "doc_id", "n_words", "item", "start", (F.col("start") + width).alias("end"))
+    return found.where(F.col("start").isNotNull() | first).select("row", "doc_id", "n_words", "item", "start", (F.col("start") + width).alias("end"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
