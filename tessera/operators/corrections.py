@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_of, corners, iou
+from .dataset import seg_to_det
 
 CROP, ERROR_CROP = r"^(.+)_([1-9][0-9]*)$", r"^(.+)_pred(none|[1-9][0-9]*)_gt(none|[1-9][0-9]*)$"  # fixed values
 
@@ -38,16 +39,22 @@ def correct_from_crops(ann: DataFrame, crops: DataFrame, target_class: int | Non
     return out, known.select("crop", "image", "n", "old_class", outcome.alias("outcome"))
 
 
-def dedup_additions(rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """Of boxes to add to an image, one that overlaps a better one (confidence, then place) goes."""
-    items = rows.withColumns(corners()).groupBy("image").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(1.0))).alias("rank"), "ord", "x1", "y1", "x2", "y2"))).alias("b"))
+def dedup_additions(rows: DataFrame, least: float = 0.5, by: tuple[str, ...] = ("image",)) -> DataFrame:
+    """Of boxes to add to an image, one that overlaps a better one (confidence, then place) goes;
+    ``by`` may tell classes apart."""
+    items = rows.withColumns(corners()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(1.0))).alias("rank"), "ord", "x1", "y1", "x2", "y2"))).alias("b"))
     kept = F.aggregate("b", F.slice("b", 1, 0), lambda acc, q: F.when(F.exists(acc, lambda a: iou(box_of(a), box_of(q)) >= least), acc).otherwise(F.array_append(acc, q)))
-    return rows.join(items.select("image", F.explode(kept).alias("k")).select("image", "k.ord"), ["image", "ord"], "left_semi")
+    return rows.join(items.select(*by, F.explode(kept).alias("k")).select("image", "k.ord"), ["image", "ord"], "left_semi")
 
 
 def correct_from_error_crops(gt: DataFrame, pred: DataFrame, crops: DataFrame, target_class: int | None, dedup_iou: float | None = 0.5, replace: bool = False, delete_pred_none: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Named boxes get the class (or go); with ``replace`` they take the named prediction's box;
-    a prediction without a box is added.  Predictions are told by line number."""
+    """Named boxes get the class (or go); a prediction without a box is added.  Predictions are
+    told by line number.
+
+    With ``replace`` a box that is named with a prediction becomes that prediction (the best, if
+    there are several): its box or polygon, its attributes if it has any, and its class where there
+    is no ``target_class``.  Of replaced boxes of one class that overlap by ``dedup_iou`` the best
+    stays and the others go."""
     named = error_crop_names(crops)
     use = named.where("valid")
     touched = use.where("g IS NOT NULL").select("image", (F.col("g") - 1).alias("ord"), "p")
@@ -56,12 +63,26 @@ def correct_from_error_crops(gt: DataFrame, pred: DataFrame, crops: DataFrame, t
     else:
         gone = touched.where("p IS NULL") if target_class is not None else touched
     gone = gone.select("image", "ord").distinct()
-    best = pred.select("image", F.col("line_no").alias("p"), *[F.col(c).alias(f"new_{c}") for c in ("cx", "cy", "w", "h")], F.coalesce("confidence", F.lit(1.0)).alias("rank"))
-    chosen = touched.join(best, ["image", "p"]).withColumn("r", F.row_number().over(Window.partitionBy("image", "ord").orderBy(F.desc("rank"), "p"))).where("r = 1").drop("r", "p", "rank")
+    taken = [c for c in ("cx", "cy", "w", "h", "polygon", "attrs") if c in pred.columns and c in gt.columns]
+    best = pred.select("image", F.col("line_no").alias("p"), *[F.col(c).alias(f"new_{c}") for c in (*taken, "class_id")], F.coalesce("confidence", F.lit(1.0)).alias("rank"))
+    chosen = touched.join(best, ["image", "p"]).withColumn("r", F.row_number().over(Window.partitionBy("image", "ord").orderBy(F.desc("rank"), "p"))).where("r = 1").drop("r", "p")
+    if replace:
+        gone = gone.join(chosen.select("image", "ord"), ["image", "ord"], "left_anti")
+        if dedup_iou is not None:
+            boxes = chosen.select("image", "ord", F.col("new_class_id").alias("class_id"), F.col("rank").alias("confidence"), *[F.col(f"new_{c}").alias(c) for c in taken])
+            boxes = seg_to_det(boxes) if "polygon" in taken else boxes
+            gone = gone.union(boxes.join(dedup_additions(boxes, dedup_iou, ("image", "class_id")), ["image", "ord"], "left_anti").select("image", "ord"))
     marked = touched.select("image", "ord").distinct().withColumn("named", F.lit(True))
     out = gt.join(gone, ["image", "ord"], "left_anti").join(marked, ["image", "ord"], "left")
     if replace:
-        out = out.join(chosen, ["image", "ord"], "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in ("cx", "cy", "w", "h")})
+        out = out.join(chosen, ["image", "ord"], "left")
+        new = F.col("new_class_id").isNotNull()
+        put = {c: F.when(new, F.col(f"new_{c}")).otherwise(F.col(c)) for c in taken if c != "attrs"}
+        if "attrs" in taken:
+            put["attrs"] = F.when(new & (F.size("new_attrs") > 0), F.col("new_attrs")).otherwise(F.col("attrs"))
+        if "confidence" in gt.columns:
+            put["confidence"] = F.when(~new, F.col("confidence"))
+        out = out.withColumns(put | {"class_id": F.coalesce("new_class_id", "class_id")})
     if target_class is not None:
         out = out.withColumn("class_id", F.when(F.col("named"), F.lit(target_class)).otherwise(F.col("class_id")))
     out = out.select(*gt.columns)

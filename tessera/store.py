@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,9 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks while a step is at work: for what is computed from
+    stored tables in a few steps, and can be computed again where an executor is lost."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(*tables: DataFrame) -> None:
-    """Remove the folders of stored tables that nothing reads any more."""
+    """Remove the folders of stored tables, and held ones, that nothing reads any more."""
     for table in tables:
         if path := getattr(table, "stored_at", None):
             files, place = located(table.sparkSession, path)
             files.delete(place, True)
+        else:
+            table.unpersist()

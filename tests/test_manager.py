@@ -71,6 +71,12 @@ def test_error_crop_corrections(spark):
     rows = {r.ord: r for r in out.collect()}
     assert rows[0].class_id == 3 and rows[0].cx == 0.52 and rows[1].class_id == 1 and len(rows) == 3 and rows[2].class_id == 3
     assert {r.outcome for r in report.collect()} == {"update", "append"}
+    # Both boxes become predictions that coincide; the better one stays, as it was predicted.
+    both = spark.createDataFrame([("a_pred2_gt1",), ("a_pred3_gt2",)], "crop string")
+    shaped = pred.withColumn("attrs", F.array(F.lit(7.0)))
+    rows = {r.ord: r for r in corrections.correct_from_error_crops(gt, shaped, both, None, replace=True)[0].collect()}
+    assert set(rows) == {1} and (rows[1].cx, rows[1].class_id, rows[1].attrs) == (0.9, 1, [7.0])
+    assert len(corrections.correct_from_error_crops(gt, pred, both, None, replace=True, dedup_iou=None)[0].collect()) == 2
 
 
 def test_resize_moves_labels_into_the_letterbox(spark, tmp_path):
