@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import string
-import tempfile
-import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import exists, held, release, shared_dir, stored  # noqa: F401  (for the operators)
+
 #: Everything that is not part of a word once A-Z is in lower case.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,56 +38,6 @@ def shifted(array: Column, by: int) -> Column:
     return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    That is ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
-    Where neither is set, one is made for a local session; a cluster must name its own.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = context._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here,
-    each row is computed once, and a lost executor costs no more than its running tasks."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def held(df: DataFrame) -> DataFrame:
-    """``df`` kept on the executors' disks while a step is at work: for what is computed from
-    stored tables in a few steps, and can be computed again where an executor is lost."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove the folders of stored tables, and held ones, that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "stored_at", None)
-        if not path:
-            table.unpersist()
-        else:
-            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fifth that no model learns from; a null id does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -100,11 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 class Marked:
     """Rows of ``docs`` that an operator's decisions find again by id and digest of the text,
     without a copy of the table.  Columns have names of their own meanwhile (c0, c1 ...), which
