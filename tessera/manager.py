@@ -226,8 +226,12 @@ class Manager:
         pics = self.data.images.drop("width", "height").join(sizes, "image", "left")
         return pics if images_only else self.data.annotations.join(sizes, "image")
 
-    def draw(self, least: float | None = None, show_confidence: bool = False) -> DataFrame:
-        return tables.draw_list(self._sized().withColumns(corners()), self.data.classes, least, show_confidence)
+    def draw(self, least: float | None = None, show_confidence: bool = False, limit: int | None = None) -> DataFrame:
+        """What to draw on each image, or on the first ``limit`` ones by name."""
+        rows = self._sized()
+        if limit is not None:
+            rows = rows.join(self.data.images.select("image").distinct().orderBy("image").limit(limit), "image", "left_semi")
+        return tables.draw_list(rows.withColumns(corners()), self.data.classes, least, show_confidence)
 
     def crop(self, padding: int | float = 0, min_size: int = 1, by_attribute: bool = False) -> DataFrame:
         """Crop rectangles, each with its class name; ``by_attribute`` gives a row for each
@@ -244,7 +248,11 @@ class Manager:
 
     def manual_box(self, image: str, min_pixels: int = 2) -> DataFrame:
         """The boxes of one image that are large enough to be worked on, as lines of its label."""
-        rows = self._sized().join(tables.find_image(self.data.images, image).select("image"), "image", "left_semi")
+        found = tables.find_image(self.data.images, image)
+        names = [r.path for r in found.select("path").orderBy("path").limit(6).collect()]
+        if len(names) != 1:
+            raise ValueError(f"no image fits {image!r}" if not names else f"several images fit {image!r}: {', '.join(names[:5])}")
+        rows = self._sized().join(found.select("image"), "image", "left_semi")
         return ds.filter_pixels(rows, min_pixels).select("image", "ord", labels.to_line().alias("line"))
 
     def resize(self, width: int | None = None, height: int | None = None, scale: float | None = None, keep_ratio: bool = True, out: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from .functions.geometry import corners
 from .operators import dataset as ds
 from .operators import tables
 from .sources import images, labels, layout, multimodal
+from .store import release, stored
 
 
 class Scenes:
@@ -32,12 +33,13 @@ class Scenes:
 
     def reload(self) -> None:
         if self.scenes is not None:
-            self.scenes.unpersist()
+            release(self.scenes)
         found = {m: (labels.list_images(self.spark, os.path.join(self.root, d)), self.suffixes.get(m)) for m, d in self.dirs.items()}
         folder, suffix = os.path.join(self.root, self.labels_dir), self.suffixes.get("label")
         marks = labels.list_files(self.spark, folder, "*.txt").select(labels.stem(F.col("path")).alias("image"), "path")
         scenes, self.issues = multimodal.associate(found, marks, suffix, self.required)
-        self.scenes = scenes.persist()
+        self.issues = self.issues.unionByName(multimodal.empty_parts(found, marks))
+        self.scenes = stored(scenes, "scenes")
         ann = labels.read_labels(self.spark, folder, self.task, bool(self.attributes))
         self.annotations = ann.withColumn("image", multimodal.scene_of(F.col("image"), suffix))
 

@@ -127,6 +127,11 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return DataFrame(names, spark).select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
 
 
+def count_files(spark: SparkSession, path: str, glob: str = "*", images_only: bool = False) -> int:
+    files = list_files(spark, path, glob)
+    return files.where(is_image(F.col("path"))).count() if images_only else files.count()
+
+
 def _glob_pattern(glob: str) -> str:
     return "^" + "".join(".*" if c == "*" else re.escape(c) for c in glob) + "$"
 

@@ -39,6 +39,13 @@ def associate(modalities: Mapping[str, tuple[DataFrame, str | None]], labels: Da
     return scenes, reduce(DataFrame.union, issues)
 
 
+def empty_parts(modalities: Mapping[str, tuple[DataFrame, str | None]], labels: DataFrame) -> DataFrame:
+    """Issues of modalities without any image and of a label folder without any label."""
+    sides = [(m, "empty_modality", df) for m, (df, _) in modalities.items()] + [("label", "empty_labels", labels)]
+    none = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("scene"), F.lit(code).alias("code"), F.lit("warning").alias("level"), F.lit(m).alias("modality"), "n") for m, code, df in sides]
+    return reduce(DataFrame.union, none).where("n = 0").drop("n")
+
+
 def one_modality(scenes: DataFrame, modality: str, complete_only: bool = True) -> DataFrame:
     """scene, path, label_path of one modality."""
     rows = scenes.where("complete") if complete_only else scenes
