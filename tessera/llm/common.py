@@ -38,6 +38,31 @@ def shifted(array: Column, by: int) -> Column:
     return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often and deep in a lambda it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(values: Column, block: int = 64, levels: int = 2) -> Column:
+    """For each element of an array of integers the sum of those before it.
+
+    Blocks are summed, and blocks of their sums, so that the time is linear in the array up to
+    ``block ** levels`` blocks."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    before = lambda xs, start: F.transform(xs, lambda _, i: start + total(F.slice(xs, 1, i)))
+    if not levels:
+        return let(values, lambda xs: before(xs, F.lit(0).cast("long")))
+
+    def blocks(xs: Column) -> Column:
+        last = F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * block + 1, block))
+
+    def joined(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, sums_before(F.transform(parts, total), block, levels - 1), before))
+
+    return let(values, lambda xs: let(blocks(xs), joined))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fifth that no model learns from; a null id does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

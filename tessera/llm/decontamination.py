@@ -8,9 +8,11 @@ fingerprints, and each hit is extended word by word to the windows that contain
 Items shorter than a window are a window as a whole; they are joined by the hash of all
 their words, for each short length that the benchmark has (nine at most).
 
-Scale: documents are read in one pass, with one number for each.  The test side is broadcast only
-if its fingerprints are counted and few; otherwise fingerprints and short windows are written and the
-same join is shuffled, and adaptive execution splits its hot fingerprints.  They carry their
+Scale: documents are read in one pass.  A text becomes segments of ``SEGMENT`` words, each with the
+nine words that follow it, so that every window lies whole in one of them; whatever is made of words
+stays within a segment, and memory does not depend on how long a text is.  The test side is broadcast
+only if its fingerprints are counted and few; otherwise fingerprints and short windows are written and
+the same join is shuffled, and adaptive execution splits its hot fingerprints.  They carry their
 surroundings only (15 words), never the text.  Hits are shuffled by row.
 
 Defined results: null text has no words and no hit; a benchmark item without words has no
@@ -28,6 +30,8 @@ from .common import Marked, shifted, stored, text_or_empty, words
 WINDOW, K = 10, 5
 #: Test fingerprints (some 200 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Words of a text that are looked at together.
+SEGMENT = 256
 
 
 def _combined(a: Column, b: Column) -> Column:
@@ -36,15 +40,16 @@ def _combined(a: Column, b: Column) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.xxhash64(x, y))
 
 
-def fingerprints(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """Adds ``marks``: a k-gram's hash where it is a fingerprint, else null.
+def fingerprints(rows: DataFrame, window: int, k: int, short: list[int] = ()) -> DataFrame:
+    """Adds ``marks``: a k-gram's hash where it is a fingerprint, else null; and ``g{n}``, the hash of
+    each n words, for each n of ``short``.
 
     Minima of windows that hang over the end count too, which only adds fingerprints.
     """
-    span, held = window - k + 1, rows.columns
-    rows = rows.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("g", F.col("h"))
-    for j in range(1, k):
-        rows = rows.withColumn("g", _combined(F.col("g"), shifted(F.col("h"), j)))
+    span, kept = window - k + 1, rows.columns
+    rows = rows.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("g1", F.col("h"))
+    for n in range(2, max(k, *short, 0) + 1):
+        rows = rows.withColumn(f"g{n}", _combined(F.col(f"g{n - 1}"), shifted(F.col("h"), n - 1)))
 
     def running(rows: DataFrame, name: str, pick) -> DataFrame:
         """``name`` becomes the smallest or largest of each ``span`` elements from there on."""
@@ -55,42 +60,59 @@ def fingerprints(rows: DataFrame, window: int, k: int) -> DataFrame:
             width += step
         return rows
 
-    rows = running(rows.withColumn("m", F.col("g")), "m", F.least)
-    rows = running(rows.withColumn("m", F.concat(F.array_repeat(F.lit(None).cast("long"), span - 1), "m")), "m", F.greatest)
+    g = f"g{k}"
+    rows = running(rows.withColumn("m", F.col(g)), "m", F.least)
+    none = F.array_repeat(F.lit(None).cast("long"), span - 1)
+    rows = running(rows.withColumn("m", F.concat(none, "m")), "m", F.greatest)
     # The largest minimum of the windows that hold a k-gram is its own hash: one of them chose it.
-    marks = F.slice(F.zip_with("g", "m", lambda a, b: F.when(a == b, a)), 1, F.size("g"))
-    return rows.select(*held, marks.alias("marks"))
+    marks = F.slice(F.zip_with(g, "m", lambda a, b: F.when(a == b, a)), 1, F.size(g))
+    return rows.select(*kept, marks.alias("marks"), *[f"g{n}" for n in short])
+
+
+def segments(rows: DataFrame, window: int, size: int = SEGMENT) -> DataFrame:
+    """A row for each ``size`` words: the other columns, ``at`` (its first word's place) and its
+    ``words`` with the ``window - 1`` that follow.  A text without words has one row."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(size))
+    part = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, size + window - 1).alias("words")))
+    kept = [c for c in rows.columns if c != "words"]
+    return rows.select(*kept, F.explode(part).alias("part")).select(*kept, "part.*")
 
 
 def grams(rows: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
-    """A row for each place i in ``words``: n, mark.  n is k, with the mark of a fingerprint or
-    null, or a short length below 0, with the hash of so many words; ``rows`` without any word have
-    one row with null i."""
-    rows, held = fingerprints(rows, window, k), rows.columns
-    marks = F.col("marks")
-    if short:  # they begin at every word, fingerprints end k words before the last one
-        marks = F.concat(marks, F.array_repeat(F.lit(None).cast("long"), F.size("words") - F.size("marks")))
-    # The outer form: for the other, a filter on the array's size would be inferred, pushed down
-    # and thereby written out once for every use of every array.
-    each = rows.select(*held, F.posexplode_outer(marks).alias("i", "mark"))
-    if not short:
-        return each.withColumn("n", F.lit(k))
-    fits = lambda n: F.when(F.col("i") + n <= F.size("words"), F.struct(F.lit(-n).alias("n"), F.xxhash64(F.slice("words", F.col("i") + 1, n)).alias("mark")))
-    several = F.array_compact(F.array(F.struct(F.lit(k).alias("n"), "mark"), *map(fits, short)))
-    return each.select(*held, "i", F.explode_outer(several).alias("g")).select(*held, "i", "g.n", "g.mark")
+    """Of segments a row for each fingerprint: i, n (k), mark, ``around`` (up to window-k words on
+    either side of it) and how many of them stand ``before`` it; for each place and length n of
+    ``short`` one with -n, the hash and the words; and for each text one row with n = 0."""
+    reach, kept = window - k, [c for c in rows.columns if c not in ("at", "words")]
+    rows = fingerprints(rows, window, k, short)
+
+    def row(n: int, mark: Column, i: Column, before: Column, width: Column) -> Column:
+        around = F.slice("words", i - before + 1, width)
+        return F.struct((F.col("at") + i).alias("i"), F.lit(n).alias("n"), mark.alias("mark"), before.alias("before"), around.alias("around"))
+
+    def picked(mark: Column, i: Column) -> Column:
+        before = F.least(i, F.lit(reach))
+        return F.when(mark.isNotNull(), row(k, mark, i, before, before + window))
+
+    def whole(n: int) -> Column:
+        return F.transform(f"g{n}", lambda mark, i: row(-n, mark, i, F.lit(0), F.lit(n)))
+
+    # One row that each text has, whatever else it has.
+    first = F.array(F.when(F.col("at") == 0, row(0, F.lit(None).cast("long"), F.lit(0), F.lit(0), F.lit(0))))
+    every = F.array_compact(F.concat(first, F.transform("marks", picked), *map(whole, short)))
+    return rows.select(*kept, F.explode(every).alias("g")).select(*kept, "g.*")
 
 
 def benchmark_marks(items: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
     """item, n, mark, lead and test: for a fingerprint the words up to window-k on either side
     of it, of which ``lead`` stand before; for a short item all its words."""
-    reach = window - k
-    each = grams(items.where(F.size("words") >= window), window, k, []).where("mark IS NOT NULL")
-    low, high = F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + window, F.size("words"))
-    long_ = each.select("item", "n", "mark", (F.col("i") - low).alias("lead"), F.slice("words", low + 1, high - low).alias("test"))
+    names = ["item", "n", "mark", "lead", "test"]
+    long_ = grams(segments(items.where(F.size("words") >= window), window), window, k, []).where("n > 0")
+    out = long_.select("item", "n", "mark", F.col("before").alias("lead"), F.col("around").alias("test")).distinct()
     if not short:
-        return long_
-    few = items.where(F.size("words").between(1, window - 1)).select("item", (-F.size("words")).alias("n"), F.xxhash64("words").alias("mark"), F.lit(0).alias("lead"), F.col("words").alias("test"))
-    return long_.unionByName(few)
+        return out
+    few = items.where(F.size("words").between(1, window - 1)).withColumns({"at": F.lit(0), "n_words": -F.size("words")})
+    few = grams(few, window, k, short).where("n = n_words")
+    return out.unionByName(few.select("item", "n", "mark", F.col("before").alias("lead"), F.col("around").alias("test")).select(names))
 
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -98,24 +120,20 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col="doc_id",
     document, in words, end exclusive; and one row with null start for each document."""
     if not 0 < k <= window:
         raise ValueError("a k-gram must fit the window")
-    reach = window - k
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(text_or_empty(item_text_col)).alias("words")).distinct()
-    short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect())  # under ``window`` numbers
+    lengths = items.select(F.size("words").alias("n")).where(F.col("n").between(1, window - 1)).distinct()
+    short = sorted(r.n for r in lengths.collect())  # under ``window`` numbers
     marks = benchmark_marks(items, window, k, short)
     few = marks.limit(broadcast_rows + 1).count() <= broadcast_rows
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
-    each = grams(rows.withColumn("n_words", F.size("words").cast("long")), window, k, short)
-    first = (F.col("n") == k) & (F.col("i").isNull() | (F.col("i") == 0))  # a row that each document has
-    # Surroundings of the gram; ``before`` says how many of the words stand before it.
-    before = F.when(F.col("n") < 0, 0).otherwise(F.least("i", F.lit(reach)))
-    around = F.slice("words", F.col("i") - before + 1, F.when(F.col("n") < 0, -F.col("n")).otherwise(before + window))
-    shown = ["row", "doc_id", "n_words", "n", "i", before.alias("before"), around.alias("around")]
+    each = grams(segments(rows.withColumn("n_words", F.size("words").cast("long")), window), window, k, short)
+    first = F.col("n") == 0
     if few:
-        hits = each.join(F.broadcast(marks), ["n", "mark"], "left").where(F.col("test").isNotNull() | first).select(*shown, "item", "lead", "test")
+        hits = each.join(F.broadcast(marks), ["n", "mark"], "left").where(F.col("test").isNotNull() | first)
     else:
-        each = stored(each.where(F.col("mark").isNotNull() | first).select(*shown, "mark"), "picked")
-        hits = each.join(marks, ["n", "mark"]).drop("mark").unionByName(each.where(first).drop("mark"), allowMissingColumns=True)
+        each = stored(each, "picked")
+        hits = each.join(marks, ["n", "mark"]).unionByName(each.where(first), allowMissingColumns=True)
     # Extend: each test window that holds the k-gram, laid over the document's words.
     at = lambda o: F.col("before") - F.col("lead") + o
     fits = lambda o: (at(o) >= 0) & (F.slice("around", F.greatest(at(o), F.lit(0)) + 1, window) == F.slice("test", o + 1, window))

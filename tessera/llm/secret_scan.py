@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import let, stored, sums_before, text_or_empty
 
 #: Kind, pattern, group of the value, least length of the value, base kind.
 KINDS = (
@@ -44,28 +44,31 @@ MARK, OTHER = "\x01", "\x02"
 _SPAN = "array<struct<start:int,order:int,kind:string,base:boolean,end:int,value:string>>"
 
 
-def matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int, base: bool) -> Column:
-    """Leftmost non-overlapping matches with their places in code points.
+def pieces(text: Column, pattern: str) -> Column:
+    """Gaps and leftmost non-overlapping matches in turn, beginning with a gap.
 
-    Matches are put between marks and the text is split once at the marks, so that gaps and
-    matches take turns and a piece starts where the piece before it ends.  A mark that the text
-    itself holds is read as another control character, which no pattern tells from it.  Only
-    texts with a match take this path.
+    Matches are put between marks and the text is split once at the marks, so that a piece starts
+    where the piece before it ends.  A mark that the text itself holds is read as another control
+    character, which no pattern tells from it.
     """
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}"), MARK)
+    return F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}"), MARK)
+
+
+def matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int, base: bool) -> Column:
+    """Spans of the matches, in code points: a piece starts where all before it end."""
 
-    def add(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.char_length(piece)
-        value = F.regexp_extract(piece, pattern, group)
-        span = F.struct(state["at"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), end.alias("end"), value.alias("value"))
-        fits = state["inside"] & (F.char_length(value) >= least)
-        out = F.when(fits, F.array_append(state["out"], span)).otherwise(state["out"])
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), out.alias("out"))
+    def span(part: Column, i: Column, starts: Column) -> Column:
+        value, start = F.regexp_extract(part, pattern, group), starts[i].cast("int")
+        fields = {"start": start, "order": F.lit(order), "kind": F.lit(kind), "base": F.lit(base), "end": start + F.char_length(part), "value": value}
+        fits = (i % 2 == 1) & (F.char_length(value) >= least)
+        return F.when(fits, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda part: F.char_length(part))
+        return let(sums_before(sizes), lambda starts: F.array_compact(F.transform(parts, lambda part, i: span(part, i, starts))))
 
     none = F.from_json(F.lit("[]"), _SPAN)
-    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
-    spans = F.aggregate(pieces, empty, add, lambda state: state["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), let(pieces(text, pattern), placed)).otherwise(none)
 
 
 def looks_live(value: Column, min_chars: int = MIN_CHARS) -> Column:
@@ -78,9 +81,9 @@ def secret_candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_c
     """row, doc_id, owner, repo, digest (of the text, where it has a span) and all candidate
     spans, their values hashed."""
     text = text_or_empty(text_col)
-    own = [matches(F.col("text"), n, *kind) for n, kind in enumerate(kinds)]
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), name(owner_col).alias("owner"), text.alias("text"), (name(repo_col) if repo_col else F.lit(None).cast("string")).alias("repo"))
+    own = [matches(F.col("text"), n, *kind) for n, kind in enumerate(kinds)]
     keep = lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["base"].alias("base"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_sha256"), looks_live(s["value"]).alias("live"))
     rows = rows.withColumn("spans", F.transform(F.concat(*own), keep))
     digest = F.when(F.size("spans") > 0, F.sha2(F.col("text").cast("binary"), 256))

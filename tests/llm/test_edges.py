@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -34,8 +35,7 @@ OPERATORS = {
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_null_ids_long_texts_repeated_rows_and_empty_tables(spark, name):
-    # A text of nothing but benchmark windows is shorter: each of its words is a hit.
-    rows = [(i, t[: len(t) // 20] if t == LONG and name == "decontamination" else t, *x) for i, t, *x in ROWS]
+    rows = ROWS
     got = OPERATORS[name](spark, docs_of(spark, rows)).collect()
     assert len(got) == len(rows)
     key = "id" if name in ("exact", "near", "mix") else "doc_id"
@@ -46,6 +46,34 @@ def test_null_ids_long_texts_repeated_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](spark, docs_of(spark, [])).count() == 0
 
 
+def test_decontamination_of_very_long_texts(spark):
+    """100,000 words without a hit, half of hits, and of nothing but a short item's; segments of a
+    text find what the whole text holds, also where they meet."""
+    rng = random.Random(5)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item = " ".join(f"b{i}" for i in range(40))
+    texts = [plain(100_000), f"{plain(50_000)} {f'{item} ' * 1_250}", "alpha beta gamma " * 33_000]
+    marks = benchmark(spark, [(1, item), (2, "alpha beta gamma"), (3, "one two"), (4, "a b c d e f g h i")])
+    got = {r.doc_id: r for r in decontamination.contamination_report(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), marks).collect()}
+    assert [(got[i].n_words, got[i].n_hit, got[i].items) for i in range(3)] == [(100_000, 0, []), (100_000, 50_000, ["1"]), (99_000, 99_000, ["2"])]
+    own = [f"x{i}" for i in range(2 * decontamination.SEGMENT + 30)]
+    spans = [(a, a + 10) for a in range(decontamination.SEGMENT - 15, decontamination.SEGMENT + 15)] + [(len(own) - 10, len(own))]
+    rows = [(a, " ".join(f"y{a}{w}" if not a <= k < b else w for k, w in enumerate(own)), "en", "s") for a, b in spans]
+    found = decontamination.contaminated_windows(docs_of(spark, rows), benchmark(spark, [(1, " ".join(own))])).where("start IS NOT NULL").distinct().collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in found) == [(a, a, b) for a, b in spans]
+
+
+def test_secrets_of_a_dump_of_credentials(spark):
+    """Places of very many values, found in time linear in their number."""
+    n = 100_000
+    text = " ".join(f"token=Zx{i:08d}kQ0v" for i in range(n))
+    began = time.monotonic()
+    (got,) = secret_scan.secret_report(docs_of(spark, [(1, text, "en", "s")])).collect()
+    assert time.monotonic() - began < 60
+    want = ",".join(f"assign:{21 * i}:{21 * i + 20}" for i in range(n))
+    assert got.n_assign == n and got.spans == want and got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_an_empty_benchmark_hits_nothing(spark):
     for rows in ((), ((1, None), (2, ""))):
         got = decontamination.contamination_report(docs_of(spark, ROWS), benchmark(spark, rows)).collect()
