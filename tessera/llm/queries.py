@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, langid, license_scan, mixing, near_dedup, pii, quality, secret_scan, sql, token_counts
+from . import decontamination, divergence, exact_dedup, fingerprints, langid, license_scan, mixing, near_dedup, pii, quality, secret_scan, sql, token_counts, whitening
 from .common import shared_dir, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -85,10 +85,22 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumnRenamed("id", "doc_id")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.describe(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_license_scan, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_secret_scan, op6_decontamination, op7_quality, op8_pii, op9_language_id, op10_source_mix, token_rollup)
+    own = (op1_license_scan, op2_exact_dedup, op3_token_counts, op4_near_dedup, op5_secret_scan, op6_decontamination, op7_quality, op8_pii, op9_language_id, op10_source_mix, op11_document_fingerprints, op12_embedding_whitening, op13_source_divergence, token_rollup)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

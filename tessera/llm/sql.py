@@ -43,6 +43,26 @@ p AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest,
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(least(size, rest - before), 0))::BIGINT AS taken FROM p""",
+    "op13_source_divergence": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS terms, sum(total) AS size FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+shares AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+  (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (sizes.size + langs.terms))::HUGEINT AS p,
+  (1 + (1000000000::HUGEINT * (kept.total + 1)) // (langs.size + langs.terms))::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN langs USING (lang) JOIN sizes USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs AS x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
     "token_rollup": f"""
 WITH d AS (SELECT source, lang, CASE WHEN lang = 'en' THEN len({_WORDS}) ELSE len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) END AS n FROM documents)
 SELECT source, lang, 'mixed' AS tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
