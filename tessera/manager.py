@@ -13,7 +13,7 @@ from .operators import dataset as ds
 from .operators import corrections, tables
 from .operators import evaluation as ev
 from .sinks import files, reports
-from .sources import formats, images, labels, layout
+from .sources import formats, images, labels, layout, places
 from .store import stored
 
 
@@ -46,8 +46,8 @@ class Manager:
 
     def _labelled(self) -> DataFrame:
         """Images that have a label file, be it empty."""
-        folder = os.path.join(self.root, "labels")
-        return labels.list_labels(self.spark, folder).select("image") if os.path.isdir(folder) else self.data.annotations.select("image").distinct()
+        folder = self.data.labels_dir
+        return labels.list_labels(self.spark, folder).select("image") if folder else self.data.annotations.select("image").distinct()
 
     def stats(self) -> dict[str, DataFrame]:
         """Counts, descriptions of all series, shape bins and attributes; polygons count by the
@@ -96,10 +96,13 @@ class Manager:
 
     def _sizes(self) -> DataFrame:
         """image, width, height; images without a file have none."""
-        folder = os.path.join(self.root, "images")
-        if not os.path.isdir(folder):
+        if "path" not in self.data.images.columns:
             return self.data.images.select("image", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
-        return images.read_headers(self.spark, folder).select("image", "width", "height")
+        return self._headers().select("image", "width", "height")
+
+    def _headers(self, whole: bool = False) -> DataFrame:
+        """Headers of the dataset's pictures, of which only the first bytes are read."""
+        return images.read_headers(self.spark, self.data.images, whole)
 
     def query_class(self, classes) -> DataFrame:
         return ds.query_class(self.data.annotations, self.data.classes.ids(classes))
@@ -110,11 +113,14 @@ class Manager:
         return ds.query_attribute(self.data.annotations, names.index(name), options if isinstance(options, list) else None, values, nonzero)
 
     def duplicates(self) -> DataFrame:
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(os.path.join(self.root, "images")).where(labels.is_image(F.col("path")))
-        return ds.exact_duplicates(files, "path", "content")
+        """Pictures of equal content.  Only those whose size others have too are read."""
+        sized = stored(places.with_sizes(self.data.images.select("path")), "sizes")
+        often = sized.groupBy("bytes").count().where("count > 1").select("bytes")
+        hashed = stored(places.with_digests(sized.join(often, "bytes", "left_semi")), "digests")
+        return ds.repeated(hashed, "path")
 
     def bad_images(self) -> DataFrame:
-        return images.bad_images(images.read_headers(self.spark, os.path.join(self.root, "images")), self.data.images)
+        return images.bad_images(self._headers(whole=True), self.data.images)
 
     # --- changing: each returns the edited table with its report
     def filter(self, predicate: Column | None = None, class_rules=None, **rule) -> DataFrame:
@@ -150,7 +156,7 @@ class Manager:
 
     def split(self, train_include=None, val_include=None, **shares) -> DataFrame:
         """Images with their split; names in the lists (tables, or text files) are forced."""
-        listed = [layout.read_image_list(self.spark, x) if isinstance(x, str) else x for x in (train_include, val_include)]
+        listed = [layout.read_image_list(self.spark, x).select("name") if isinstance(x, str) else x for x in (train_include, val_include)]
         return ds.split_with_lists(self.data.images, *listed, **shares)
 
     def write(self, out: str, annotations: DataFrame | None = None, classes=None, images: DataFrame | None = None, attributes: dict | None = None, copy_images: bool = False, overwrite_images: bool = True, backup_dir: str | None = None, **options) -> None:
@@ -172,7 +178,7 @@ class Manager:
 
     def select(self, names: DataFrame | str) -> DataFrame:
         """Images whose stem or file name is listed, in a table (name) or a text file."""
-        return ds.select_images(self.data.images, layout.read_image_list(self.spark, names) if isinstance(names, str) else names)
+        return ds.select_images(self.data.images, layout.read_image_list(self.spark, names).select("name") if isinstance(names, str) else names)
 
     def merge(self, *others: Manager | str, **options):
         """Images, annotations and class names of this dataset and others (or their folders)
@@ -196,7 +202,7 @@ class Manager:
         return plan.count()
 
     def fill_missing_labels(self) -> int:
-        return files.fill_missing_labels(self.data.images, self._labelled(), os.path.join(self.root, "labels"))
+        return files.fill_missing_labels(self.data.images, self._labelled(), self.data.labels_dir or os.path.join(self.root, "labels"))
 
     def set_attr(self, name: str, value: float, classes=None, where_value: float | None = None):
         ids = None if classes is None else self.data.classes.ids(classes)
@@ -222,7 +228,7 @@ class Manager:
 
     # --- drawing: tables of what to draw or cut, in pixels
     def _sized(self, images_only: bool = False) -> DataFrame:
-        sizes = images.read_headers(self.spark, os.path.join(self.root, "images")).select("image", "width", "height")
+        sizes = self._sizes()
         pics = self.data.images.drop("width", "height").join(sizes, "image", "left")
         return pics if images_only else self.data.annotations.join(sizes, "image")
 
@@ -338,21 +344,49 @@ class Manager:
             reports.write_csv(reports.duplicate_rows(ev.duplicate_labels(gt, duplicate_iou), gt, names), os.path.join(out, "duplicate_gt.csv"))
         return found
 
-    def eval_review_pack(self, pred: str, out: str | None = None, copy_images: bool = True, **options) -> DataFrame:
+    def eval_review_pack(self, pred: str, out: str | None = None, copy_images: bool = True, copy_texts: bool = False, **options) -> DataFrame:
         """The errors by review group and crop name.  With ``out`` each group is a folder with
-        its rows and, if they exist, its images."""
+        its rows and, if they exist, its images; all groups are written together.  ``copy_texts``
+        adds the predictions' label files of the images reviewed, in ``pred_txt``."""
         rows = tables.review_crop_name(ev.review_group(self.eval_error_analysis(pred, **options)))
         if out:
             rows = stored(rows, "review")
-            groups = [r.review_group for r in rows.select("review_group").distinct().orderBy("review_group").limit(10_000).collect()]  # pairs of classes
-            for group in groups:
-                reports.write_csv(rows.where(F.col("review_group") == group), os.path.join(out, group, "review.csv"))
-            if copy_images and "path" in self.data.images.columns:
-                pics = self.data.images.select("image", files.local_path(F.col("path")).alias("source"), "file_name")
-                plan = rows.select("image", "review_group").distinct().join(pics, "image")
-                files.copy_files(plan.select("source", F.concat(F.lit(out + "/"), "review_group", F.lit("/images/"), "file_name").alias("target")))
+            reports.write_csv_groups(rows, out, F.col("review_group"), ["image", "g", "p"])
+            if copy_images:
+                self._copy_reviewed(rows.select("image", F.col("review_group").alias("folder")), out)
+            if copy_texts:
+                self._copy_texts(pred, rows, os.path.join(out, "pred_txt"))
         return rows
 
+    def eval_compare_pack(self, pred: str, out: str, statuses=("fp", "fn"), copy_images: bool = True, copy_texts: bool = False, **options) -> dict[str, int]:
+        """A folder for each of the statuses with its rows of the comparison and its images; how
+        many rows each has."""
+        gt, other, names, _ = self._sides(pred, **{k: v for k, v in options.items() if k not in ("iou_threshold", "confidence_threshold")})
+        chosen = {k: options[k] for k in ("iou_threshold", "confidence_threshold") if k in options}
+        rows = reports.compare_rows(ev.compare(gt, other, **chosen).where(F.col("status").isin(*statuses)), names)
+        rows = stored(rows.withColumn("folder", F.col("status")), "review")
+        written = reports.write_csv_groups(rows, out, F.col("folder"), ["image", "gt_line", "pred_line", "class_id"], columns=reports.COMPARE)
+        if copy_images:
+            self._copy_reviewed(rows.select("image", "folder"), out)
+        if copy_texts:
+            self._copy_texts(pred, rows, os.path.join(out, "pred_txt"))
+        return {r.file.split("/")[0]: r.lines for r in written.collect()}  # one for each status
+
+    def _copy_reviewed(self, rows: DataFrame, out: str) -> None:
+        """The images of ``rows`` (image, folder), each once in its folder's ``images``."""
+        if "path" in self.data.images.columns:
+            pics = self.data.images.select("image", files.local_path(F.col("path")).alias("source"), "file_name")
+            target = F.concat(F.lit(f"{out}/"), "folder", F.lit("/images/"), "file_name")
+            files.copy_files(rows.distinct().join(pics, "image").select("source", target.alias("target")))
+
+    def _copy_texts(self, pred: str, rows: DataFrame, folder: str) -> None:
+        """The predictions' label files of the images of ``rows``."""
+        texts = layout.load(self.spark, pred).labels_dir
+        if texts:
+            listed = labels.list_labels(self.spark, texts).join(rows.select("image").distinct(), "image", "left_semi")
+            target = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("label_path", "/"), -1))
+            files.copy_files(listed.select(F.col("label_path").alias("source"), target.alias("target")))
+
     def copy_query(self, rows: DataFrame, out: str) -> int:
         """Copies images and label files of a query's rows into a folder; how many images."""
         pics = stored(self.data.images.join(rows.select("image").distinct(), "image", "left_semi"), "query")
@@ -374,8 +408,7 @@ class Manager:
         return rows, names
 
     def export_xany(self, out: str) -> None:
-        heads = images.read_headers(self.spark, os.path.join(self.root, "images"))
-        pics = self.data.images.join(heads.select("image", "width", "height"), "image")
+        pics = self.data.images.join(self._sizes(), "image")
         labels.write_texts(formats.xany_documents(pics, self.data.annotations, self.classes, self._schema()), out, ".json")
 
     def export_coco(self, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -467,5 +500,5 @@ TASKS: dict[str, Callable] = {
     "ann.correct_from_crops": written("annotation", "correct_from_crops", Manager.correct_from_crops), "ann.correct_from_error_crops": written("annotation", "correct_from_error_crops", Manager.correct_from_error_crops), "convert.resize": Manager.resize,
     "vis.draw": Manager.draw, "vis.crop": Manager.crop, "vis.manual_box": Manager.manual_box,
     "import.coco": import_tables(formats.read_coco), "import.voc": import_tables(formats.read_voc), "import.labelme": import_tables(labelme), "import.mask": import_tables(formats.read_masks),
-    "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack,
+    "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack, "eval.compare_pack": Manager.eval_compare_pack,
 }

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_box, polygon_crosses_itself
+from ..store import stored
 from ..sources.labels import POINT, to_line
 from .ranking import numbered
 
@@ -366,11 +367,16 @@ def split_exact(names: Sequence[str], train: float = 0.8, val: float = 0.2, test
 
 
 def exact_duplicates(files: DataFrame, key: str = "image", content: str = "content", bits: int = 256) -> DataFrame:
-    """digest, images, n of contents that occur more than once; digests are counted before
-    names are listed, so that only duplicates are gathered."""
-    hashed = files.select(F.col(key).alias("image"), F.sha2(F.col(content).cast("binary"), bits).alias("digest"))
+    """digest, images, n of contents that occur more than once.  Contents are read once: digests
+    are stored, and what follows is made of them."""
+    return repeated(stored(files.select(F.col(key).alias("image"), F.sha2(F.col(content).cast("binary"), bits).alias("digest")), "digests"))
+
+
+def repeated(hashed: DataFrame, key: str = "image") -> DataFrame:
+    """digest, image, n of digests that occur more than once; they are counted before names are
+    listed, so that only duplicates are gathered."""
     often = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return hashed.join(often, "digest").select("digest", "image", "n")
+    return hashed.join(often, "digest").select("digest", F.col(key).alias("image"), "n")
 
 
 def missing_label_files(images: DataFrame, files: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ class Scenes:
         all_heads = heads[0]
         for h in heads[1:]:
             all_heads = all_heads.unionByName(h)
-        kinds = ["modality", "format", "bit_depth", "channels", "width", "height"]
+        kinds = ["modality", "format", "mode", "dtype", "bit_depth", "channels", "width", "height"]
         return all_heads.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
 
     def stats(self) -> dict[str, DataFrame]:

@@ -21,9 +21,10 @@ GROUPS = ("quality", "stats", "vis", "evaluation", "dataset", "annotation", "con
 
 
 def local_path(path: Column) -> Column:
-    """A path without the scheme that Spark's file sources put before it, and without escapes."""
+    """A path without the scheme that Spark's file sources put before it, and without the escapes
+    that come with it; another path as it is."""
     plain = F.regexp_replace(path, r"^file:/+", "/")
-    return F.coalesce(F.try_url_decode(F.regexp_replace(plain, r"\+", "%2B")), plain)
+    return F.when(path.startswith("file:"), F.coalesce(F.try_url_decode(F.regexp_replace(plain, r"\+", "%2B")), plain)).otherwise(path)
 
 
 def operation_dir(root: str, group: str, operation: str) -> str:

@@ -1,126 +1,292 @@
-"""Image headers: format, size, bits and channels, and whether the file is whole; pixels untouched.
+"""Pictures: what their headers say, and whether their files are whole; pixels are left alone.
 
-``intact`` follows each format as far as it can be checked without decoding: every chunk of a
-PNG to its end, and for WebP the length that the file states."""
+A header is read from the first 64 KB of a file, and beyond them only where the format's own
+marks point further (JPEG segments, TIFF directories).  ``intact`` follows each format to its end:
+chunks and checksums of a PNG, segments and scans of a JPEG up to its end mark, blocks of a GIF up to
+its trailer, chunks of a WebP, strips and tiles of a TIFF, rows of a BMP.  Nothing is decoded."""
 
 from __future__ import annotations
 
 import struct
 import zlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labels import is_image, stem
-
-KIND = "format string, width int, height int, bit_depth int, channels int, intact boolean"
-PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}  # fixed values: samples of each PNG colour type
-
-
-def header(data: bytes) -> tuple:
-    """(format, width, height, bit_depth, channels); nulls where the header can't be read."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26:
-        width, height, depth, kind = struct.unpack(">IIBB", data[16:26])
-        return "PNG", width, height, depth, PNG_CHANNELS.get(kind)
-    if data[:2] == b"BM" and len(data) >= 30:
-        width, height, _, bits = struct.unpack("<iiHH", data[18:30])
-        return "BMP", width, abs(height), 8, max(1, bits // 8)
-    if data[:6] in (b"GIF87a", b"GIF89a"):
-        return ("GIF", *struct.unpack("<HH", data[6:10]), 8, 1)
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 < len(data) and data[at] == 0xFF:
-            mark = data[at + 1]
-            if mark == 0xFF or mark == 0x01 or 0xD0 <= mark <= 0xD8:  # fill bytes and marks without a length
-                at += 1 if mark == 0xFF else 2
-                continue
+from . import places
+from .labels import is_image, list_files, stem
+from .places import Source
+
+HEADER = ("format", "mode", "dtype", "bit_depth", "channels", "width", "height")
+KIND = "bytes long, format string, mode string, dtype string, bit_depth int, channels int, width int, height int, intact boolean"
+#: By PNG colour type, samples of a pixel and the mode's name.
+PNG_KINDS = {0: (1, "L"), 2: (3, "RGB"), 3: (1, "P"), 4: (2, "LA"), 6: (4, "RGBA")}
+#: Modes by the number of samples, and the types of other modes than 8-bit ones.
+MODES = {1: "L", 2: "LA", 3: "RGB", 4: "RGBA"}
+DTYPES = {"1": ("bool", 1), "I;16": ("uint16", 16), "I": ("int32", 32), "F": ("float32", 32)}
+#: Bytes of a value of each TIFF type.
+TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+NONE = (None,) * len(HEADER)
+
+
+def _row(kind: str, mode: str | None, width: int, height: int, channels: int | None = None) -> tuple:
+    dtype, depth = DTYPES.get(mode, ("uint8", 8))
+    return kind, mode, dtype, depth, channels or len(mode or "L"), width, height
+
+
+def header(source: Source) -> tuple:
+    """The columns of ``HEADER``; nulls where the header can't be read."""
+    try:
+        return _header(source)
+    except (struct.error, IndexError, ValueError):  # the file ends within it
+        return NONE
+
+
+def _header(source: Source) -> tuple:
+    first = source.at(0, 32)
+    if first[:8] == b"\x89PNG\r\n\x1a\n":
+        width, height, depth, kind = struct.unpack(">IIBB", first[16:26])
+        channels, mode = PNG_KINDS.get(kind, (1, None))
+        mode = {(0, 1): "1", (0, 16): "I;16"}.get((kind, depth), mode)
+        return _row("PNG", mode, width, height, channels)
+    if first[:2] == b"BM":
+        width, height, _, bits = struct.unpack("<iiHH", first[18:30])
+        mode = {1: "1", 4: "P", 8: "P"}.get(bits, "RGBA" if bits == 32 else "RGB")
+        return _row("BMP", mode, width, abs(height), 1 if mode in ("1", "P") else None)
+    if first[:6] in (b"GIF87a", b"GIF89a"):
+        return _row("GIF", "P", *struct.unpack("<HH", first[6:10]))
+    if first[:2] == b"\xff\xd8":
+        for mark, at, _ in jpeg_segments(source):
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return "JPEG", width, height, data[at + 4], data[at + 9]
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    if data[:4] in (b"II*\0", b"MM\0*"):
-        return tiff(data)
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
-        return webp(data)
-    return None, None, None, None, None
+                height, width, channels = struct.unpack(">HHB", source.at(at + 5, 5))
+                return _row("JPEG", "CMYK" if channels == 4 else MODES.get(channels, "RGB"), width, height, channels)
+    if first[:4] in (b"II*\0", b"MM\0*"):
+        return tiff(source)
+    if first[:4] == b"RIFF" and first[8:12] == b"WEBP":
+        return webp(first)
+    return NONE
+
+
+def jpeg_segments(source: Source, at: int = 2):
+    """(mark, place, end) of the segments up to the first scan, that one included."""
+    while True:
+        lead, mark = source.at(at, 2)
+        if lead != 0xFF:
+            return
+        if mark == 0xFF or mark == 0x01 or 0xD0 <= mark <= 0xD8:  # fill bytes and marks without a length
+            at += 1 if mark == 0xFF else 2
+            continue
+        if mark == 0xD9:
+            yield mark, at, at + 2
+            return
+        end = at + 2 + struct.unpack(">H", source.at(at + 2, 2))[0]
+        yield mark, at, end
+        if mark == 0xDA:
+            return
+        at = end
 
 
-def tiff(data: bytes) -> tuple:
+def tiff_directories(source: Source):
+    """Tags of each directory: numbers by tag, read where the directory says."""
+    order = "<" if source.at(0, 2) == b"II" else ">"
+    at, seen = struct.unpack(order + "I", source.at(4, 4))[0], set()
+    while at and at not in seen:
+        seen.add(at)
+        count = struct.unpack(order + "H", source.at(at, 2))[0]
+        rows, tags = source.at(at + 2, 12 * count + 4), {}
+        for k in range(count):
+            tag, kind, n, _ = struct.unpack_from(order + "HHII", rows, 12 * k)
+            if kind not in (3, 4):  # short and long
+                continue
+            size = n * TIFF_SIZES[kind]
+            place = struct.unpack_from(order + "I", rows, 12 * k + 8)[0]
+            data = rows[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else source.at(place, size)
+            tags[tag] = struct.unpack(f"{order}{n}{'H' if kind == 3 else 'I'}", data)
+        yield tags
+        at = struct.unpack_from(order + "I", rows, 12 * count)[0]
+
+
+def tiff(source: Source) -> tuple:
     """From the tags of the first picture."""
-    order, tags = "<" if data[:2] == b"II" else ">", {}
-    try:
-        at = struct.unpack_from(order + "I", data, 4)[0]
-        for k in range(struct.unpack_from(order + "H", data, at)[0]):
-            tag, kind, count, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
-            if kind in (3, 4):  # short and long
-                code, place = (order + "H", 2) if kind == 3 else (order + "I", 4)
-                here = at + 10 + 12 * k
-                tags[tag] = struct.unpack_from(code, data, here if count * place <= 4 else struct.unpack_from(order + "I", data, here)[0])[0]
-    except struct.error:
-        return None, None, None, None, None
-    if not tags.get(256) or not tags.get(257):
-        return None, None, None, None, None
-    return "TIFF", tags[256], tags[257], tags.get(258, 1), tags.get(277, 1)
-
-
-def webp(data: bytes) -> tuple:
+    tags = next(tiff_directories(source), {})
+    width, height = (tags.get(t, (0,))[0] for t in (256, 257))
+    if not width or not height:
+        return NONE
+    bits, channels = tags.get(258, (1,))[0], tags.get(277, (1,))[0]
+    mode = MODES.get(channels, "RGBA") if channels > 1 else {1: "1", 16: "I;16", 32: "F" if tags.get(339, (1,))[0] == 3 else "I"}.get(bits, "P" if tags.get(262, (1,))[0] == 3 else "L")
+    return _row("TIFF", mode, width, height, channels)
+
+
+def webp(first: bytes) -> tuple:
     """From the lossy, lossless or extended first chunk."""
-    kind = data[12:16]
-    if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
-        width, height = struct.unpack("<HH", data[26:30])
-        return "WEBP", width & 0x3FFF, height & 0x3FFF, 8, 3
-    if kind == b"VP8L" and data[20] == 0x2F:
-        bits = struct.unpack("<I", data[21:25])[0]
-        return "WEBP", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 8, 4 if bits >> 28 & 1 else 3
-    if kind == b"VP8X":
-        width, height = (int.from_bytes(data[a : a + 3], "little") + 1 for a in (24, 27))
-        return "WEBP", width, height, 8, 4 if data[20] & 0x10 else 3
-    return None, None, None, None, None
-
-
-def whole_png(data: bytes) -> bool:
+    kind = first[12:16]
+    if kind == b"VP8 " and first[23:26] == b"\x9d\x01\x2a":
+        width, height = struct.unpack("<HH", first[26:30])
+        return _row("WEBP", "RGB", width & 0x3FFF, height & 0x3FFF)
+    if kind == b"VP8L" and first[20] == 0x2F:
+        bits = struct.unpack("<I", first[21:25])[0]
+        return _row("WEBP", "RGBA" if bits >> 28 & 1 else "RGB", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1)
+    if kind == b"VP8X" and len(first) >= 30:
+        width, height = (int.from_bytes(first[a : a + 3], "little") + 1 for a in (24, 27))
+        return _row("WEBP", "RGBA" if first[20] & 0x10 else "RGB", width, height)
+    return NONE
+
+
+def whole_png(source: Source) -> bool:
     """Whether all chunks are there up to the last one, with their right checksums."""
-    at, view = 8, memoryview(data)
-    while at + 12 <= len(data):
-        size = struct.unpack_from(">I", data, at)[0]
-        if at + 12 + size > len(data) or zlib.crc32(view[at + 4 : at + 8 + size]) != struct.unpack_from(">I", data, at + 8 + size)[0]:
+    at = 8
+    while at + 12 <= source.size:
+        size, kind = struct.unpack(">I4s", source.at(at, 8))
+        if at + 12 + size > source.size:
+            return False
+        check, left, place = 0, size + 4, at + 4
+        while left:
+            part = source.at(place, min(left, 1 << 20))
+            check, left, place = zlib.crc32(part, check), left - len(part), place + len(part)
+        if check != struct.unpack(">I", source.at(at + 8 + size, 4))[0]:
             return False
-        if data[at + 4 : at + 8] == b"IEND":
+        if kind == b"IEND":
             return True
         at += 12 + size
     return False
 
 
-def examined(data: bytes) -> tuple:
-    """The header and whether the file is intact."""
-    head = header(data)
-    if head[0] == "PNG":
-        return *head, whole_png(data)
-    if head[0] == "WEBP":
-        return *head, struct.unpack("<I", data[4:8])[0] + 8 <= len(data)
-    return *head, head[1] is not None
+def _scan_end(source: Source, at: int) -> int | None:
+    """Where a JPEG scan's data end: at the first mark that is no stuffed byte and no restart."""
+    last = b""
+    for block in source.blocks(at):
+        data = last + block
+        k = data.find(b"\xff")
+        while 0 <= k < len(data) - 1:
+            if data[k + 1] != 0 and data[k + 1] != 0xFF and not 0xD0 <= data[k + 1] <= 0xD7:
+                return at + k
+            k = data.find(b"\xff", k + 1)
+        at += len(data)
+        last = b"\xff" if data[-1:] == b"\xff" else b""
+        at -= len(last)
+    return None
+
+
+def whole_jpeg(source: Source) -> bool:
+    """Whether segments and scans follow one another up to the end mark."""
+    at, scans = 2, 0
+    while True:
+        mark = None
+        for mark, _, end in jpeg_segments(source, at):  # noqa: B007
+            if end > source.size:
+                return False
+        if mark == 0xD9:
+            return scans > 0
+        if mark != 0xDA or (at := _scan_end(source, end)) is None:
+            return False
+        scans += 1
+
+
+def _sub_blocks(source: Source, at: int) -> int:
+    while size := source.at(at, 1)[0]:
+        at += 1 + size
+    return at + 1
+
+
+def whole_gif(source: Source) -> bool:
+    """Whether blocks follow one another up to the trailer."""
+    flags, at = source.at(10, 1)[0], 13
+    at += 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    pictures = 0
+    while True:
+        kind = source.at(at, 1)[0]
+        if kind == 0x3B:
+            return pictures > 0
+        if kind == 0x21:
+            at = _sub_blocks(source, at + 2)
+        elif kind == 0x2C:
+            flags = source.at(at + 9, 1)[0]
+            at = _sub_blocks(source, at + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
+            pictures += 1
+        else:
+            return False
+
+
+def whole_bmp(source: Source) -> bool:
+    """Whether all rows are there, or all that the header counts if they are compressed."""
+    offset, size = struct.unpack("<I", source.at(10, 4))[0], struct.unpack("<I", source.at(14, 4))[0]
+    if size < 40:
+        return offset < source.size
+    width, height, _, bits, packed, data = struct.unpack("<iiHHII", source.at(18, 20))
+    rows = (abs(width) * bits + 31) // 32 * 4 * abs(height)
+    return offset + (data if packed in (1, 2) else rows) <= source.size
+
+
+def whole_webp(source: Source) -> bool:
+    """Whether the chunks fill what the file says it holds."""
+    end, at = 8 + struct.unpack("<I", source.at(4, 4))[0], 12
+    while at + 8 <= end <= source.size:
+        at += 8 + (struct.unpack("<I", source.at(at + 4, 4))[0] + 1 & ~1)
+    return end <= source.size and at in (end, end + 1)
+
+
+def whole_tiff(source: Source) -> bool:
+    """Whether the strips or tiles of each directory lie inside the file."""
+    found = False
+    for tags in tiff_directories(source):
+        for offsets, counts in ((273, 279), (324, 325)):
+            if offsets not in tags:
+                continue
+            found = True
+            if len(tags[offsets]) != len(tags.get(counts, ())) or any(a + n > source.size for a, n in zip(tags[offsets], tags[counts], strict=True)):
+                return False
+    return found
+
+
+WHOLE = {"PNG": whole_png, "JPEG": whole_jpeg, "GIF": whole_gif, "BMP": whole_bmp, "WEBP": whole_webp, "TIFF": whole_tiff}
+
+
+def examined(source: Source, whole: bool = True) -> tuple:
+    """Size, header, and whether the file is intact (null if that was not looked at)."""
+    head = header(source)
+    if head[0] is None or not whole:
+        return source.size, *head, None if head[0] else False
+    try:
+        return source.size, *head, WHOLE[head[0]](source)
+    except (struct.error, IndexError, ValueError):  # the file ends within a structure
+        return source.size, *head, False
+
+
+def read_headers(spark: SparkSession, path: str | DataFrame, whole: bool = False) -> DataFrame:
+    """image, path, bytes, the header and ``intact`` of each image under a folder, or of a table's
+    (image, path); ``whole`` looks at the files to their ends."""
+    if isinstance(path, str):
+        files = list_files(spark, path).where(is_image(F.col("path"))).select(stem(F.col("path")).alias("image"), "path")
+        if not places.is_open(path):
+            return _read_by_spark(spark, path, whole)
+    else:
+        files = path.select("image", "path")
+    return places.read_each(files, "path", KIND, lambda source: examined(source, whole), (None, *NONE, False))
+
 
+def _read_by_spark(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """From a store that only Spark reads: files come whole."""
+    import io
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """image, path, bytes and the header of each image under a folder."""
+    import pyarrow as pa
 
-    @F.pandas_udf(KIND)
-    def parsed(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([examined(bytes(c)) for c in content], columns=["format", "width", "height", "bit_depth", "channels", "intact"])
+    def run(batches):
+        for batch in batches:
+            rows = [examined(Source("", lambda _, c=c: io.BytesIO(c)), whole) for c in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (i, p, *r), strict=True)) for i, p, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rows, strict=True)], schema)
 
+    out = spark.createDataFrame([], f"image string, path string, {KIND}")
+    names, schema = out.columns, places.to_arrow_schema(out.schema)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(is_image(F.col("path")))
-    rows = files.select("path", F.col("length").alias("bytes"), parsed("content").alias("h"))
-    return rows.select(stem(F.col("path")).alias("image"), "path", "bytes", "h.*")
+    return files.select(stem(F.col("path")).alias("image"), "path", "content").mapInArrow(run, out.schema)
 
 
 def bad_images(headers: DataFrame, expected: DataFrame) -> DataFrame:
     """image, issue: expected images that are missing, and those whose header can't be read
     or that are damaged after it."""
-    # A listed file without a header is empty: Spark's readers leave such files out.
-    issue = F.when(F.col("path").isNotNull(), "bad_image").otherwise("missing_image") if "path" in expected.columns else F.lit("missing_image")
-    missing = expected.join(headers.select("image"), "image", "left_anti").select("image", issue.alias("issue"))
-    return missing.union(headers.where("width IS NULL OR width <= 0 OR NOT intact").select("image", F.lit("bad_image").alias("issue")))
+    found = headers.where("bytes IS NOT NULL")  # a file that went while it was looked at has none
+    missing = expected.join(found.select("image"), "image", "left_anti").select("image", F.lit("missing_image").alias("issue"))
+    return missing.union(found.where("width IS NULL OR width <= 0 OR NOT intact").select("image", F.lit("bad_image").alias("issue")))
 
 
 def to_uint8(pixels: DataFrame, low: float | None = None, high: float | None = None, preserve_zero: bool = True) -> DataFrame:

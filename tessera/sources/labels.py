@@ -6,14 +6,13 @@ numbers.  Where the corpus has an attribute schema, ``n a1 .. an`` may stand aft
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import stored
+from . import places
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")  # fixed values
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -79,52 +78,35 @@ def parse_lines(files: DataFrame, text: str = "value", task: str = "auto", attri
     return out.withColumn("class_id", checked).drop("problem")
 
 
-def read_labels(spark: SparkSession, path: str, task: str = "auto", attributes: bool = False, strict: bool = True, stems: DataFrame | None = None, recursive: bool = True) -> DataFrame:
-    """Annotations of all ``*.txt`` under a folder (or in it alone), by ``image`` (the stem); a stem that occurs
-    twice keeps its last path.  Files are chosen by ``stems`` before any line is parsed."""
-    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.txt").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("label_path"))
-    files = files.withColumn("image", stem(F.col("label_path")))
+def read_labels(spark: SparkSession, path: str, task: str = "auto", attributes: bool = False, strict: bool = True, stems: DataFrame | None = None, recursive: bool = True, suffix: str = ".txt") -> DataFrame:
+    """Annotations of all label files under a folder (or in it alone), by ``image`` (the stem); a
+    stem that occurs twice keeps its last path.  Files are chosen by ``stems`` before any is read."""
+    if not places.is_open(path):
+        files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
+        files = files.select("value", F.col("_metadata.file_path").alias("label_path")).withColumn("image", stem(F.col("label_path")))
+        if stems is not None:
+            files = files.join(stems.select("image").distinct(), "image", "left_semi")
+        last = files.groupBy("image").agg(F.max("label_path").alias("label_path"))
+        return parse_lines(files.join(last, ["image", "label_path"], "left_semi"), "value", task, attributes, strict)
+    files = list_labels(spark, path, suffix, recursive)
     if stems is not None:
         files = files.join(stems.select("image").distinct(), "image", "left_semi")
-    last = files.groupBy("image").agg(F.max("label_path").alias("label_path"))
-    return parse_lines(files.join(last, ["image", "label_path"], "left_semi"), "value", task, attributes, strict)
-
-
-def _entries(batches, deep: bool):
-    """(path, folder) of what is in each folder, or of all files below it."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    for batch in batches:
-        for folder in batch.column("path").to_pylist():
-            files, place = fs.FileSystem.from_uri(folder)
-            head = folder[: len(folder.rstrip("/")) - len(place.rstrip("/"))]
-            found = files.get_file_info(fs.FileSelector(place, recursive=deep))
-            for a in range(0, len(found), 10_000):
-                part = [x for x in found[a : a + 10_000] if not (deep and x.type == fs.FileType.Directory)]
-                yield pa.RecordBatch.from_arrays([pa.array([head + x.path for x in part], pa.string()), pa.array([x.type == fs.FileType.Directory for x in part], pa.bool_())], ["path", "folder"])
-
-
-def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path of every file under a folder, empty ones too, which Spark's readers leave out.
-
-    Tasks do the listing, one for each folder below the first, so that neither the driver nor one
-    task holds all names.  A store that only Spark reads is listed by its file index instead,
-    which is held by the driver's JVM."""
-    uri = path if re.match(r"^[a-z][a-z0-9+.-]*:/", path) else f"file://{os.path.abspath(path)}"
-    if re.match(r"^(file|hdfs|s3|s3a|gs):/", uri):
-        top = spark.createDataFrame([(re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", uri)),)], "path string")
-        if not uri.startswith("file:") or os.path.isdir(re.sub("^file:/+", "/", uri)):
-            first = stored(top.mapInArrow(lambda b: _entries(b, False), "path string, folder boolean"), "listing")
-            below = first.where("folder").repartition("path").mapInArrow(lambda b: _entries(b, True), "path string, folder boolean")
-            names = first.where("NOT folder").union(below).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
-            return names.where(F.element_at(F.split("path", "/"), -1).rlike(_glob_pattern(glob)) & ~F.col("path").rlike(r"/[._][^/]*$"))
-    index = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return parse_lines(places.read_texts(files, "label_path"), "value", task, attributes, strict)
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """path of every file under a folder, empty ones and those that begin with ``_`` or ``.`` too,
+    which Spark's readers leave out.
+
+    Tasks do the listing, see ``places``.  A store that only Spark reads is listed by its file
+    index instead, which is held by the driver's JVM and leaves those names out."""
+    if places.is_open(path):
+        return places.walk(spark, path, recursive).where(F.element_at(F.split("path", "/"), -1).rlike(_glob_pattern(glob)))
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(path)
     jvm = spark._jvm
     found = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(index._jdf.inputFiles())
     names = spark._jsparkSession.createDataset(found, jvm.org.apache.spark.sql.Encoders.STRING()).toDF()
-    plain = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))
-    return DataFrame(names, spark).select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+    return DataFrame(names, spark).select(F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B"))).alias("path"))
 
 
 def count_files(spark: SparkSession, path: str, glob: str = "*", images_only: bool = False) -> int:
@@ -133,7 +115,7 @@ def count_files(spark: SparkSession, path: str, glob: str = "*", images_only: bo
 
 
 def _glob_pattern(glob: str) -> str:
-    return "^" + "".join(".*" if c == "*" else re.escape(c) for c in glob) + "$"
+    return "(?s)^" + "".join(".*" if c == "*" else re.escape(c) for c in glob) + "$"
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
@@ -142,14 +124,15 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select(stem(F.col("path")).alias("image"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
-def list_labels(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
+def list_labels(spark: SparkSession, path: str, suffix: str = ".txt", recursive: bool = True) -> DataFrame:
     """image, label_path of the label files under a folder; of equal stems the last path counts."""
-    return list_files(spark, path, f"*{suffix}").groupBy(stem(F.col("path")).alias("image")).agg(F.max("path").alias("label_path"))
+    return list_files(spark, path, f"*{suffix}", recursive).groupBy(stem(F.col("path")).alias("image")).agg(F.max("path").alias("label_path"))
 
 
 def number(value: Column, precision: int = 6) -> Column:
-    """Fixed digits without trailing zeros."""
-    return F.regexp_replace(F.format_string(f"%.{precision}f", value), r"\.?0+$", "")
+    """Fixed digits without trailing zeros behind the point."""
+    digits = F.format_string(f"%.{precision}f", value)
+    return F.regexp_replace(digits, r"\.?0+$", "") if precision else digits
 
 
 def to_line(include_confidence: bool = False, include_attributes: bool = True, precision: int = 6) -> Column:

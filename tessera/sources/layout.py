@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import Classes
+from . import places
 from .labels import ANNOTATION, is_image, label_path_of, list_files, list_images, list_labels, read_labels, stem
 
 SPLITS = ("train", "val", "test")  # fixed values
 LAYOUTS = ("image_list", "split_dirs", "flat", "mixed")  # fixed values
+#: Texts that are no labels where they lie beside pictures.
+ROLES = ("class.txt", "classes.txt", *(f"{s}.txt" for s in SPLITS))
 CLASS_SOURCES = ("class.txt", "classes.txt", "dataset.yaml", "data.yaml")  # fixed values
 
 
@@ -136,9 +139,10 @@ def write_names(root: str, names: Sequence[str], train="images", val="images", t
         yaml.safe_dump(doc, f, sort_keys=False, allow_unicode=True)
 
 
-def read_image_list(spark: SparkSession, *paths: str) -> DataFrame:
-    """name of every line that is not blank, with the place of its file and line dropped."""
-    return spark.read.text(list(paths)).select(F.trim("value").alias("name")).where("name <> ''")
+def read_image_list(spark: SparkSession, *paths: str, root: str | None = None) -> DataFrame:
+    """file_no, line_no, name, path of every line that is not blank: the lists' order and repeats
+    are in the numbers, relative paths lie under ``root`` (as they are without it)."""
+    return places.read_list(spark, [*paths], root)
 
 
 @dataclass
@@ -151,6 +155,8 @@ class Dataset:
     classes: Classes
     attributes: dict
     orphans: DataFrame | None = None
+    images_dir: str | None = None
+    labels_dir: str | None = None
 
 
 def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir: str = "labels", task: str = "auto", layout: str = "auto", split_file: str | None = None, attribute_file: str | None = None, only_val: bool = False, stems: DataFrame | str | None = None) -> Dataset:
@@ -167,8 +173,13 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
     stems = read_stems(spark, stems) if isinstance(stems, str) else stems
     pics, texts = os.path.join(root, images_dir), os.path.join(root, labels_dir)
     if not os.path.isdir(pics) and not os.path.isdir(texts):
-        ann = read_labels(spark, root, task, bool(attributes), stems=stems, recursive=False)
-        return Dataset(root, ann.select("image").distinct().withColumn("file_name", F.concat("image", F.lit(".jpg"))), ann, find_class_names(root), attributes)
+        # Pictures and texts side by side, if there are pictures; else a folder of label files.
+        if layout == "mixed" and not list_images(spark, root).isEmpty():
+            pics = texts = root
+        else:
+            ann = read_labels(spark, root, task, bool(attributes), stems=stems, recursive=False)
+            bare = ann.select("image").distinct().withColumn("file_name", F.concat("image", F.lit(".jpg")))
+            return Dataset(root, bare, ann, find_class_names(root), attributes, labels_dir=root)
     images = list_images(spark, pics)
     if stems is not None:
         images = images.join(stems.select("image").distinct(), "image", "left_semi")
@@ -184,10 +195,17 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
         keyed = images.select("image", F.explode(F.array("image", "file_name")).alias("key")).join(names, "key", "left_semi").select("image").distinct()
         images = images.join(keyed, "image", "left_semi")
     if not os.path.isdir(texts):
-        return Dataset(root, images, spark.createDataFrame([], ANNOTATION).withColumn("image", F.lit(None).cast("string")), find_class_names(root), attributes)
-    ann = read_labels(spark, texts, task, bool(attributes))
+        none = spark.createDataFrame([], ANNOTATION).withColumn("image", F.lit(None).cast("string"))
+        return Dataset(root, images, none, find_class_names(root), attributes, images_dir=pics)
     known = images.select("image").distinct()
-    return Dataset(root, images, ann.join(known, "image", "left_semi"), find_class_names(root), attributes, list_labels(spark, texts).join(known, "image", "left_anti"))
+    orphans = list_labels(spark, texts).join(known, "image", "left_anti")
+    if pics == texts:
+        # Of texts beside the pictures only those of pictures are labels, whatever the others hold.
+        ann = read_labels(spark, texts, task, bool(attributes), stems=known)
+        orphans = orphans.where(~F.col("label_path").isin(*[os.path.join(places.plain(root), n) for n in ROLES]))
+    else:
+        ann = read_labels(spark, texts, task, bool(attributes)).join(known, "image", "left_semi")
+    return Dataset(root, images, ann, find_class_names(root), attributes, orphans, pics, texts)
 
 
 def write_json(rows: DataFrame, path: str, limit: int = 10_000) -> None:

@@ -1,13 +1,17 @@
+import io
 import json
 import struct
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as geo
+from tessera.manager import Manager
 from tessera.operators import dataset as ds
-from tessera.sources import formats, images, labels, multimodal
+from tessera.sources import formats, images, labels, multimodal, places
 
 NAMES = ds.Classes(["person", "car"])
 
@@ -202,28 +206,145 @@ def test_headers_and_bad_images(spark, tmp_path):
     assert labels.list_images(spark, str(tmp_path)).count() == 2
 
 
-def test_headers_of_whole_files(spark, tmp_path):
+def whole_images():
+    """Small whole pictures of each format by name, and their sizes."""
     segment = b"\xff\xe1\xff\xff" + b"\0" * 65533
-    (tmp_path / "late.jpg").write_bytes(b"\xff\xd8" + segment * 3 + b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 7, 9) + b"\x03" + b"\0" * 9)
-    tags = ((256, 4, 1, 30), (257, 3, 1, 40), (258, 3, 3, 0), (277, 3, 1, 3))
+    frame = b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 7, 9) + b"\x03" + b"\0" * 9
+    scan = b"\xff\xda\0\x08\x01\0\0\0\0\0" + b"\x12\xff\0\xff\xd0" * 400
+    out = {"late.jpg": (b"\xff\xd8" + segment * 3 + frame + scan + b"\xff\xd9", (9, 7)), "two_scans.jpeg": (b"\xff\xd8" + frame + scan + b"\xff\xc4\0\x04\0\0" + scan + b"\xff\xd9tail", (9, 7))}
     for name, order, magic in (("little.tif", "<", b"II*\0"), ("big.tiff", ">", b"MM\0*")):
+        tags = ((256, 4, 1, 30), (257, 3, 1, 40), (258, 3, 3, 0), (273, 4, 1, 100), (277, 3, 1, 3), (279, 4, 1, 3600))
         entries = b"".join(struct.pack(order + ("HHII" if kind == 4 or n > 1 else "HHIHxx"), tag, kind, n, 8 if n > 1 else value) for tag, kind, n, value in tags)
-        (tmp_path / name).write_bytes(magic + struct.pack(order + "I", 14) + struct.pack(order + "HHH", 8, 8, 8) + struct.pack(order + "H", 4) + entries + b"\0" * 4)
+        data = magic + struct.pack(order + "I", 14) + struct.pack(order + "HHH", 8, 8, 8) + struct.pack(order + "H", len(tags)) + entries + b"\0" * 4
+        out[name] = (data.ljust(100, b"\0") + b"x" * 3600, (30, 40))
     riff = lambda chunk: b"RIFF" + struct.pack("<I", len(chunk) + 4) + b"WEBP" + chunk
-    (tmp_path / "lossy.webp").write_bytes(riff(b"VP8 " + struct.pack("<I", 10) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 50, 60)))
-    (tmp_path / "lossless.webp").write_bytes(riff(b"VP8L" + struct.pack("<I", 10) + b"\x2f" + struct.pack("<I", 69 | 79 << 14) + b"\0" * 5))
-    extended = riff(b"VP8X" + struct.pack("<I", 10) + b"\0" * 4 + (89).to_bytes(3, "little") + (99).to_bytes(3, "little"))
-    (tmp_path / "extended.webp").write_bytes(extended)
-    (tmp_path / "short.webp").write_bytes(extended.replace(struct.pack("<I", len(extended) - 8), struct.pack("<I", 999), 1))
-    for name in ("good", "torn", "bent"):
-        png(tmp_path / f"{name}.png", 10, 20)
-    whole = (tmp_path / "good.png").read_bytes()
-    (tmp_path / "torn.png").write_bytes(whole[:-12])
-    (tmp_path / "bent.png").write_bytes(whole[:45] + bytes([whole[45] ^ 1]) + whole[46:])
-    heads = images.read_headers(spark, str(tmp_path))
-    want = {"late": (9, 7), "little": (30, 40), "big": (30, 40), "lossy": (50, 60), "lossless": (70, 80), "extended": (90, 100), "short": (90, 100), "good": (10, 20), "torn": (10, 20), "bent": (10, 20)}
-    assert {r.image: (r.width, r.height) for r in heads.collect()} == want
-    assert {r.image for r in images.bad_images(heads, heads.select("image")).collect()} == {"torn", "bent", "short"}
+    out["lossy.webp"] = (riff(b"VP8 " + struct.pack("<I", 10) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 50, 60)), (50, 60))
+    out["lossless.webp"] = (riff(b"VP8L" + struct.pack("<I", 10) + b"\x2f" + struct.pack("<I", 69 | 79 << 14) + b"\0" * 5), (70, 80))
+    out["extended.webp"] = (riff(b"VP8X" + struct.pack("<I", 10) + b"\0" * 4 + (89).to_bytes(3, "little") + (99).to_bytes(3, "little")), (90, 100))
+    picture = b"\x2c\0\0\0\0\x05\0\x04\0\0\x02" + b"\xff" + b"d" * 255 + b"\x03abc\0"
+    out["moving.webp"] = (riff(b"VP8X" + struct.pack("<I", 10) + b"\x10" + b"\0" * 3 + (4).to_bytes(3, "little") + (3).to_bytes(3, "little") + b"ODD " + struct.pack("<I", 3) + b"abc\0"), (5, 4))
+    out["plain.gif"] = (b"GIF89a\x05\0\x04\0\x80\0\0" + b"\0" * 6 + b"\x21\xf9\x04\0\0\0\0\0" + picture * 2 + b"\x3b", (5, 4))
+    out["rows.bmp"] = (b"BM" + struct.pack("<IHHI", 54 + 3200, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 33, -32, 1, 24, 0, 0, 0, 0, 0, 0) + b"\0" * 3200, (33, 32))
+    return out
+
+
+def test_whole_files_and_files_cut_short(spark, tmp_path):
+    """Each format is good as a whole and bad where half of it, or its end, is missing."""
+    (tmp_path / "whole").mkdir(), (tmp_path / "cut").mkdir()
+    good = whole_images()
+    for name, (data, _) in good.items():
+        (tmp_path / "whole" / name).write_bytes(data)
+        ends = (0, 5, 12, 13, 26, len(data) // 2, len(data) - (5 if name == "two_scans.jpeg" else 1))
+        for k, end in enumerate(ends):
+            stem, suffix = name.rsplit(".", 1)
+            (tmp_path / "cut" / f"{stem}{k}.{suffix}").write_bytes(data[:end])
+    png(tmp_path / "whole/good.png", 10, 20)
+    whole = (tmp_path / "whole/good.png").read_bytes()
+    (tmp_path / "cut/torn.png").write_bytes(whole[:-12])
+    (tmp_path / "cut/bent.png").write_bytes(whole[:45] + bytes([whole[45] ^ 1]) + whole[46:])
+    (tmp_path / "cut/empty.jpg").write_bytes(b"")
+    heads = images.read_headers(spark, str(tmp_path / "whole"), whole=True)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in heads.collect()}
+    assert {n: (r.width, r.height) for n, r in rows.items() if n != "plain.gif"} == {n: size for n, (_, size) in good.items() if n != "plain.gif"} | {"good.png": (10, 20)}
+    assert all(r.intact for r in rows.values()) and "plain.gif" not in rows  # no picture suffix
+    cut = images.read_headers(spark, str(tmp_path / "cut"), whole=True).collect()
+    assert len(cut) == 7 * (len(good) - 1) + 3 and not any(r.intact for r in cut)
+    (tmp_path / "cut/gone.jpg").symlink_to(tmp_path / "none")
+    wanted = spark.createDataFrame([("gone",), ("torn0",), ("empty",)], "image string")
+    assert {tuple(r) for r in images.bad_images(images.read_headers(spark, str(tmp_path / "cut"), True), wanted).where("image IN ('gone', 'torn0', 'empty')").collect()} == {("gone", "missing_image"), ("torn0", "missing_image"), ("empty", "bad_image")}
+    gif = good["plain.gif"][0]
+    for data, fits in ((gif, True), (gif[: len(gif) // 2], False), (gif[:-1], False)):
+        (tmp_path / "g").write_bytes(data)
+        with places.Source(str(tmp_path / "g")) as source:
+            assert images.examined(source)[-1] is fits and images.header(source)[-2:] == (5, 4)
+
+
+def test_all_names_are_found(spark, tmp_path):
+    """Names that begin with _ or ., names with escapes, links, and folders below folders."""
+    for d in ("", "/_x", "/_x/.y", "/_x/.y/z", "/empty"):
+        (tmp_path / f"d{d}").mkdir()
+    names = ["_DSC0001.JPG", "a%20b.jpg", "c d+e.png", ".h.png", "_x/_1.png", "_x/.y/2.png", "_x/.y/z/é.png"]
+    for n in names:
+        (tmp_path / "d" / n).write_bytes(b"x")
+    (tmp_path / "d/other.txt").write_text("")
+    (tmp_path / "d/link.png").symlink_to(tmp_path / "d/.h.png")
+    (tmp_path / "d/loop").symlink_to(tmp_path / "d")
+    got = sorted(r.path for r in labels.list_images(spark, str(tmp_path / "d")).collect())
+    assert got == sorted(f"{tmp_path}/d/{n}" for n in [*names, "link.png"])
+    assert labels.count_files(spark, str(tmp_path / "d")) == 9 and labels.list_files(spark, str(tmp_path / "d"), recursive=False).count() == 6
+    assert {r.image: r.bytes for r in images.read_headers(spark, str(tmp_path / "d")).collect()}["a%20b"] == 1
+    assert labels.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_flat_folder_is_listed_in_bounded_memory(monkeypatch):
+    class Entry:
+        def __init__(self, k):
+            self.path = f"/flat/{k:07d}.png"
+
+        def is_dir(self, follow_symlinks=True):
+            return False
+
+    class Found:
+        def __enter__(self):
+            return map(Entry, range(1_000_000))
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setattr(places.os, "scandir", lambda _: Found())
+    tracemalloc.start()
+    count = sum(b.num_rows for b in places._listed(iter([pa.RecordBatch.from_pydict({"path": ["/flat"]})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 1_000_000 and peak < 20 << 20
+
+
+def test_digests_of_files_of_one_size(spark, tmp_path, monkeypatch):
+    (tmp_path / "images").mkdir()
+    for name, data in (("a", b"x" * 10), ("b", b"x" * 10), ("c", b"y" * 10), ("d", b"x" * 11), ("_e", b"x" * 10)):
+        (tmp_path / f"images/{name}.png").write_bytes(data)
+    (tmp_path / "labels").mkdir()
+    got = Manager(spark, str(tmp_path)).duplicates().collect()
+    assert sorted(r.image.rsplit("/", 1)[1] for r in got) == ["_e.png", "a.png", "b.png"] and {r.n for r in got} == {3}
+
+
+class Counting(io.BytesIO):
+    def __init__(self, data):
+        super().__init__(data)
+        self.count = 0
+
+    def read(self, n=-1):
+        part = super().read(n)
+        self.count += len(part)
+        return part
+
+
+def test_headers_are_read_from_few_bytes():
+    """Bytes read for a header: the first 64 KB, and a block for each mark beyond them."""
+    padding = b"\0" * (20 << 20)
+    for name, (data, size) in whole_images().items():
+        file = Counting(data + padding)
+        source = places.Source(name, lambda _: file)  # noqa: B023
+        assert images.header(source)[-2:] == size
+        assert file.count <= places.HEAD + (3 * places.BLOCK if name == "late.jpg" else 0)
+        if name == "late.jpg":
+            assert file.count < 100_000 < len(data)
+    far = bytearray(whole_images()["little.tif"][0])
+    at = len(far) + (1 << 20)
+    far[4:8] = struct.pack("<I", at)  # the directory stands at the end
+    file = Counting(bytes(far) + b"\0" * (1 << 20) + bytes(far[14:92]))
+    assert images.header(places.Source("far.tif", lambda _: file))[-2:] == (30, 40) and file.count <= places.HEAD + 2 * places.BLOCK
+
+
+def test_modes(tmp_path):
+    def png_of(kind, depth):
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 3, 2, depth, kind, 0, 0, 0)
+
+    head = lambda data: images.header(places.Source("x", lambda _: io.BytesIO(data)))
+    want = {(0, 8): ("L", "uint8", 8, 1), (0, 1): ("1", "bool", 1, 1), (0, 16): ("I;16", "uint16", 16, 1), (2, 8): ("RGB", "uint8", 8, 3), (3, 8): ("P", "uint8", 8, 1), (6, 8): ("RGBA", "uint8", 8, 4)}
+    assert {k: head(png_of(*k))[1:5] for k in want} == want
+    assert head(b"no picture") == (None,) * 7 and head(b"") == (None,) * 7
+    assert head(whole_images()["little.tif"][0])[:5] == ("TIFF", "RGB", "uint8", 8, 3)
 
 
 def test_uint8(spark):

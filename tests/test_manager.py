@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.manager import TASKS, Manager
+from tessera.manager import TASKS, Manager, run_task
 from tessera.operators import corrections
 from tessera.sources import layout
 from tests.test_dataset import boxed, png
@@ -91,3 +91,35 @@ def test_resize_moves_labels_into_the_letterbox(spark, tmp_path):
     lines = {d: [[float(x) for x in line.split()] for line in (tmp_path / d / "labels/a.txt").read_text().splitlines()] for d in ("fit", "stretch")}
     assert lines["fit"] == [[0, 0.5, 0.5, 0.2, 0.2], [1, 0.1, 0.25, 0.9, 0.25, 0.9, 0.75]]
     assert lines["stretch"] == [[0, 0.5, 0.5, 0.2, 0.4], [1, 0.1, 0, 0.9, 0, 0.9, 1]]
+
+
+def test_mixed_layout(spark, tmp_path):
+    """Pictures and texts in one folder: three images, two labels, one image without; class and
+    split files are no labels, other texts without a picture are orphans."""
+    for n in ("a", "b", "_c"):
+        png(tmp_path / f"{n}.png", 100, 80)
+    (tmp_path / "a.txt").write_text("0 .5 .5 .2 .3\n")
+    (tmp_path / "_c.txt").write_text("1 .4 .4 .2 .2\n")
+    (tmp_path / "class.txt").write_text("x\ny\n")
+    (tmp_path / "notes.txt").write_text("some words\n")
+    m = Manager(spark, str(tmp_path))
+    assert m.layout_detect() == "mixed" and sorted(r.image for r in m.data.images.collect()) == ["_c", "a", "b"]
+    assert sorted((r.image, r.class_id) for r in m.data.annotations.collect()) == [("_c", 1), ("a", 0)]
+    issues = sorted((r.image, r.code) for r in m.check().collect())
+    assert issues == [("b", "missing_label"), ("notes", "orphan_label")]
+    assert m.draw().count() == 2 and m.bad_images().count() == 0 and m.stats()["images"].count() == 2
+    assert m.fill_missing_labels() == 1 and (tmp_path / "b.txt").read_text() == ""
+    run_task(spark, "dataset.normalize", str(tmp_path), out=str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out/images").iterdir()) == ["_c.png", "a.png", "b.png"]
+    assert (tmp_path / "out/labels/_c.txt").read_text() == "1 0.4 0.4 0.2 0.2\n"
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    (bare / "_p.txt").write_text("0 .5 .5 .2 .3\n")
+    assert [r.file_name for r in Manager(spark, str(bare)).data.images.collect()] == ["_p.jpg"]
+
+
+def test_image_lists_keep_their_order(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("images/b.png\n\n/abs/a.png\nimages/b.png\n")
+    (tmp_path / "two.txt").write_text("  ./images/c.png \n")
+    got = layout.read_image_list(spark, str(tmp_path / "one.txt"), str(tmp_path / "two.txt"), root="/data").orderBy("file_no", "line_no").collect()
+    assert [r.path for r in got] == ["/data/images/b.png", "/abs/a.png", "/data/images/b.png", "/data/images/c.png"] and [r.line_no for r in got] == [0, 2, 3, 0]

@@ -1,3 +1,4 @@
+import csv
 import json
 import struct
 import zlib
@@ -9,13 +10,18 @@ from pyspark.sql import functions as F
 from tessera.manager import TASKS, Manager, run_task
 from tessera.operators import evaluation as ev
 from tessera.operators import tables
-from tessera.sinks import files, reports
+from tessera.sinks import files, keyed, reports
 from tessera.sources import formats, layout
 from tests.test_dataset import boxed
 from tests.test_evaluation import BASE, boxes
 from tests.test_manager import root  # noqa: F401
 
 
+def table(path):
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        return list(csv.DictReader(f))
+
+
 def test_numbers_follow_the_order_over_many_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k")).repartition(7)
     got = tables.numbered(rows, "k").collect()
@@ -75,7 +81,7 @@ def test_listed_and_repeated_images(spark):
 
 
 def test_every_task_is_registered():
-    assert len(TASKS) == 38
+    assert len(TASKS) == 39
 
 
 def test_tasks_on_a_folder(spark, root, tmp_path):  # noqa: F811
@@ -161,3 +167,33 @@ def test_masks(spark, tmp_path):
     assert [tuple(a) for a in formats.areas(ring)] == flooded(ring) and len(formats.areas(np.zeros((0, 0), int))) == 0
     with pytest.raises(ValueError, match="8-bit"):
         formats.grey_png(b"\x89PNG\r\n\x1a\n")
+
+
+def test_very_many_groups_are_written_together(spark, tmp_path):
+    """25,000 files and one of very many lines, which several tasks write; failed attempts' parts go."""
+    rows = spark.range(25_000).select(F.concat(F.lit("g"), F.col("id") % 50, F.lit("/f"), "id").alias("f"), F.lit(0).alias("k"))
+    hot = spark.range(60_000).select(F.lit("hot/all").alias("f"), F.col("id").alias("k"))
+    every = rows.withColumn("k", F.col("k").cast("long")).union(hot).repartition(7)
+    got = keyed.write_groups(every, f"{tmp_path}/out", F.concat("f", F.lit("/x.csv")), ["k"], F.col("k").cast("string"), "head\r\n", "\r\n")
+    assert got.count() == 25_001 and got.agg(F.sum("lines")).first()[0] == 85_000
+    found = list((tmp_path / "out").rglob("*"))
+    assert sum(p.is_file() for p in found) == 25_001 and all(p.name == "x.csv" for p in found if p.is_file()) and not list((tmp_path / "out").glob(".parts*"))
+    assert (tmp_path / "out/g7/f24957/x.csv").read_bytes() == b"head\r\n0\r\n"
+    assert (tmp_path / "out/hot/all/x.csv").read_text().split() == ["head", *map(str, range(60_000))]
+    assert keyed.write_groups(every.where("k < 0"), f"{tmp_path}/none", F.col("f"), ["k"], F.col("f")).count() == 0
+
+
+def test_review_packs(spark, root):  # noqa: F811
+    """Packs of errors and of comparisons hold all rows, the images and the predictions' texts."""
+    pred = root / "pred/labels"
+    pred.mkdir(parents=True)
+    (pred / "a.txt").write_text("1 .5 .5 .2 .3 .9\n0 .9 .9 .1 .1 .8\n")
+    (pred / "b.txt").write_text("1 .1 .1 .2 .1 .7\n")
+    rows = run_task(spark, "eval.review_pack", str(root), str(root / "pred"), out=str(root / "pack"), copy_texts=True)
+    written = [r for p in (root / "pack").rglob("review.csv") for r in table(p)]
+    assert len(written) == rows.count() > 0 and {r["review_group"] for r in written} == {p.parent.name for p in (root / "pack").rglob("review.csv")}
+    assert {p.name for p in (root / "pack").rglob("images/*")} == {"a.png"} and [p.name for p in (root / "pack/pred_txt").iterdir()] == ["a.txt"]
+    counts = run_task(spark, "eval.compare_pack", str(root), str(root / "pred"), str(root / "compared"))
+    both = {s: table(root / f"compared/{s}/review.csv") for s in ("fp", "fn")}
+    assert counts == {s: len(r) for s, r in both.items()} and all(r["status"] == s for s, x in both.items() for r in x) and [*both["fp"][0]] == list(reports.COMPARE)
+    assert {p.name for p in (root / "compared/fn/images").iterdir()} == {"a.png"}
