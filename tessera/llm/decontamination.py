@@ -40,6 +40,17 @@ def _combined(a: Column, b: Column) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.xxhash64(x, y))
 
 
+def halves(wanted: set[int]) -> list[tuple[int, int]]:
+    """(n, the largest power of two below n) for the grams that those ``wanted`` are made of."""
+    needed, open_ = set(), list(wanted)
+    while open_:
+        if (n := open_.pop()) > 1 and n not in needed:
+            needed.add(n)
+            low = 1 << (n - 1).bit_length() - 1
+            open_ += [low, n - low]
+    return [(n, 1 << (n - 1).bit_length() - 1) for n in sorted(needed)]
+
+
 def fingerprints(rows: DataFrame, window: int, k: int, short: list[int] = ()) -> DataFrame:
     """Adds ``marks``: a k-gram's hash where it is a fingerprint, else null; and ``g{n}``, the hash of
     each n words, for each n of ``short``.
@@ -47,9 +58,9 @@ def fingerprints(rows: DataFrame, window: int, k: int, short: list[int] = ()) ->
     Minima of windows that hang over the end count too, which only adds fingerprints.
     """
     span, kept = window - k + 1, rows.columns
-    rows = rows.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("g1", F.col("h"))
-    for n in range(2, max(k, *short, 0) + 1):
-        rows = rows.withColumn(f"g{n}", _combined(F.col(f"g{n - 1}"), shifted(F.col("h"), n - 1)))
+    rows = rows.withColumn("g1", F.transform("words", lambda x: F.xxhash64(x)))
+    for n, low in halves({k, *short}):
+        rows = rows.withColumn(f"g{n}", _combined(F.col(f"g{low}"), shifted(F.col(f"g{n - low}"), low)))
 
     def running(rows: DataFrame, name: str, pick) -> DataFrame:
         """``name`` becomes the smallest or largest of each ``span`` elements from there on."""
