@@ -12,7 +12,7 @@ from .functions.geometry import corners, letterbox
 from .operators import dataset as ds
 from .operators import corrections, tables
 from .operators import evaluation as ev
-from .sinks import files, reports
+from .sinks import files, reports, rewrite
 from .sources import formats, images, labels, layout, places
 from .store import stored
 
@@ -181,10 +181,12 @@ class Manager:
         return ds.select_images(self.data.images, layout.read_image_list(self.spark, names).select("name") if isinstance(names, str) else names)
 
     def merge(self, *others: Manager | str, **options):
-        """Images, annotations and class names of this dataset and others (or their folders)
-        together."""
-        others = [Manager(self.spark, m) if isinstance(m, str) else m for m in others]
-        return ds.merge_datasets([(m.data.images, m.data.annotations, m.data.classes) for m in (self, *others)], **options)
+        """Images, annotations, class names and attributes of this dataset and others (or their
+        folders) together; attributes of all stand at the places of the common schema."""
+        others = [Manager(self.spark, m, attribute_file=layout.attribute_file(m)) if isinstance(m, str) else m for m in others]
+        parts = (self, *others)
+        schemas = [m.data.attributes for m in parts]
+        return (*ds.merge_datasets([(m.data.images, m.data.annotations, m.data.classes) for m in parts], schemas=schemas, **options), ds.merge_attributes(schemas, extend=True))
 
     def write_yaml(self, out: str | None = None, **options) -> None:
         layout.write_names(out or self.root, self.data.classes, **options)
@@ -204,6 +206,16 @@ class Manager:
     def fill_missing_labels(self) -> int:
         return files.fill_missing_labels(self.data.images, self._labelled(), self.data.labels_dir or os.path.join(self.root, "labels"))
 
+    def rewrite(self, annotations: DataFrame, classes=None) -> int:
+        """Turns the label files into those of ``annotations`` (this dataset's after an edit) where
+        they lie; how many changed.  See ``sinks.rewrite``: all files or none."""
+        texts = {} if classes is None or [*classes] == [*self.data.classes] else layout.class_texts(self.root, classes)
+        return rewrite.rewrite(self.spark, self.root, stored(rewrite.line_edits(self.data.annotations, annotations), "edits"), texts)
+
+    def recover(self) -> dict[str, str]:
+        """Ends the rewrites that were cut short."""
+        return rewrite.recover(self.spark, self.root)
+
     def set_attr(self, name: str, value: float, classes=None, where_value: float | None = None):
         ids = None if classes is None else self.data.classes.ids(classes)
         out, report = ds.set_attribute(self.data.annotations, list(self.data.attributes).index(name), value, ids, where_value)
@@ -448,24 +460,34 @@ def written(group: str, operation: str, method: Callable) -> Callable:
     """A task whose result is written as a dataset: labels, class and attribute files and images,
     with the report of an edit and a copy of the label files of before.
 
-    ``out`` is the folder (by default one below the dataset's), ``dry_run`` writes nothing."""
+    ``out`` is the folder (by default one below the dataset's), ``dry_run`` writes nothing.
+    ``in_place`` edits the dataset's own label files instead, where only the tokens that change are
+    touched (after a copy, if ``backup_dir`` is given), and returns how many files changed and the
+    edit's report."""
 
-    def run(m: Manager, *args, out: str | None = None, dry_run: bool = False, copy_images: bool = True, backup_dir: str | None = None, include_confidence: bool = False, keep_empty: bool = True, report: str | None = None, **options):
+    def run(m: Manager, *args, out: str | None = None, dry_run: bool = False, copy_images: bool = True, backup_dir: str | None = None, include_confidence: bool = False, keep_empty: bool = True, report: str | None = None, in_place: bool = False, **options):
+        if in_place and group != "annotation":
+            raise ValueError(f"{operation} makes another dataset: it has no in_place")
         result = method(m, *args, **options)
         if dry_run:
             return result
         parts = result if isinstance(result, tuple) else (result,)
-        ann, pics, names, changes = None, None, m.data.classes, None
+        ann, pics, names, changes, attributes = None, None, m.data.classes, None, None
         if operation == "merge":
-            pics, ann, names = parts
+            pics, ann, names, attributes = parts
         elif operation == "select":
             pics, ann = parts[0], m.data.annotations.join(parts[0].select("image").distinct(), "image", "left_semi")
         else:
             ann = parts[0]
             names = next((x for x in parts[1:] if isinstance(x, ds.Classes)), names)
             changes = next((x for x in parts[1:] if isinstance(x, DataFrame)), None)
+        if in_place:
+            if backup_dir:
+                m.backup_labels(backup_dir)
+            changes = changes if changes is None else stored(changes, "report")  # of the files as they were
+            return m.rewrite(ann, names), changes
         folder = out or files.operation_dir(m.root, group, operation)
-        m.write(folder, ann, names, pics, copy_images=copy_images, backup_dir=backup_dir or os.path.join(folder, "labels_backup"), include_confidence=include_confidence, keep_empty=keep_empty)
+        m.write(folder, ann, names, pics, attributes, copy_images=copy_images, backup_dir=backup_dir or os.path.join(folder, "labels_backup"), include_confidence=include_confidence, keep_empty=keep_empty)
         if changes is not None:
             # A report has the ids from before unused classes are taken out.
             known = names if operation in ("rename_class", "apply_map") else [*m.data.classes, *(n for n in names if n not in m.data.classes)]
@@ -482,7 +504,7 @@ def run_task(spark: SparkSession, task: str, root: str, *args, **options):
         raise KeyError(f"unknown task {task!r}; there are {', '.join(sorted(TASKS))}")
     if task.startswith("import."):
         return TASKS[task](spark, root, *args, **options)
-    return TASKS[task](Manager(spark, root), *args, **options)
+    return TASKS[task](Manager(spark, root, attribute_file=options.pop("attribute_file", None)), *args, **options)
 
 
 def normalised(m: Manager, out: str | None = None, copy_images: bool = True, **options) -> None:
@@ -500,5 +522,5 @@ TASKS: dict[str, Callable] = {
     "ann.correct_from_crops": written("annotation", "correct_from_crops", Manager.correct_from_crops), "ann.correct_from_error_crops": written("annotation", "correct_from_error_crops", Manager.correct_from_error_crops), "convert.resize": Manager.resize,
     "vis.draw": Manager.draw, "vis.crop": Manager.crop, "vis.manual_box": Manager.manual_box,
     "import.coco": import_tables(formats.read_coco), "import.voc": import_tables(formats.read_voc), "import.labelme": import_tables(labelme), "import.mask": import_tables(formats.read_masks),
-    "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack, "eval.compare_pack": Manager.eval_compare_pack,
+    "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack, "eval.compare_pack": Manager.eval_compare_pack, "ann.recover": Manager.recover,
 }

@@ -262,9 +262,12 @@ def delete_by_attribute(ann: DataFrame, position: int, values: Sequence[float] |
 # --- unions and splits ------------------------------------------------------------------------
 
 
-def merge_datasets(parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source_prefix: bool = True) -> tuple[DataFrame, DataFrame, Classes]:
+def merge_datasets(parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source_prefix: bool = True, schemas: Sequence[Mapping | None] = ()) -> tuple[DataFrame, DataFrame, Classes]:
     """Union of (images, annotations, classes): classes are aligned by name in the order they are
-    first seen, names get the part's prefix, and names that still collide a number of their own."""
+    first seen, names get the part's prefix, and names that still collide a number of their own.
+    With ``schemas``, one for each part, attributes are aligned to ``merge_attributes`` of them."""
+    merged = merge_attributes(schemas, extend=True)
+    parts = [(i, align_attributes(a, schema or {}, merged, own), own) for (i, a, own), schema in zip(parts, [*schemas, *[None] * len(parts)], strict=False)]
     names = Classes()
     for _, _, own in parts:
         names = Classes([*names, *(c for c in own if c not in names)])
@@ -290,20 +293,65 @@ def unique_names(images: DataFrame, *order: str) -> DataFrame:
     taken = used.join(often, ["__stem", "__suffix"]).groupBy("__name").agg(F.collect_set("__k").alias("__taken"))
     free = often.join(taken, "__name", "left").withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
     numbers = F.sequence(F.lit(1), (F.col("__most") + F.size("__taken")).cast("int"))
-    free = free.select("__name", F.array_except(numbers, "__taken").alias("__free"))
-    rows = rows.join(free, rows["file_name"] == free["__name"], "left")
-    name = F.concat(stem, F.lit("_"), F.get("__free", F.col("__n") - 1).cast("string"), suffix)
+    # The free numbers are rows: each image meets its own alone.
+    free = free.select("__name", F.posexplode(F.array_except(numbers, "__taken")).alias("__place", "__number"))
+    rows = rows.join(free, (rows["file_name"] == free["__name"]) & (rows["__n"] == free["__place"] + 1), "left")
+    name = F.concat(stem, F.lit("_"), F.col("__number").cast("string"), suffix)
     return rows.withColumn("file_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(name)).select(*images.columns)
 
 
-def merge_attributes(schemas: Sequence[Mapping | None]) -> dict:
-    """Attributes of several schemas; the first that names an attribute says its options."""
+def merge_attributes(schemas: Sequence[Mapping | None], extend: bool = False) -> dict:
+    """Attributes of several schemas in the order they are first seen; the first that names an
+    attribute says its options, after which ``extend`` puts those that only later ones have.
+    Schemas by class are then merged class by class."""
     merged: dict = {}
     for schema in schemas:
-        merged |= {name: options for name, options in (schema or {}).items() if name not in merged}
+        for name, options in (schema or {}).items():
+            known = merged.get(name)
+            if name not in merged:
+                merged[name] = [*options] if isinstance(options, (list, tuple)) else options
+            elif extend and isinstance(known, Mapping) and isinstance(options, Mapping):
+                merged[name] = merge_attributes([known, options], extend)
+            elif extend and isinstance(known, list) and isinstance(options, (list, tuple)):
+                merged[name] = [*known, *(o for o in options if o not in known)]
     return merged
 
 
+def by_class(schema: Mapping) -> bool:
+    """Whether a schema has attributes for each class rather than for all."""
+    return bool(schema) and all(isinstance(v, Mapping) for v in schema.values())
+
+
+def aligned_attributes(own: Mapping, merged: Mapping) -> Column:
+    """``attrs`` of rows that follow the schema ``own`` at the places and with the options of
+    ``merged``, in one pass: each place of the new list takes the value of the old place of that name
+    (0 where there is none), and a number of an option becomes the number of the same option.
+    Values that are no option's number stay; rows without attributes stay without."""
+    names, places = list(own), []
+    for name, options in merged.items():
+        if name not in own:
+            places.append(F.lit(0.0))
+            continue
+        value = F.coalesce(F.get("attrs", F.lit(names.index(name))), F.lit(0.0))
+        old = own[name]
+        if isinstance(old, (list, tuple)) and isinstance(options, (list, tuple)):
+            moved = {k: options.index(o) for k, o in enumerate(old) if o in options and options.index(o) != k}
+            if moved:
+                value = F.coalesce(*[F.when(F.floor(value) == k, F.lit(float(to))) for k, to in moved.items()], value)
+        places.append(value)
+    return F.when(F.size("attrs") > 0, F.array(*places)).otherwise(F.col("attrs")) if places else F.col("attrs")
+
+
+def align_attributes(ann: DataFrame, own: Mapping, merged: Mapping, classes: Sequence[str]) -> DataFrame:
+    """``ann`` with its attributes as ``merged`` has them; see ``aligned_attributes``."""
+    if not own or own == merged:
+        return ann
+    if not by_class(own):
+        return ann.withColumn("attrs", aligned_attributes(own, merged))
+    moved = [F.when(F.col("class_id") == k, aligned_attributes(own[n], merged[n])) for k, n in enumerate(classes) if n in own and own[n] != merged[n]]
+    return ann.withColumn("attrs", F.coalesce(*moved, "attrs"))
+
+
 def split_images(images: DataFrame, train: float = 0.8, val: float = 0.2, test: float = 0.0, seed: int = 233, exact: bool = True) -> DataFrame:
     """Adds ``split``.  Images stand in the order of a hash of image and seed; train and val take
     the whole part of their share of them, in turn, and test has the rest.

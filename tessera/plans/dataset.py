@@ -103,6 +103,21 @@ def merge_union(spark, sf_dir):
     return ann.groupBy(F.substring("image", 1, 2).alias("part"), ds.class_name(names).alias("class_name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image").alias("images"))
 
 
+#: Two schemas of the corpus's attributes, in other orders and with other options.
+_PART_SCHEMAS = ({"defect": ["no", "scratch", "dent"], "grade": ["a", "b", "c", "d"]}, {"grade": ["d", "c", "b", "a"], "age": None, "defect": ["dent", "no", "rust"]})
+
+
+def merge_attributes(spark, sf_dir):
+    """Two parts that follow other schemas, with their attributes at the places of the common one."""
+    gt = _gt(spark, sf_dir)
+    turned = F.array(F.get("attrs", F.lit(1)), F.col("class_id").cast("double"), F.get("attrs", F.lit(0)))
+    parts = [gt.where("image % 2 = 0"), gt.where("image % 2 = 1").withColumn("attrs", turned)]
+    merged = ds.merge_attributes(_PART_SCHEMAS, extend=True)
+    rows = [ds.align_attributes(p, own, merged, CLASSES) for p, own in zip(parts, _PART_SCHEMAS, strict=True)]
+    cells = [ds.decoded(k, o if isinstance(o, list) else None).alias(n) for k, (n, o) in enumerate(merged.items())]
+    return rows[0].unionByName(rows[1]).select(*_IDS, *cells).groupBy("class_id", "defect", "grade", "age").agg(F.count(F.lit(1)).alias("n"), F.sum("image").alias("images"))
+
+
 def split_counts(spark, sf_dir):
     parts = ds.split_images(corpus.images(spark, sf_dir), 0.7, 0.2, 0.1)
     return parts.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("image").alias("images"))
@@ -215,7 +230,7 @@ def filtered_counts(spark, sf_dir):
 
 QUERIES = (
     filter_geometry_or, filter_geometry_and, filter_class_rules, filter_min_pixels, pseudo_labels, query_class, query_attribute, query_attribute_nonzero, select_semi, delete_class, replace_class, merge_compact, edit_report, rename_class,
-    apply_map, set_attribute, delete_attribute, merge_union, split_counts, exact_duplicates, orphan_labels, duplicate_lines, validate_issues, class_counts, describe_boxes, aspect_histogram, objects_per_image, empty_images, size_buckets,
+    apply_map, set_attribute, delete_attribute, merge_union, merge_attributes, split_counts, exact_duplicates, orphan_labels, duplicate_lines, validate_issues, class_counts, describe_boxes, aspect_histogram, objects_per_image, empty_images, size_buckets,
     attribute_counts, class_attribute_counts, polygon_boxes, letterbox_boxes, crop_rects, annotation_table, attribute_table, positive_attributes, image_shapes, subset_class_counts, draw_list, filtered_counts,
 )
 
@@ -248,6 +263,9 @@ SQL = {
     "set_attribute": _sql("SELECT image, line_no, class_id, concat_ws(',', CASE WHEN defect = 1 THEN 2 ELSE defect::INT END, grade::INT, CASE WHEN class_id IN (1, 2) THEN 5 END) AS attrs FROM gt"),
     "delete_attribute": _sql("SELECT image, line_no, class_id FROM gt WHERE NOT (grade IN (2, 3) AND class_id <= 3)"),
     "merge_union": _sql("SELECT part, list_element(['person', 'car', 'truck', 'bus', 'bike', 'sign', 'dog', 'cat'], CASE part WHEN 'd0' THEN class_id ELSE 7 - class_id END + 1) AS class_name, count(*) AS n, count(DISTINCT image) AS images FROM (SELECT 'd0' AS part, * FROM gt WHERE image % 2 = 0 UNION ALL SELECT 'd1', * FROM gt WHERE image % 3 = 0) GROUP BY 1, 2"),
+    "merge_attributes": _sql("""SELECT class_id, defect, grade, age, count(*) AS n, sum(image)::BIGINT AS images FROM (
+SELECT image, class_id, list_element(['no', 'scratch', 'dent'], defect::INT + 1) AS defect, list_element(['a', 'b', 'c', 'd'], grade::INT + 1) AS grade, '0.0' AS age FROM gt WHERE image % 2 = 0 UNION ALL
+SELECT image, class_id, list_element(['dent', 'no', 'rust'], defect::INT + 1), list_element(['d', 'c', 'b', 'a'], grade::INT + 1), class_id::DOUBLE::VARCHAR FROM gt WHERE image % 2 = 1) GROUP BY ALL"""),
     "split_counts": """WITH i AS (SELECT DISTINCT o_orderkey AS image FROM orders),
 r AS (SELECT image, row_number() OVER (ORDER BY ('0x' || substr(md5('233/' || image), 1, 13))::BIGINT, image) AS k, count(*) OVER () AS n FROM i),
 s AS (SELECT *, floor(n * 0.7::DOUBLE / (0.7::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE)) AS a, floor(n * 0.2::DOUBLE / (0.7::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE)) AS b FROM r)

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import circle, pixel_points, polygon_area, to_centre
 from ..operators.dataset import decoded
 from ..operators.ranking import numbered
-from ..store import stored
 from .labels import POINT, stem
+from .masks import mask_components, read_masks  # noqa: F401  (a format like the others)
 
 COCO = """images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>,
 annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,segmentation:string>>"""
@@ -149,128 +146,3 @@ def xany_documents(images: DataFrame, ann: DataFrame, classes: DataFrame, schema
     named = F.transform(F.coalesce("s", F.array().cast(shapes.schema["s"].dataType)), lambda q: F.struct(q["label"].alias("label"), q["shape_type"].alias("shape_type"), q["points"].alias("points"), q["attributes"].alias("attributes")))
     docs = images.join(shapes, "image", "left")
     return docs.select("image", F.to_json(F.struct(F.col("file_name").alias("imagePath"), F.col("width").alias("imageWidth"), F.col("height").alias("imageHeight"), named.alias("shapes"))).alias("value"))
-
-
-def grey_png(data: bytes) -> np.ndarray:
-    """Pixels of an 8-bit PNG of grey values or palette places, as label masks are stored."""
-    at, head, packed = 8, None, []
-    while at + 8 <= len(data):
-        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
-        body = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = body
-        elif kind == b"IDAT":
-            packed.append(body)
-        at += size + 12
-    if head is None or head[8] != 8 or head[9] not in (0, 3) or head[12]:
-        raise ValueError("a mask is a PNG of one 8-bit channel, not interlaced")
-    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, width + 1)
-    out, above = np.zeros((height, width), np.uint8), np.zeros(width, np.uint8)
-    for y in range(height):
-        how, row = raw[y, 0], raw[y, 1:]
-        if how == 0:
-            above = row
-        elif how == 1:
-            above = np.cumsum(row, dtype=np.uint64).astype(np.uint8)
-        elif how == 2:
-            above = row + above
-        else:
-            now, left, corner = above.copy(), 0, 0
-            for x in range(width):
-                up = int(above[x])
-                if how == 3:
-                    guess = (left + up) // 2
-                else:
-                    near = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(near - v))
-                left, corner = (int(row[x]) + guess) & 255, up
-                now[x] = left
-            above = now
-        out[y] = above
-    return out
-
-
-def read_masks(spark: SparkSession, path: str, background: int = 0, min_area: int = 1, class_map: Mapping[int, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, classes) of a folder of label masks: one polygon for each connected
-    area; values become classes by ``class_map``, or by their order where there is none.
-
-    Pixels stay inside the task that reads a file; only areas come out of it."""
-
-    def decode(frames):
-        for frame in frames:
-            grids = [grey_png(bytes(b)) for b in frame["content"]]
-            found = [[a.tolist() for a in areas(g, background, min_area)] for g in grids]
-            yield pd.DataFrame({"image": frame["image"], "width": [g.shape[1] for g in grids], "height": [g.shape[0] for g in grids], "areas": found})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
-    masks = files.select(stem(F.col("path")).alias("image"), "content").mapInPandas(decode, "image string, width int, height int, areas array<array<int>>")
-    masks = stored(masks, "masks")
-    found = outlines(masks)
-    if class_map is None:
-        values = found.select("value").distinct()  # 255 at most
-        classes = values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("class_id"), F.col("value").cast("string").alias("class_name"))
-    else:
-        classes = spark.createDataFrame([(int(v), k, n) for k, (v, n) in enumerate(class_map.items())], "value int, class_id int, class_name string")
-    ann = found.join(F.broadcast(classes), "value").withColumn("pos", F.struct("value", F.col("polygon")[0]["y"], F.col("polygon")[0]["x"]))
-    ann = _numbered(ann, ["pos"]).withColumns({c: F.lit(None).cast("double") for c in ("cx", "cy", "w", "h")})
-    pics = masks.select("image", F.concat("image", F.lit(".png")).alias("file_name"), "width", "height")
-    return pics, ann.select("image", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "polygon", "area"), classes.select("class_id", "class_name")
-
-
-def areas(grid: np.ndarray, background: int = 0, min_area: int = 1) -> np.ndarray:
-    """value, area, left, top, right, bottom (ends exclusive) of the 4-connected areas of equal
-    pixels, in the order of their first pixels.
-
-    Rows are cut into runs of equal pixels, and runs that touch runs of their value above are
-    given the smallest number among them until no number changes."""
-    if not grid.size:
-        return np.zeros((0, 6), np.int64)
-    height, width = grid.shape
-    fresh = np.ones(grid.shape, bool)
-    fresh[:, 1:] = grid[:, 1:] != grid[:, :-1]
-    run = np.cumsum(fresh.ravel()).reshape(grid.shape) - 1
-    first = np.flatnonzero(fresh.ravel())
-    top, left = np.divmod(first, width)
-    length = np.diff(np.append(first, grid.size))
-    touch = grid[1:] == grid[:-1]
-    low, high = np.unique(np.stack((run[:-1][touch], run[1:][touch])), axis=1)
-    number = np.arange(len(first))
-    while True:
-        least, before = np.minimum(number[low], number[high]), number.copy()
-        np.minimum.at(number, low, least)
-        np.minimum.at(number, high, least)
-        number = number[number]
-        if (number == before).all():
-            break
-    names, own = np.unique(number, return_inverse=True)
-    out = np.empty((len(names), 6), np.int64)
-    out[:, 0], out[:, 1] = grid.ravel()[first[names]], np.bincount(own, length)
-    out[:, 2:4], out[:, 4:6] = (width, height), 0
-    np.minimum.at(out[:, 2], own, left), np.minimum.at(out[:, 3], own, top)
-    np.maximum.at(out[:, 4], own, left + length), np.maximum.at(out[:, 5], own, top + 1)
-    return out[(out[:, 0] != background) & (out[:, 1] >= min_area)]
-
-
-def outlines(masks: DataFrame) -> DataFrame:
-    """image, value, area, polygon of masks (image, width, height, areas); an area's outline is
-    its rectangle."""
-    part = lambda k: F.get("a", F.lit(k))
-    x1, y1, x2, y2 = part(2) / F.col("width"), part(3) / F.col("height"), part(4) / F.col("width"), part(5) / F.col("height")
-    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    rows = masks.select("image", "width", "height", F.explode("areas").alias("a"))
-    return rows.select("image", part(0).alias("value"), part(1).alias("area"), F.array(corner(x1, y1), corner(x2, y1), corner(x2, y2), corner(x1, y2)).alias("polygon"))
-
-
-def mask_components(masks: DataFrame, background: int = 0, min_area: int = 1) -> DataFrame:
-    """image, value, area, polygon of the connected areas of label masks that are tables already
-    (image, pixels: rows of integers)."""
-
-    def label(frames):
-        for frame in frames:
-            grids = [np.array([list(r) for r in p]) for p in frame["pixels"]]
-            grids = [g if g.ndim == 2 else np.zeros((0, 0), int) for g in grids]
-            yield pd.DataFrame({"image": frame["image"], "width": [g.shape[1] for g in grids], "height": [g.shape[0] for g in grids], "areas": [[a.tolist() for a in areas(g, background, min_area)] for g in grids]})
-
-    kind = masks.schema["image"].dataType.simpleString()
-    return outlines(masks.select("image", "pixels").mapInPandas(label, f"image {kind}, width int, height int, areas array<array<int>>"))

@@ -139,6 +139,22 @@ def write_names(root: str, names: Sequence[str], train="images", val="images", t
         yaml.safe_dump(doc, f, sort_keys=False, allow_unicode=True)
 
 
+def class_texts(root: str, names: Sequence[str]) -> dict[str, str]:
+    """The file that names the classes of a dataset, as it is with other names (by its place below
+    the root): other lines of a YAML file stay."""
+    source = class_source(root) or os.path.join(root, CLASS_SOURCES[0])
+    if not source.endswith((".yaml", ".yml")):
+        return {os.path.relpath(source, root): "".join(f"{n}\n" for n in names)}
+    with open(source, encoding="utf-8") as f:
+        doc = (yaml.safe_load(f) or {}) | {"nc": len(names), "names": [*names]}
+    return {os.path.relpath(source, root): yaml.safe_dump(doc, sort_keys=False, allow_unicode=True)}
+
+
+def attribute_file(root: str) -> str | None:
+    """The attribute schema that lies beside a dataset's folders."""
+    return p if os.path.exists(p := os.path.join(dataset_root(root), "attribute.yaml")) else None
+
+
 def read_image_list(spark: SparkSession, *paths: str, root: str | None = None) -> DataFrame:
     """file_no, line_no, name, path of every line that is not blank: the lists' order and repeats
     are in the numbers, relative paths lie under ``root`` (as they are without it)."""

@@ -4,14 +4,17 @@ import struct
 import tracemalloc
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as geo
 from tessera.manager import Manager
 from tessera.operators import dataset as ds
-from tessera.sources import formats, images, labels, multimodal, places
+from tessera.sources import formats, images, labels, masks, multimodal, places
 
 NAMES = ds.Classes(["person", "car"])
 
@@ -369,3 +372,128 @@ def test_letterbox(spark):
     row = spark.range(1).select(F.lit(100).alias("width"), F.lit(50).alias("height"))
     t = row.withColumns(geo.letterbox(F.col("width"), F.col("height"), 200, 200)).first()
     assert (0.5 * t.sx + t.ox, 0.5 * t.sy + t.oy, 0.2 * t.sx, 0.4 * t.sy) == pytest.approx((0.5, 0.5, 0.2, 0.2))
+
+
+def colour_png(grid, depth=8, alpha=False, how=0):
+    """A PNG of rows of grey values, or of (r, g, b), every line filtered in one way."""
+    grid = np.array(grid)
+    if alpha:
+        grid = np.concatenate([grid, np.full((*grid.shape[:2], 1), 200)], axis=2)
+    samples = 1 if grid.ndim == 2 else grid.shape[2]
+    lines = grid.reshape(len(grid), -1).astype(">u2" if depth == 16 else np.uint8)
+    if depth < 8:
+        bits = np.unpackbits(lines[:, :, None].astype(np.uint8), axis=2)[:, :, 8 - depth :].reshape(len(lines), -1)
+        lines = np.packbits(bits, axis=1)
+    rows, step, packed = lines.view(np.uint8).reshape(len(grid), -1).astype(int), max(1, samples * depth // 8), b""
+    above = np.zeros(rows.shape[1], int)
+    for row in rows:
+        left, corner = np.r_[[0] * step, row[:-step]], np.r_[[0] * step, above[:-step]]
+        guess = left + above - corner
+        near = np.stack([abs(guess - left), abs(guess - above), abs(guess - corner)])
+        paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], above, corner))
+        packed += bytes([how]) + ((row - [0, left, above, (left + above) // 2, paeth][how]) % 256).astype(np.uint8).tobytes()
+        above = row
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", grid.shape[1], grid.shape[0], depth, {1: 0, 3: 2, 4: 6}[samples], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(packed)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("how", range(5))
+def test_png_filters_depths_and_colours(how):
+    rng = np.random.default_rng(how)
+    for depth in (1, 2, 4, 8, 16):
+        grid = rng.integers(0, 1 << depth, (7, 13))
+        assert (masks.png_pixels(colour_png(grid, depth, how=how))[:, :, 0] == grid).all(), depth
+    colours = rng.integers(0, 256, (9, 5, 3))
+    for alpha in (False, True):
+        got = masks.values_of(masks.png_pixels(colour_png(colours, alpha=alpha, how=how)))
+        assert (got == masks.COLOUR + (colours << [16, 8, 0]).sum(axis=2)).all()
+    with pytest.raises(ValueError, match="PNG"):
+        masks.png_pixels(b"no picture")
+
+
+def polygon_area(points):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))) / 2
+
+
+def points_of(flat):
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def test_outlines_follow_borders():
+    ell = np.zeros((8, 9), int)
+    ell[1:6, 2:4] = 1
+    ell[4:6, 4:8] = 1
+    (got,) = masks.traced(ell)
+    assert points_of(got["outline"]) == [(2, 1), (4, 1), (4, 4), (8, 4), (8, 6), (2, 6)] and got["area"] == polygon_area(points_of(got["outline"])) == 18
+    ring = np.ones((5, 5), int)
+    ring[1:4, 1:4] = 0
+    (got,) = masks.traced(ring)
+    assert points_of(got["outline"]) == [(0, 0), (5, 0), (5, 5), (0, 5)] and got["area"] == 16
+    corner = np.array([[1, 0, 1], [1, 1, 1], [0, 1, 0]])  # touches itself at no corner
+    diagonal = np.array([[1, 0], [0, 1]])
+    assert [points_of(a["outline"]) for a in masks.traced(diagonal)] == [[(0, 0), (1, 0), (1, 1), (0, 1)], [(1, 1), (2, 1), (2, 2), (1, 2)]]
+    assert polygon_area(points_of(masks.traced(corner)[0]["outline"])) == 6
+    pinch = np.array([[1, 1, 1], [1, 0, 1], [1, 1, 0]])  # two of its pixels meet at a corner alone
+    assert polygon_area(points_of(masks.traced(pinch)[0]["outline"])) == 7
+
+
+@given(st.lists(st.lists(st.integers(0, 2), min_size=6, max_size=6), min_size=1, max_size=7))
+def test_outlines_of_any_areas(rows):
+    """Areas are those of a plain fill; an outline encloses the area's pixels and its holes."""
+    grid, seen, want = np.array(rows), set(), []
+    for y, x in np.ndindex(*grid.shape):
+        if grid[y, x] and (y, x) not in seen:
+            stack, own = [(y, x)], {(y, x)}
+            while stack:
+                b, a = stack.pop()
+                for n in ((b + 1, a), (b - 1, a), (b, a + 1), (b, a - 1)):
+                    if n not in own and 0 <= n[0] < grid.shape[0] and 0 <= n[1] < grid.shape[1] and grid[n] == grid[y, x]:
+                        own.add(n), stack.append(n)
+            seen |= own
+            outside, stack = {(-1, -1)}, [(-1, -1)]
+            while stack:  # holes are what cannot be reached from outside, corners included
+                b, a = stack.pop()
+                for n in [(b + i, a + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if n not in own and n not in outside and -1 <= n[0] <= grid.shape[0] and -1 <= n[1] <= grid.shape[1]:
+                        outside.add(n), stack.append(n)
+            holes = (grid.shape[0] + 2) * (grid.shape[1] + 2) - len(outside) - len(own)
+            want.append((int(grid[y, x]), len(own), len(own) + holes))
+    got = masks.traced(grid)
+    assert [(a["value"], a["area"]) for a in got] == [w[:2] for w in want]
+    for a, (_, area, filled) in zip(got, want, strict=True):
+        assert area <= polygon_area(points_of(a["outline"])) and polygon_area(points_of(a["outline"])) >= filled
+
+
+def test_colour_masks(spark, tmp_path):
+    """RGB and RGBA masks with a colour map equal a plain count; palettes of all masks are one."""
+    rng = np.random.default_rng(1)
+    palette = np.array([[0, 0, 0], [255, 0, 0], [0, 128, 255], [9, 9, 9]])
+    (tmp_path / "m").mkdir()
+    grids = {f"_m{k}": rng.integers(0, 3 + k % 2, (12, 10)) for k in range(4)}
+    for k, (name, grid) in enumerate(grids.items()):
+        (tmp_path / f"m/{name}.png").write_bytes(colour_png(palette[grid], alpha=k % 2 == 1, how=k))
+    pics, ann, classes = formats.read_masks(spark, str(tmp_path / "m"), class_map={"#ff0000": "red", "0,128,255": "other", (9, 9, 9): "red", 0: "none"})
+    assert {(r.class_id, r.class_name) for r in classes.collect()} == {(0, "red"), (1, "other")} and pics.count() == 4
+    area = {(r.image, r.class_id): r.n for r in ann.groupBy("image", "class_id").agg(F.sum("area").alias("n")).collect()}
+    assert area == {(n, c): int(np.isin(g, v).sum()) for n, g in grids.items() for c, v in ((0, (1, 3)), (1, (2,)))}
+    _, _, found = formats.read_masks(spark, str(tmp_path / "m"))
+    assert [r.class_name for r in found.orderBy("class_id").collect()] == ["0,128,255", "255,0,0", "9,9,9"]
+    (tmp_path / "m/_m0.png").write_bytes(colour_png(np.array([[0, 300], [300, 7]]), 16))
+    _, ann, found = formats.read_masks(spark, str(tmp_path / "m"))
+    assert [r.class_name for r in found.orderBy("class_id").collect()] == ["0,128,255", "255,0,0", "300", "7", "9,9,9"] and ann.where("image = '_m0'").count() == 3
+
+
+def test_merged_attributes_stand_at_common_places(spark):
+    a, b = {"defect": ["no", "dent"], "age": None}, {"grade": ["x", "y"], "defect": ["dent", "rust", "no"], "age": None}
+    merged = ds.merge_attributes([a, b], extend=True)
+    assert merged == {"defect": ["no", "dent", "rust"], "age": None, "grade": ["x", "y"]}
+    rows = spark.createDataFrame([(0, [1.0, 0.0, 5.0]), (1, [0.0, 1.0]), (2, []), (3, [1.0, 2.0, 7.5]), (4, [1.0, 9.0, 0.0])], "class_id int, attrs array<double>")
+    got = {r.class_id: r.attrs for r in ds.align_attributes(rows, b, merged, ["c"]).collect()}
+    assert got == {0: [1.0, 5.0, 1.0], 1: [2.0, 0.0, 0.0], 2: [], 3: [0.0, 7.5, 1.0], 4: [9.0, 0.0, 1.0]}
+    assert ds.align_attributes(rows, merged, merged, ["c"]) is rows
+    scoped = {"p": {"u": ["1", "2"]}, "q": {"v": None}}
+    both = ds.merge_attributes([{"p": {"w": None, "u": ["2"]}}, scoped], extend=True)
+    assert both == {"p": {"w": None, "u": ["2", "1"]}, "q": {"v": None}}
+    got = {r.class_id: r.attrs for r in ds.align_attributes(rows.where("class_id < 2"), scoped, both, ["p", "q"]).collect()}
+    assert got == {0: [0.0, 0.0], 1: [0.0, 1.0]}

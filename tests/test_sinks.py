@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tessera.manager import TASKS, Manager, run_task
 from tessera.operators import evaluation as ev
 from tessera.operators import tables
-from tessera.sinks import files, keyed, reports
-from tessera.sources import formats, layout
-from tests.test_dataset import boxed
+from tessera.sinks import files, keyed, reports, rewrite
+from tessera.sources import formats, layout, masks
+from tests.test_dataset import boxed, png
 from tests.test_evaluation import BASE, boxes
 from tests.test_manager import root  # noqa: F401
 
@@ -81,7 +81,7 @@ def test_listed_and_repeated_images(spark):
 
 
 def test_every_task_is_registered():
-    assert len(TASKS) == 39
+    assert len(TASKS) == 40
 
 
 def test_tasks_on_a_folder(spark, root, tmp_path):  # noqa: F811
@@ -99,7 +99,7 @@ def test_tasks_on_a_folder(spark, root, tmp_path):  # noqa: F811
     m.write_splits(train=1.0, val=0.0)
     assert (root / "train.txt").read_text() == "a.png\nb.png" and (root / "val.txt").read_text() == ""
     assert m.backup_labels() == 2
-    images, ann, names = m.merge(m)
+    images, ann, names, _ = m.merge(m)
     assert images.count() == 4 and ann.count() == 6 and names == ["person", "car"]
     with pytest.raises(KeyError, match="unknown task"):
         run_task(spark, "eval.nothing", str(root))
@@ -134,7 +134,7 @@ def grey(pixels, how):
 @pytest.mark.parametrize("how", range(5))
 def test_png_filters(how):
     pixels = np.random.default_rng(how).integers(0, 256, (9, 13))
-    assert (formats.grey_png(grey(pixels, how)) == pixels).all()
+    assert (masks.png_pixels(grey(pixels, how))[:, :, 0] == pixels).all()
 
 
 def flooded(grid):
@@ -152,6 +152,11 @@ def flooded(grid):
     return out
 
 
+def sides(grid):
+    """value, area, left, top, right, bottom of the areas that are traced."""
+    return [(a["value"], a["area"], *(pick(a["outline"][k::2]) for pick in (min, max) for k in (0, 1))) for a in masks.traced(grid)]
+
+
 def test_masks(spark, tmp_path):
     (tmp_path / "m.png").write_bytes(grey([[0, 3, 3, 0], [0, 3, 0, 7]], 4))
     _, ann, classes = run_task(spark, "import.mask", str(tmp_path), out=f"{tmp_path}/out")
@@ -160,13 +165,13 @@ def test_masks(spark, tmp_path):
     rng = np.random.default_rng(3)
     for shape in ((1, 1), (1, 9), (7, 1), (12, 15), (30, 30)):
         grid = rng.integers(0, 3, shape)
-        assert [tuple(a) for a in formats.areas(grid)] == flooded(grid)
+        assert sides(grid) == flooded(grid)
     ring = np.ones((40, 40), int)
     ring[1::2, 1:] = 0
     ring[3::4, 0], ring[3::4, -1] = 0, 1
-    assert [tuple(a) for a in formats.areas(ring)] == flooded(ring) and len(formats.areas(np.zeros((0, 0), int))) == 0
+    assert sides(ring) == flooded(ring) and not masks.traced(np.zeros((0, 0), int))
     with pytest.raises(ValueError, match="8-bit"):
-        formats.grey_png(b"\x89PNG\r\n\x1a\n")
+        masks.png_pixels(b"\x89PNG\r\n\x1a\n")
 
 
 def test_very_many_groups_are_written_together(spark, tmp_path):
@@ -189,11 +194,104 @@ def test_review_packs(spark, root):  # noqa: F811
     pred.mkdir(parents=True)
     (pred / "a.txt").write_text("1 .5 .5 .2 .3 .9\n0 .9 .9 .1 .1 .8\n")
     (pred / "b.txt").write_text("1 .1 .1 .2 .1 .7\n")
-    rows = run_task(spark, "eval.review_pack", str(root), str(root / "pred"), out=str(root / "pack"), copy_texts=True)
+    rows = run_task(spark, "eval.review_pack", str(root), str(pred), out=str(root / "pack"), copy_texts=True)
     written = [r for p in (root / "pack").rglob("review.csv") for r in table(p)]
     assert len(written) == rows.count() > 0 and {r["review_group"] for r in written} == {p.parent.name for p in (root / "pack").rglob("review.csv")}
     assert {p.name for p in (root / "pack").rglob("images/*")} == {"a.png"} and [p.name for p in (root / "pack/pred_txt").iterdir()] == ["a.txt"]
-    counts = run_task(spark, "eval.compare_pack", str(root), str(root / "pred"), str(root / "compared"))
+    counts = run_task(spark, "eval.compare_pack", str(root), str(pred), str(root / "compared"))
     both = {s: table(root / f"compared/{s}/review.csv") for s in ("fp", "fn")}
     assert counts == {s: len(r) for s, r in both.items()} and all(r["status"] == s for s, x in both.items() for r in x) and [*both["fp"][0]] == list(reports.COMPARE)
     assert {p.name for p in (root / "compared/fn/images").iterdir()} == {"a.png"}
+
+
+def snapshot(folder):
+    return {p.name: p.read_bytes() for p in sorted(folder.iterdir())}
+
+
+@pytest.fixture()
+def labelled(tmp_path):
+    """Files with blanks, tabs, all line ends, comments of numbers, and names that begin with _."""
+    for d in ("images", "labels"):
+        (tmp_path / d).mkdir()
+    for name, data in (("a", b"  0\t.50 .5 0.20 .30  \r\n\r\n1 .4 .4 .2 .2 0.900\n2 .1 .1 .1 .1"), ("_b", b"2 .1 .1 .2 .1\r1 .2 .2 .2 .2\n"), ("c", b"")):
+        png(tmp_path / f"images/{name}.png", 100, 80)
+        (tmp_path / f"labels/{name}.txt").write_bytes(data)
+    (tmp_path / "class.txt").write_text("x\ny\nz\n")
+    return tmp_path
+
+
+def test_edits_in_place_touch_tokens_alone(spark, labelled):
+    count, report = run_task(spark, "ann.merge_class", str(labelled), ["x"], "y", in_place=True, backup_dir=str(labelled / "old"))
+    assert count == 2 and report.count() == 1 and (labelled / "class.txt").read_text() == "y\nz\n"
+    assert snapshot(labelled / "labels") == {"_b.txt": b"1 .1 .1 .2 .1\r0 .2 .2 .2 .2\n", "a.txt": b"  0\t.50 .5 0.20 .30  \r\n\r\n0 .4 .4 .2 .2 0.900\n1 .1 .1 .1 .1", "c.txt": b""}
+    assert len(list((labelled / "old").rglob("*.txt"))) == 2 and not rewrite.unfinished(str(labelled))
+    run_task(spark, "ann.delete_class", str(labelled), ["y"], in_place=True)
+    assert snapshot(labelled / "labels") == {"_b.txt": b"1 .1 .1 .2 .1\r", "a.txt": b"\r\n1 .1 .1 .1 .1", "c.txt": b""}
+    with pytest.raises(ValueError, match="in_place"):
+        run_task(spark, "dataset.filter", str(labelled), in_place=True)
+
+
+def test_attributes_in_place(spark, labelled):
+    (labelled / "attr.yaml").write_text("attributes: {defect: [no, yes], age: null}\n")
+    (labelled / "labels/a.txt").write_bytes(b"0 2 1 7 .5 .5 .2 .3\n1 1 0 .4 .4 .2 .2 \n2  .1 .1 .1 .1\n2 0 .1 .1 .1 .1\n")
+    run_task(spark, "ann.set_attr", str(labelled), "age", 3, in_place=True, attribute_file=str(labelled / "attr.yaml"))
+    assert snapshot(labelled / "labels")["a.txt"] == b"0 2 1 3 .5 .5 .2 .3\n1 2 0 3 .4 .4 .2 .2 \n2  2 0 3 .1 .1 .1 .1\n2 2 0 3 .1 .1 .1 .1\n"
+
+
+def test_rewrites_that_were_cut_short(spark, labelled, monkeypatch):
+    """Before the commit nothing has changed and all goes; after it, what is left is put in place."""
+    before = snapshot(labelled / "labels")
+    m = Manager(spark, str(labelled))
+    after, _, _ = m.replace_class(["x", "z"], "y")
+
+    def killed(self):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(rewrite.Rewrite, "commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            m.rewrite(after)
+    assert len(list((labelled / "labels").glob("*.new"))) == 2 and {k: v for k, v in snapshot(labelled / "labels").items() if k in before} == before
+    with pytest.raises(RuntimeError, match="recover"):
+        m.rewrite(after)
+    assert [*m.recover().values()] == ["undone"] and snapshot(labelled / "labels") == before and m.recover() == {}
+    with monkeypatch.context() as patch:
+        patch.setattr(rewrite.Rewrite, "replace", killed)
+        with pytest.raises(KeyboardInterrupt):
+            m.rewrite(after)
+    # One file was put in place before the end came.
+    (fresh,) = (labelled / "labels").glob("a.txt.*.new")
+    fresh.replace(labelled / "labels/a.txt")
+    assert [*run_task(spark, "ann.recover", str(labelled)).values()] == ["completed"]
+    assert snapshot(labelled / "labels") == {"_b.txt": b"1 .1 .1 .2 .1\r1 .2 .2 .2 .2\n", "a.txt": b"  1\t.50 .5 0.20 .30  \r\n\r\n1 .4 .4 .2 .2 0.900\n1 .1 .1 .1 .1", "c.txt": b""}
+    with monkeypatch.context() as patch:
+        patch.setattr(rewrite.Rewrite, "replace", killed)
+        with pytest.raises(KeyboardInterrupt):
+            m.rewrite(Manager(spark, str(labelled)).replace_class(["y"], "z")[0])
+    (labelled / "labels/a.txt").write_bytes(b"0 .5 .5 .1 .1\n")
+    with pytest.raises(Exception, match="has changed"):
+        m.recover()
+    assert (labelled / "labels/a.txt").read_bytes() == b"0 .5 .5 .1 .1\n"
+
+
+def test_tokens_of_lines():
+    data = b" 1  2\t3\r\nx y\n"
+    assert rewrite.edited(data, [(1, 0, 1, "7"), (1, 2, 3, "30 31"), (2, 1, 1, "new")]) == b" 7  2\t30 31\r\nx new y\n"
+    assert rewrite.edited(data, [(2, 2, 2, "z"), (1, 0, 1, None)]) == b"x y z\n"
+    for bad in ([(3, 0, 1, "a")], [(2, 0, 3, "a")]):
+        with pytest.raises(ValueError):
+            rewrite.edited(data, bad)
+
+
+def test_merged_datasets_share_their_attributes(spark, labelled, tmp_path):
+    other = tmp_path / "other"
+    for d in ("images", "labels"):
+        (other / d).mkdir(parents=True)
+    png(other / "images/o.png", 100, 80)
+    (other / "labels/o.txt").write_text("0 2 1 0 .5 .5 .2 .3\n")
+    (other / "class.txt").write_text("y\n")
+    (other / "attribute.yaml").write_text("attributes: {grade: [a, b], defect: [yes, no, bent]}\n")
+    (labelled / "attribute.yaml").write_text("attributes: {defect: [no, yes]}\n")
+    run_task(spark, "dataset.merge", str(labelled), str(other), out=str(tmp_path / "m"), attribute_file=str(labelled / "attribute.yaml"))
+    assert layout.attribute_schema(str(tmp_path / "m/attribute.yaml")) == {"defect": ["no", "yes", "bent"], "grade": ["a", "b"]}
+    assert (tmp_path / "m/labels/d1_o.txt").read_text() == "1 2 1 1 0.5 0.5 0.2 0.3\n"
