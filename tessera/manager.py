@@ -521,6 +521,6 @@ TASKS: dict[str, Callable] = {
     "dataset.select": written("dataset", "select", Manager.select), "dataset.merge": written("dataset", "merge", Manager.merge), "dataset.yaml": Manager.write_yaml, "ann.set_attr": written("annotation", "set_attr", Manager.set_attr), "ann.delete_attr": written("annotation", "delete_attr", Manager.delete_attr),
     "ann.correct_from_crops": written("annotation", "correct_from_crops", Manager.correct_from_crops), "ann.correct_from_error_crops": written("annotation", "correct_from_error_crops", Manager.correct_from_error_crops), "convert.resize": Manager.resize,
     "vis.draw": Manager.draw, "vis.crop": Manager.crop, "vis.manual_box": Manager.manual_box,
-    "import.coco": import_tables(formats.read_coco), "import.voc": import_tables(formats.read_voc), "import.labelme": import_tables(labelme), "import.mask": import_tables(formats.read_masks),
+    "import.coco": import_tables(formats.read_coco), "import.voc": import_tables(formats.read_voc), "import.labelme": import_tables(labelme), "import.mask": import_tables(formats.read_masks), "import.tt100k": import_tables(formats.import_tt100k),
     "eval.compare": Manager.eval_compare, "eval.metrics": Manager.eval_metrics, "eval.error_analysis": Manager.eval_error_analysis, "eval.review_pack": Manager.eval_review_pack, "eval.compare_pack": Manager.eval_compare_pack, "ann.recover": Manager.recover,
 }

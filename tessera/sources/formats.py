@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import circle, pixel_points, polygon_area, to_centre
 from ..operators.dataset import decoded
 from ..operators.ranking import numbered
-from .labels import POINT, stem
+from ..store import stored
+from . import bigjson, places
+from .images import read_headers
+from .labels import POINT, is_image, list_files, stem
 from .masks import mask_components, read_masks  # noqa: F401  (a format like the others)
 
 COCO = """images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>,
@@ -28,18 +33,34 @@ def _numbered(rows: DataFrame, order: Sequence) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("image").orderBy(*order)) - 1).withColumn("line_no", F.col("ord") + 1)
 
 
-def read_coco(spark: SparkSession, path: str, task: str = "detect", class_names: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Size of a document above which its members are read by several tasks.
+PARALLEL_BYTES = 32 << 20
+
+
+def _members(spark: SparkSession, path: str, schema: str, parallel_bytes: int, width: int = bigjson.BYTES) -> dict[str, DataFrame]:
+    """pos and the value ``x`` of each element of a document's arrays: by one task, or by many where
+    the document is large."""
+    fields = {f.name: f.dataType.elementType for f in T.StructType.fromDDL(schema).fields}
+    local = places.plain(path)
+    if not places.is_mounted(local) or not os.path.isfile(local) or os.path.getsize(local) < parallel_bytes:
+        doc = spark.read.schema(schema).option("multiLine", True).json(path)
+        return {n: doc.select(F.posexplode(n).alias("pos", "x")) for n in fields}
+    found = bigjson.members(spark, local, width).where("at IS NOT NULL")
+    return {n: found.where(F.col("member") == n).select(F.col("at").alias("pos"), F.from_json("value", kind).alias("x")) for n, kind in fields.items()}
+
+
+def read_coco(spark: SparkSession, path: str, task: str = "detect", class_names: Sequence[str] | None = None, parallel_bytes: int = PARALLEL_BYTES, width: int = bigjson.BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, classes): categories in the order of their ids or by the names
     given; rows of unknown categories or short boxes go; the first polygon of six numbers or
     more is used for ``segment``."""
-    doc = spark.read.schema(COCO).option("multiLine", True).json(path)
-    images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), stem(F.col("i.file_name")).alias("image"), "i.file_name", "i.width", "i.height")
-    cats = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("class_name"))
+    parts = _members(spark, path, COCO, parallel_bytes, width)
+    images = parts["images"].select(F.col("x.id").alias("image_id"), stem(F.col("x.file_name")).alias("image"), "x.file_name", "x.width", "x.height")
+    cats = parts["categories"].select(F.col("x.id").alias("category_id"), F.col("x.name").alias("class_name"))
     if class_names is None:
         classes = cats.withColumn("class_id", F.row_number().over(Window.orderBy("category_id")) - 1)  # a row for each category
     else:
         classes = cats.join(spark.createDataFrame(list(enumerate(class_names)), "class_id int, class_name string"), "class_name")
-    ann = doc.select(F.posexplode("annotations").alias("pos", "a")).select("pos", "a.*").where(F.size("bbox") >= 4)
+    ann = parts["annotations"].select("pos", "x.*").where(F.size("bbox") >= 4)
     ann = ann.join(images, "image_id").join(F.broadcast(classes) if class_names is not None else classes, "category_id")
     x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
     polygon = F.array_compact(F.transform(F.from_json("segmentation", "array<array<double>>"), lambda s: F.when(F.size(s) >= 6, s)))
@@ -108,17 +129,67 @@ def read_labelme(spark: SparkSession, path: str, class_names: Sequence[str] | No
     return docs.drop("shapes"), _numbered(ann, ["pos"]).select("image", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "polygon", "attrs")
 
 
-def read_tt100k(spark: SparkSession, path: str, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tt100k_images(spark: SparkSession, path: str, parallel_bytes: int = PARALLEL_BYTES, width: int = bigjson.BYTES) -> tuple[DataFrame, DataFrame]:
+    """(path and objects of each image, classes) of a dictionary-of-images document."""
+    local = places.plain(path)
+    if not places.is_mounted(local) or not os.path.isfile(local) or os.path.getsize(local) < parallel_bytes:
+        doc = spark.read.schema(TT100K).option("multiLine", True).json(path)
+        return doc.select(F.explode(F.map_entries("imgs")).alias("e")).select("e.value.path", "e.value.objects"), doc.select(F.posexplode("types").alias("class_id", "class_name"))
+    found = bigjson.members(spark, local, width)
+    kind = T.StructType.fromDDL(TT100K)["imgs"].dataType.valueType
+    rows = found.where("member = 'imgs' AND at IS NOT NULL").select(F.from_json("value", kind).alias("x")).select("x.path", "x.objects")
+    return rows, found.where("member = 'types'").select(F.posexplode(F.from_json("value", "array<string>")).alias("class_id", "class_name"))
+
+
+def tt100k_issues(rows: DataFrame, root: str, present: DataFrame) -> DataFrame:
+    """image_path, issue of the images of a document: paths that leave the dataset (``unsafe_path``),
+    images that are not among ``present`` (path, under ``root``), and names that several paths have
+    (``name_collision``), each of which a dataset of one folder could not hold."""
+    base = root.rstrip("/") + "/"
+    paths = rows.select("path").distinct()
+    unsafe = F.col("path").isNull() | F.col("path").startswith("/") | F.col("path").rlike(r"(^|[/\\\\])\.\.([/\\\\]|$)") | F.col("path").rlike("^[A-Za-z]:")
+    known = present.select(F.col("path").alias("there"))
+    missing = paths.where(~unsafe).join(known, F.concat(F.lit(base), "path") == F.col("there"), "left_anti")
+    name = F.element_at(F.split("path", "/"), -1)
+    often = paths.groupBy(F.lower(F.regexp_replace(name, r"\.[^.]+$", "")).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = paths.withColumn("name", F.lower(F.regexp_replace(name, r"\.[^.]+$", ""))).join(often, "name", "left_semi")
+    shown = lambda df, issue: df.select(F.col("path").alias("image_path"), F.lit(issue).alias("issue"))
+    return shown(paths.where(unsafe), "unsafe_path").union(shown(missing, "missing_image")).union(shown(twice, "name_collision"))
+
+
+def import_tt100k(spark: SparkSession, path: str, root: str | None = None, strict: bool = True, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, classes) of a dictionary-of-images document and the pictures beside it
+    (or under ``root``).  Unsafe paths, missing pictures and colliding names are an error, or left
+    out where not ``strict``."""
+    root = places.plain(root or os.path.dirname(places.plain(path)))
+    rows, classes = tt100k_images(spark, path, **options)
+    rows, present = stored(rows, "tt100k"), stored(list_files(spark, root).where(is_image(F.col("path"))), "pictures")
+    issues = stored(tt100k_issues(rows, root, present), "issues")
+    if strict and (first := issues.orderBy("issue", "image_path").first()):
+        raise ValueError(f"{first.issue}: {first.image_path}")
+    bad = issues.select(F.col("image_path").alias("path")).distinct()
+    rows = rows.join(bad, "path", "left_anti")
+    files = rows.select(F.concat(F.lit(root + "/"), "path").alias("path")).distinct().select(stem(F.col("path")).alias("image"), "path")
+    heads = stored(read_headers(spark, files).select("image", "path", "width", "height"), "headers")
+    ann = _tt100k_boxes(rows, heads, classes)
+    return heads.withColumn("file_name", F.element_at(F.split("path", "/"), -1)), ann, classes
+
+
+def read_tt100k(spark: SparkSession, path: str, sizes: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(annotations with ``split`` and ``clipped``, classes) of a dictionary-of-images document;
     ``sizes``: image, width, height.  Boxes are clipped to the image; empty ones go."""
-    doc = spark.read.schema(TT100K).option("multiLine", True).json(path)
-    classes = doc.select(F.posexplode("types").alias("class_id", "class_name"))
-    rows = doc.select(F.explode(F.map_entries("imgs")).alias("e")).select(F.col("e.value.path").alias("path"), F.posexplode("e.value.objects").alias("pos", "o"))
-    rows = rows.select(stem(F.col("path")).alias("image"), F.element_at(F.split("path", "/"), 1).alias("split"), "pos", F.col("o.category").alias("class_name"), "o.bbox.*").join(sizes, "image").join(classes, "class_name")
+    rows, classes = tt100k_images(spark, path, **options)
+    return _tt100k_boxes(rows, sizes, classes), classes
+
+
+def _tt100k_boxes(rows: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    rows = rows.select("path", F.posexplode("objects").alias("pos", "o"))
+    rows = rows.select(stem(F.col("path")).alias("image"), F.element_at(F.split("path", "/"), 1).alias("split"), "pos", F.col("o.category").alias("class_name"), "o.bbox.*")
+    rows = rows.join(sizes.select("image", "width", "height"), "image").join(classes, "class_name")
     clip = {c: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(s).cast("double"))) for c, s in (("xmin", "width"), ("ymin", "height"), ("xmax", "width"), ("ymax", "height"))}
     rows = rows.withColumn("clipped", (F.col("xmin") < 0) | (F.col("ymin") < 0) | (F.col("xmax") > F.col("width")) | (F.col("ymax") > F.col("height"))).withColumns(clip).where("xmax > xmin AND ymax > ymin")
     rows = rows.withColumns(to_centre(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("width"), F.col("height")))
-    return _numbered(rows, ["pos"]).select("image", "split", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "clipped"), classes
+    return _numbered(rows, ["pos"]).select("image", "split", "ord", "line_no", "class_id", "cx", "cy", "w", "h", "clipped")
 
 
 def labelme_names(spark: SparkSession, path: str, limit: int = 10_000) -> list[str]:
