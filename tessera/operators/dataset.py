@@ -438,11 +438,19 @@ def orphan_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
 
 def duplicate_lines(ann: DataFrame) -> DataFrame:
     """Second and later annotations of an image that are written as the same line, with their
-    confidence, whatever their text was when they were read."""
+    confidence, whatever their text was when they were read.
+
+    Equal lines have equal numbers once these are rounded, so that hashes of rounded numbers say
+    which rows can have one; only these are written out and compared."""
     lacks = {"polygon": POINT, "attrs": "array<double>", "confidence": "double"}
     rows = ann.withColumns({"__" + c: F.col(c) if c in ann.columns else F.lit(None).cast(t) for c, t in lacks.items()})
-    line = rows.withColumns({c: F.col("__" + c) for c in lacks}).withColumn("__line", to_line(include_confidence=True))
-    w = Window.partitionBy("image", "__line").orderBy("line_no")
+    rows = rows.withColumns({c: F.col("__" + c) for c in lacks})
+    rounded = [F.round(c, 6) for c in ("cx", "cy", "w", "h", "confidence")]
+    lists = [F.transform("attrs", lambda x: F.round(x, 6)), F.transform("polygon", lambda q: F.struct(F.round(q["x"], 6), F.round(q["y"], 6)))]
+    rows = rows.withColumn("__key", F.xxhash64("class_id", *rounded, *lists))
+    often = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("image", "__key"))).where("__n > 1")
+    w = Window.partitionBy("image", "__key", "__line").orderBy("line_no")
+    line = often.withColumn("__line", to_line(include_confidence=True))
     return line.withColumn("__r", F.row_number().over(w)).where("__r > 1").select(*ann.columns)
 
 
