@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, langid, license_scan, mixing, near_dedup, pii, quality, queries, secret_scan, token_counts
+from tessera.llm import decontamination, divergence, exact_dedup, fingerprints, langid, license_scan, mixing, near_dedup, pii, quality, queries, secret_scan, token_counts
 from tests.llm.test_corpus import TEXT, docs_of, lang_rows, words
 
 LONG = "alpha beta gamma token=abc_12345 mail me@x.org now " * 6_000
@@ -237,3 +237,56 @@ def test_digests_of_secret_spans(spark):
     at = texts[0].index("dead")
     assert got[0].base_sha256 == hashlib.sha256(f"assign:1:13,hex:{at}:{at + 24}".encode()).hexdigest()
     assert got[1].n_assign == 1 and got[1].n_access == 1
+
+
+def awkward(spark, folder, rows, labels=()):
+    """documents, labels and benchmark under a folder; documents have columns that clash with the
+    operators' own names."""
+    docs = docs_of(spark, rows)
+    for name in ("row", "digest", "words", "id", "content", "kept", "n"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([*labels], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    benchmark(spark).write.parquet(f"{folder}/benchmark.parquet")
+    return docs.columns
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Null ids, repeated rows, empty and very long texts, and columns with clashing names; without
+    labels; and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    plain = [(100 + i, " ".join(rng.choices(TEXT["en" if i % 2 else "de"].split(), k=60)), "en" if i % 2 else "de", "s") for i in range(40)]
+    rows = [*ROWS, *plain, (None, plain[3][1], "de", None), (77, plain[4][1], "en", None), (None, None, None, None), (78, "alpha beta gamma token abc 12345 mail me x org now alpha " + plain[5][1], "de", "s")]
+    names = awkward(spark, tmp_path / "a", rows)
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, str(tmp_path / "a")).cache()
+        assert docs.columns == names and 0 < docs.count() <= before, name
+        assert all(r.digest == "digest" and r.n == "n" for r in docs.collect())
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert Counter((r.doc_id) for r in got) == Counter(r.doc_id for r in docs.collect()) and 1 not in {r.doc_id for r in got} and 78 not in {r.doc_id for r in got}
+    assert len({r.doc_id for r in got} & {r[0] for r in plain}) >= 30
+    awkward(spark, tmp_path / "b", [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_quality_without_labels(spark):
+    """With nothing to learn from every text has a score, and one alike for all."""
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.score(docs_of(spark, ROWS), quality.fit(docs_of(spark, ROWS), none, metadata=("n_chars",))).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+@pytest.mark.parametrize("name", ["fingerprints", "divergence"])
+def test_new_operators_on_awkward_tables(spark, name):
+    """The tables that the other operators are tested on, in any partitions."""
+    run = {"fingerprints": lambda d: fingerprints.describe(d), "divergence": lambda d: divergence.divergence_report(d)}[name]
+    clashing = lambda rows: docs_of(spark, rows).withColumns({c: F.lit("x") for c in ("row", "digest", "id", "part", "term", "n", "p")})
+    got, again = run(clashing(ROWS)).collect(), run(clashing(ROWS).repartition(3)).collect()
+    assert Counter(map(repr, got)) == Counter(map(repr, again)) and got
+    if name == "fingerprints":
+        assert Counter(r.id for r in got) == Counter(r[0] for r in ROWS)
+    assert run(clashing([])).count() == 0
