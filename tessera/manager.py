@@ -104,23 +104,37 @@ class Manager:
         """Headers of the dataset's pictures, of which only the first bytes are read."""
         return images.read_headers(self.spark, self.data.images, whole)
 
-    def query_class(self, classes) -> DataFrame:
-        return ds.query_class(self.data.annotations, self.data.classes.ids(classes))
+    def query_class(self, classes, out: str | None = None) -> DataFrame:
+        return self._queried(ds.query_class(self.data.annotations, self.data.classes.ids(classes)), out)
 
-    def query_attr(self, name: str, values=None, nonzero: bool = False) -> DataFrame:
+    def query_attr(self, name: str, values=None, nonzero: bool = False, out: str | None = None) -> DataFrame:
         names = list(self.data.attributes)
         options = self.data.attributes[name]
-        return ds.query_attribute(self.data.annotations, names.index(name), options if isinstance(options, list) else None, values, nonzero)
+        return self._queried(ds.query_attribute(self.data.annotations, names.index(name), options if isinstance(options, list) else None, values, nonzero), out)
 
-    def duplicates(self) -> DataFrame:
+    def _queried(self, rows: DataFrame, out: str | None) -> DataFrame:
+        """The rows of a query, with ``out`` also as a CSV file."""
+        if out:
+            shown = reports.query_rows(rows, self.data.images, self.data.classes, self.data.attributes)
+            reports.write_csv(shown.orderBy("image", "line_no"), out)
+        return rows
+
+    def duplicates(self, out: str | None = None) -> DataFrame:
         """Pictures of equal content.  Only those whose size others have too are read."""
         sized = stored(places.with_sizes(self.data.images.select("path")), "sizes")
         often = sized.groupBy("bytes").count().where("count > 1").select("bytes")
         hashed = stored(places.with_digests(sized.join(often, "bytes", "left_semi")), "digests")
-        return ds.repeated(hashed, "path")
+        found = ds.repeated(hashed, "path")
+        if out:
+            reports.write_duplicates(found, out)
+        return found
 
-    def bad_images(self) -> DataFrame:
-        return images.bad_images(self._headers(whole=True), self.data.images)
+    def bad_images(self, out: str | None = None) -> DataFrame:
+        issues = images.bad_images(self._headers(whole=True), self.data.images)
+        if out:
+            issues = stored(issues, "issues")
+            reports.write_image_issues(issues, self.data.images, out)
+        return issues
 
     # --- changing: each returns the edited table with its report
     def filter(self, predicate: Column | None = None, class_rules=None, **rule) -> DataFrame:
@@ -233,7 +247,7 @@ class Manager:
 
     def correct_from_crops(self, crops: str, target):
         """The boxes that the crops in a folder name get the class ``target`` (none: go)."""
-        return corrections.correct_from_crops(self.data.annotations, self._crops(crops), self._target(target))
+        return corrections.correct_from_crops(self.data.annotations, self._crops(crops), self._target(target), self.data.images, self._labelled())
 
     def correct_from_error_crops(self, crops: str, target, pred: str, **options):
         return corrections.correct_from_error_crops(self.data.annotations, layout.load(self.spark, pred).annotations, self._crops(crops), self._target(target), **options)

@@ -27,18 +27,35 @@ def error_crop_names(crops: DataFrame) -> DataFrame:
     return crops.select("crop", part(1).alias("image"), part(2).try_cast("int").alias("p"), part(3).try_cast("int").alias("g"), (part(1).isNotNull()).alias("valid"))
 
 
-def correct_from_crops(ann: DataFrame, crops: DataFrame, target_class: int | None) -> tuple[DataFrame, DataFrame]:
-    """The boxes that crops name get ``target_class``, or go where that is None."""
+def correct_from_crops(ann: DataFrame, crops: DataFrame, target_class: int | None, images: DataFrame | None = None, labelled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The boxes that crops name get ``target_class``, or go where that is None.
+
+    ``images`` (image; as many rows as pictures have the name) and ``labelled`` (image; those with
+    a label file) tell names of several pictures, which nothing is done to, and pictures without a
+    label file from names of no picture; without them the annotations say which images there are."""
     named = crop_names(crops)
-    wanted = named.where("n IS NOT NULL").select("image", (F.col("n") - 1).alias("ord")).distinct()
+    given = ann if images is None else images
+    pictures = given.groupBy("image").agg((F.count(F.lit(1)) if images is not None else F.lit(1)).alias("pictures"))
+    files = ann.select("image") if images is None else given.select("image") if labelled is None else labelled.select("image")
+    known = named.join(pictures, "image", "left").join(files.distinct().withColumn("has_label", F.lit(True)), "image", "left")
+    wanted = known.where("n IS NOT NULL AND pictures = 1").select("image", (F.col("n") - 1).alias("ord")).distinct()
     hit = ann.join(wanted, ["image", "ord"], "left_semi")
     rest = ann.join(wanted, ["image", "ord"], "left_anti")
     out = rest if target_class is None else rest.unionByName(hit.withColumn("class_id", F.lit(target_class)))
-    known = named.join(ann.select("image").distinct().withColumn("has_image", F.lit(True)), "image", "left").join(ann.select("image", (F.col("ord") + 1).alias("n"), F.col("class_id").alias("old_class")), ["image", "n"], "left")
-    outcome = F.when(F.col("n").isNull(), "invalid_name").when(F.col("has_image").isNull(), "missing_image").when(F.col("old_class").isNull(), "invalid_index").when(F.lit(target_class).isNull(), "deleted").when(F.col("old_class") == F.lit(target_class), "unchanged").otherwise("updated")
+    known = known.join(ann.select("image", (F.col("ord") + 1).alias("n"), F.col("class_id").alias("old_class")), ["image", "n"], "left")
+    outcome = F.when(F.col("n").isNull(), "invalid_name").when(F.col("pictures").isNull(), "missing_image").when(F.col("pictures") > 1, "ambiguous_image")
+    outcome = outcome.when(F.col("has_label").isNull(), "missing_label").when(F.col("old_class").isNull(), "invalid_index")
+    outcome = outcome.when(F.lit(target_class).isNull(), "deleted").when(F.col("old_class") == F.lit(target_class), "unchanged").otherwise("updated")
     return out, known.select("crop", "image", "n", "old_class", outcome.alias("outcome"))
 
 
+def correction_summary(outcomes: DataFrame) -> DataFrame:
+    """outcome, crops, targets: how many crop files and how many boxes or names each outcome has;
+    crops beyond the targets name a box again."""
+    target = F.coalesce(F.concat_ws("_", "image", "n"), "crop")
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("crops"), F.count_distinct(target).alias("targets"))
+
+
 def dedup_additions(rows: DataFrame, least: float = 0.5, by: tuple[str, ...] = ("image",)) -> DataFrame:
     """Of boxes to add to an image, one that overlaps a better one (confidence, then place) goes;
     ``by`` may tell classes apart."""

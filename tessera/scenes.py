@@ -18,14 +18,15 @@ from .store import release, stored
 class Scenes:
     """``image_dirs``: modality to folder under ``root``; ``suffixes``: what file stems of a
     modality (or of ``label``) have after the scene's name; ``required``: modalities that a
-    complete scene needs (all, if not given).  Tables are read once; ``reload`` reads anew."""
+    complete scene needs (all, if not given); ``label_extension``: what label files end in.  Tables are read once; ``reload`` reads anew."""
 
-    def __init__(self, spark: SparkSession, root: str, image_dirs: Mapping[str, str], suffixes: Mapping[str, str] | None = None, required: Sequence[str] | None = None, labels_dir: str = "labels", task: str = "auto", attribute_file: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, image_dirs: Mapping[str, str], suffixes: Mapping[str, str] | None = None, required: Sequence[str] | None = None, labels_dir: str = "labels", task: str = "auto", attribute_file: str | None = None, label_extension: str = ".txt"):
         unknown = (set(suffixes or ()) - {*image_dirs, "label"}) | (set(required or ()) - {*image_dirs})
         if unknown or "label" in image_dirs:
             raise ValueError(f"unknown or reserved modalities: {sorted(unknown) or ['label']}")
         self.spark, self.root, self.dirs, self.suffixes = spark, root, dict(image_dirs), dict(suffixes or {})
         self.required, self.labels_dir, self.task = tuple(required or image_dirs), labels_dir, task
+        self.extension = f".{label_extension.lstrip('.')}"
         self.classes = layout.find_class_names(root)
         self.attributes = layout.attribute_schema(attribute_file) if attribute_file else {}
         self.scenes: DataFrame | None = None
@@ -36,11 +37,11 @@ class Scenes:
             release(self.scenes)
         found = {m: (labels.list_images(self.spark, os.path.join(self.root, d)), self.suffixes.get(m)) for m, d in self.dirs.items()}
         folder, suffix = os.path.join(self.root, self.labels_dir), self.suffixes.get("label")
-        marks = labels.list_files(self.spark, folder, "*.txt").select(labels.stem(F.col("path")).alias("image"), "path")
+        marks = labels.list_files(self.spark, folder, f"*{self.extension}").select(labels.stem(F.col("path")).alias("image"), "path")
         scenes, self.issues = multimodal.associate(found, marks, suffix, self.required)
         self.issues = self.issues.unionByName(multimodal.empty_parts(found, marks))
         self.scenes = stored(scenes, "scenes")
-        ann = labels.read_labels(self.spark, folder, self.task, bool(self.attributes))
+        ann = labels.read_labels(self.spark, folder, self.task, bool(self.attributes), suffix=self.extension)
         self.annotations = ann.withColumn("image", multimodal.scene_of(F.col("image"), suffix))
 
     def check(self) -> DataFrame:

@@ -64,13 +64,37 @@ def class_source(root: str) -> str | None:
     return next((p for name in CLASS_SOURCES if os.path.exists(p := os.path.join(root, name))), None)
 
 
+def read_dataset_yaml(path: str) -> dict:
+    """All that a dataset's YAML file says; empty where there is nothing in it."""
+    with open(path, encoding="utf-8") as f:
+        doc = yaml.safe_load(f) or {}
+    if not isinstance(doc, dict):
+        raise ValueError(f"{path} is no mapping")
+    return doc
+
+
+def _placed(value, base: str) -> str:
+    """A path of a YAML file, with variables and a home folder put in, below ``base``."""
+    text = os.path.expanduser(os.path.expandvars(str(value)).strip())
+    return os.path.normpath(text if os.path.isabs(text) else os.path.join(base, text))
+
+
 def dataset_root(path: str) -> str:
     """The folder of a dataset; a YAML file may name it (``path``, relative to the file)."""
     if not os.path.isfile(path):
         return path
-    with open(path, encoding="utf-8") as f:
-        named = str((yaml.safe_load(f) or {}).get("path") or ".")
-    return os.path.normpath(named if os.path.isabs(named) else os.path.join(os.path.dirname(os.path.abspath(path)), named))
+    return _placed(read_dataset_yaml(path).get("path") or ".", os.path.dirname(os.path.abspath(path)))
+
+
+def dataset_part(path: str, split: str) -> str | None:
+    """The list or folder that a dataset's YAML file names for a split (the first of several), below
+    the dataset or beside the file."""
+    value = read_dataset_yaml(path).get(split) if os.path.isfile(path) else None
+    value = next((v for v in value if v is not None), None) if isinstance(value, list) else value
+    if value is None:
+        return None
+    places_ = [_placed(value, base) for base in (dataset_root(path), os.path.dirname(os.path.abspath(path)))]
+    return next((p for p in places_ if os.path.exists(p)), places_[0] if places_[0].endswith(".txt") else None)
 
 
 def report(spark: SparkSession, root: str) -> dict:
@@ -181,7 +205,7 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
 
     ``only_val`` keeps the validation part: what val.txt lists, or what lies in a folder val;
     ``stems`` (image, or a list or folder to read them from) keeps the images of these stems."""
-    root = dataset_root(root)
+    given, root = root, dataset_root(root)
     layout = detect(root) if layout == "auto" else layout
     if layout not in (*LAYOUTS, "unknown"):
         raise ValueError(f"unknown layout {layout!r}; there are {', '.join(LAYOUTS)}")
@@ -195,14 +219,21 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
         else:
             ann = read_labels(spark, root, task, bool(attributes), stems=stems, recursive=False)
             bare = ann.select("image").distinct().withColumn("file_name", F.concat("image", F.lit(".jpg")))
-            return Dataset(root, bare, ann, find_class_names(root), attributes, labels_dir=root)
+            return Dataset(root, bare, ann, find_class_names(given), attributes, labels_dir=root)
     images = list_images(spark, pics)
     if stems is not None:
         images = images.join(stems.select("image").distinct(), "image", "left_semi")
     images = images.withColumn("label_path", label_path_of(F.col("path"))).withColumn("split", F.coalesce(*[F.when(F.col("path").contains(f"/{s}/"), s) for s in SPLITS]))
     wanted = [split_file] if split_file else [p for s in SPLITS if layout == "image_list" and os.path.exists(p := os.path.join(root, f"{s}.txt"))]
     if only_val and not split_file:
-        wanted = [p] if os.path.exists(p := os.path.join(root, "val.txt")) else []
+        named = dataset_part(given, "val")
+        if named and os.path.isdir(named):
+            listed = list_images(spark, named).select("image")
+            listed = listed if stems is None else listed.join(stems.select("image"), "image", "left_semi")
+            part = load(spark, root, images_dir, labels_dir, task, layout, attribute_file=attribute_file, stems=listed)
+            part.classes = find_class_names(given)
+            return part
+        wanted = [p] if (p := named or os.path.join(root, "val.txt")) and os.path.exists(p) else []
         if not wanted and not os.path.isdir(os.path.join(pics, "val")):
             raise FileNotFoundError(f"no val.txt and no {images_dir}/val under {root}")
         images = images if wanted else images.where("split = 'val'")
@@ -212,7 +243,7 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
         images = images.join(keyed, "image", "left_semi")
     if not os.path.isdir(texts):
         none = spark.createDataFrame([], ANNOTATION).withColumn("image", F.lit(None).cast("string"))
-        return Dataset(root, images, none, find_class_names(root), attributes, images_dir=pics)
+        return Dataset(root, images, none, find_class_names(given), attributes, images_dir=pics)
     known = images.select("image").distinct()
     orphans = list_labels(spark, texts).join(known, "image", "left_anti")
     if pics == texts:
@@ -221,7 +252,7 @@ def load(spark: SparkSession, root: str, images_dir: str = "images", labels_dir:
         orphans = orphans.where(~F.col("label_path").isin(*[os.path.join(places.plain(root), n) for n in ROLES]))
     else:
         ann = read_labels(spark, texts, task, bool(attributes)).join(known, "image", "left_semi")
-    return Dataset(root, images, ann, find_class_names(root), attributes, orphans, pics, texts)
+    return Dataset(root, images, ann, find_class_names(given), attributes, orphans, pics, texts)
 
 
 def write_json(rows: DataFrame, path: str, limit: int = 10_000) -> None:

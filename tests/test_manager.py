@@ -1,3 +1,5 @@
+import csv
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,50 @@ def test_image_lists_keep_their_order(spark, tmp_path):
     (tmp_path / "two.txt").write_text("  ./images/c.png \n")
     got = layout.read_image_list(spark, str(tmp_path / "one.txt"), str(tmp_path / "two.txt"), root="/data").orderBy("file_no", "line_no").collect()
     assert [r.path for r in got] == ["/data/images/b.png", "/abs/a.png", "/data/images/b.png", "/data/images/c.png"] and [r.line_no for r in got] == [0, 2, 3, 0]
+
+
+def test_reports_of_queries_and_pictures(spark, root):  # noqa: F811
+    """Attributes by name, boxes of polygons, pictures of equal content and damaged ones."""
+    (root / "attr.yaml").write_text("attributes: {defect: [no, yes], age: null}\n")
+    (root / "labels/a.txt").write_text("1 2 1 7.5 .5 .5 .2 .3\n1 .1 .1 .5 .1 .3 .5\n0 1 0 .4 .4 .2 .2\n")
+    (root / "images/b.png").write_bytes((root / "images/a.png").read_bytes()[:-4])
+    (root / "images/c.png").write_bytes((root / "images/a.png").read_bytes())
+    m = Manager(spark, str(root), attribute_file=str(root / "attr.yaml"))
+    m.query_class(["car"], out=str(root / "q/query.csv"))
+    m.duplicates(out=str(root / "q/same.csv"))
+    m.bad_images(out=str(root / "q/bad.csv"))
+    read = lambda name: list(csv.DictReader(open(root / "q" / name, newline="")))  # noqa: E731, SIM115
+    rows = [r for r in read("query.csv") if r["image"] == "a"]
+    assert [(r["line_no"], r["task"], r["points"], r["attributes"]) for r in rows] == [("1", "detect", "", '{"defect":"yes","age":"7.5"}'), ("2", "segment", "3", "{}")]
+    assert (float(rows[1]["cx"]), float(rows[1]["height"])) == pytest.approx((0.3, 0.4)) and rows[0]["label_path"].endswith("labels/a.txt")
+    assert [r["image"].rsplit("/", 1)[1] for r in read("same.csv")] == ["a.png", "c.png"]
+    assert [(r["image"], r["code"]) for r in read("bad.csv")] == [("b.png", "bad_image")]
+
+
+def test_a_yaml_file_stands_for_a_dataset(spark, root, monkeypatch):  # noqa: F811
+    """Its root with variables in it, its names, and its validation part as a list or a folder."""
+    monkeypatch.setenv("WHERE", str(root))
+    (root / "class.txt").unlink()
+    (root / "sets").mkdir()
+    (root / "held.txt").write_text("images/b.png\n")
+    file = root / "sets/own.yaml"
+    for val, want in (("held.txt", ["b"]), (["images", "other"], ["a", "b"]), (None, None)):
+        file.write_text(f"path: $WHERE\nval: {val if val is not None else 'null'}\nnames: {{0: p, 1: q}}\n")
+        if want is None:
+            with pytest.raises(FileNotFoundError):
+                layout.load(spark, str(file), only_val=True)
+            continue
+        data = layout.load(spark, str(file), only_val=True)
+        assert sorted(r.image for r in data.images.collect()) == want and data.classes == ["p", "q"] and data.root == str(root)
+    assert layout.read_dataset_yaml(str(file))["names"] == {0: "p", 1: "q"} and layout.dataset_part(str(file), "test") is None
+
+
+def test_outcomes_of_crop_corrections(spark):
+    ann = boxed(spark, [("a", 1, 0.3, 0.5, 0.4, 0.5, []), ("a", 2, 0.3, 0.5, 0.1, 0.1, []), ("two", 1, 0.3, 0.5, 0.4, 0.5, [])])
+    crops = spark.createDataFrame([(c,) for c in ("a_1", "a_2", "a_3", "two_1", "bare_1", "none_1", "odd", "a_1")], "crop string")
+    pics = spark.createDataFrame([("a",), ("two",), ("two",), ("bare",)], "image string")
+    out, found = corrections.correct_from_crops(ann, crops, 2, pics, pics.where("image <> 'bare'"))
+    got = {r.crop: r.outcome for r in found.collect()}
+    assert got == {"a_1": "updated", "a_2": "unchanged", "a_3": "invalid_index", "two_1": "ambiguous_image", "bare_1": "missing_label", "none_1": "missing_image", "odd": "invalid_name"}
+    assert sorted((r.image, r.class_id) for r in out.collect()) == [("a", 2), ("a", 2), ("two", 1)]
+    assert {r.outcome: r.targets for r in corrections.correction_summary(found).collect()}["updated"] == 1
