@@ -14,6 +14,7 @@ from .operators import corrections, tables
 from .operators import evaluation as ev
 from .sinks import files, reports, rewrite
 from .sources import formats, images, labels, layout, places
+from . import statistics
 from .store import stored
 
 
@@ -52,47 +53,18 @@ class Manager:
     def stats(self) -> dict[str, DataFrame]:
         """Counts, descriptions of all series, shape bins and attributes; polygons count by the
         boxes around them, sizes in pixels where an image's size is known."""
-        sizes = self._sizes()
-        ann = ds.seg_to_det(self.data.annotations.withColumn("points", F.size("polygon"))).join(sizes, "image", "left")
-        ann = stored(ann, "boxes")  # read for each table
-        schema = self._schema()
-        out = {
-            "totals": ds.totals(ann, self.data.images, self.data.orphans, self._labelled(), schema), "classes": ds.class_counts(ann, self.classes), "boxes": ds.describe(ann, ds.box_series()),
-            "images": ds.describe(sizes, {"image_width": F.col("width"), "image_height": F.col("height")}), "aspect": ds.histogram(ann, F.col("w") / F.col("h"), ds.SHAPE_EDGES),
-            "per_image": ds.objects_per_image(ann, self.data.images),
-        }
-        if schema:
-            out |= {"attributes": ds.attribute_counts(ann, schema), "class_attributes": ds.attribute_counts(ann, schema, by_class=True)}
-        return out
+        return statistics.stats(self.data, self._sizes(), self._labelled(), self._schema())
 
     def _schema(self) -> dict:
-        """Attributes that all classes share, with their options if they are a list."""
-        return {n: o if isinstance(o, list) else None for n, o in self.data.attributes.items() if not isinstance(o, dict)}
+        return statistics.shared_schema(self.data.attributes)
 
     def stat_tables(self, selected=None) -> dict[str, DataFrame]:
         """The table behind each selected statistic (a list of names or such a text; all: every one)."""
-        ann, names, schema = stored(ds.seg_to_det(self.data.annotations), "boxes"), self.data.classes, self._schema()
-        sized = ann.join(self._sizes(), "image", "left").withColumns(corners())
-        chosen = tables.selected_statistics(selected)
-        row = lambda *c: sized.select(ds.class_name(names).alias("category"), *c)
-        known = {
-            "class_counts": lambda: ds.class_counts(ann, self.classes), "box_number": lambda: ds.objects_per_image(ann, self.data.images), "box_width": lambda: row("w"), "box_height": lambda: row("h"),
-            "box_area": lambda: row((F.col("w") * F.col("h")).alias("area")), "attribute": lambda: ds.attribute_counts(ann, schema) if schema else None,
-            "image_shape": lambda: tables.image_shapes(self._sizes()), "box_shape": lambda: row("w", "h"), "box_shape_pix": lambda: row((F.col("w") * F.col("width")).alias("width"), (F.col("h") * F.col("height")).alias("height")),
-            "box_shape_rate": lambda: ds.histogram(ann, F.col("w") / F.col("h"), ds.SHAPE_EDGES), "box_pos_start": lambda: row("x1", "y1"), "box_pos_center": lambda: row("cx", "cy"), "box_pos_end": lambda: row("x2", "y2"),
-            "legacy_csv": lambda: reports.box_rows(ann, names),
-        }
-        found = {n: make() for n, make in known.items() if n in chosen}
-        if schema and {"legacy_csv", "attribute"} & chosen:
-            found["legacy_attribute_csv"] = reports.attribute_rows(ann, names, schema)
-        return {n: t for n, t in found.items() if t is not None}
+        return statistics.stat_tables(self.data, self._sizes(), self._schema(), selected)
 
     def write_stats(self, out: str | None = None, selected=None) -> list[str]:
         """A CSV file for each selected statistic."""
-        folder = out or files.operation_dir(self.root, "stats", "tables")
-        for name, rows in self.stat_tables(selected).items():
-            reports.write_csv(rows, os.path.join(folder, f"{name}.csv"))
-        return sorted(os.listdir(folder))
+        return statistics.write(self.stat_tables(selected), out or files.operation_dir(self.root, "stats", "tables"))
 
     def _sizes(self) -> DataFrame:
         """image, width, height; images without a file have none."""

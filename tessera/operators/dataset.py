@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import polygon_box, polygon_crosses_itself
 from ..store import stored
 from ..sources.labels import POINT, to_line
-from .ranking import numbered
+from .ranking import numbered, numbered_within
 
 
 class UnknownClass(KeyError):
@@ -262,10 +262,13 @@ def delete_by_attribute(ann: DataFrame, position: int, values: Sequence[float] |
 # --- unions and splits ------------------------------------------------------------------------
 
 
-def merge_datasets(parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source_prefix: bool = True, schemas: Sequence[Mapping | None] = ()) -> tuple[DataFrame, DataFrame, Classes]:
+def merge_datasets(
+    parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source_prefix: bool = True, schemas: Sequence[Mapping | None] = (), rename_duplicates: bool = True
+) -> tuple[DataFrame, DataFrame, Classes]:
     """Union of (images, annotations, classes): classes are aligned by name in the order they are
     first seen, names get the part's prefix, and names that still collide a number of their own.
-    With ``schemas``, one for each part, attributes are aligned to ``merge_attributes`` of them."""
+    With ``schemas``, one for each part, attributes are aligned to ``merge_attributes`` of them.
+    Without ``rename_duplicates`` a file name of several images is an error."""
     merged = merge_attributes(schemas, extend=True)
     parts = [(i, align_attributes(a, schema or {}, merged, own), own) for (i, a, own), schema in zip(parts, [*schemas, *[None] * len(parts)], strict=False)]
     names = Classes()
@@ -277,27 +280,38 @@ def merge_datasets(parts: Sequence[tuple[DataFrame, DataFrame, Classes]], source
         file = F.concat(F.lit(f"d{n}_"), "file_name") if source_prefix else F.col("file_name")
         all_images.append(images.withColumn("part", F.lit(n)).withColumn("file_name", file).withColumn("image", key))
         all_ann.append(ann.withColumn("image", key).withColumn("class_id", _mapped("class_id", {k: names.index(c) for k, c in enumerate(own)})))
-    images = unique_names(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_images), "part", "image")
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_images)
+    if not rename_duplicates:
+        twice = together.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+        if twice:
+            raise ValueError("several images are named " + ", ".join(sorted(str(r.file_name) for r in twice)))
+    images = unique_names(together, "part", "image")
     return images, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), all_ann), names
 
 
 def unique_names(images: DataFrame, *order: str) -> DataFrame:
     """The first image (by ``order``) of a file name keeps it; the others get ``_1``, ``_2`` ...
-    before the suffix, in turn, without the numbers that file names have already."""
+    before the suffix, in turn, without the numbers that file names have already.
+
+    Only repeated names are numbered, by ranges of name and order, so that a name of very many
+    images is neither one task nor one array."""
+    often = stored(images.where("file_name IS NOT NULL").groupBy("file_name").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("file_name"), "names")
+    if often.isEmpty():
+        return images
     stem, suffix = F.regexp_replace("file_name", r"\.[^.]+$", ""), F.regexp_extract("file_name", r"(\.[^.]+)$", 1)
-    rows = images.withColumn("__n", F.row_number().over(Window.partitionBy("file_name").orderBy(*order)) - 1)
-    often = rows.where("__n > 0").groupBy(F.col("file_name").alias("__name"), stem.alias("__stem"), suffix.alias("__suffix")).agg(F.max("__n").alias("__most"))
+    rows = numbered_within(images.join(often, "file_name", "left_semi"), "file_name", *order, name="__place")
+    rows = rows.withColumns({"__rank": F.col("__place") - 1, "__taken": F.lit(0)})
     # Names in use that a number could make.
     part = lambda k: F.regexp_extract("file_name", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]+)?$", k)
-    used = images.select(part(1).alias("__stem"), part(3).alias("__suffix"), part(2).try_cast("int").alias("__k")).where("__k IS NOT NULL").distinct()
-    taken = used.join(often, ["__stem", "__suffix"]).groupBy("__name").agg(F.collect_set("__k").alias("__taken"))
-    free = often.join(taken, "__name", "left").withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
-    numbers = F.sequence(F.lit(1), (F.col("__most") + F.size("__taken")).cast("int"))
-    # The free numbers are rows: each image meets its own alone.
-    free = free.select("__name", F.posexplode(F.array_except(numbers, "__taken")).alias("__place", "__number"))
-    rows = rows.join(free, (rows["file_name"] == free["__name"]) & (rows["__n"] == free["__place"] + 1), "left")
-    name = F.concat(stem, F.lit("_"), F.col("__number").cast("string"), suffix)
-    return rows.withColumn("file_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(name)).select(*images.columns)
+    used = images.select(part(1).alias("__stem"), part(3).alias("__suffix"), part(2).try_cast("long").alias("__k")).where("__k IS NOT NULL").distinct()
+    taken = used.join(often.withColumns({"__stem": stem, "__suffix": suffix}), ["__stem", "__suffix"]).select("file_name", "__k")
+    # The i-th number taken, k, stands behind k - i images; images and taken numbers in that order are 1, 2, ...
+    taken = numbered_within(taken, "file_name", "__k", name="__i").select("file_name", (F.col("__k") - F.col("__i")).alias("__rank"), F.lit(1).alias("__taken"))
+    both = rows.where("__rank > 0").unionByName(taken, allowMissingColumns=True)
+    others = numbered_within(both, "file_name", "__rank", "__taken", name="__number").where("__taken = 0")
+    named = others.withColumn("file_name", F.concat(stem, F.lit("_"), F.col("__number").cast("string"), suffix)).select(*images.columns)
+    once = images.join(often, "file_name", "left_anti").select(*images.columns)
+    return once.unionByName(rows.where("__rank = 0").select(*images.columns)).unionByName(named)
 
 
 def merge_attributes(schemas: Sequence[Mapping | None], extend: bool = False) -> dict:

@@ -25,3 +25,11 @@ def numbered(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
     starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     out = placed.join(F.broadcast(starts), "__part")
     return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << bits) - 1) + 1).drop("__at", "__part", "__before")
+
+
+def numbered_within(rows: DataFrame, key: str, *order: str, name: str = "place") -> DataFrame:
+    """Adds 1, 2, ... within each key (not null) in an order without ties.  A key of very many rows
+    is spread over ranges like all others."""
+    ids = numbered(rows, key, *order, name="__id")
+    firsts = ids.groupBy(key).agg(F.min("__id").alias("__first"))
+    return ids.join(firsts, key).withColumn(name, F.col("__id") - F.col("__first") + 1).drop("__id", "__first")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corrections, tables
+from ..operators import dataset as ds
 from ..operators import evaluation as ev
 from ..sources import formats, images, labels, multimodal
 from . import corpus
@@ -108,7 +109,22 @@ def stretched_pixels(spark, sf_dir):
     return out.select("image", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("values").alias("most"))
 
 
-QUERIES = (label_lines, label_round_trip, attribute_matrix, repeated_names, listed_images, merged_counts, coco_images, coco_annotations, crop_corrections, corrected_counts, resize_targets, scenes_complete, scene_issues, stretched_pixels)
+def stretched_depth(spark, sf_dir):
+    """Every vector of ``embeddings`` as a row of depths in eighths, of which zeros are no depth."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda v: F.rint(v.cast("double") * 8)).alias("values"))
+    zeros = F.size(F.filter("values", lambda v: v == 0)).alias("zeros")
+    total = lambda c, alias: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v).alias(alias)
+    plain = images.to_uint8(rows, stretch=False).select("image", total("values", "clipped"))
+    return images.to_uint8(rows).select("image", zeros, total("values", "total")).join(plain, "image")
+
+
+def unique_file_names(spark, sf_dir):
+    """File names of images that share few names, some with a number that another would get."""
+    name = F.concat(F.lit("p"), (F.col("image") % 50).cast("string"), F.when(F.col("image") % 11 == 0, F.concat(F.lit("_"), (F.col("image") % 97).cast("string"))).otherwise(""), F.lit(".png"))
+    return ds.unique_names(corpus.images(spark, sf_dir).select("image", name.alias("file_name")), "image")
+
+
+QUERIES = (label_lines, label_round_trip, attribute_matrix, repeated_names, listed_images, merged_counts, coco_images, coco_annotations, crop_corrections, corrected_counts, resize_targets, scenes_complete, scene_issues, stretched_pixels, stretched_depth, unique_file_names)
 
 _PICS = "pics AS (SELECT DISTINCT o_orderkey AS image, 320 + 64 * (o_orderkey % 10) AS width, 240 + 48 * (o_orderkey % 10) AS height FROM orders)"
 _SCENES = """sc AS (SELECT DISTINCT o_orderkey::VARCHAR AS scene, o_orderkey % 3 <> 0 AS v, o_orderkey % 4 <> 0 AS t, o_orderkey % 5 <> 0 AS g FROM orders)"""
@@ -143,4 +159,14 @@ UNION ALL SELECT scene, 'orphan_image', 'warning', NULL FROM sc WHERE NOT g AND
 UNION ALL SELECT scene, 'missing_modality', 'warning', CASE WHEN v THEN 'infrared' ELSE 'rgb' END FROM sc WHERE v <> t""",
     "stretched_pixels": """SELECT image, list_sum(p)::BIGINT AS total, list_max(p)::INT AS most FROM (SELECT vec_id AS image, CASE WHEN list_max(v) = list_min(v) THEN list_transform(v, lambda x: 255::DOUBLE) ELSE list_transform(v, lambda x: round_even((x - list_min(v)) / (list_max(v) - list_min(v)) * 255, 0)) END AS p
 FROM (SELECT *, embedding::DOUBLE[] AS v FROM embeddings))""",
+    "stretched_depth": """WITH e AS (SELECT vec_id AS image, list_transform(embedding::DOUBLE[], lambda x: round_even(x * 8, 0)) AS v FROM embeddings),
+r AS (SELECT image, v, list_filter(v, lambda x: x <> 0) AS z FROM e)
+SELECT image, (len(v) - len(z))::INT AS zeros,
+coalesce(list_sum(list_transform(z, lambda x: CASE WHEN list_max(z) = list_min(z) THEN 255 ELSE round_even(1 + (x - list_min(z)) / (list_max(z) - list_min(z)) * 254, 0) END)), 0)::BIGINT AS total,
+coalesce(list_sum(list_transform(v, lambda x: round_even(least(greatest(x, 0), 255), 0))), 0)::BIGINT AS clipped FROM r""",
+    "unique_file_names": """WITH i AS (SELECT DISTINCT o_orderkey AS image, 'p' || o_orderkey % 50 AS short, CASE WHEN o_orderkey % 11 = 0 THEN '_' || o_orderkey % 97 ELSE '' END AS tail FROM orders),
+n AS (SELECT image, short || tail AS stem, row_number() OVER (PARTITION BY short || tail ORDER BY image) - 1 AS r FROM i),
+t AS (SELECT short AS stem, list_distinct(list(substr(tail, 2)::BIGINT)) AS used FROM i WHERE tail <> '' GROUP BY 1),
+f AS (SELECT n.stem, list_filter(range(1, max(r)::BIGINT + 100), lambda x: NOT list_contains(coalesce(any_value(used), []), x)) AS free FROM n LEFT JOIN t USING (stem) GROUP BY 1)
+SELECT image, CASE WHEN r = 0 THEN stem ELSE stem || '_' || free[r] END || '.png' AS file_name FROM n JOIN f USING (stem)""",
 }

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .functions.geometry import corners
 from .operators import dataset as ds
 from .operators import tables
+from .sinks import files, pictures
+from . import statistics
 from .sources import images, labels, layout, multimodal
 from .store import release, stored
 
@@ -73,9 +75,75 @@ class Scenes:
         return all_heads.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
 
     def stats(self) -> dict[str, DataFrame]:
-        """Counts of the shared annotations, once, and the picture types by modality."""
+        """Counts of the shared annotations, once, the picture types and the counts by modality."""
         names = self.spark.createDataFrame(list(enumerate(self.classes)), "class_id int, class_name string")
-        return {"classes": ds.class_counts(self.annotations, names), "aspect": ds.histogram(self.annotations, F.col("w") / F.col("h")), "types": self.types()}
+        return {
+            "classes": ds.class_counts(self.annotations, names),
+            "aspect": ds.histogram(self.annotations, F.col("w") / F.col("h")),
+            "types": self.types(),
+            "modalities": self.modality_counts(),
+        }
+
+    def modality_counts(self) -> DataFrame:
+        """modality, image_count, missing_scene_count over the complete scenes, in which a modality that is
+        not required may be missing."""
+        whole = self.scenes.where("complete")
+        has = [F.count(F.when(F.array_contains(F.map_keys("paths"), m), 1)).alias(f"n{k}") for k, m in enumerate(self.dirs)]
+        counts = whole.agg(F.count(F.lit(1)).alias("n"), *has)
+        cells = F.array(*[F.struct(F.lit(m).alias("modality"), F.col(f"n{k}").alias("image_count"), (F.col("n") - F.col(f"n{k}")).alias("missing_scene_count")) for k, m in enumerate(self.dirs)])
+        return counts.select(F.explode(cells).alias("c")).select("c.*")
+
+    def modality_stats(self, modality: str) -> dict[str, DataFrame]:
+        """The tables of one modality of the complete scenes, as of a dataset of its own."""
+        view = self.view(modality)
+        sizes = stored(self.headers(modality).select("image", "width", "height"), "sizes")
+        return statistics.stats(view, sizes, view.images.select("image"), statistics.shared_schema(self.attributes))
+
+    def stat_tables(self, modality: str, selected=None) -> dict[str, DataFrame]:
+        """The table behind each selected statistic of one modality of the complete scenes."""
+        return statistics.stat_tables(self.view(modality), self.headers(modality), statistics.shared_schema(self.attributes), selected)
+
+    def write_stats(self, out: str | None = None, selected=None) -> dict[str, str]:
+        """A folder for each modality, in it a CSV file for each selected statistic."""
+        base = out or files.operation_dir(self.root, "stats", "tables")
+        folders = {m: os.path.join(base, m) for m in self.dirs}
+        for modality, folder in folders.items():
+            statistics.write(self.stat_tables(modality, selected), folder)
+        return folders
+
+    def convert_to_uint8(
+        self,
+        out: str | None = None,
+        modalities: Sequence[str] | None = None,
+        stretch: bool = True,
+        value_range: tuple[float, float] | None = None,
+        preserve_zero: bool = True,
+        overwrite: bool = False,
+    ) -> DataFrame:
+        """Writes all pictures of the modalities with values of 8 bits to a folder for each: those that have
+        them are copied, others (PNG and TIFF) become PNG; see ``images.to_uint8`` for the values.
+        Returns modality, image_count, converted_count, copied_uint8_count, out_dir."""
+        chosen = [*self.dirs] if modalities is None else [*modalities]
+        if unknown := [m for m in chosen if m not in self.dirs]:
+            raise ValueError(f"unknown modalities: {', '.join(unknown)}")
+        if value_range is not None and not -float("inf") < value_range[0] < value_range[1] < float("inf"):
+            raise ValueError("a range has two finite ends, the second above the first")
+        base, plans = os.path.abspath(out or files.operation_dir(self.root, "conversion", "uint8")), []
+        for m in chosen:
+            folder = os.path.abspath(os.path.join(self.root, self.dirs[m]))
+            place = F.substring(files.local_path(F.col("path")), F.lit(len(folder) + 1), F.lit(1 << 30))
+            place = F.when(F.col("dtype") != "uint8", F.regexp_replace(place, r"\.[^./]+$", ".png")).otherwise(place)
+            heads = images.read_headers(self.spark, folder)
+            plans.append(heads.select(F.lit(m).alias("modality"), "path", "dtype", F.concat(F.lit(f"{base}/{m}"), place).alias("target")))
+        plan = plans[0]
+        for more in plans[1:]:
+            plan = plan.unionByName(more)
+        plan = stored(plan, "uint8-plan")
+        pictures.write_uint8(plan, overwrite, stretch=stretch, value_range=value_range, preserve_zero=preserve_zero)
+        counts = plan.groupBy("modality").agg(F.count(F.lit(1)).alias("image_count"), F.count(F.when(F.col("dtype") != "uint8", 1)).alias("converted_count"))
+        every = self.spark.createDataFrame([(m, f"{base}/{m}") for m in dict.fromkeys(chosen)], "modality string, out_dir string")
+        rows = every.join(counts, "modality", "left").fillna(0)
+        return rows.select("modality", "image_count", "converted_count", (F.col("image_count") - F.col("converted_count")).alias("copied_uint8_count"), "out_dir")
 
     def _sized(self, modality: str, complete_only: bool) -> DataFrame:
         sizes = self.headers(modality, complete_only).select("image", "width", "height")

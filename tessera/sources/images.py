@@ -289,12 +289,23 @@ def bad_images(headers: DataFrame, expected: DataFrame) -> DataFrame:
     return missing.union(found.where("width IS NULL OR width <= 0 OR NOT intact").select("image", F.lit("bad_image").alias("issue")))
 
 
-def to_uint8(pixels: DataFrame, low: float | None = None, high: float | None = None, preserve_zero: bool = True) -> DataFrame:
-    """Stretches ``values`` (array of doubles) of each image to 0..255, over a fixed range or
-    over the image's own; zeros may stay zeros; a flat image becomes 255."""
-    real = F.filter("values", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    real = F.filter(real, lambda v: v != 0) if preserve_zero else real
+def to_uint8(pixels: DataFrame, low: float | None = None, high: float | None = None, preserve_zero: bool = True, stretch: bool = True) -> DataFrame:
+    """Turns ``values`` (array of doubles) of each image into numbers of 8 bits.
+
+    They are stretched to 0..255 over a fixed range (both ends) or over the image's own;  with
+    ``preserve_zero`` zeros stay zeros and all others go to 1..255, so that the two stay apart.
+    A flat image becomes 255; without ``stretch`` values are clipped and rounded.  Nulls and
+    values that are not finite become 0."""
+    if (low is None) != (high is None) or (low is not None and not -float("inf") < low < high < float("inf")):
+        raise ValueError("a range has two finite ends, the second above the first")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    counts = lambda v: finite(v) & (v != 0) if preserve_zero else finite(v)
+    if not stretch:
+        clipped = lambda v: F.rint(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))
+        return pixels.withColumn("values", F.transform("values", lambda v: F.when(finite(v), clipped(v)).otherwise(0.0).cast("int")))
+    real = F.filter("values", counts)
     rows = pixels.withColumn("lo", F.lit(low) if low is not None else F.array_min(real)).withColumn("hi", F.lit(high) if high is not None else F.array_max(real))
-    scaled = lambda v: F.when(F.col("hi") == F.col("lo"), F.lit(255.0)).otherwise(F.rint((F.least(F.greatest(v, F.col("lo")), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255))
-    keep = (lambda v: F.when((v == 0) | v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(scaled(v))) if preserve_zero else (lambda v: F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(scaled(v)))
-    return rows.withColumn("values", F.transform("values", lambda v: keep(v).cast("int"))).drop("lo", "hi")
+    least, steps = (1.0, 254.0) if preserve_zero else (0.0, 255.0)
+    inside = lambda v: (F.least(F.greatest(v, F.col("lo")), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    scaled = lambda v: F.when(F.col("hi") == F.col("lo"), F.lit(255.0)).otherwise(F.rint(least + inside(v) * steps))
+    return rows.withColumn("values", F.transform("values", lambda v: F.when(counts(v), scaled(v)).otherwise(0.0).cast("int"))).drop("lo", "hi")

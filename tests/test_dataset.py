@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as geo
 from tessera.manager import Manager
 from tessera.operators import dataset as ds
+from tessera.sinks import pictures
 from tessera.sources import formats, images, labels, masks, multimodal, places
 
 NAMES = ds.Classes(["person", "car"])
@@ -117,6 +118,31 @@ def test_names_stay_unique(spark):
     names = {r.image: r.file_name for r in got.collect()}
     assert names == {"d0_a": "a.jpg", "d0_b": "b", "d1_a": "a_2.jpg", "d1_a_1": "a_1.jpg", "d1_a_03": "a_03.jpg", "d1_b": "b_1", "d2_a": "a_4.jpg", "d2_a_3": "a_3.jpg"}
     assert ds.merge_attributes([{"x": [1]}, None, {"x": [2], "y": [3]}]) == {"x": [1], "y": [3]}
+    same = [(pics("a.jpg"), ann, NAMES), (pics("a.jpg"), ann, NAMES)]
+    with pytest.raises(ValueError, match="several images are named a.jpg"):
+        ds.merge_datasets(same, source_prefix=False, rename_duplicates=False)
+    assert ds.merge_datasets(same, rename_duplicates=False)[0].count() == 2
+
+
+def test_numbers_of_a_common_name(spark):
+    """One name has nearly all images; numbers are those of a plain loop."""
+    taken = ["x_2.png", "x_3.png", "x_7.png", "x_999.png", "x_03.png", "x_0.png", "x_5", "y.png"]
+    rows = [(k, n) for k, n in enumerate(["x.png"] * 40 + taken + ["x.png"] * 960 + ["y.png", "y.png", None, None])]
+    got = dict(ds.unique_names(spark.createDataFrame(rows, "image long, file_name string").repartition(5), "image").collect())
+    used, want = {n for _, n in rows}, {}
+    seen, numbers = set(), {}
+    for k, n in rows:
+        if n is None or n not in seen:
+            seen.add(n)
+            want[k] = n
+            continue
+        number = numbers.get(n, 0) + 1
+        while (name := n.replace(".", f"_{number}.")) in used:
+            number += 1
+        numbers[n], want[k] = number, name
+    assert got == want and len({*got.values()}) == len(rows) - 1
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "image long, file_name string")
+    assert sorted(ds.unique_names(few, "image").collect()) == [(1, "a"), (2, "b")] and ds.unique_names(few.limit(0), "image").count() == 0
 
 
 def test_splits_with_forced_names(spark):
@@ -355,6 +381,59 @@ def test_uint8(spark):
     values = images.to_uint8(pixels, 0, 20000).first()["values"]
     assert values[0] == 0 and values[3] == 255
     assert images.to_uint8(spark.createDataFrame([("a", [7.0, 7.0])], "image string, values array<double>")).first()["values"] == [255, 255]
+    # The least value stays apart from zero, and what is not finite is nothing.
+    odd = spark.createDataFrame([("a", [0.0, 10.0, 20.0, 30.0, float("inf"), float("nan"), None]), ("b", [0.0, -0.0]), ("c", []), ("d", None)], "image string, values array<double>")
+    got = lambda **options: {r.image: r["values"] for r in images.to_uint8(odd, **options).collect()}
+    assert got() == {"a": [0, 1, 128, 255, 0, 0, 0], "b": [0, 0], "c": [], "d": None}
+    assert got(preserve_zero=False)["a"] == [0, 85, 170, 255, 0, 0, 0]
+    assert got(low=10.0, high=20.0)["a"] == [0, 1, 255, 255, 0, 0, 0]
+    assert got(stretch=False)["a"] == [0, 10, 20, 30, 0, 0, 0]
+    for low, high in ((1.0, None), (2.0, 2.0), (0.0, float("inf"))):
+        with pytest.raises(ValueError, match="range"):
+            images.to_uint8(odd, low, high)
+
+
+@pytest.mark.parametrize("options", [{}, {"preserve_zero": False}, {"value_range": (3.0, 900.0)}, {"stretch": False}])
+def test_pixels_of_a_task_are_those_of_the_table(spark, options):
+    values = np.random.default_rng(7).integers(0, 1000, 400).astype(np.uint16) * (np.arange(400) % 5 > 0)
+    named = {k: v for k, v in options.items() if k != "value_range"} | dict(zip(("low", "high"), options.get("value_range", ()), strict=False))
+    table = spark.createDataFrame([("a", values.astype(float).tolist())], "image string, values array<double>")
+    assert pictures.stretched(values.reshape(20, 20), **options).ravel().tolist() == images.to_uint8(table, **named).first()["values"]
+
+
+def small_tiff(grid, big=False, packing=1, rows=2):
+    """A grey TIFF in strips of ``rows`` lines."""
+    order, grid = ">" if big else "<", np.array(grid)
+    kind = {"u": 1, "i": 2, "f": 3}[grid.dtype.kind]
+    strips = [grid[y : y + rows].astype(grid.dtype.newbyteorder(order)).tobytes() for y in range(0, len(grid), rows)]
+    strips = [zlib.compress(x) for x in strips] if packing != 1 else strips
+    places = np.cumsum([8] + [len(x) for x in strips])
+    lists, after = int(places[-1]), int(places[-1]) + 8 * len(strips)
+    numbers = lambda tag, values, at: (tag, 4, len(values), at if len(values) > 1 else values[0])
+    tags = [(256, 4, 1, grid.shape[1]), (257, 4, 1, grid.shape[0]), (258, 4, 1, grid.dtype.itemsize * 8), (259, 4, 1, packing), (262, 4, 1, 1)]
+    tags += [numbers(273, [int(p) for p in places[:-1]], lists), (277, 4, 1, 1), (278, 4, 1, rows), numbers(279, [len(x) for x in strips], lists + 4 * len(strips)), (339, 4, 1, kind)]
+    body = b"".join(strips) + struct.pack(f"{order}{2 * len(strips)}I", *(int(p) for p in places[:-1]), *(len(x) for x in strips))
+    head = (b"MM\0*" if big else b"II*\0") + struct.pack(order + "I", after)
+    return head + body + struct.pack(order + "H", len(tags)) + b"".join(struct.pack(order + "HHII", *t) for t in tags) + bytes(4)
+
+
+@pytest.mark.parametrize("kind", ["u2", "i2", "u4", "i4", "f4"])
+def test_tiff_pixels(kind):
+    grid = (np.arange(35).reshape(5, 7) * 1.5).astype(kind)
+    for big in (False, True):
+        for packing in (1, 8, 32946):
+            data = small_tiff(grid, big, packing)
+            assert (pictures.pixels(places.Source("x", lambda _, d=data: io.BytesIO(d)))[:, :, 0] == grid).all()
+    lzw = small_tiff(grid, packing=5)
+    with pytest.raises(ValueError, match="not read"):
+        pictures.pixels(places.Source("x", lambda _: io.BytesIO(lzw)))
+
+
+@pytest.mark.parametrize("samples", [1, 2, 3, 4])
+def test_png_round_trip(samples):
+    grid = np.random.default_rng(samples).integers(0, 256, (5, 9, samples)).astype(np.uint8)
+    data = pictures.png(grid)
+    assert (masks.png_pixels(data) == grid).all() and images.whole_png(places.Source("x", lambda _: io.BytesIO(data)))
 
 
 def test_multimodal(spark):
