@@ -105,14 +105,15 @@ def curves(tp: DataFrame, labels: DataFrame, by: Sequence[str] = ("class_id",),
     before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("b_n", *(f"b_{i}" for i in index))])
     inside = Window.partitionBy(*by, "slice").orderBy(F.desc("confidence"), "image", "p").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, [*by, "slice"]).withColumn("n", F.col("b_n") + F.count(F.lit(1)).over(inside))
+    # A row for each range and group: no more than there are of both together.
+    rows = rows.join(F.broadcast(sums), [*by, "slice"]).withColumn("n", F.col("b_n") + F.count(F.lit(1)).over(inside))
     rows = rows.withColumns({f"t_{i}": F.col(f"b_{i}") + F.sum(bit(i)).over(inside) for i in index}).withColumns({f"p_{i}": F.col(f"t_{i}") / F.col("n") for i in index}).drop("b_n", *[f"b_{i}" for i in index])
     rows = stored(rows, "curve-counts")
     tops = rows.groupBy(*by, "slice").agg(*[F.max(f"p_{i}").alias(f"l_{i}") for i in index])
     after = Window.partitionBy(*by).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
     tops = tops.select(*by, "slice", *[F.coalesce(F.max(f"l_{i}").over(after), F.lit(0.0)).alias(f"l_{i}") for i in index])
     rest = Window.partitionBy(*by, "slice").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(tops, [*by, "slice"]).withColumns({f"e_{i}": F.greatest(F.max(f"p_{i}").over(rest), F.col(f"l_{i}")) for i in index})
+    rows = rows.join(F.broadcast(tops), [*by, "slice"]).withColumns({f"e_{i}": F.greatest(F.max(f"p_{i}").over(rest), F.col(f"l_{i}")) for i in index})
     point = lambda i, t: F.struct(F.lit(t).alias("thr"), bit(i).cast("int").alias("tp"), F.col(f"t_{i}").alias("tp_c"), F.col(f"p_{i}").alias("precision"), F.col(f"e_{i}").alias("envelope"))
     out = rows.select(*by, "image", "p", "confidence", "n", "n_labels", F.explode(F.array(*[point(i, t) for i, t in enumerate(thresholds)])).alias("q")).select(*by, "image", "p", "confidence", "n", "n_labels", "q.*")
     return out.withColumn("fp_c", F.col("n") - F.col("tp_c")).withColumn("recall", F.col("tp_c") / (F.col("n_labels") + EPS))
