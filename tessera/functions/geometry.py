@@ -30,6 +30,11 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
+def may_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """False only where ``iou`` is 0: a short test before it, inside lambdas, which are interpreted."""
+    return (b["x2"] - a["x1"] > 0) & (a["x2"] - b["x1"] > 0) & (b["y2"] - a["y1"] > 0) & (a["y2"] - b["y1"] > 0)
+
+
 def box_of(prefix_or_struct) -> dict[str, Column]:
     """Corners named ``<prefix>x1`` and so on, or fields of a struct column."""
     if isinstance(prefix_or_struct, Column):

@@ -31,20 +31,20 @@ def match_at_thresholds(spark, sf_dir):
     return ev.match(*_sides(spark, sf_dir), ev.THRESHOLDS).groupBy("class_id", "thr").agg(F.count(F.lit(1)).alias("matches"), F.round(F.avg("iou"), 6).alias("mean_iou"))
 
 
-def _curves(spark, sf_dir, thresholds=ev.THRESHOLDS):
-    gt, pred = _sides(spark, sf_dir)
-    pred = ev.reindex(ev.suppress(pred))
+def _labelled(spark, sf_dir, thresholds=ev.THRESHOLDS):
+    columns = ["image", "ord", "class_id", *ev.BOX, "confidence"]
+    gt, pred = corpus.ground_truth(spark, sf_dir).select(*columns), corpus.predictions(spark, sf_dir).select(*columns)
     labels = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    return ev.curves(ev.labelled(gt, pred, thresholds), labels, thresholds=thresholds)
+    return ev.labelled(ev.reindex(gt), ev.reindex(ev.suppress(pred)), thresholds), labels
 
 
 def pr_curve(spark, sf_dir):
-    points = _curves(spark, sf_dir, (0.5,))
+    points = ev.curves(*_labelled(spark, sf_dir, (0.5,)), thresholds=(0.5,))
     return points.select("class_id", "image", "p", "n", "tp_c", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
 
 
 def ap_per_class(spark, sf_dir):
-    return ev.average_precision(_curves(spark, sf_dir)).select("class_id", "thr", F.round("ap", 6).alias("ap"))
+    return ev.areas(*_labelled(spark, sf_dir)).select("class_id", "thr", F.round("ap", 6).alias("ap"))
 
 
 def _rounded(df, keys):
@@ -52,7 +52,7 @@ def _rounded(df, keys):
 
 
 def mean_average_precision(spark, sf_dir):
-    rows = ev.average_precision(_curves(spark, sf_dir)).groupBy("class_id").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"))
+    rows = ev.areas(*_labelled(spark, sf_dir)).groupBy("class_id").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"))
     return rows.agg(F.round(F.avg("ap50"), 6).alias("map50"), F.round(F.avg("ap"), 6).alias("map"), F.count(F.lit(1)).alias("classes"))
 
 
