@@ -376,31 +376,54 @@ def size_metrics(gt: DataFrame, pred: DataFrame, nms_iou: float | None = 0.5, th
 def errors(gt: DataFrame, pred: DataFrame, match_iou: float = 0.5, low_iou: float = 0.1, nms_iou: float | None = 0.5) -> DataFrame:
     """One row for each match, unmatched prediction and unmatched box: image, status,
     error_type, g, g_class, p, p_class, iou."""
-    # Each is read several times below.
-    gt, pred = stored(reindex(gt), "gt"), stored(reindex(suppress(pred, nms_iou)), "pred")
-    near = stored(pairs(gt, pred, same_class=False), "pairs")
-    hits = stored(match(gt, pred, (match_iou,)).select("image", "g", "p", "class_id", "iou"), "matches")
-    tp = hits.select("image", F.lit("tp").alias("status"), F.lit("tp").alias("error_type"), "g", F.col("class_id").alias("g_class"), "p", F.col("class_id").alias("p_class"), "iou")
-    used = hits.select("image", "g", F.lit(True).alias("taken"))
-
-    lost = pred.select("image", F.col("ord").alias("p"), F.col("class_id").alias("p_class")).join(hits.select("image", "p"), ["image", "p"], "left_anti")
-    # A prediction without any overlap still carries the first box of its image.
-    first = gt.groupBy("image").agg(F.min_by(F.struct(F.col("ord").alias("g"), F.col("class_id").alias("g_class")), "ord").alias("first"))
-    best = near.groupBy("image", "p").agg(F.max(F.struct("iou", (-F.col("g")).alias("order"), "g_class")).alias("b"))
-    fp = lost.join(best, ["image", "p"], "left").join(first, "image", "left")
-    fp = fp.select("image", "p", "p_class", F.coalesce(-F.col("b.order"), F.col("first.g")).alias("g"), F.coalesce("b.g_class", "first.g_class").alias("g_class"), F.coalesce("b.iou", F.lit(0.0)).alias("iou")).join(used, ["image", "g"], "left")
-    close = F.col("iou") >= match_iou
-    kind = F.when(close & (F.col("g_class") != F.col("p_class")), "class_error_pred").when(close & F.coalesce("taken", F.lit(False)), "duplicate_prediction").when(F.col("iou") < low_iou, "background_fp").otherwise("localisation_fp")
-    fp = fp.select("image", F.lit("fp").alias("status"), kind.alias("error_type"), "g", "g_class", "p", "p_class", "iou")
-
-    missed = gt.select("image", F.col("ord").alias("g"), F.col("class_id").alias("g_class")).join(hits.select("image", "g"), ["image", "g"], "left_anti")
-    best = near.groupBy("image", "g").agg(F.max(F.struct("iou", (-F.col("p")).alias("order"), "p_class")).alias("b"))
-    fn = missed.join(best, ["image", "g"], "left").select("image", "g", "g_class", (-F.col("b.order")).alias("p"), F.col("b.p_class").alias("p_class"), F.coalesce("b.iou", F.lit(0.0)).alias("iou"))
-    close = F.col("iou") >= match_iou
-    kind = F.when(close & (F.col("g_class") != F.col("p_class")), "fn_class_error").when(F.col("iou") >= low_iou, "fn_low_iou").otherwise("fn_no_pred")
-    none = kind == "fn_no_pred"
-    fn = fn.select("image", F.lit("fn").alias("status"), kind.alias("error_type"), "g", "g_class", F.when(~none, F.col("p")).alias("p"), F.when(~none, F.col("p_class")).alias("p_class"), "iou")
-    return tp.unionByName(fp).unionByName(fn)
+    check_iou(match_iou)
+    # One row for each image, whose boxes are at their places in file order: a box's number is its
+    # place.  All three kinds of rows come from one pass.
+    side = lambda df, name: df.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("ord", "class_id", *BOX))).alias(name))
+    both = side(gt, "gs").join(side(suppress(_narrow(pred, "confidence"), nms_iou), "ps"), "image", "full")
+    placed = lambda c: F.transform(c, lambda b, k: F.struct(k.alias("k"), *[b[x].alias(x) for x in ("class_id", *BOX)]))
+    both = both.select("image", *[placed(F.coalesce(c, F.array().cast(f"array<{both.schema[c].dataType.elementType.simpleString()}>"))).alias(c) for c in ("gs", "ps")])
+
+    def near(box: Column, others: Column | str) -> Column:
+        """iou, order (of equal overlaps the first is largest) and class of what overlaps a box."""
+        each = F.filter(others, lambda o: may_overlap(box_of(box), box_of(o)))
+        each = F.transform(each, lambda o: F.struct(iou(box_of(box), box_of(o)).alias("iou"), (-o["k"]).alias("order"), o["class_id"].alias("class")))
+        return F.filter(each, lambda e: e["iou"] > 0)
+
+    def own(seen: Column, kind: Column) -> Column:
+        """The box of its class that a prediction picks: of equal overlaps the last."""
+        fits = F.filter(seen, lambda e: (e["iou"] >= match_iou) & (e["class"] == kind))
+        return F.array_max(F.transform(fits, lambda e: F.struct(e["iou"].alias("iou"), (-e["order"]).alias("g"))))
+
+    seen = F.transform("ps", lambda q: F.struct(q["k"].alias("p"), q["class_id"].alias("p_class"), near(q, "gs").alias("near")))
+    both = both.withColumn("seen", seen)
+    both = both.withColumn("seen", F.transform("seen", lambda q: F.struct(q["p"].alias("p"), q["p_class"].alias("p_class"), F.array_max(q["near"]).alias("best"), own(q["near"], q["p_class"]).alias("own"))))
+    both = both.withColumn("picks", F.transform("seen", lambda q: q["own"]["g"]))
+    row = lambda status, kind, g, g_class, p, p_class, overlap: F.struct(F.lit(status).alias("status"), kind.alias("error_type"), g.alias("g"), g_class.alias("g_class"), p.alias("p"), p_class.alias("p_class"), F.coalesce(overlap, F.lit(0.0)).alias("iou"))
+    taken = lambda g: F.coalesce(F.array_contains("picks", g), F.lit(False))
+
+    def predicted(q: Column) -> Column:
+        own, best = q["own"], q["best"]
+        # A prediction without any overlap still carries the first box of its image.
+        first = F.get("gs", F.lit(0))
+        g, g_class, overlap = F.coalesce(-best["order"], F.when(first.isNotNull(), F.lit(0))), F.coalesce(best["class"], first["class_id"]), F.coalesce(best["iou"], F.lit(0.0))
+        close = overlap >= match_iou
+        kind = F.when(close & (g_class != q["p_class"]), "class_error_pred").when(close & taken(g), "duplicate_prediction").when(overlap < low_iou, "background_fp").otherwise("localisation_fp")
+        hit = own.isNotNull() & (F.array_position("picks", own["g"]) == q["p"] + 1)
+        return F.when(hit, row("tp", F.lit("tp"), own["g"], q["p_class"], q["p"], q["p_class"], own["iou"])).otherwise(row("fp", kind, g, g_class, q["p"], q["p_class"], overlap))
+
+    def missed(b: Column) -> Column:
+        best, g_class = b["best"], b["g_class"]
+        overlap = F.coalesce(best["iou"], F.lit(0.0))
+        close = overlap >= match_iou
+        kind = F.when(close & (best["class"] != g_class), "fn_class_error").when(overlap >= low_iou, "fn_low_iou").otherwise("fn_no_pred")
+        some = close & (best["class"] != g_class) | (overlap >= low_iou)
+        return row("fn", kind, b["g"], g_class, F.when(some, -best["order"]), F.when(some, best["class"]), overlap)
+
+    lost = F.filter("gs", lambda b: ~taken(b["k"]))
+    lost = F.transform(lost, lambda b: F.struct(b["k"].alias("g"), b["class_id"].alias("g_class"), F.array_max(near(b, "ps")).alias("best")))
+    rows = F.concat(F.transform("seen", predicted), F.transform(lost, missed))
+    return both.select("image", F.explode(rows).alias("r")).select("image", "r.*")
 
 
 def confusion(found: DataFrame) -> DataFrame:

@@ -213,3 +213,41 @@ def test_curves_keep_no_counts_of_all_points(spark, monkeypatch):
     gt, pred = (boxes(spark, rows) for rows in crowd(7))
     points = ev.curves(ev.labelled(gt, pred, (0.5,)), gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_labels")), thresholds=(0.5,))
     assert points.count() == pred.count() and "curve-counts" not in seen
+
+
+def plain_errors(gt, pred):
+    """status, error_type, g, p by image, from loops over suppressed predictions."""
+    corner = lambda r: (r[2] - r[4] / 2, r[3] - r[5] / 2, r[2] + r[4] / 2, r[3] + r[5] / 2)
+    out = set()
+    for image in {r[0] for r in (*gt, *pred)}:
+        g, p = ([r for r in side if r[0] == image] for side in (gt, pred))
+        near = {(i, j): plain_iou(corner(b), corner(q)) for i, b in enumerate(g) for j, q in enumerate(p)}
+        held = {}
+        for j, q in enumerate(p):
+            best = max(((near[i, j], i) for i, b in enumerate(g) if b[1] == q[1] and near[i, j] >= 0.5), default=None)
+            if best:
+                held.setdefault(best[1], j)
+        for j, q in enumerate(p):
+            if j in held.values():
+                out.add((image, "tp", "tp", next(i for i in held if held[i] == j), j))
+                continue
+            v, i = max(((near[i, j], -i) for i in range(len(g)) if near[i, j] > 0), default=(0, 0))
+            i = -i if g else None
+            kind = "class_error_pred" if v >= 0.5 and g[i][1] != q[1] else "duplicate_prediction" if v >= 0.5 and i in held else "background_fp" if v < 0.1 else "localisation_fp"
+            out.add((image, "fp", kind, i, j))
+        for i, b in enumerate(g):
+            if i not in held:
+                v, j = max(((near[i, j], -j) for j in range(len(p)) if near[i, j] > 0), default=(0, None))
+                kind = "fn_class_error" if v >= 0.5 and p[-j][1] != b[1] else "fn_low_iou" if v >= 0.1 else "fn_no_pred"
+                out.add((image, "fn", kind, i, None if kind == "fn_no_pred" else -j))
+    return out
+
+
+def test_errors_against_loops_without_tables_in_between(spark, monkeypatch):
+    seen = watch(monkeypatch)
+    gt, pred = crowd(8)
+    pred += [("only", 0, 0.5, 0.5, 0.1, 0.1, 0.5), ("i1", 0, 0.1, 0.1, 0.05, 0.05, 0.5)]
+    rows = ev.errors(boxes(spark, gt), boxes(spark, pred), nms_iou=None)
+    got = [(r.image, r.status, r.error_type, r.g, r.p) for r in rows.collect()]
+    assert {*got} == plain_errors(gt, pred) and len({*got}) == len(got) and not seen
+    assert rows.dtypes == [("image", "string"), ("status", "string"), ("error_type", "string"), ("g", "int"), ("g_class", "int"), ("p", "int"), ("p_class", "int"), ("iou", "double")]
