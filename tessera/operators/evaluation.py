@@ -430,13 +430,13 @@ def confusion(found: DataFrame) -> DataFrame:
     """p_class, g_class, n with -1 for background.  A confusion of classes that shows up as a
     false positive and as a miss counts once."""
     kind = F.col("error_type")
-    rows = found.where(kind != "duplicate_prediction")
     seen = kind.isin("class_error_pred", "fn_class_error")
-    swapped = rows.where(seen).select("image", "g", "p", "p_class", "g_class").dropDuplicates(["image", "g", "p"])
-    p = F.when(F.col("status") == "fn", F.lit(-1)).otherwise(F.col("p_class"))
-    g = F.when(F.col("status") == "fp", F.lit(-1)).otherwise(F.col("g_class"))
-    rest = rows.where(~seen).select(p.alias("p_class"), g.alias("g_class"))
-    return rest.union(swapped.select("p_class", "g_class")).groupBy("p_class", "g_class").agg(F.count(F.lit(1)).alias("n"))
+    p = F.when(~seen & (F.col("status") == "fn"), F.lit(-1)).otherwise(F.col("p_class"))
+    g = F.when(~seen & (F.col("status") == "fp"), F.lit(-1)).otherwise(F.col("g_class"))
+    # One pass: what is no confusion of classes keeps all of its rows in ``n``.
+    rows = found.where(kind != "duplicate_prediction").select("image", "g", "p", p.alias("p_class"), g.alias("g_class"), seen.alias("seen"))
+    once = rows.groupBy("image", "g", "p", "p_class", "g_class", "seen").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("p_class", "g_class").agg(F.sum(F.when(F.col("seen"), F.lit(1)).otherwise(F.col("n"))).alias("n"))
 
 
 def duplicate_labels(gt: DataFrame, least: float = 0.9) -> DataFrame:

@@ -251,3 +251,16 @@ def test_errors_against_loops_without_tables_in_between(spark, monkeypatch):
     got = [(r.image, r.status, r.error_type, r.g, r.p) for r in rows.collect()]
     assert {*got} == plain_errors(gt, pred) and len({*got}) == len(got) and not seen
     assert rows.dtypes == [("image", "string"), ("status", "string"), ("error_type", "string"), ("g", "int"), ("g_class", "int"), ("p", "int"), ("p_class", "int"), ("iou", "double")]
+
+
+def test_confusion_reads_errors_once(spark, tmp_path):
+    gt, pred = (boxes(spark, rows) for rows in crowd(9))
+    ev.errors(gt, pred).write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    table = ev.confusion(found)
+    rows = found.where("error_type <> 'duplicate_prediction'").collect()
+    twice = {(r.image, r.g, r.p): (r.p_class, r.g_class) for r in rows if r.error_type in ("class_error_pred", "fn_class_error")}
+    rest = [(-1 if r.status == "fn" else r.p_class, -1 if r.status == "fp" else r.g_class) for r in rows if r.error_type not in ("class_error_pred", "fn_class_error")]
+    want = {k: [*twice.values(), *rest].count(k) for k in {*twice.values(), *rest}}
+    assert {(r.p_class, r.g_class): r.n for r in table.collect()} == want and twice
+    assert table._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
