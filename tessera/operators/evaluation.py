@@ -463,24 +463,27 @@ def compare(gt: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, confiden
     g = gt.groupBy(*sides).agg(F.array_sort(F.collect_list(F.struct("ord", *BOX))).alias("gs"))
     p = pred.groupBy(*sides).agg(F.array_sort(F.collect_list(F.struct("ord", *BOX, "confidence"))).alias("ps"))
     both = g.join(p, sides, "full")
-    row = "array<struct<status:string,iou:double,g:int,p:int,confidence:double>>"
-    none = lambda kind: F.from_json(F.lit("[]"), kind)
-    both = both.withColumn("gs", F.coalesce("gs", F.from_json(F.lit("[]"), "array<struct<ord:int,x1:double,y1:double,x2:double,y2:double>>"))).withColumn("ps", F.coalesce("ps", F.from_json(F.lit("[]"), "array<struct<ord:int,x1:double,y1:double,x2:double,y2:double,confidence:double>>")))
+    kinds = {c: f"array<{both.schema[c].dataType.elementType.simpleString()}>" for c in ("gs", "ps")}
+    both = both.select(*sides, *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in kinds.items()])
+    # What overlaps each box, computed once: the fold only looks for the best that is still free.
+    near = F.transform("gs", lambda b: F.filter(F.transform(F.filter("ps", lambda q: may_overlap(box_of(b), box_of(q))), lambda q: F.struct(iou(box_of(b), box_of(q)).alias("iou"), (-q["ord"]).alias("order"), q["confidence"].alias("confidence"))), lambda e: e["iou"] > 0))
+    both = both.select(*sides, "ps", F.arrays_zip(F.transform("gs", lambda b: b["ord"]).alias("g"), near.alias("near")).alias("gs"))
 
     def take(state: Column, b: Column) -> Column:
-        free = F.filter(F.col("ps"), lambda q: ~F.array_contains(state["used"], q["ord"]))
-        scored = F.transform(free, lambda q: F.struct(iou(box_of(b), box_of(q)).alias("iou"), (-q["ord"]).alias("order"), q["confidence"].alias("confidence")))
-        # Only an overlap above nothing is a candidate.
-        best = F.array_max(F.filter(scored, lambda q: q["iou"] > 0))
+        best = F.array_max(F.filter(b["near"], lambda e: ~F.array_contains(state["used"], -e["order"])))
+        # The best is bound by a lambda, so that it is looked for once.
+        return F.get(F.transform(F.array(F.struct(best.alias("e"))), lambda x: taken(state, b["g"], x["e"])), F.lit(0))
+
+    def taken(state: Column, g: Column, best: Column) -> Column:
         hit = best["iou"] >= iou_threshold
         out = F.struct(
-            F.when(hit, F.lit("tp")).otherwise(F.lit("fn")).alias("status"), F.round(F.coalesce(best["iou"], F.lit(0.0)), 6).alias("iou"), b["ord"].alias("g"),
+            F.when(hit, F.lit("tp")).otherwise(F.lit("fn")).alias("status"), F.round(F.coalesce(best["iou"], F.lit(0.0)), 6).alias("iou"), g.alias("g"),
             F.when(hit, -best["order"]).alias("p"), F.when(hit, best["confidence"]).alias("confidence"),
         )
         return F.struct(F.when(hit, F.array_append(state["used"], -best["order"])).otherwise(state["used"]).alias("used"), F.array_append(state["rows"], out).alias("rows"))
 
-    zero = F.struct(none("array<int>").alias("used"), none(row).alias("rows"))
-    folded = both.withColumn("s", F.aggregate("gs", zero, take))
+    zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<status:string,iou:double,g:int,p:int,confidence:double>>").alias("rows"))
+    folded = both.select(*sides, "ps", F.aggregate("gs", zero, take).alias("s"))
     extra = F.transform(F.filter("ps", lambda q: ~F.array_contains(F.col("s.used"), q["ord"])), lambda q: F.struct(F.lit("fp").alias("status"), F.lit(0.0).alias("iou"), F.lit(None).cast("int").alias("g"), q["ord"].alias("p"), q["confidence"].alias("confidence")))
     return folded.select(*sides, F.explode(F.concat("s.rows", extra)).alias("r")).select(*sides, "r.*")
 

@@ -264,3 +264,22 @@ def test_confusion_reads_errors_once(spark, tmp_path):
     want = {k: [*twice.values(), *rest].count(k) for k in {*twice.values(), *rest}}
     assert {(r.p_class, r.g_class): r.n for r in table.collect()} == want and twice
     assert table._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+def test_compare_looks_for_each_best_once(spark):
+    gt, pred = crowd(10, classes=2)
+    rows = ev.compare(boxes(spark, gt), boxes(spark, pred), 0.5)
+    corner = lambda r: (r[2] - r[4] / 2, r[3] - r[5] / 2, r[2] + r[4] / 2, r[3] + r[5] / 2)
+    want = set()
+    for image in {r[0] for r in (*gt, *pred)}:
+        g, p = ([r for r in side if r[0] == image] for side in (gt, pred))
+        used = set()
+        for i, b in enumerate(g):
+            v, j = max(((plain_iou(corner(b), corner(q)), -j) for j, q in enumerate(p) if q[1] == b[1] and j not in used), default=(0, 0))
+            used |= {-j} if v >= 0.5 else set()
+            want.add((image, "tp", i, -j) if v >= 0.5 else (image, "fn", i, None))
+        want |= {(image, "fp", None, j) for j in range(len(p)) if j not in used}
+    assert {(r.image, r.status, r.g, r.p) for r in rows.collect()} == want
+    # Nested searches are interpreted: what stands in the plan several times is done several times.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1
